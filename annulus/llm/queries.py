@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annulus.llm import quality as quality_op
 from annulus.llm import secrets as secrets_op
+from annulus.llm import simhash as simhash_op
 from annulus.llm import tokens as tokens_op
 from annulus.llm import toxicity as toxicity_op
 from annulus.llm.common import read_table
@@ -31,12 +32,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_op.secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_op.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_op.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op8_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op4_simhash, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
