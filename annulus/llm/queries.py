@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from annulus.llm import decontam as decontam_op
+from annulus.llm import packing as packing_op
 from annulus.llm import quality as quality_op
 from annulus.llm import secrets as secrets_op
 from annulus.llm import simhash as simhash_op
@@ -36,12 +38,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_op.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_op.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam_op.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_op.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op4_simhash, op8_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op4_simhash, op5_packing, op7_decontamination, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
