@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from annulus.llm import decontam as decontam_op
+from annulus.llm import fingerprints as fingerprints_op
 from annulus.llm import packing as packing_op
 from annulus.llm import quality as quality_op
 from annulus.llm import secrets as secrets_op
@@ -50,8 +51,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_op.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_op.edited_halves(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op4_simhash, op5_packing, op7_decontamination, op8_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op4_simhash, op5_packing, op7_decontamination, op8_quality, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
