@@ -233,8 +233,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **fit
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **fitting) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns as they were."""
-    model = fit(docs, labels, **fitting)
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, fit_on: DataFrame | None = None, **fitting) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, with their columns as they were. fit_on: rows to fit on, docs if none."""
+    model = fit(docs if fit_on is None else fit_on, labels, **fitting)
     name = "__quality_score"
     return docs.withColumn(name, score_column(F.coalesce("text", F.lit("")), model)).where(F.col(name) >= threshold).drop(name)

@@ -124,7 +124,7 @@ def secrets(docs: DataFrame, **judging) -> DataFrame:
 def redacted(docs: DataFrame, **judging) -> DataFrame:
     """``docs`` with every secret but the copied examples masked in text, all else as it was.
 
-    Overlapping spans become one mask. Texts without secrets keep null or their value untouched.
+    A column n_chars, if there is one, is set to the masked text's length. Overlapping spans become one mask. Texts without secrets keep null or their value untouched.
     Rows are matched by id and text, so repeated rows are masked alike.
     """
     w = "over (partition by doc_id, th order by start, stop rows between unbounded preceding and 1 preceding)"
@@ -138,4 +138,7 @@ def redacted(docs: DataFrame, **judging) -> DataFrame:
     piece = lambda x: text.substr((x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))
     tail = text.substr((F.col("__last") + 1).cast("int"), F.length(text))
     masked = F.when(F.col("__gaps").isNull(), text).otherwise(F.concat(F.array_join(F.transform("__gaps", piece), MASK), F.lit(MASK), tail))
-    return both.withColumn("text", masked).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = both.withColumn("text", masked)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__gaps").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
