@@ -1,25 +1,13 @@
-"""What the text operators share: durable lineage cuts, held-out folds, connected components."""
+"""What the text operators share: durable lineage cuts, held-out folds."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annulus.operators.lineage import components, durable, ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only where none is set, a folder of this machine."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "annulus-checkpoints"))
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Rows kept in the shared checkpoint folder: a lost executor loses none, and what made them doesn't run again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["components", "durable", "ensure_checkpoint_dir", "held_out", "read_table", "training_rows"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,53 +20,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``limit`` labelled rows that aren't held out.
+    """(doc_id, text, y) of about ``limit`` labelled rows that aren't held out, or all if there are fewer.
 
-    The rows are those with the least hash of the id, so the sample is the same on every run and
-    spread over the whole table. ``limit`` bounds everything that a model is fitted on.
-    Ids that occur twice among the labels take the larger label; null ids or labels are left out.
+    The rows are those whose hash of the id falls into the share that ``limit`` is of all, so the sample
+    is the same on every run and spread over the whole table, and nothing is sorted to find it. A
+    limit a quarter higher bounds what a model is fitted on in any case. Ids that occur twice among the
+    labels take the larger label; null ids or labels are left out.
     """
-    chosen = (
-        labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y"))
-        .where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out("k"))
-        .orderBy(F.xxhash64("k"), "k", F.desc("y"))
-        .limit(limit)
-        .groupBy("k")
-        .agg(F.max("y").alias("y"))
-    )
-    # at most `limit` pairs of a long and an int: the bound makes the broadcast safe
+    fit = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out("k"))
+    share = int(min(1.0, limit / max(fit.count(), 1)) * (1 << 20))
+    chosen = fit.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share).limit(limit + limit // 4 + 64).groupBy("k").agg(F.max("y").alias("y"))
+    # the limit, of a long and an int each, makes the broadcast safe
     return (
         docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("k"))
         .select("doc_id", "text", "y")
     )
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a, b): root is the smallest node reachable.
-
-    Every round replaces each edge by one to the smallest neighbour (large star, then small star),
-    so a path of n nodes becomes a star in about log n rounds. Minima are aggregated before the
-    shuffle and joins may be split by AQE, so a hub of any degree stays out of a single task.
-    Nothing is collected but one count per round.
-    """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(max_rounds):
-        # large star: each larger neighbour of a node is tied to the node's smallest neighbour (itself counted)
-        around = both(e)
-        least = around.groupBy("a").agg(F.min("b").alias("m0")).select("a", F.least("a", "m0").alias("m"))
-        e = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: the node and its smaller neighbours are tied to the smallest
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        tied = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        after = durable(tied.where("a <> b").distinct())
-        # done when it is a forest of stars: no node is both a leaf and a centre, and no leaf has two centres
-        bad = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        many = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() if not bad else 1
-        e = after
-        if not bad and not many:
-            break
-    else:
-        raise RuntimeError("components: not settled; raise max_rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

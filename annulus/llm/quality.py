@@ -187,7 +187,7 @@ def qualities(texts: list[str], model: QualityModel) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 4_000, **training) -> QualityModel:
-    """The model from at most ``max_rows`` labelled rows that aren't held out.
+    """The model from about ``max_rows`` labelled rows that aren't held out.
 
     Training runs in one task on the executors, on line features only, and sends back a few weights.
     """

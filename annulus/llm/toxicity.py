@@ -138,7 +138,7 @@ def karlin_altschul(probs: dict[float, float]) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_units: int = 50_000, min_count: int = 4, min_z: float = 3.0, prior: float = 10.0, drift: float = 0.25, max_e: float = 0.01) -> ToxicityModel:
-    """The model from at most ``max_rows`` labelled rows that aren't held out (see common.training_rows).
+    """The model from about ``max_rows`` labelled rows that aren't held out (see common.training_rows).
 
     The driver receives at most ``max_units`` units and three numbers for each sampled row.
     Without toxic or without clean rows no token scores and each document gets the same score.
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_units
                 if c:
                     yield pd.DataFrame({"unit": list(c), "y": y, "n": list(c.values())})
 
-    texts = sample.groupBy("text").agg(F.max("y").alias("y"))  # at most max_rows texts
+    texts = sample.groupBy("text").agg(F.max("y").alias("y"))
     counts = texts.mapInPandas(count, "unit string, y int, n long").groupBy("unit").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
     counts = durable(counts)
     nt, nc = counts.where("unit = ''").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()  # texts of each kind
