@@ -179,13 +179,15 @@ class Forest:
 def links(fingerprints: DataFrame, *, radius: int = 4, blocks: int = 3, shard: int = 8192, sample: int = 50_000) -> DataFrame:
     """Edges (a, b) over distinct fingerprints ``fp`` whose connected classes are those of all pairs within ``radius``.
 
-    Trees are fitted on at most ``sample`` fingerprints, which bounds what the driver holds; their depth
+    Trees are fitted on about ``sample`` fingerprints (never over twice as many), which bounds what the driver holds; their depth
     follows the number of fingerprints so that a shard has about ``shard`` residents.
     """
     n = fingerprints.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard))))
     depth = min(depth, int(np.log2(sample / 8)))
-    got = fingerprints.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # by hash, so each task sends only its share of the sample; the limit is a bound that the share hardly meets
+    share = int(min(1.0, sample / max(n, 1)) * (1 << 20))
+    got = fingerprints.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).limit(2 * sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     near = radius // blocks
     trees = [Tree(got, m, depth, i) for i, m in enumerate(masks(blocks))]
 
@@ -226,7 +228,8 @@ def classes(docs: DataFrame, **linking) -> DataFrame:
     in_class = by_fp.join(tied, "fp").select("fp", "root", "first")
     least = in_class.join(in_class.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
     # few fingerprints have links; all others keep the first of their copies
-    held = by_fp.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    # (kept apart from the joins before: rows of a fingerprint that very many share can then be split between tasks)
+    held = durable(by_fp.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")))
     return made.join(held, "fp").select("doc_id", "th", "fp", "first")
 
 
