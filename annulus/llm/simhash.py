@@ -199,8 +199,8 @@ def links(fingerprints: DataFrame, *, radius: int = 4, blocks: int = 3, shard: i
                 yield pd.DataFrame({"shard": t * (1 << depth) + leaf, "fp": x[row].view(np.int64), "home": home})
 
     sent = durable(fingerprints.mapInPandas(routed, "shard long, fp long, home boolean"))
-    # visitors and residents of a shard meet in slices: so many that a slice has about `shard` visitors
-    sizes = sent.groupBy("shard").agg(F.count("*").alias("visits")).withColumn("slices", F.ceil(F.col("visits") / (2 * shard)).cast("int")).select("shard", "slices")
+    # visitors and residents of a shard meet in slices; a shard of usual size, with up to 16 visits for each resident, is one
+    sizes = sent.groupBy("shard").agg(F.count("*").alias("visits")).withColumn("slices", F.ceil(F.col("visits") / (16 * shard)).cast("int")).select("shard", "slices")
     each = sent.join(sizes, "shard")
     visitors = each.select("shard", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int").alias("slice"), "fp", F.lit(False).alias("resident"))
     residents = each.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "fp", F.lit(True).alias("resident"))
