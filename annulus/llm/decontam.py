@@ -113,7 +113,7 @@ def hits_column(text: Column, ix: Index) -> Column:
         for texts in parts:
             yield pd.Series([[{"item_id": i, "shared": n, "size": m} for i, n, m in find(t or "", ix)] for t in texts], dtype=object)
 
-    return found(text)
+    return found.asNondeterministic()(text)  # else the plan would run it once more, to filter before the explosion
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, name: str, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:

@@ -174,7 +174,7 @@ def found_column(text: Column, templates: dict[str, str], threshold: float) -> C
         for texts in parts:
             yield pd.Series([[{"license": n, "start": a, "stop": b, "containment": c} for n, a, b, c in matcher.find(t or "")] for t in texts], dtype=object)
 
-    return found(text)
+    return found.asNondeterministic()(text)  # else the plan would run it once more, to filter before the explosion
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold: float = 0.8) -> DataFrame:
