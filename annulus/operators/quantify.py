@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.operators.lineage import components
+from annulus.operators.search import by_key
 
 
 def multiplicity(circles: DataFrame) -> DataFrame:
@@ -74,19 +74,22 @@ def abundance(circles: DataFrame, fragments: DataFrame, wgs_mean: float, config:
     mult = multiplicity(circles)
     both = mult.join(clusters(mult), "circ_id").join(fragments.select("fid", "coverage"), "fid")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="fid", columns="circ_id", values="mult", fill_value=0)
-        cover = pdf.drop_duplicates("fid").set_index("fid")["coverage"].reindex(m.index).to_numpy(float)
-        if m.shape[1] == 1:
+    def solve(key: int, rows: list) -> list[tuple]:
+        ids, fids = sorted({int(r.circ_id) for r in rows}), sorted({int(r.fid) for r in rows})
+        column, line = {c: j for j, c in enumerate(ids)}, {f: i for i, f in enumerate(fids)}
+        m, cover = np.zeros((len(fids), len(ids))), np.zeros(len(fids))
+        for r in rows:
+            m[line[int(r.fid)], column[int(r.circ_id)]] = r.mult
+            cover[line[int(r.fid)]] = r.coverage
+        if len(ids) == 1:
             score = np.array([cover.mean()])
-        elif m.shape[0] == 1:
-            score = np.full(m.shape[1], 100.0)
+        elif len(fids) == 1:
+            score = np.full(len(ids), 100.0)
         else:
-            score = solve_cluster(m.to_numpy(float), cover, wgs_mean, config)
-        out = pd.DataFrame({"circ_id": m.columns.to_numpy("int64"), "score": score, "cluster": int(pdf["cluster"].iloc[0])})
-        return out[~out["score"].isna()]
+            score = solve_cluster(m, cover, wgs_mean, config)
+        return [(c, float(s), key) for c, s in zip(ids, score) if not np.isnan(s)]
 
-    return both.groupBy("cluster").applyInPandas(solve, "circ_id long, score double, cluster long")
+    return by_key(both, "cluster", solve, "circ_id long, score double, cluster long")
 
 
 def cluster_order(scored: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import attrgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions.paths import canonical
-from annulus.operators.lineage import components
+from annulus.operators.lineage import components, durable
 from annulus.operators.solver import Frag, Part, combined, rewire_short, simple_circles
 
 
@@ -30,44 +34,69 @@ def rows_by_part(fragments: DataFrame, edges: DataFrame, *, whole: bool = False)
     return f.unionByName(e)
 
 
-def _part(pdf: pd.DataFrame) -> Part:
-    f = pdf[pdf["kind"] == "f"]
-    e = pdf[pdf["kind"] == "e"]
-    frags = {int(r.fid): Frag(int(r.fid), r.chr, float(r.start), float(r.end), int(r.tail), int(r.head), int(r.edge_id), float(r.coverage), float(r.len)) for r in f.itertuples()}
-    ties = {int(r.edge_id): (int(r.u), int(r.v), int(r.svtype), float(r.weight)) for r in e.itertuples()}
+def by_key(rows: DataFrame, key: str, solve: Callable[[int, list], list[tuple]], schema: str) -> DataFrame:
+    """``solve(key, rows)`` for each key, its results one after another.
+
+    Rows are dealt and sorted by key, and a task runs through its keys in one stream: most parts are
+    tiny, and a call of a grouped function for each would cost far more than solving it. A task holds one
+    part at a time, and a batch.
+    """
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for k, new in groupby(pdf.itertuples(index=False), key=attrgetter(key)):
+                if held and getattr(held[0], key) != k:
+                    out += solve(int(getattr(held[0], key)), held)
+                    held = []
+                held += new
+            if out:
+                yield typed(out)
+        if held:
+            yield typed(solve(int(getattr(held[0], key)), held))
+
+    kinds = {c: t for c, t in zip(columns, (c.strip().split(" ", 1)[1] for c in schema.split(",")))}
+    to = {"long": "Int64", "bigint": "Int64", "int": "Int32", "double": "float64", "string": "object"}
+
+    def typed(out: list[tuple]) -> pd.DataFrame:
+        df = pd.DataFrame(out, columns=columns)
+        return df.astype({c: to[t] for c, t in kinds.items() if t in to})
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
+def _part(rows: list) -> Part:
+    frags = {int(r.fid): Frag(int(r.fid), r.chr, float(r.start), float(r.end), int(r.tail), int(r.head), int(r.edge_id), float(r.coverage), float(r.len)) for r in rows if r.kind == "f"}
+    ties = {int(r.edge_id): (int(r.u), int(r.v), int(r.svtype), float(r.weight)) for r in rows if r.kind == "e"}
     return Part(frags, ties)
 
 
 def remove_short(fragments: DataFrame, edges: DataFrame, least: int = 500, distance: int = 50) -> tuple[DataFrame, DataFrame]:
     """(fragments, edges) without short fragments, their neighbours tied to each other."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = _part(pdf)
+    def solve(key: int, rows: list) -> list[tuple]:
+        part = _part(rows)
         rewire_short(part, least, distance)
         f = [("f", x.fid, x.chrom, int(x.start), int(x.end), x.tail, x.head, x.edge_id, x.coverage, x.length, None, None, None, None) for x in part.frags.values()]
-        e = [("e", None, None, None, None, None, None, i, None, None, *t) for i, t in part.ties.items()]
-        out = pd.DataFrame(f + e, columns=["kind", "fid", "chr", "start", "end", "tail", "head", "edge_id", "coverage", "len", "u", "v", "svtype", "weight"])
-        return out.astype({c: "Int64" for c in ("fid", "start", "end", "tail", "head", "edge_id", "u", "v")} | {"svtype": "Int32", "coverage": float, "len": float, "weight": float})
+        return f + [("e", None, None, None, None, None, None, i, None, None, *t) for i, t in part.ties.items()]
 
     schema = "kind string, fid long, chr string, start long, end long, tail long, head long, edge_id long, coverage double, len double, u long, v long, svtype int, weight double"
-    from annulus.operators.lineage import durable
-
-    out = durable(rows_by_part(fragments, edges).groupBy("part").applyInPandas(solve, schema))
+    out = durable(by_key(rows_by_part(fragments, edges), "part", solve, schema))
     return out.where("kind = 'f'").select("fid", "chr", "start", "end", "tail", "head", "edge_id", "coverage", "len"), out.where("kind = 'e'").select("edge_id", "u", "v", "svtype", "weight")
 
 
 def circles(fragments: DataFrame, edges: DataFrame, config: Config = Config(), *, whole: bool = False) -> DataFrame:
     """part, phase (0 simple, 1 combined), seq, path: circles in order of finding; simple ones raw, combined ones canonical."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = _part(pdf)
+    def solve(key: int, rows: list) -> list[tuple]:
+        part = _part(rows)
         raw = simple_circles(part)
         more = combined(raw, {f.fid: f.length for f in part.frags.values()}, near_identical=config.near_identical, novelty=config.novelty, most=config.max_combine)
-        key = int(pdf["part"].iloc[0])
-        rows = [(key, phase, i, list(p)) for phase, held in enumerate((raw, more)) for i, p in enumerate(held)]
-        return pd.DataFrame(rows, columns=["part", "phase", "seq", "path"])
+        return [(key, phase, i, list(p)) for phase, held in enumerate((raw, more)) for i, p in enumerate(held)]
 
-    return rows_by_part(fragments, edges, whole=whole).groupBy("part").applyInPandas(solve, "part long, phase int, seq long, path array<bigint>")
+    return by_key(rows_by_part(fragments, edges, whole=whole), "part", solve, "part long, phase int, seq long, path array<bigint>")
 
 
 def distinct_circles(found: DataFrame) -> DataFrame:
