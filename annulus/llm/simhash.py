@@ -30,34 +30,54 @@ SEED = 42
 WIDTH = 4
 
 
-def fingerprint(text: str) -> int:
-    """Majority of the shingles' XXH64 (seed 42): a bit is set if it is set in over half of them.
-
-    A-Z are lower-cased; words are runs of other characters than space, tab, line feed, vertical tab,
-    form feed and carriage return. Fewer than four words make one shingle; no word, fingerprint 0.
-    """
+def majority(parts: list[bytes]) -> int:
+    """A bit is set if it is set in over half of the parts' XXH64 (seed 42); 0 for no part."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: ASCII case and space only
-    if not words:
-        return 0
     h = xxhash.xxh64_intdigest
-    if len(words) < WIDTH:
-        return h(b" ".join(words), SEED)
-    hashes = np.fromiter((h(b"%b %b %b %b" % s, SEED) for s in zip(words, words[1:], words[2:], words[3:])), np.uint64, len(words) - WIDTH + 1)
+    hashes = np.fromiter((h(x, SEED) for x in parts), np.uint64, len(parts))
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):  # a long text in parts
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprint_column(text: Column) -> Column:
-    """The fingerprint as a long (two's complement)."""
+def words_of(text: str) -> list[bytes]:
+    """A-Z are lower-cased; words are runs of other characters than space, tab, line feed, vertical tab, form feed and
+    carriage return. On bytes, so that only ASCII counts as case and space."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str) -> int:
+    """Majority over the four-word shingles, repeats included. Fewer words make one shingle; no word, fingerprint 0."""
+    words = words_of(text)
+    if 0 < len(words) < WIDTH:
+        return majority([b" ".join(words)])
+    return majority([b"%b %b %b %b" % s for s in zip(words, words[1:], words[2:], words[3:])])
+
+
+def word_prints(text: str) -> tuple[int, int]:
+    """Majorities over the distinct words and over the distinct pairs of neighbouring words.
 
-    @F.pandas_udf("long")
-    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    An edit changes far fewer words than shingles, so texts of which four in five five-word shingles agree stay
+    within a few bits of each other in the first; the second tells apart texts that merely share common words.
+    """
+    words = words_of(text)
+    return majority(list(dict.fromkeys(words))), majority(list(dict.fromkeys(b"%b %b" % s for s in zip(words, words[1:]))))
+
+
+PRINTS = "fp long, confirm long"
+
+
+def prints_column(text: Column, kind: str) -> Column:
+    """struct(fp, confirm) as longs (two's complement). kind 'shingles': the fingerprint, no second one; 'words': word_prints."""
+    make = word_prints if kind == "words" else lambda t: (fingerprint(t), 0)
+
+    @F.pandas_udf(PRINTS)
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            yield pd.Series(np.array([fingerprint(t or "") for t in texts], np.uint64).view(np.int64))
+            x = np.array([make(t or "") for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"fp": x[:, 0], "confirm": x[:, 1]})
 
     return made(text)
 
@@ -111,15 +131,16 @@ class Tree:
 
 
 def close_pairs(visitors: np.ndarray, residents: np.ndarray, mask: np.uint64, near: int, radius: int, leaf: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (visitor < resident as numbers) within ``radius`` bits, of those within ``near`` bits of the mask.
+    """Pairs (place among the visitors, place among the residents) within ``radius`` bits, of those within ``near`` bits of the mask.
 
     The residents are split by vantage points until few are left; visitors follow by triangle bounds.
     """
-    stack = [(visitors, residents, 0)]
+    stack = [(np.arange(len(visitors)), np.arange(len(residents)), 0)]
     while stack:
-        v, r, level = stack.pop()
-        if not len(v) or not len(r):
+        vi, ri, level = stack.pop()
+        if not len(vi) or not len(ri):
             continue
+        v, r = visitors[vi], residents[ri]
         if len(r) > leaf and level < 24:
             p = r[(level * 7919) % len(r)]
             d = np.bitwise_count((r ^ p) & mask).astype(np.int64)
@@ -128,14 +149,13 @@ def close_pairs(visitors: np.ndarray, residents: np.ndarray, mask: np.uint64, ne
                 m -= 1
             if (d <= m).any():
                 e = np.bitwise_count((v ^ p) & mask).astype(np.int64)
-                stack.append((v[e - near <= m], r[d <= m], level + 1))
-                stack.append((v[e + near > m], r[d > m], level + 1))
+                stack.append((vi[e - near <= m], ri[d <= m], level + 1))
+                stack.append((vi[e + near > m], ri[d > m], level + 1))
                 continue
-        for i in range(0, len(v), max(1, (1 << 20) // len(r))):
-            part = v[i : i + max(1, (1 << 20) // len(r))]
-            a, b = np.nonzero(np.bitwise_count(part[:, None] ^ r[None, :]) <= radius)
-            a, b = part[a], r[b]
-            yield a[a < b], b[a < b]
+        step = max(1, (1 << 20) // len(r))
+        for i in range(0, len(v), step):
+            a, b = np.nonzero(np.bitwise_count(v[i : i + step, None] ^ r[None, :]) <= radius)
+            yield vi[a + i], ri[b]
 
 
 class Forest:
@@ -176,18 +196,19 @@ class Forest:
         return self.values[at], self.values[self.label[at]]
 
 
-def links(fingerprints: DataFrame, *, radius: int = 4, blocks: int = 3, shard: int = 8192, sample: int = 50_000) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints ``fp`` whose connected classes are those of all pairs within ``radius``.
+def links(nodes: DataFrame, *, radius: int = 4, confirm_radius: int = 64, blocks: int = 3, shard: int = 8192, sample: int = 50_000) -> DataFrame:
+    """Edges (a, b) over ``nodes`` (node, fp, confirm) whose connected classes are those of all pairs within ``radius``
+    bits of fp and ``confirm_radius`` bits of confirm.
 
-    Trees are fitted on about ``sample`` fingerprints (never over twice as many), which bounds what the driver holds; their depth
-    follows the number of fingerprints so that a shard has about ``shard`` residents.
+    Trees are fitted on about ``sample`` fingerprints (never over twice as many), which bounds what the driver
+    holds; their depth follows the number of fingerprints so that a shard has about ``shard`` residents.
     """
-    n = fingerprints.count()
+    n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard))))
     depth = min(depth, int(np.log2(sample / 8)))
     # by hash, so each task sends only its share of the sample; the limit is a bound that the share hardly meets
     share = int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    got = fingerprints.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).limit(2 * sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    got = nodes.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).limit(2 * sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     near = radius // blocks
     trees = [Tree(got, m, depth, i) for i, m in enumerate(masks(blocks))]
 
@@ -196,41 +217,46 @@ def links(fingerprints: DataFrame, *, radius: int = 4, blocks: int = 3, shard: i
             x = pdf["fp"].to_numpy(np.int64).view(np.uint64)
             for t, tree in enumerate(trees):
                 row, leaf, home = tree.route(x, near)
-                yield pd.DataFrame({"shard": t * (1 << depth) + leaf, "fp": x[row].view(np.int64), "home": home})
+                yield pd.DataFrame({"shard": t * (1 << depth) + leaf, "node": pdf["node"].to_numpy()[row], "fp": x[row].view(np.int64), "confirm": pdf["confirm"].to_numpy()[row], "home": home})
 
-    sent = durable(fingerprints.mapInPandas(routed, "shard long, fp long, home boolean"))
+    sent = durable(nodes.select("node", "fp", "confirm").mapInPandas(routed, "shard long, node long, fp long, confirm long, home boolean"))
     # visitors and residents of a shard meet in slices; a shard of usual size, with up to 16 visits for each resident, is one
     sizes = sent.groupBy("shard").agg(F.count("*").alias("visits")).withColumn("slices", F.ceil(F.col("visits") / (16 * shard)).cast("int")).select("shard", "slices")
     each = sent.join(sizes, "shard")
-    visitors = each.select("shard", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int").alias("slice"), "fp", F.lit(False).alias("resident"))
-    residents = each.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "fp", F.lit(True).alias("resident"))
+    visitors = each.select("shard", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"), "node", "fp", "confirm", F.lit(False).alias("resident"))
+    residents = each.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "node", "fp", "confirm", F.lit(True).alias("resident"))
     tree_masks = masks(blocks)
 
     def paired(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         res = pdf["resident"].to_numpy(bool)
-        found = Forest(x)
-        for a, b in close_pairs(x[~res], x[res], tree_masks[int(key[0]) >> depth], near, radius):
-            found.link(a, b)
+        node, fp, sure = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("node", "fp", "confirm"))
+        (vn, vf, vs), (rn, rf, rs) = ([x[m] for x in (node, fp, sure)] for m in (~res, res))
+        found = Forest(node)
+        for i, j in close_pairs(vf, rf, tree_masks[int(key[0]) >> depth], near, radius):
+            good = (vn[i] < rn[j]) & (np.bitwise_count(vs[i] ^ rs[j]) <= confirm_radius)  # each pair once
+            found.link(vn[i[good]], rn[j[good]])
         a, b = found.edges()
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return visitors.unionByName(residents).groupBy("shard", "slice").applyInPandas(paired, "a long, b long")
 
 
-def classes(docs: DataFrame, **linking) -> DataFrame:
-    """(doc_id, th, fp, root, first): for each row of docs its fingerprint, its class, and the class's first (id, text hash)."""
+def classes(docs: DataFrame, kind: str = "shingles", **linking) -> DataFrame:
+    """(doc_id, th, fp, first): for each row of docs its fingerprint and its class's first (id, text hash)."""
     text = F.coalesce("text", F.lit(""))
-    made = durable(docs.select("doc_id", F.xxhash64(text).alias("th"), fingerprint_column(text).alias("fp")))
+    x = docs.select("doc_id", F.xxhash64(text).alias("th"), prints_column(text, kind).alias("p"))
+    # a node is a fingerprint; where there are two, their hash stands for the pair
+    node = F.col("p.fp") if kind == "shingles" else F.xxhash64("p.fp", "p.confirm")
+    made = durable(x.select("doc_id", "th", "p.fp", "p.confirm", node.alias("node")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
-    by_fp = durable(made.groupBy("fp").agg(F.min(order).alias("first")))  # copies become one node before any pairing
-    tied = components(links(by_fp.select("fp"), **linking)).withColumnRenamed("node", "fp")
-    in_class = by_fp.join(tied, "fp").select("fp", "root", "first")
-    least = in_class.join(in_class.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+    by_node = durable(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("confirm").alias("confirm"), F.min(order).alias("first")))  # copies become one node before any pairing
+    tied = components(links(by_node, **linking))
+    in_class = by_node.join(tied, "node").select("node", "root", "first")
+    least = in_class.join(in_class.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
     # few fingerprints have links; all others keep the first of their copies
     # (kept apart from the joins before: rows of a fingerprint that very many share can then be split between tasks)
-    held = durable(by_fp.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")))
-    return made.join(held, "fp").select("doc_id", "th", "fp", "first")
+    held = durable(by_node.join(least, "node", "left").select("node", F.coalesce("least", "first").alias("first")))
+    return made.join(held, "node").select("doc_id", "th", "fp", "first")
 
 
 def near_duplicates(docs: DataFrame, **linking) -> DataFrame:
@@ -243,13 +269,17 @@ def near_duplicates(docs: DataFrame, **linking) -> DataFrame:
     return classes(docs, **linking).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **linking) -> DataFrame:
+def keep_one(docs: DataFrame, *, kind: str = "words", radius: int = 8, confirm_radius: int = 12, shard: int = 131_072, **linking) -> DataFrame:
     """One row of each class, that with the smallest id, with its columns as they were.
 
+    By default classes are those of the word fingerprints: texts within 8 bits by their words and 12 by their
+    word pairs, where nearly all texts lie that share four in five of their five-word shingles. The fingerprint
+    of near_duplicates, within 4 bits, misses most of these (README).
+
     Ties of an id (or of null ids, which come last) fall to the smallest hash of the text; of rows that
     repeat id and text one stays.
     """
-    c = classes(docs, **linking)
+    c = classes(docs, kind, radius=radius, confirm_radius=confirm_radius, shard=shard, **linking)
     kept = c.where(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
     both = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__th"]))

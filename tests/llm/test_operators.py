@@ -228,10 +228,29 @@ def test_simhash(spark, awkward, blocks, shard):
     want = Counter((d, format(f, "016x"), least.get(root(i))) for i, (d, f) in enumerate(rows))
     got = simhash.near_duplicates(docs, blocks=blocks, shard=shard).collect()
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
-    kept = simhash.keep_one(docs, blocks=blocks, shard=shard)
+    kept = simhash.keep_one(docs, kind="shingles", radius=4, blocks=blocks, shard=shard)
     assert kept.count() == len({root(i) for i in range(len(rows))}) and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("shard", [131072, 16])
+def test_near_copies_by_words(spark, awkward, shard):
+    """Of texts that share four in five of their five-word shingles one stays; others all stay."""
+    rng = random.Random(12)
+    base = [text(rng, rng.randint(80, 400)) for _ in range(40)]
+    texts = list(base)
+    for t in base:
+        for _ in range(3):
+            w = t.split()
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = "edited"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    kept = [r.doc_id for r in simhash.keep_one(docs, shard=shard).collect()]
+    assert set(range(40)) <= set(kept) and len(kept) <= 42
+    odd = simhash.keep_one(awkward, shard=shard)
+    assert odd.where("doc_id in (0, 1, 2, 3)").count() == 1 and odd.where("doc_id in (7, 8)").count() == 1 and odd.columns == awkward.columns
+
+
 def test_simhash_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
