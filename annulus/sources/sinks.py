@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def write_tsv(df: DataFrame, path: str, *, header: bool = True, one_file: bool = True) -> None:
     """Results are a few rows for each circle, so one file is the default; order is kept."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, sep="\t", header=header, quote="")
+    # the writer quotes values that begin with its comment sign; headers begin with '#', so another sign is named
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("comment", "\u0001").csv(path, sep="\t", header=header)
 
 
 def write_lines(df: DataFrame, path: str, order: str = "ord") -> None:
