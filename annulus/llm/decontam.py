@@ -9,7 +9,7 @@ that many smallest hashes the document must hold one. Candidate search therefore
 Candidates are verified by exact containment over the item's shingles.
 
 The items are a stated query set. They are taken in blocks of bounded size, and each block is searched
-in all documents at once, so a benchmark of any size needs no more memory.
+in all documents in a pass of its own, so a benchmark of any size needs no more memory.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annulus.llm.common import durable
+
 WIDTH = 5
 WORD = re.compile(r"\w+")
 
@@ -116,28 +118,39 @@ def hits_column(text: Column, ix: Index) -> Column:
     return found.asNondeterministic()(text)  # else the plan would run it once more, to filter before the explosion
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, name: str, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with a column ``name`` added: array of (item_id, shared, size) of the items that the text holds.
-
-    Each block of items adds one pass of the same scan, not a join; the items travel with the code, at
-    most ``chars`` characters at a time.
-    """
-    cols = [hits_column(F.coalesce(F.col("text"), F.lit("")), index(b, threshold)) for b in blocks(benchmark, chars)]
-    return docs.withColumn(name, F.concat(*cols) if cols else F.lit(None).cast(HIT))
+def passes(benchmark: DataFrame, threshold: float, chars: int) -> Iterator[tuple[Index, bool]]:
+    """The index of each block, and whether another one follows. One index exists at a time."""
+    held = None
+    for block in blocks(benchmark, chars):
+        if held is not None:
+            yield index(held, threshold), True
+        held = block
+    yield index(held or [], threshold), False
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **searching) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: one row for each row of ``docs`` and item it holds.
 
     Only pairs with containment >= threshold. Null or empty texts and items without words hold and
     match nothing; items with null ids are left out; repeated rows are reported each; an id with
     several texts is one set for each text. Extra columns are ignored, whatever their names.
+    Items are taken ``chars`` characters at a time; each block is a pass over the documents, and only
+    its index is in memory while it runs.
     """
-    x = hits(docs.select("doc_id", "text"), benchmark, "hits", **searching).select("doc_id", F.explode("hits").alias("h"))
-    return x.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.shared").alias("n_shared"), F.col("h.size").alias("n_item"), (F.col("h.shared") / F.col("h.size")).alias("containment"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **searching) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns as they were."""
-    name = "__benchmark_hits"
-    return hits(docs, benchmark, name, **searching).where(F.coalesce(F.size(name), F.lit(0)) <= 0).drop(name)
+    out = None
+    for ix, more in passes(benchmark, threshold, chars):
+        x = docs.select("doc_id", F.explode(hits_column(F.coalesce(F.col("text"), F.lit("")), ix)).alias("h"))
+        x = x.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.shared").alias("n_shared"), F.col("h.size").alias("n_item"), (F.col("h.shared") / F.col("h.size")).alias("containment"))
+        if more or out is not None:
+            x = durable(x)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with their columns as they were; a pass for each block of items."""
+    for ix, more in passes(benchmark, threshold, chars):
+        docs = docs.where(F.size(hits_column(F.coalesce(F.col("text"), F.lit("")), ix)) == 0)
+        if more:
+            docs = durable(docs)
+    return docs
