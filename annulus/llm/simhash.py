@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annulus.llm import nearcopies
 from annulus.llm.common import components, durable
 
 SEED = 42
@@ -250,13 +251,26 @@ def classes(docs: DataFrame, kind: str = "shingles", **linking) -> DataFrame:
     made = durable(x.select("doc_id", "th", "p.fp", "p.confirm", node.alias("node")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
     by_node = durable(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("confirm").alias("confirm"), F.min(order).alias("first")))  # copies become one node before any pairing
-    tied = components(links(by_node, **linking))
+    return with_first(made, by_node, components(links(by_node, **linking))).select("doc_id", "th", "fp", "first")
+
+
+def with_first(made: DataFrame, by_node: DataFrame, tied: DataFrame) -> DataFrame:
+    """``made`` with first: the least of its node's class. by_node: node, first; tied: node, root of the nodes that have links."""
     in_class = by_node.join(tied, "node").select("node", "root", "first")
     least = in_class.join(in_class.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
     # few fingerprints have links; all others keep the first of their copies
     # (kept apart from the joins before: rows of a fingerprint that very many share can then be split between tasks)
     held = durable(by_node.join(least, "node", "left").select("node", F.coalesce("least", "first").alias("first")))
-    return made.join(held, "node").select("doc_id", "th", "fp", "first")
+    return made.join(held, "node")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, first) as of classes, where texts are linked that share four in five of their five-word shingles, exactly."""
+    made = nearcopies.made_of(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
+    by_node = durable(made.groupBy("node").agg(F.min(order).alias("first")))
+    tied = components(nearcopies.links(made.select("node", "n", "prefix", "map"), nearcopies.sets_of(docs, by_node)))
+    return with_first(made.select("doc_id", "th", "node"), by_node, tied).select("doc_id", "th", "first")
 
 
 def near_duplicates(docs: DataFrame, **linking) -> DataFrame:
@@ -269,18 +283,26 @@ def near_duplicates(docs: DataFrame, **linking) -> DataFrame:
     return classes(docs, **linking).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, kind: str = "words", radius: int = 8, confirm_radius: int = 12, shard: int = 131_072, **linking) -> DataFrame:
+def keep_one(docs: DataFrame, *, kind: str = "shared", radius: int = 8, confirm_radius: int = 12, shard: int = 131_072, few: int = 250_000, **linking) -> DataFrame:
     """One row of each class, that with the smallest id, with its columns as they were.
 
-    By default classes are those of the word fingerprints: texts within 8 bits by their words and 12 by their
-    word pairs, where nearly all texts lie that share four in five of their five-word shingles. The fingerprint
-    of near_duplicates, within 4 bits, misses most of these (README).
+    By default texts are linked that share four in five of their distinct five-word shingles, all of them and no others
+    (nearcopies); texts without words are one class. Other kinds link by fingerprints alone, within ``radius`` bits
+    (and ``confirm_radius`` of the second one), which loses pairs and joins others: 'shingles', that of near_duplicates, and
+    'words', word_prints. All arguments but kind and few are for these. Up to ``few`` rows' keys are broadcast.
 
     Ties of an id (or of null ids, which come last) fall to the smallest hash of the text; of rows that
     repeat id and text one stays.
     """
-    c = classes(docs, kind, radius=radius, confirm_radius=confirm_radius, shard=shard, **linking)
-    kept = c.where(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__th"]))
-    return both.dropDuplicates(["__id", "__th"]).select(*[F.col(f"`{x}`") for x in docs.columns])
+    c = near_copies(docs) if kind == "shared" else classes(docs, kind, radius=radius, confirm_radius=confirm_radius, shard=shard, **linking)
+    # an id as text and whether it is null: plain keys, so the join and the removal of repeated rows share one exchange
+    keys = lambda th: [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), th.alias("__th")]
+    kept = durable(c.where(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).groupBy(*keys(F.col("th"))).agg(F.count("*").alias("__rows")))
+    names = ["__none", "__id", "__th"]
+    keyed = docs.select("*", *keys(F.xxhash64(F.coalesce("text", F.lit("")))))
+    if kept.count() > few:
+        both = keyed.join(kept, names).dropDuplicates(names)
+    else:  # few keys are sent to the texts; only repeated rows move
+        both = keyed.join(F.broadcast(kept), names)
+        both = both.where("__rows = 1").unionByName(both.where("__rows > 1").dropDuplicates(names))
+    return both.select(*[F.col(f"`{x}`") for x in docs.columns])

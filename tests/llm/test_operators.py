@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.llm import decontam, fingerprints, licenses, packing, quality, secrets, simhash, tokens, toxicity, warc
+from annulus.llm import decontam, fingerprints, licenses, nearcopies, packing, quality, secrets, simhash, tokens, toxicity, warc
 from annulus.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, hits string, start long"
@@ -251,6 +251,66 @@ def test_near_copies_by_words(spark, awkward, shard):
     assert odd.where("doc_id in (0, 1, 2, 3)").count() == 1 and odd.where("doc_id in (7, 8)").count() == 1 and odd.columns == awkward.columns
 
 
+def five_words(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def resemblance(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def kept_model(rows):
+    """(id, text) of one row of each connected class of pairs at 0.8 or more: rows are (id, text), ids not null."""
+    sets = [five_words(t or "") for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if resemblance(sets[i], sets[j]) >= 0.8:
+                up[root(i)] = root(j)
+    best: dict = {}
+    for i, r in enumerate(rows):
+        best[root(i)] = min(r, best.get(root(i), r), key=lambda r: r[0])
+    return Counter(best.values())
+
+
+def contiguous(rng, t):
+    """The text with a passage appended, cut, or put in the middle: 5 to 35 in 100 of its words."""
+    w = t.split()
+    n = max(1, int(len(w) * rng.uniform(0.05, 0.35)))
+    at = rng.randrange(len(w) - n)
+    return " ".join(rng.choice([w + text(rng, n).split(), w[:-n], w[n:], w[:at] + text(rng, n).split() + w[at + n :]]))
+
+
+@pytest.mark.parametrize("dense", [8, 0])
+def test_contiguous_edits(spark, dense):
+    """Copies with a passage appended or cut are found up to the limit of 0.8, wherever their words put their prints."""
+    rng = random.Random(21)
+    texts = [text(rng, rng.randint(40, 500)) for _ in range(60)]
+    texts += [contiguous(rng, t) for t in texts[:40] for _ in range(4)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 0.5, "x", "y", 7) for i, t in rows], SCHEMA).repartition(5)
+    sets = {i: five_words(t) for i, t in rows}
+    close = {(i, j) for i in sets for j in sets if i < j and resemblance(sets[i], sets[j]) >= 0.8}
+    assert len(close) > 80
+    made = nearcopies.made_of(docs)
+    by_node = made.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    tied = nearcopies.links(made, nearcopies.sets_of(docs, by_node), dense=dense)
+    node_of = {r.doc_id: r.node for r in made.collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in tied.collect()}
+    close = {tuple(sorted((node_of[i], node_of[j]))) for i, j in close if sets[i] != sets[j]}  # equal sets are one node
+    assert got <= close and (dense == 0 or got == close)  # compared with one member first, pairs within a class are left out
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == kept_model(rows)
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs, few=0).collect()) == kept_model(rows)
+
+
 def test_simhash_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
