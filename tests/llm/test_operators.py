@@ -311,6 +311,24 @@ def test_contiguous_edits(spark, dense):
     assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs, few=0).collect()) == kept_model(rows)
 
 
+def test_texts_below_the_limit_stay(spark):
+    """Texts with nearly the same words but a resemblance of 0.3 to 0.8 are kept, whatever their prints."""
+    rng = random.Random(33)
+    rows = []
+    for _ in range(30):
+        w = text(rng, rng.randint(150, 400)).split()
+        at = rng.sample(range(0, len(w) - 1, 2), int(len(w) * rng.uniform(0.03, 0.08)))
+        x = list(w)
+        for i in at:
+            x[i], x[i + 1] = x[i + 1], x[i]  # the same words in another order
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(x))]
+    sets = [five_words(t) for _, t in rows]
+    assert sum(0.3 < resemblance(sets[i], sets[i + 1]) < 0.8 for i in range(0, len(rows), 2)) > 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 0.5, "x", "y", 7) for i, t in rows], SCHEMA)
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == kept_model(rows)
+    assert simhash.keep_one(docs, kind="words").count() < sum(kept_model(rows).values())  # prints alone drop some of them
+
+
 def test_simhash_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
