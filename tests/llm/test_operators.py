@@ -547,3 +547,43 @@ def test_pipeline(spark):
         kept = out
     last = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def held_model(text, item):
+    """Share of the item's five-word shingles that the text holds."""
+    cut = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)})(re.findall(r"\w+", t.lower()))
+    return len(cut(text) & cut(item)) / len(cut(item))
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Kept ids and texts of near-dedup, decontamination and masking, and the ids of run(), on a table with planted cases."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    sf, own, first = "/root/testdata/sf0.001", str(tmp_path), 10**6
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null")
+    plain = [r.text for r in docs.where("length(text) between 600 and 6000").orderBy("doc_id").limit(12).collect()]
+    items = [text(rng, 30), text(rng, 12)]
+    planted = [contiguous(rng, t) for t in plain for _ in range(3)]
+    planted += [t + " " + items[i % 2] for i, t in enumerate(text(rng, 200) for _ in range(4))] + [text(rng, 200) + " " + " ".join(items[0].split()[:15])]
+    planted += [text(rng, 150) + f" password = hunter{i}{i}2{i} " + text(rng, 20) for i in range(4)]
+    rows = [(first + i, t, "en", f"s{i}", len(t)) for i, t in enumerate(planted)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(*[F.col(c) for c in docs.columns]).unionByName(more.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))
+    docs.write.parquet(f"{own}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{own}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{own}/benchmark.parquet")
+    pairs = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["quality"](spark, spark.read.parquet(f"{own}/documents.parquet"), own).localCheckpoint()
+    assert sum(i >= first for i, _ in pairs(kept)) > 10
+    out = stage["near_dedup"](spark, kept, own).localCheckpoint()
+    assert Counter(pairs(out)) == kept_model(pairs(kept))
+    clean = stage["decontamination"](spark, out, own).localCheckpoint()
+    assert Counter(pairs(clean)) == Counter((i, t) for i, t in pairs(out) if all(held_model(t or "", x) < 0.8 for x in items))
+    masked = stage["secrets"](spark, clean, own).localCheckpoint()
+    got, before = dict(pairs(masked)), dict(pairs(clean))
+    assert got.keys() == before.keys()
+    for i in got:
+        if i >= first:
+            assert got[i] == re.sub(r"password = hunter\w+", "[SECRET]", before[i])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, own).select("doc_id").distinct().collect()} == {i for i, t in got.items() if t}
