@@ -63,10 +63,13 @@ def run_reconstruct(spark: SparkSession, a: argparse.Namespace) -> None:
     covered = res.initial.where(F.col("coverage") < float("inf"))
     sinks.write_tsv(sinks.fragments_table(annotate.fragments_bed(covered, ratio=ratio)), f"{out}/fragments_initial.bed")
     sinks.write_tsv(sinks.fragments_table(annotate.fragments_bed(res.graph.fragments, ratio=ratio)), f"{out}/fragments_clean.bed")
+    for i, step in enumerate(res.steps, 1):
+        covered = step.where(F.col("coverage") < float("inf"))
+        sinks.write_tsv(sinks.fragments_table(annotate.fragments_bed(covered, ratio=ratio)), f"{out}/fragments_clean_{i}.bed")
     sinks.save_graph(res.graph.fragments, res.graph.edges, f"{out}/graph")
     sinks.write_json(res.circles, f"{out}/reconstruct.json")
     sinks.write_tsv(annotate.summary(res.circles), f"{out}/summary.txt")
-    every = res.simple.withColumns({"score": F.lit(0.0), "ord": F.col("circ_id"), "label": F.lit("")})
+    every = res.uncombined.withColumns({"score": F.lit(0.0), "ord": F.col("circ_id"), "label": F.lit("")})
     versions = {"": {}, ".ecDNA": {"only_ecdna": True}, ".ecDNA.filtered": {"only_ecdna": True, "least_score": config.filter_score}}
     for name, keep in versions.items():
         rows = annotate.bed(res.circles, **keep)
@@ -74,7 +77,9 @@ def run_reconstruct(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.write_tsv(sinks.links_table(annotate.links(rows)), f"{out}/reconstruct.links{name}.txt")
         if a.reference_genome and not a.skip:
             sinks.write_fasta(annotate.sequences(rows, tables.read_fasta(spark, a.reference_genome)), f"{out}/reconstruct{name}.fasta")
-    sinks.write_tsv(sinks.bed_table(annotate.bed(every)), f"{out}/reconstruct.bed_debug")
+    rows = annotate.bed(every)
+    sinks.write_tsv(sinks.bed_table(rows), f"{out}/reconstruct.bed_debug")
+    sinks.write_tsv(sinks.links_table(annotate.links(rows)), f"{out}/reconstruct.links.txt_debug")
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -24,6 +24,8 @@ class Result:
     graph: Graph  # after cleaning
     simple: DataFrame  # all circles, canonical
     circles: DataFrame  # annotated candidates
+    steps: tuple[DataFrame, ...]  # fragments after each step of cleaning
+    uncombined: DataFrame  # circles found before any were combined, canonical
 
 
 def encode(sv: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
@@ -51,27 +53,36 @@ def build(sv: DataFrame, coverage: DataFrame, chromosomes: DataFrame, reads: Dat
 
 def clean(g: Graph, wgs_mean: float, config: Config = Config()) -> Graph:
     """Without loose, over- or under-covered and short fragments, and with one edge between two ends, in this order."""
-    frags = graph.without(g.fragments, graph.standalone(g.fragments, g.edges))
-    frags = graph.cover_filter(frags, config.min_coverage(wgs_mean), config.fragment_max_cov)
+    frags = cleaning_steps(g, wgs_mean, config)[-1]
     edges = graph.surviving(g.edges, frags)
     frags, edges = search.remove_short(frags, edges, config.fragment_min_size, config.distance)
     return Graph(frags, durable(graph.strongest(edges, frags)))
 
 
+def cleaning_steps(g: Graph, wgs_mean: float, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fragments without loose ones, then without over-covered, then without under-covered ones; short ones go last, in clean."""
+    tied = graph.without(g.fragments, graph.standalone(g.fragments, g.edges))
+    least = config.min_coverage(wgs_mean)
+    return tied, graph.cover_filter(tied, float("-inf"), config.fragment_max_cov), graph.cover_filter(tied, least, config.fragment_max_cov)
+
+
 def reconstruct(sv: DataFrame, coverage: DataFrame, chromosomes: DataFrame, reads: DataFrame | None = None, config: Config = Config(), wgs_mean: float | None = None) -> Result:
     """sv: schema.SV of calls that passed; coverage, chromosomes, reads as in schema. wgs_mean: measured if not given."""
     if wgs_mean is None:
         wgs_mean = float(fragments.genome_mean(coverage, chromosomes, config.allowed).first()["wgs_mean"])
     g = build(sv, coverage, chromosomes, reads, wgs_mean, config)
     cleaned = clean(g, wgs_mean, config)
-    return Result(g.fragments, cleaned, *candidates(cleaned, wgs_mean, config))
+    every, circles, uncombined = candidates(cleaned, wgs_mean, config)
+    return Result(g.fragments, cleaned, every, circles, (*cleaning_steps(g, wgs_mean, config), cleaned.fragments), uncombined)
 
 
-def candidates(g: Graph, wgs_mean: float, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(all circles, annotated candidates) of a clean graph."""
-    found = durable(search.distinct_circles(durable(search.circles(g.fragments, g.edges, config))))
+def candidates(g: Graph, wgs_mean: float, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all circles, annotated candidates, circles before combining) of a clean graph."""
+    raw = durable(search.circles(g.fragments, g.edges, config))
+    found = durable(search.distinct_circles(raw))
+    uncombined = search.distinct_circles(raw.where("phase = 0"))  # numbered before all others, so ids are the same
     scored = durable(quantify.cluster_order(quantify.abundance(found, g.fragments, wgs_mean, config)))
     weights = quantify.multiplicity(found.join(scored.select("circ_id"), "circ_id", "left_semi")).join(g.fragments.select("fid", "len"), "fid")
     kept = similarity.prune_by_score(scored, similarity.jaccard(weights, multiset=True), threshold=config.similar)
     at = annotate.located(kept.join(found, "circ_id"), g.fragments)
-    return annotate.located(found, g.fragments), annotate.annotated(at, config)
+    return annotate.located(found, g.fragments), annotate.annotated(at, config), annotate.located(uncombined, g.fragments)

@@ -6,7 +6,7 @@ from annulus import cli
 from annulus.config import Config
 from annulus.operators import fragments
 from annulus.plans import reconstruct
-from annulus.sources import vcf
+from annulus.sources import tables, vcf
 from annulus.streaming.calls import breakpoint_counts, stream_calls
 from tests.test_engine import CALLS, HEAD, line
 
@@ -34,6 +34,21 @@ def test_reconstruct_and_filter(spark, sample):
     assert spark.read.text(f"{sample}/f").count() == 10
 
 
+def test_dumps(spark, sample):
+    """The dumps of each cleaning step and the debug tables of circles before combining."""
+    out = sample / "dumps"
+    assert cli.main(["reconstruct", "-i", f"{sample}/calls.vcf", "-c", f"{sample}/c.bg", "--sizes", f"{sample}/sizes", "-o", str(out), "--fast"]) == 0
+    read = lambda name: spark.read.csv(f"{out}/{name}", sep="\t", header=True).collect()
+    steps = [{r.fid for r in read(f"fragments_clean_{i}.bed")} for i in (1, 2, 3, 4)]
+    assert steps[0] >= steps[1] > steps[2] >= steps[3] and steps[3] == {r.fid for r in read("fragments_clean.bed")}
+    bed, links = read("reconstruct.bed_debug"), read("reconstruct.links.txt_debug")
+    assert len(links) == len(bed) and {r.circ_id for r in links} == {r.circ_id for r in bed}
+    res = reconstruct.reconstruct(vcf.read_calls(spark, f"{sample}/calls.vcf"), *(f(spark, f"{sample}/{n}") for f, n in ((tables.read_bedgraph, "c.bg"), (tables.read_sizes, "sizes"))), None, Config(fast=True))
+    one = {r.circ_id: r.path for r in res.uncombined.collect()}
+    every = {r.circ_id: r.path for r in res.simple.collect()}
+    assert {r.circ_id for r in bed} == {str(i) for i in one} and all(every[i] == p for i, p in one.items()) and len(one) < len(every)
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.vcf").write_text(HEAD + "\n".join(line(i, c) for i, c in enumerate(CALLS[:4])) + "\nbroken line\n")
