@@ -7,7 +7,7 @@ depend on visiting order, on ties, and on marks that outlive backtracking. No re
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, takewhile
 
 from annulus.config import FRAGMENT, REWIRE
 
@@ -101,24 +101,17 @@ def rewire_short(part: Part, least: float, near: int = 50) -> None:
 def insert_ranked(held: list[tuple], new: tuple) -> None:
     """Places (edge, weight, coverage, type) into a list by weight and coverage descending, type ascending.
 
-    Equal weights are searched by coverage without looking at the weight again, so an edge can land
-    behind one of lower weight; results depend on that, so it is kept.
+    Its place is a count: of the edges at the front that are heavier, and then of those in a row that weigh as much and
+    have more coverage. The edge after these is looked at without its weight: where it has more coverage, or
+    as much and no later type, the new one goes behind it, so an edge can land behind one of lower weight. Results
+    depend on that, so it is kept.
     """
-    i = next((k for k, x in enumerate(held) if x[1] <= new[1]), None)
-    if i is None:
-        held.append(new)
-    elif held[i][1] < new[1]:
-        held.insert(i, new)
-    else:
-        j = i
-        while j < len(held) and held[j][1] == new[1] and held[j][2] > new[2]:
-            j += 1
-        if j == len(held):
-            held.append(new)
-        elif held[j][2] < new[2] or (held[j][2] == new[2] and new[3] < held[j][3]):
-            held.insert(j, new)
-        else:
-            held.insert(j + 1, new)
+    _, weight, cover, kind = new
+    front = sum(1 for _ in takewhile(lambda x: x[1] > weight, held))
+    at = front + sum(1 for _ in takewhile(lambda x: x[1] == weight and x[2] > cover, held[front:]))
+    ties = front < len(held) and held[front][1] == weight
+    passed = ties and at < len(held) and (-held[at][2], held[at][3]) <= (-cover, kind)
+    held.insert(at + passed, new)
 
 
 def ranked_ties(part: Part, node: int) -> list[int]:

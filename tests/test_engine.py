@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.config import Config, allowed_chromosomes
+from annulus.config import CHROMOSOMES, Config
 from annulus.operators import annotate, breakpoints, graph, quantify, search, similarity
 from annulus.operators.lineage import components
 from annulus.operators.solver import Frag, Part, combined, likeness, rewire_short
@@ -40,8 +40,38 @@ def write(path, *lines):
 
 
 def test_allowed():
-    a = allowed_chromosomes()
-    assert len(a) == len(set(a)) and {"1", "chrX", "CP068255.2", "CP068277.2", "NC_060948.1", "NC_000014.9", "NC_000024.10", "NC_000086.8", "NC_000067.7", "NC_005089.1"} <= set(a)
+    """Every family whole: 25 plain names, the same with chr, and five assemblies, each accession once with its one version."""
+    a = list(CHROMOSOMES)
+    plain = [*map(str, range(1, 23)), "X", "Y", "M"]
+    assert a[:50] == plain + [f"chr{x}" for x in plain]
+    of = lambda lo, hi, form: [x for x in a for n in range(lo, hi) if x.startswith(form.format(n) + ".")]
+    t2t, ref = of(255, 278, "CP068{}"), of(925, 949, "NC_060{}")
+    human, mouse = of(1, 25, "NC_{:06d}"), of(67, 88, "NC_{:06d}")
+    assert [len(x) for x in (t2t, ref, human, mouse)] == [23, 24, 24, 21]
+    rest = set(a[50:]) - {*t2t, *ref, *human, *mouse}
+    assert rest == {"CP086569.2", "CP068254.1", "NC_012920.1", "NC_005089.1"} and len(a) == len(set(a)) == 146
+    assert {x[-2:] for x in t2t} == {".2"} and {x[-2:] for x in ref} == {".1"}
+    assert [x for x in mouse if not x.endswith(".7")] == ["NC_000068.8", "NC_000086.8", "NC_000087.8"]
+    assert [int(x.split(".")[1]) for x in human] == [11, 12, 12, 12, 10, 12, 14, 11, 12, 11, 10, 12, 11, 9, 10, 10, 11, 10, 10, 11, 9, 11, 11, 10]
+
+
+def test_checkpoints_need_a_shared_folder():
+    """Without spark.checkpoint.dir a local master gets its own folder; a cluster is told to name one."""
+    from types import SimpleNamespace
+
+    from annulus.operators.lineage import ensure_checkpoint_dir
+
+    def session(master, folder=None, seen=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=(seen if seen is not None else []).append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: folder))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            ensure_checkpoint_dir(session(master))
+    for master, folder in (("local", None), ("local[4]", None), ("yarn", "hdfs:///x")):
+        seen: list = []
+        ensure_checkpoint_dir(session(master, folder, seen))
+        assert len(seen) == 1 and (folder is None or seen == [folder])
 
 
 def test_calls_pass_and_anchors(spark, call_file):

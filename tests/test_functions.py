@@ -52,6 +52,23 @@ def test_ranked_insertion():
     assert [x[0] for x in held] == [1, 3, 2]
 
 
+@pytest.mark.parametrize("weight, cover, kind, at", [(150, 50, 3, 0), (90, 50, 3, 1), (70, 50, 3, 2), (100, 60, 3, 0), (100, 40, 3, 2), (80, 60, 3, 1), (80, 40, 3, 2), (100, 50, 2, 0), (100, 50, 3, 1), (80, 50, 3, 2)])
+def test_ranked_insertion_places(weight, cover, kind, at):
+    held = [(1, 100, 50, 3), (2, 80, 50, 3)]
+    insert_ranked(held, (7, weight, cover, kind))
+    assert [x[0] for x in held].index(7) == at
+
+
+def test_ranked_insertion_is_a_sort_without_ties():
+    rng = random.Random(1)
+    for _ in range(200):
+        rows = [(i, w, rng.randint(1, 3), rng.randint(1, 6)) for i, w in enumerate(rng.sample(range(50), 9))]
+        held: list = []
+        for x in rows:
+            insert_ranked(held, x)
+        assert held == sorted(rows, key=lambda x: -x[1])
+
+
 def test_strand_and_mate(spark):
     rows = [("[c:7[N", "++"), ("]c:7]N", "+-"), ("N[c:7[", "-+"), ("N]c:7]", "--")]
     got = spark.createDataFrame(rows, "alt string, s string").select("s", genomics.bnd_strand(F.col("alt")).alias("g"), genomics.mate_chromosome(F.col("alt")).alias("c"), genomics.mate_position(F.col("alt")).alias("p")).collect()
