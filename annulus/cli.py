@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("-i", "--vcf", required=True)
     f.add_argument("-o", "--output", required=True)
     f.add_argument("--sv-caller", choices=SV_CALLERS, default=d.sv_caller)
+    f.add_argument("--multi", action="store_true", help="several samples in one file")
     v = sub.add_parser("validate", help="reconstructed circles against true ones")
     v.add_argument("-a", "--true", required=True)
     v.add_argument("-b", "--reconstructed", required=True)
@@ -58,6 +59,9 @@ def run_reconstruct(spark: SparkSession, a: argparse.Namespace) -> None:
 
         config = config.with_(downsampling_ratio=float(genome_mean(coverage, sizes, config.allowed).first()["wgs_mean"]) / a.downsampling)
     reads = None if not a.bam else tables.read_bam(spark, a.bam) if a.bam.endswith(".bam") else tables.read_reads(spark, a.bam)
+    clean = vcf.clean_lines(vcf.read_lines(spark, a.vcf), config.multi)
+    sinks.write_lines(clean, f"{a.outputdir}/clean.vcf")
+    sinks.write_lines(vcf.filter_lines(clean, config), f"{a.outputdir}/clean_filtered.vcf")
     res = reconstruct.reconstruct(vcf.read_calls(spark, a.vcf, config), coverage, sizes, reads, config)
     out, ratio = a.outputdir, config.downsampling_ratio
     covered = res.initial.where(F.col("coverage") < float("inf"))
@@ -89,7 +93,10 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "reconstruct":
         run_reconstruct(spark, a)
     elif a.command == "filter":
-        sinks.write_lines(vcf.filter_vcf(spark, a.vcf, Config(sv_caller=a.sv_caller)), a.output)
+        config = Config(sv_caller=a.sv_caller, multi=a.multi)
+        for r in vcf.bad_records(vcf.clean_lines(vcf.read_lines(spark, a.vcf), a.multi), config).orderBy("ord").limit(20).collect():  # a report
+            print(f"##WARNING: record {r.sv_id} left out: {r.error}")
+        sinks.write_lines(vcf.filter_vcf(spark, a.vcf, config, skip_bad=True), a.output)
     else:
         size = lambda rows, key: rows.groupBy(F.col(key).cast("string").alias("qseqid")).agg(F.sum(F.abs(F.col("end") - F.col("start"))).alias("length"))
         true, found = tables.read_truth(spark, a.true), tables.read_circles(spark, a.reconstructed)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annulus.config import FAR_END, Config
 from annulus.functions.genomics import label, reverse_complement, topology_index, topology_name
 from annulus.functions.paths import chromosomes, collapse, size_mb, topology_flags
+from annulus.operators.ordering import numbered
 
 
 def located(circles: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -39,8 +40,7 @@ def bed(circles: DataFrame, *, only_ecdna: bool = False, least_score: int = 0) -
     if only_ecdna:
         kept = kept.where("label = 'ecDNA'")
     x = kept.select("circ_id", "ord", whole.alias("s"), F.posexplode("conf").alias("i", "p"))
-    place = F.row_number().over(Window.orderBy(F.desc("s"), "ord", "i"))
-    return x.select(place.cast("bigint").alias("row"), F.col("p.chr").alias("chr"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), "circ_id", F.col("p.frag").alias("fragment_id"), F.col("p.strand").alias("strand"), F.col("p.cov").cast("bigint").alias("coverage"), F.col("s").alias("estimated_proportions"))
+    return numbered(x, [F.desc("s"), "ord", "i"], "row", 1).select("row", F.col("p.chr").alias("chr"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), "circ_id", F.col("p.frag").alias("fragment_id"), F.col("p.strand").alias("strand"), F.col("p.cov").cast("bigint").alias("coverage"), F.col("s").alias("estimated_proportions"))
 
 
 def side(strand: Column, nxt: Column) -> tuple[Column, Column]:

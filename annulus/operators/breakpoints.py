@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.operators.ordering import BIN, last_known
+
 
 def breakpoints(sv: DataFrame) -> DataFrame:
     """chr, pos of both ends of each call; ord, side: where it first appears (first ends before second ones)."""
@@ -17,16 +19,16 @@ def anchors_of(positions: Column, distance: int) -> Column:
     return F.aggregate(positions, F.array().cast("array<bigint>"), lambda acc, p: F.when((F.size(acc) == 0) | (p - F.element_at(acc, -1) > distance), F.concat(acc, F.array(p))).otherwise(acc))
 
 
-def merge(points: DataFrame, distance: int = 50) -> DataFrame:
+def merge(points: DataFrame, distance: int = 50, *, bin_size: int = BIN) -> DataFrame:
     """chr, pos, anchor: for each distinct position the anchor it is merged into.
 
     A gap of more than ``distance`` always begins a new anchor, so positions fall into runs that don't
-    depend on each other; only a run is folded as an array, never a chromosome.
+    depend on each other; only a run is folded as an array, never a chromosome. Gaps and the place
+    where a position's run begins are found in bins.
     """
-    order = Window.partitionBy("chr").orderBy("pos")
-    gap = F.col("pos") - F.lag("pos").over(order)
-    new = points.select("chr", "pos").distinct().withColumn("__new", F.when(gap <= distance, 0).otherwise(1))
-    runs = new.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    gaps = last_known(points.select("chr", "pos").distinct(), "chr", "pos", F.col("pos"), "__before", strictly=True, bin_size=bin_size)
+    starts = F.when(F.col("__before").isNull() | (F.col("pos") - F.col("__before") > distance), F.col("pos"))
+    runs = last_known(gaps, "chr", "pos", starts, "__run", bin_size=bin_size)
     folded = runs.groupBy("chr", "__run").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
     pairs = folded.select("chr", "ps", anchors_of(F.col("ps"), distance).alias("as")).select("chr", F.explode("ps").alias("pos"), "as")
     return pairs.select("chr", "pos", F.array_max(F.filter("as", lambda a: a <= F.col("pos"))).alias("anchor"))
@@ -51,6 +53,5 @@ def rewrite(sv: DataFrame, merged: DataFrame) -> DataFrame:
 def kept_anchors(points: DataFrame, merged: DataFrame) -> DataFrame:
     """chr, pos, chr_ord: the distinct anchors; chr_ord is a chromosome's rank by first appearance."""
     first = points.groupBy("chr").agg(F.min(F.struct("ord", "side")).alias("first"))
-    # one row for each chromosome
     ranked = first.select("chr", (F.row_number().over(Window.orderBy("first")) - 1).alias("chr_ord"))
-    return merged.select("chr", F.col("anchor").alias("pos")).distinct().join(F.broadcast(ranked), "chr")
+    return merged.select("chr", F.col("anchor").alias("pos")).distinct().join(ranked, "chr")  # a row for each chromosome

@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from annulus.config import FAR_END
 from annulus.operators.intervals import overlap_join
+from annulus.operators.ordering import BIN, last_known
 
 
-def fragment(anchors: DataFrame) -> DataFrame:
+def fragment(anchors: DataFrame, *, bin_size: int = BIN) -> DataFrame:
     """fid, chr, start, end, tail, head, edge_id: [0, p1), [p1, p2), ... and the rest of each chromosome.
 
     anchors: chr, pos, chr_ord. Each fragment takes four ids in order: its own, its tail's, its head's
-    and its edge's, so fids are 1, 5, 9, ... by chromosome and position. Ranks are counted within
-    chromosomes; a chromosome's first id comes from a table of one row for each chromosome.
+    and its edge's, so fids are 1, 5, 9, ... by chromosome and position. Ranks and starts are found within bins;
+    a bin's first rank and first start come from a table of one row for each bin of the genome.
     """
-    order = Window.partitionBy("chr").orderBy("pos")
-    every = anchors.select("chr", "pos", "chr_ord").unionByName(anchors.groupBy("chr", "chr_ord").agg(F.lit(FAR_END).cast("bigint").alias("pos")).select("chr", "pos", "chr_ord"))
-    cut = every.select("chr", "chr_ord", F.lag("pos", 1, 0).over(order).alias("start"), F.col("pos").alias("end"), F.row_number().over(order).alias("n"))
-    sizes = every.groupBy("chr").agg(F.first("chr_ord").alias("o"), F.count("*").alias("size"))
-    before = sizes.select("chr", F.coalesce(F.sum("size").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    far = anchors.select("chr", "chr_ord").distinct().withColumn("pos", F.lit(FAR_END).cast("bigint"))
+    every = anchors.select("chr", "chr_ord", "pos").unionByName(far).withColumn("bin", F.floor(F.col("pos") / bin_size))
+    order = Window.partitionBy("chr", "bin").orderBy("pos")
+    cut = every.select("chr", "bin", F.lag("pos").over(order).alias("start"), F.col("pos").alias("end"), F.row_number().over(order).alias("n"))
+    bins = every.groupBy("chr", "bin").agg(F.first("chr_ord").alias("o"), F.max("pos").alias("last"), F.count("*").alias("size"))
+    whole = Window.orderBy("o", "bin")
+    before = bins.select("chr", "bin", (F.sum("size").over(whole) - F.col("size")).alias("before"), F.coalesce(F.lag("last").over(Window.partitionBy("o").orderBy("bin")), F.lit(0)).alias("first"))
     fid = 4 * (F.col("before") + F.col("n") - 1) + 1
-    out = cut.join(F.broadcast(before), "chr").select(fid.cast("bigint").alias("fid"), "chr", "start", "end")
+    out = cut.join(before, ["chr", "bin"]).select(fid.cast("bigint").alias("fid"), "chr", F.coalesce("start", "first").alias("start"), "end")
     return out.select("fid", "chr", "start", "end", (F.col("fid") + 1).alias("tail"), (F.col("fid") + 2).alias("head"), (F.col("fid") + 3).alias("edge_id"))
 
 
@@ -55,11 +58,10 @@ def genome_mean(coverage: DataFrame, chromosomes: DataFrame, allowed: tuple[str,
 def adjacent(fragments: DataFrame, distance: int = 50) -> DataFrame:
     """fid1, fid2, chr, bp: fragments that follow each other by fid and meet within ``distance``; bp is where they meet."""
     ids = fragments.select("fid", "chr", "start", "end")
-    order = Window.partitionBy("chr").orderBy("fid")  # ids follow chromosomes, so neighbours by id on one chromosome are neighbours of all
-    nxt = F.lead(F.struct("fid", "start", "end")).over(order).alias("n")
-    x = ids.select("fid", "chr", "start", "end", nxt).where("n is not null")
-    bp = F.when(F.abs(F.col("n.start") - F.col("end")) < distance, F.col("n.start")).when(F.abs(F.col("start") - F.col("n.end")) < distance, F.col("start"))
-    return x.select(F.col("fid").alias("fid1"), F.col("n.fid").alias("fid2"), "chr", bp.alias("bp")).where("bp is not null")
+    # ids follow chromosomes, so neighbours by id on one chromosome are neighbours of all
+    x = last_known(ids, "chr", "fid", F.struct("fid", "start", "end"), "p", strictly=True).where("p is not null")
+    bp = F.when(F.abs(F.col("start") - F.col("p.end")) < distance, F.col("start")).when(F.abs(F.col("p.start") - F.col("end")) < distance, F.col("p.start"))
+    return x.select(F.col("p.fid").alias("fid1"), F.col("fid").alias("fid2"), "chr", bp.alias("bp")).where("bp is not null")
 
 
 def spanning_reads(points: DataFrame, reads: DataFrame, *, window: int = 500, pad: int = 100, bin_size: int = 10_000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annulus.config import BND, DEL, DUP, FRAGMENT, HEAD, INS, INV, SPATIAL, TAIL
 from annulus.operators.intervals import stab_join
+from annulus.operators.ordering import numbered
 
 
 def joins_of(svtype: Column, strand: Column) -> Column:
@@ -50,10 +51,9 @@ def fragment_edges(fragments: DataFrame) -> DataFrame:
     return fragments.select("edge_id", F.col("tail").alias("u"), F.col("head").alias("v"), F.lit(FRAGMENT).alias("svtype"), F.lit(float("inf")).alias("weight"))
 
 
-def number(edges: DataFrame, order: list[str], first: Column | int) -> DataFrame:
-    """Edges with ids from ``first`` on in the given order. Edges come from calls that passed, far fewer than reads or records."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return edges.select((F.lit(first) + n - 1).cast("bigint").alias("edge_id"), "u", "v", "svtype", "weight")
+def number(edges: DataFrame, order: list[str], first: int) -> DataFrame:
+    """Edges with ids from ``first`` on in the given order."""
+    return numbered(edges, order, "edge_id", first).select("edge_id", "u", "v", "svtype", "weight")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -69,8 +69,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def standalone(fragments: DataFrame, edges: DataFrame) -> DataFrame:
     """Fragments neither of whose ends has an edge."""
-    tied = degrees(edges).select("node")
-    return fragments.join(tied, F.col("tail") == F.col("node"), "left_anti").join(tied, F.col("head") == F.col("node"), "left_anti")
+    tied = edges.where(F.col("svtype") != FRAGMENT).select(F.explode(F.array("u", "v")).alias("node"))
+    ends = fragments.select("fid", F.explode(F.array("tail", "head")).alias("node"))
+    return without(fragments, ends.join(tied, "node", "left_semi"))
 
 
 def without(fragments: DataFrame, gone: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.operators.ordering import BIN, last_known
+
 
 def overlap_join(left: DataFrame, right: DataFrame, *, bin_size: int, key: str = "chr", how: str = "inner") -> DataFrame:
     """Pairs of half-open intervals (key, start, end) of both sides that overlap; right's columns must have other names but key.
@@ -22,19 +24,18 @@ def overlap_join(left: DataFrame, right: DataFrame, *, bin_size: int, key: str =
     return a.join(b, meet & once, how).drop("__bin", "__rbin", "__key")
 
 
-def stab_join(points: DataFrame, fragments: DataFrame, at: Column, name: str, take: list[str]) -> DataFrame:
+def stab_join(points: DataFrame, fragments: DataFrame, at: Column, name: str, take: list[str], *, bin_size: int = BIN) -> DataFrame:
     """``points`` with a column ``name``: struct of ``take`` of the fragment (chr, start, end) that holds position ``at``; null if none.
 
     Fragments of a chromosome must not overlap, so the only one that can hold a position is the last
-    that starts at or before it. Both sides are put in order of position together, per chromosome.
-    points must have a column chr.
+    that starts at or before it. Both sides are put in order of position together, in bins; a bin
+    that begins inside a fragment is told so by a table of one row for each bin. points must have a column chr.
     """
     inner = F.struct(F.col("end").alias("end"), *take)
     cols = points.columns
-    p = points.select(F.col("chr").alias("__chr"), at.alias("__at"), F.lit(1).alias("__point"), F.struct(*cols).alias("__row"), F.lit(None).alias("__frag"))
+    p = points.select(F.col("chr").alias("__chr"), at.cast("bigint").alias("__at"), F.lit(1).alias("__point"), F.struct(*cols).alias("__row"), F.lit(None).alias("__frag"))
     f = fragments.select(F.col("chr").alias("__chr"), F.col("start").alias("__at"), F.lit(0).alias("__point"), F.lit(None).alias("__row"), inner.alias("__frag"))
-    w = Window.partitionBy("__chr").orderBy("__at", "__point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = p.unionByName(f).withColumn("__last", F.last("__frag", ignorenulls=True).over(w)).where("__point = 1")
+    found = last_known(p.unionByName(f), "__chr", "__at", F.col("__frag"), "__last", then=("__point",), bin_size=bin_size).where("__point = 1")
     held = F.when(F.col("__at") < F.col("__last.end"), F.struct(*[F.col(f"__last.{c}").alias(c) for c in take]))
     return found.select("__row.*", held.alias(name))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.operators.lineage import components
+from annulus.operators.ordering import numbered
 from annulus.operators.search import by_key
 
 
@@ -65,6 +66,36 @@ def solve_cluster(mult: np.ndarray, coverage: np.ndarray, wgs_mean: float, confi
     return np.where(w >= cutoff, w, np.nan) if (w >= cutoff).any() else w
 
 
+def mean_coverage(passes: DataFrame) -> DataFrame:
+    """circ_id, weighted, plain, n: the mean coverage of each circle's fragments by length, and as such. passes: circ_id, fid, coverage, len."""
+    by_length = F.sum(F.col("coverage") * F.col("len")) / F.sum("len")
+    return passes.groupBy("circ_id").agg(by_length.alias("weighted"), F.avg("coverage").alias("plain"), F.count("*").alias("n"))
+
+
+def expected_coverage(mult: DataFrame, scored: DataFrame) -> DataFrame:
+    """fid, coverage: what the circles' scores come to on each fragment they pass. mult: circ_id, fid, mult; scored: circ_id, score."""
+    return mult.join(scored.select("circ_id", "score"), "circ_id").groupBy("fid").agg(F.sum(F.col("mult") * F.col("score")).alias("coverage"))
+
+
+def fragment_weights(fragments: DataFrame) -> DataFrame:
+    """fid, weight: short and well covered fragments weigh most: (1 - share of the length) times the share of the coverage."""
+    total = fragments.agg(F.sum("len").alias("all_len"), F.sum("coverage").alias("all_cov"))  # one row
+    share = F.col("coverage") / F.col("all_cov")
+    return fragments.crossJoin(F.broadcast(total)).select("fid", ((1 - F.col("len") / F.col("all_len")) * share).alias("weight"))
+
+
+def distribution(rows: DataFrame, column: str, *, bins: int = 50, pseudocount: float = 0.01) -> DataFrame:
+    """bucket (from 0), low, n: a histogram of whole values on a logarithmic scale, in bins of equal width; empty ones are left out.
+
+    Values get ``pseudocount`` added; infinite and null ones aren't counted. If all are equal they are in bucket 0.
+    """
+    x = rows.select(F.col(column).cast("double").alias("v")).where("v < double('inf')").select(F.log10(F.floor("v") + pseudocount).alias("x"))
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
+    step = (F.col("hi") - F.col("lo")) / bins
+    y = x.crossJoin(F.broadcast(ends)).select("lo", step.alias("step"), F.when(step > 0, F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / step))).otherwise(0).cast("int").alias("bucket"))
+    return y.groupBy("bucket").agg(F.first(F.pow(F.lit(10.0), F.col("lo") + F.col("bucket") * F.col("step"))).alias("low"), F.count("*").alias("n"))
+
+
 def abundance(circles: DataFrame, fragments: DataFrame, wgs_mean: float, config: Config = Config()) -> DataFrame:
     """circ_id, score, cluster: likely circles. A lone circle scores the mean coverage of its fragments.
 
@@ -94,8 +125,5 @@ def abundance(circles: DataFrame, fragments: DataFrame, wgs_mean: float, config:
 
 def cluster_order(scored: DataFrame) -> DataFrame:
     """``scored`` with ord: clusters by their first circle, circles within them by id, as they are reported."""
-    from pyspark.sql import Window
-
-    first = F.min("circ_id").over(Window.partitionBy("cluster"))
-    x = scored.withColumn("__first", first)
-    return x.withColumn("ord", F.row_number().over(Window.orderBy("__first", "circ_id")).cast("bigint")).drop("__first")
+    x = scored.withColumn("__first", F.min("circ_id").over(Window.partitionBy("cluster")))
+    return numbered(x, ["__first", "circ_id"], "ord", 1).drop("__first")

@@ -7,12 +7,13 @@ from itertools import groupby
 from operator import attrgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.config import Config
 from annulus.functions.paths import canonical
 from annulus.operators.lineage import components, durable
+from annulus.operators.ordering import numbered
 from annulus.operators.solver import Frag, Part, combined, rewire_short, simple_circles
 
 
@@ -99,8 +100,12 @@ def circles(fragments: DataFrame, edges: DataFrame, config: Config = Config(), *
     return by_key(rows_by_part(fragments, edges, whole=whole), "part", solve, "part long, phase int, seq long, path array<bigint>")
 
 
+def first_seen(found: DataFrame, *, canonical_form: bool = True) -> DataFrame:
+    """path, first, copies: each distinct path, or canonical form, with the place (phase, part, seq) where it was found first."""
+    c = found.select("part", "phase", "seq", (canonical(F.col("path")) if canonical_form else F.col("path")).alias("path"))
+    return c.groupBy("path").agg(F.min(F.struct("phase", "part", "seq")).alias("first"), F.count("*").alias("copies"))
+
+
 def distinct_circles(found: DataFrame) -> DataFrame:
     """circ_id, path: canonical circles, numbered by the order in which each form was first found: all simple ones before any combined one."""
-    c = found.select("part", "phase", "seq", canonical(F.col("path")).alias("path"))
-    first = c.groupBy("path").agg(F.min(F.struct("phase", "part", "seq")).alias("first"))
-    return first.select((F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("circ_id"), "path")
+    return numbered(first_seen(found).select("path", "first.*"), ["phase", "part", "seq"], "circ_id").select("circ_id", "path")

@@ -1,30 +1,41 @@
 """How alike circles are, by the length of the fragments they share; and which of alike ones stay.
 
-Pairs are found through shared fragments, so only circles that overlap meet. A fragment that very many
-circles share is what makes pairs many; such inputs should be pruned by the search first.
+Pairs are looked for above a threshold, which every use has. Fragments are put in one order, rare ones first: two
+circles above the threshold share a fragment among the first of both (prefix filter) and differ little in size, so a
+fragment that very many circles pass seldom pairs them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def jaccard(weights: DataFrame, *, multiset: bool) -> DataFrame:
-    """a, b (a < b), s1, s2, shared, jaccard of overlapping circles. weights: circ_id, fid, mult, len.
+def jaccard(weights: DataFrame, *, multiset: bool, above: float) -> DataFrame:
+    """a, b (a < b), s1, s2, shared, jaccard of circles more alike than ``above``. weights: circ_id, fid, mult, len.
 
     multiset: fragments count as often as they are passed. Otherwise once, and s1 and s2 are both the
     length of the union, as reported by the set form.
+
+    What two circles share lies, in the order of fragments, from the first shared one on; it is more than ``above`` of
+    each one's size, so at most the rest of each size comes before that fragment.
     """
     m = F.col("mult") if multiset else F.lit(1)
     w = weights.select("circ_id", "fid", (m * F.col("len")).cast("double").alias("w"))
-    total = w.groupBy("circ_id").agg(F.sum("w").alias("s"))
-    a, b = w.select(F.col("circ_id").alias("a"), "fid", F.col("w").alias("wa")), w.select(F.col("circ_id").alias("b"), "fid", F.col("w").alias("wb"))
-    shared = a.join(b, "fid").where("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("shared"))
-    both = shared.join(total.select(F.col("circ_id").alias("a"), F.col("s").alias("sa")), "a").join(total.select(F.col("circ_id").alias("b"), F.col("s").alias("sb")), "b")
+    held = w.join(w.groupBy("fid").agg(F.count("*").alias("n")), "fid")
+    own = Window.partitionBy("circ_id")
+    before = F.sum("w").over(own.orderBy("n", "fid")) - F.col("w")
+    x = held.select("circ_id", "fid", F.sum("w").over(own).alias("s"), before.alias("before"))
+    slack = 1e-9 * F.col("s")  # sums are rounded; a pair too many is dropped below
+    first = x.where(F.col("before") <= (1 - above) * F.col("s") + slack)
+    side = lambda name, size: first.select("fid", F.col("circ_id").alias(name), F.col("s").alias(size))
+    sizes = F.least("sa", "sb") >= (above - 1e-9) * F.greatest("sa", "sb")
+    pairs = side("a", "sa").join(side("b", "sb"), "fid").where((F.col("a") < F.col("b")) & sizes).select("a", "b", "sa", "sb").distinct()
+    both = pairs.join(w.select(F.col("circ_id").alias("a"), "fid", F.col("w").alias("wa")), "a").join(w.select(F.col("circ_id").alias("b"), "fid", F.col("w").alias("wb")), ["b", "fid"])
+    shared = both.groupBy("a", "b", "sa", "sb").agg(F.sum(F.least("wa", "wb")).alias("shared"))
     union = F.col("sa") + F.col("sb") - F.col("shared")
     sides = (F.col("sa"), F.col("sb")) if multiset else (union, union)
-    return both.select("a", "b", sides[0].alias("s1"), sides[1].alias("s2"), "shared", (F.col("shared") / union).alias("jaccard"))
+    return shared.select("a", "b", sides[0].alias("s1"), sides[1].alias("s2"), "shared", (F.col("shared") / union).alias("jaccard")).where(F.col("jaccard") > above)
 
 
 def prune_near_identical(circles: DataFrame, pairs: DataFrame, *, group: str = "first", threshold: float = 0.9) -> DataFrame:

@@ -29,17 +29,22 @@ def circles_of_bed(rows: DataFrame, key: str = "circ_id") -> DataFrame:
     return t.select("circ_id", "conf", size_mb(F.col("conf")).alias("length_mb"), topology_index(*[F.col(f"t.{x}") for x in ("n", "small_del", "dup", "inv", "interchr", "multi", "foldback")]).alias("topology_idx"))
 
 
-def compare(true: DataFrame, found: DataFrame, true_hits: DataFrame, found_hits: DataFrame) -> DataFrame:
+def compare(true: DataFrame, found: DataFrame, true_hits: DataFrame, found_hits: DataFrame, *, every: bool = True, few: int = 100_000) -> DataFrame:
     """Each true circle with each reconstructed one: lengths, topologies, and both identities (0 without hits).
 
     true_hits: identities of true circles on reconstructed ones; found_hits: the other way round. Every
     pair is reported, as a validation table of simulated circles is; pairs that share nothing are zeros.
+    every=False: only pairs with hits. The table of all pairs is their product by definition; reconstructed
+    circles are sent to the true ones where they are up to ``few``, else blocks of both sides meet.
     """
     a = true.select(F.col("circ_id").alias("true_id"), F.col("length_mb").alias("true_len"), F.col("topology_idx").alias("true_topology"))
     b = found.select(F.col("circ_id").alias("reconstruct_id"), F.col("length_mb").alias("reconstruct_len"), F.col("topology_idx").alias("reconstruct_topology"))
     p = true_hits.select(F.col("qseqid").alias("true_id"), F.col("sseqid").alias("reconstruct_id"), F.col("identity").alias("pident_true"))
     q = found_hits.select(F.col("sseqid").alias("true_id"), F.col("qseqid").alias("reconstruct_id"), F.col("identity").alias("pident_reconstruct"))
     keys = ["true_id", "reconstruct_id"]
-    every = a.select("true_id").distinct().withColumn("__k", F.lit(1)).join(b.select("reconstruct_id").distinct().withColumn("__k", F.lit(1)), "__k").drop("__k")
-    out = every.join(p, keys, "left").join(q, keys, "left").join(a, "true_id").join(b, "reconstruct_id")
+    hits = p.join(q, keys, "full")
+    if every:
+        out = a.crossJoin(F.broadcast(b) if b.limit(few + 1).count() <= few else b).join(hits, keys, "left")
+    else:
+        out = hits.join(a, "true_id").join(b, "reconstruct_id")
     return out.select("true_id", "true_len", "true_topology", "reconstruct_id", "reconstruct_len", "reconstruct_topology", F.coalesce("pident_true", F.lit(0.0)).alias("pident_true"), F.coalesce("pident_reconstruct", F.lit(0.0)).alias("pident_reconstruct"))

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annulus.config import BND, DEL, DUP, FAR_END, INV, SPATIAL, Config
+from annulus.config import BND, DEL, DUP, FAR_END, INV, REWIRE, SPATIAL, Config
 from annulus.functions import genomics, paths
 from annulus.operators import annotate, breakpoints, fragments, graph, quantify, search, similarity, validate
 from annulus.operators.intervals import overlap_join, stab_join
 from annulus.operators.lineage import durable
 from annulus.plans.views import duck, spark_view
-from annulus.sources import vcf
+from annulus.sources import tables, vcf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,7 +112,7 @@ POINTS = GOOD + """, point as (select chr1 as chr, pos1 as pos from good union s
 
 
 def _merged(spark, d):
-    sv = vcf.sv_filter(spark_view(spark, d, "sv"))
+    sv = durable(vcf.sv_filter(spark_view(spark, d, "sv")))  # read by points, rewriting and edges
     points = breakpoints.breakpoints(sv)
     return sv, points, durable(breakpoints.merge(points))  # read by three branches below
 
@@ -150,7 +150,7 @@ EDGES = FRAGS + f""", moved as (select g.ord, svtype, strand, dv, chr1, a.anchor
 
 def _edges(spark, d):
     sv, points, merged = _merged(spark, d)
-    frags = fragments.fragment(breakpoints.kept_anchors(points, merged))
+    frags = durable(fragments.fragment(breakpoints.kept_anchors(points, merged)))
     return frags, graph.sv_edges(breakpoints.rewrite(sv, merged), frags)
 
 
@@ -164,10 +164,9 @@ def node_degree(spark, d):
     return graph.degrees(_edges(spark, d)[1].withColumn("edge_id", F.lit(0).cast("bigint")))
 
 
-@query(duck("sv", more=EDGES) + "select fid, chr from frag where fid + 1 not in (select u from edge union select v from edge) and fid + 2 not in (select u from edge union select v from edge)")
+@query(duck("sv", more=EDGES + ", tied as (select u as node from edge union select v from edge)") + "select fid, chr from frag where not exists (select 1 from tied where node = fid + 1) and not exists (select 1 from tied where node = fid + 2)")
 def standalone(spark, d):
-    frags, e = _edges(spark, d)
-    return graph.standalone(frags, e.withColumn("edge_id", F.lit(0).cast("bigint"))).select("fid", "chr")
+    return graph.standalone(*_edges(spark, d)).select("fid", "chr")
 
 
 @query(duck("sv", more=EDGES) + "select chr, count(*) as n_edges, sum(weight) as weight, count(distinct node) as n_nodes from (select chr1 as chr, u as node, cast(dv as double) as weight from edge) group by 1")
@@ -221,9 +220,9 @@ def fragments_bed(spark, d):
     return annotate.fragments_bed(_covered(spark, d).where(F.col("coverage") < inf)).select("fid", "chr", "start", "stop", "coverage")
 
 
-BPS = """bp as (select distinct concat('chr', 1 + c_custkey % 22) as chr, (c_custkey * 104729) % 1000000 as bp from customer),
- crossing as (select b.chr, b.bp, count(*) as n from bp b join read r on r.chr = b.chr and is_mapped and not is_secondary and query_length >= 1000 and ref_start < b.bp - 100 and ref_end > b.bp + 100
-   and ref_start < b.bp + 500 and ref_end > greatest(0, b.bp - 500) group by 1, 2)"""
+CROSSING = """crossing as (select b.chr, b.bp, count(*) as n from (select distinct chr, bp from {bp} where bp is not null) b join {read} r on r.chr = b.chr and is_mapped and not is_secondary and query_length >= 1000
+   and ref_start < b.bp - 100 and ref_end > b.bp + 100 and ref_start < b.bp + 500 and ref_end > greatest(0, b.bp - 500) group by 1, 2)"""
+BPS = "bp as (select distinct concat('chr', 1 + c_custkey % 22) as chr, (c_custkey * 104729) % 1000000 as bp from customer), " + CROSSING.format(bp="bp", read="read")
 
 
 def _spanning(spark, d):
@@ -250,11 +249,10 @@ def adjacent_fragments(spark, d):
     return fragments.adjacent(_covered(spark, d))
 
 
-@query(duck("coverage", "chrom", "cut", more=CUTS + ", " + NEAR) + f"select fid1 + 2 as u, fid2 + 1 as v, {SPATIAL} as svtype, cast(bp % 13 as double) as weight from adj where bp is not null and bp % 13 > 4 and bp % 13 > 5.5")
+@query(duck("coverage", "chrom", "cut", "near_read", more=CUTS + ", " + NEAR + ", " + CROSSING.format(bp="adj", read="near_read")) + f"select fid1 + 2 as u, fid2 + 1 as v, {SPATIAL} as svtype, cast(n as double) as weight from adj join crossing using (chr, bp) where n > 4 and n > 5.5")
 def spatial_edges(spark, d):
-    near = fragments.adjacent(_covered(spark, d))
-    counted = near.select("chr", "bp", (F.col("bp") % 13).alias("n")).distinct()
-    return graph.spatial_edges(near, counted, wgs_mean=5.5).select("u", "v", "svtype", "weight")
+    near = durable(fragments.adjacent(_covered(spark, d)))
+    return graph.spatial_edges(near, fragments.spanning_reads(near, spark_view(spark, d, "near_read")), wgs_mean=5.5).select("u", "v", "svtype", "weight")
 
 
 OEDGE = f"""oedge as (select a.head as u, b.tail as v, cast(a.coverage as double) as weight, {SPATIAL} as svtype, a.fid * 10 as edge_id, a.grp from order_fragment a join order_fragment b on a.grp = b.grp and b.n = a.n + 1
@@ -271,7 +269,7 @@ def _order_graph(spark, d):
     edge = lambda df, u, v, w, kind, i: df.select((F.col("a_fid") * 10 + i).alias("edge_id"), F.col(u).alias("u"), F.col(v).alias("v"), F.lit(kind).alias("svtype"), w.cast("double").alias("weight"))
     nxt, two = both.where("b_n = a_n + 1"), both.where("b_n = a_n + 2")
     e = edge(nxt, "a_head", "b_tail", F.col("a_coverage"), SPATIAL, 0).unionByName(edge(two, "a_tail", "b_head", F.col("b_coverage"), DUP, 1)).unionByName(edge(nxt.where("a_fid % 3 = 0"), "a_head", "b_tail", F.col("a_coverage") + 1, DEL, 2)).unionByName(edge(a.where("a_fid % 5 = 1"), "a_head", "a_tail", F.col("a_coverage"), DUP, 3))
-    return f.drop("grp", "n"), e
+    return f.drop("grp", "n", "m", "minus"), e
 
 
 @query(duck("order_fragment", more=OEDGE) + """select edge_id, u, v, svtype, weight from (select e.*, row_number() over (partition by least(e.u, e.v), greatest(e.u, e.v) order by e.weight desc, e.edge_id) as k from oedge e)
@@ -299,32 +297,87 @@ def connected_parts(spark, d):
     return search.parts(f, e)
 
 
-@query()
+CHAIN = """chain as (select fid, chr, n, m, head, tail, grp, coverage, cast((n - n % 2) / 2 - case when n % 2 = 0 then 1 else 0 end as bigint) * 5000 + case when n % 2 = 0 then 4600 + grp % 4 * 100 else 0 end as start,
+   400 - grp % 4 * 100 as short from order_fragment)"""
+
+
+@query(duck("order_fragment", more=CHAIN) + """select fid, start - case when n > 1 then short / 2 else 0 end as start, start + 5000 - short + case when n < m then short / 2 else 0 end as "end",
+  cast(5000 - short + case when n < m then short / 2 else 0 end - case when n > 1 then short / 2 else 0 end as double) as len, case when n + 2 <= m then 1 else 0 end as out from chain where n % 2 = 1""".replace("short / 2", "short // 2"))
 def short_fragment_rewire(spark, d):
-    f, e = _order_graph(spark, d)
-    left, ties = search.remove_short(f, e, 800)
-    return left.select("fid", "start", "end", "len").join(ties.groupBy(F.col("u").alias("head")).agg(F.count("*").alias("out")).withColumn("fid", F.col("head") - 2), "fid", "left").select("fid", "start", "end", "len", F.coalesce("out", F.lit(0)).alias("out"))
+    """Every order is a chain of fragments of which each second one is short; the others grow into its place and are tied."""
+    f = spark_view(spark, d, "order_fragment")
+    short, even = F.lit(400) - F.col("grp") % 4 * 100, F.col("n") % 2 == 0
+    slot = F.floor((F.col("n") - 1) / 2) * 5000
+    c = f.withColumn("start", F.when(even, slot + 5000 - short).otherwise(slot)).withColumn("end", F.when(even, slot + 5000).otherwise(slot + 5000 - short)).withColumn("len", (F.col("end") - F.col("start")).cast("double"))
+    e = c.where("n < m").select((F.col("fid") * 10).alias("edge_id"), F.col("head").alias("u"), (F.col("tail") + 4).alias("v"), F.lit(SPATIAL).alias("svtype"), F.col("coverage").alias("weight"))
+    left, ties = search.remove_short(c, e, 500)
+    out = ties.where((F.col("svtype") == REWIRE) & (F.col("v") == F.col("u") + 7) & (F.col("weight") == inf)).groupBy(F.col("u").alias("head")).agg(F.count("*").alias("out"))
+    return left.select("fid", "start", "end", "len", "head").join(out, "head", "left").select("fid", "start", "end", "len", F.coalesce("out", F.lit(0)).alias("out"))
 
 
-@query()
+def _rings(spark, d):
+    """Every order is a ring of its fragments, some of them inverted."""
+    f = spark_view(spark, d, "order_fragment")
+    leave, enter = F.when(F.col("minus"), F.col("tail")).otherwise(F.col("head")), F.when(F.col("minus"), F.col("head")).otherwise(F.col("tail"))
+    ends = f.select("grp", "n", "m", "fid", "coverage", leave.alias("leave"), enter.alias("enter"))
+    nxt = ends.select("grp", F.col("n").alias("n2"), F.col("enter").alias("v"))
+    e = ends.join(nxt, "grp").where((F.col("n2") == F.col("n") + 1) | ((F.col("n") == F.col("m")) & (F.col("n2") == 1)))
+    return f, e.select((F.col("fid") * 10).alias("edge_id"), F.col("leave").alias("u"), "v", F.lit(BND).alias("svtype"), F.col("coverage").alias("weight"))
+
+
+RING = "ring as (select grp, min(fid) as part, '[' || string_agg(case when minus then -fid else fid end, ', ' order by n) || ']' as path, avg(coverage) as score from order_fragment group by grp)"
+
+
+@query(duck("order_fragment", more=RING) + "select part, 0 as seq, path from ring")
 def cycle_search(spark, d):
-    f, e = _order_graph(spark, d)
-    return search.circles(f, graph.strongest(e, f)).where("phase = 0").select("part", "seq", F.col("path").cast("string").alias("path"))
+    return search.circles(*_rings(spark, d)).where("phase = 0").select("part", "seq", F.col("path").cast("string").alias("path"))
 
 
-@query()
+@query(duck("order_fragment", more=RING) + "select row_number() over (order by part) - 1 as circ_id, round(score, 6) as score, part as cluster from ring")
+def lone_abundance(spark, d):
+    """Circles that share no fragment score the mean coverage of their own."""
+    f, e = _rings(spark, d)
+    return quantify.abundance(search.distinct_circles(search.circles(f, e)), f, 4.0).select("circ_id", F.round("score", 6).alias("score"), "cluster")
+
+
+def _petals(spark, d):
+    """Every order is a fragment with one or two rings through it, of different weights."""
+    f = spark_view(spark, d, "order_fragment").where("n <= 3")
+    p = f.where("n > 1").withColumn("w", 2 * F.col("coverage") + F.col("n") % 2)
+    root = F.col("fid") - 4 * (F.col("n") - 1)
+    e = lambda u, v, i: p.select((F.col("fid") * 10 + i).alias("edge_id"), u.alias("u"), v.alias("v"), F.lit(BND).alias("svtype"), F.col("w").alias("weight"))
+    return f, e(root + 2, F.col("tail"), 0).unionByName(e(F.col("head"), root + 1, 1))
+
+
+PETALS = """petal as (select grp, 4 * (64 * grp + 1) + 1 as root, fid, row_number() over (partition by grp order by 2 * coverage + n % 2 desc) as k from order_fragment where n in (2, 3))"""
+
+
+@query(duck("order_fragment", more=PETALS) + "select root as part, k - 1 as seq, 0 as phase, concat('[', root, ', ', fid, ']') as path from petal union all select a.root, 0, 1, concat('[', a.root, ', ', a.fid, ', ', a.root, ', ', b.fid, ']') from petal a join petal b on a.grp = b.grp and a.k = 1 and b.k = 2")
 def combine_cycles(spark, d):
-    f, e = _order_graph(spark, d)
-    return search.circles(f, graph.strongest(e, f)).where("phase = 1").select("part", "seq", F.col("path").cast("string").alias("path"))
+    return search.circles(*_petals(spark, d)).select("part", "seq", "phase", F.col("path").cast("string").alias("path"))
 
 
 @query()
 def lasso_abundance(spark, d):
+    """Clusters of circles that share fragments, solved by regression."""
     f, e = _order_graph(spark, d)
     found = search.distinct_circles(search.circles(f, graph.strongest(e, f)))
     return quantify.abundance(found, f, 4.0).select("circ_id", F.round("score", 6).alias("score"), "cluster")
 
 
+SPEC = """spec as (select tail as node1, head as node2, fid as f1, fid as f2, 0 as part1, 1 as part2, edge_id as edgeid, 0 as svtype, coverage as cov from order_fragment
+  union all select u, v, u - (u - 1) % 4, v - (v - 1) % 4, (u - 2) % 4, (v - 2) % 4, edge_id, svtype, weight from oedge)"""
+
+
+@query(duck("order_fragment", more=OEDGE + ", " + SPEC) + "select 'fragment' as kind, edgeid as edge_id, node1 as a, node2 as b, cov as weight from spec where svtype = 0 union all select 'edge', edgeid, node1, node2, cov from spec where svtype <> 0")
+def graph_spec(spark, d):
+    f, e = _order_graph(spark, d)
+    of = lambda c: F.concat(F.lit("f"), (F.col(c) - (F.col(c) - 1) % 4).cast("string"))
+    row = lambda df, u, v, i, kind, w: df.select(F.col(u).alias("node1"), F.col(v).alias("node2"), of(u).alias("frag1"), of(v).alias("frag2"), ((F.col(u) - 2) % 4).cast("int").alias("part1"), ((F.col(v) - 2) % 4).cast("int").alias("part2"), F.col(i).alias("edgeid"), kind.alias("svtype"), F.col(w).alias("cov"))
+    frags, ties = graph.from_spec(row(f, "tail", "head", "edge_id", F.lit(0), "coverage").unionByName(row(e, "u", "v", "edge_id", F.col("svtype"), "weight")))
+    return frags.select(F.lit("fragment").alias("kind"), "edge_id", F.col("tail").alias("a"), F.col("head").alias("b"), F.col("coverage").alias("weight")).unionByName(ties.select(F.lit("edge").alias("kind"), "edge_id", F.col("u").alias("a"), F.col("v").alias("b"), "weight"))
+
+
 # paths --------------------------------------------------------------------------------------------------
 
 PATHS = "path as (select circ_id, list(cast(x as bigint) order by i) as p from path_step group by 1)"
@@ -345,14 +398,30 @@ def canonical_path(spark, d):
     return _paths(spark, d).select("circ_id", _text(paths.canonical(F.col("path"))).alias("canonical"))
 
 
-@query(duck("path_step", more=f"{PATHS}, {FLIP}, {TURN}") + ", form as (select circ_id, array_to_string(list_concat(p[k:], p[:k-1]), ',') as canonical from turned) select canonical, min(circ_id) as circ_id, count(*) as copies from form group by 1")
+def _first(spark, d, **form):
+    found = _paths(spark, d).select(F.lit(0).alias("part"), F.lit(0).alias("phase"), F.col("circ_id").alias("seq"), "path")
+    return search.first_seen(found, **form).select(_text(F.col("path")).alias("path"), F.col("first.seq").alias("circ_id"), "copies")
+
+
+@query(duck("path_step", more=f"{PATHS}, {FLIP}, {TURN}") + ", form as (select circ_id, array_to_string(list_concat(p[k:], p[:k-1]), ',') as path from turned) select path, min(circ_id) as circ_id, count(*) as copies from form group by 1")
 def canonical_dedupe(spark, d):
-    return _paths(spark, d).select("circ_id", _text(paths.canonical(F.col("path"))).alias("canonical")).groupBy("canonical").agg(F.min("circ_id").alias("circ_id"), F.count("*").alias("copies"))
+    return _first(spark, d)
 
 
-@query(duck("path_step", more=PATHS) + "select array_to_string(p, ',') as path, min(circ_id) as circ_id from path group by 1")
+@query(duck("path_step", more=PATHS) + "select array_to_string(p, ',') as path, min(circ_id) as circ_id, count(*) as copies from path group by 1")
 def raw_dedupe(spark, d):
-    return _paths(spark, d).groupBy(_text(F.col("path")).alias("path")).agg(F.min("circ_id").alias("circ_id"))
+    return _first(spark, d, canonical_form=False)
+
+
+@query(duck("path_step", more=f"{PATHS}, {FLIP}, {TURN}") + ", form as (select circ_id, array_to_string(list_concat(p[k:], p[:k-1]), ',') as path from turned) select path, row_number() over (order by min(circ_id)) - 1 as circ_id from form group by path")
+def distinct_circles(spark, d):
+    found = _paths(spark, d).select(F.lit(0).alias("part"), F.lit(0).alias("phase"), F.col("circ_id").alias("seq"), "path")
+    return search.distinct_circles(found).select(_text(F.col("path")).alias("path"), "circ_id")
+
+
+@query(duck("path_step", more=PATHS) + "select circ_id, array_to_string([p[i] for i in range(1, len(p) + 1) if i = 1 or p[i] <> p[i - 1]], ',') as path from (select circ_id, list_transform(p, lambda x: x % 3) as p from path)")
+def simplify_path(spark, d):
+    return _paths(spark, d).select("circ_id", _text(paths.simplify_consecutive(F.transform("path", lambda x: x % 3))).alias("path"))
 
 
 @query(duck("path_step") + "select circ_id, abs(x) as fid, count(*) as mult from path_step group by 1, 2")
@@ -367,21 +436,21 @@ MULTI = "wm as (select circ_id, fid, mult * len as w from circle_fragment), " +
 SET = "ws as (select circ_id, fid, len as w from circle_fragment), " + JACC.format(w="ws")
 
 
-@query(duck("circle_fragment", more=MULTI) + "select a, b, sa as s1, sb as s2, jaccard from jac")
+@query(duck("circle_fragment", more=MULTI) + "select a, b, sa as s1, sb as s2, jaccard from jac where jaccard > 0.5")
 def jaccard_multiset(spark, d):
-    return similarity.jaccard(spark_view(spark, d, "circle_fragment"), multiset=True).select("a", "b", "s1", "s2", "jaccard")
+    return similarity.jaccard(spark_view(spark, d, "circle_fragment"), multiset=True, above=0.5).select("a", "b", "s1", "s2", "jaccard")
 
 
-@query(duck("circle_fragment", more=SET) + "select a, b, un as s1, un as s2, jaccard from jac")
+@query(duck("circle_fragment", more=SET) + "select a, b, un as s1, un as s2, jaccard from jac where jaccard > 0.5")
 def jaccard_set(spark, d):
-    return similarity.jaccard(spark_view(spark, d, "circle_fragment"), multiset=False).select("a", "b", "s1", "s2", "jaccard")
+    return similarity.jaccard(spark_view(spark, d, "circle_fragment"), multiset=False, above=0.5).select("a", "b", "s1", "s2", "jaccard")
 
 
 @query(duck("circle_fragment", more=SET) + "select c.circ_id from (select distinct circ_id from circle_fragment) c where not exists (select 1 from jac where a = c.circ_id and jaccard > 0.4)")
 def prune_similar(spark, d):
     w = spark_view(spark, d, "circle_fragment")
     circles = w.select("circ_id", F.lit(0).alias("first")).distinct()
-    return similarity.prune_near_identical(circles, similarity.jaccard(w, multiset=False), threshold=0.4).select("circ_id")
+    return similarity.prune_near_identical(circles, similarity.jaccard(w, multiset=False, above=0.4), threshold=0.4).select("circ_id")
 
 
 @query(duck("circle_fragment", more=MULTI + ", sc as (select circ_id, cast(circ_id % 97 as double) as score from circle_fragment group by 1)") + """select c.circ_id from sc c where
@@ -390,7 +459,7 @@ def prune_similar(spark, d):
 def prune_score(spark, d):
     w = spark_view(spark, d, "circle_fragment")
     circles = w.select("circ_id", (F.col("circ_id") % 97).cast("double").alias("score"), F.col("circ_id").alias("ord")).distinct()
-    return similarity.prune_by_score(circles, similarity.jaccard(w, multiset=True), threshold=0.3).select("circ_id")
+    return similarity.prune_by_score(circles, similarity.jaccard(w, multiset=True, above=0.3), threshold=0.3).select("circ_id")
 
 
 @query("""with recursive cf as (select distinct l_orderkey as circ_id, l_orderkey // 4 * 8 + l_partkey % 3 * 2 + l_orderkey % 2 as fid from lineitem),
@@ -403,10 +472,20 @@ def clusters(spark, d):
     return quantify.clusters(cf.where("true").withColumn("fid", F.col("fid") + 1)).select("circ_id", (F.col("cluster") - 1).alias("cluster"))
 
 
-@query(duck("circle_fragment") + "select circ_id, sum(mult * len) / sum(len) as mean_mult, avg(mult) as mean_plain, count(*) as n from circle_fragment group by 1")
+@query(duck("circle_fragment") + "select circ_id, sum(mult * len) / sum(len) as weighted, avg(mult) as plain, count(*) as n from circle_fragment group by 1")
 def circle_means(spark, d):
+    return quantify.mean_coverage(spark_view(spark, d, "circle_fragment").withColumn("coverage", F.col("mult").cast("double")))
+
+
+@query(duck("circle_fragment") + "select fid, sum(mult * cast(circ_id % 83 as double)) as coverage from circle_fragment group by 1")
+def expected_coverage(spark, d):
     w = spark_view(spark, d, "circle_fragment")
-    return w.groupBy("circ_id").agg((F.sum(F.col("mult") * F.col("len")) / F.sum("len")).alias("mean_mult"), F.avg("mult").alias("mean_plain"), F.count("*").alias("n"))
+    return quantify.expected_coverage(w, w.select("circ_id", (F.col("circ_id") % 83).cast("double").alias("score")).distinct())
+
+
+@query(duck("order_fragment", more="x as (select log10(floor(len) + 0.01) as x from order_fragment), e as (select min(x) as lo, (max(x) - min(x)) / 50 as step from x), b as (select cast(least(49, floor((x - lo) / step)) as int) as bucket from x, e)") + "select bucket, round(pow(10, lo + bucket * step), 6) as low, count(*) as n from b, e group by bucket, lo, step")
+def length_distribution(spark, d):
+    return quantify.distribution(spark_view(spark, d, "order_fragment"), "len").select("bucket", F.round("low", 6).alias("low"), "n")
 
 
 @query("select round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 9) as cosine, round(sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)), 9) as relative_l2, round(avg((x - y) * (x - y)), 6) as mse, round(abs(sum(x) - sum(y)), 3) as absolute from (select cast(l_quantity as double) as x, cast(l_partkey % 50 as double) as y from lineitem)")
@@ -442,14 +521,40 @@ def topology(spark, d):
 NAMES = "['simple_circle', 'simple_sv', 'mixed_sv', 'multi_region_intra_chr', 'multi_region_inter_chr', 'simple_duplications', 'foldbacks']"
 
 
-@query(duck("piece", more=PAIRS) + f"select circ_id, size_mb, chr_origin, case when size_mb > 0.01 then 'ecDNA' else '' end as label, topology_idx, ({NAMES})[topology_idx + 1] as topology_name from idx")
+def _fold(gap: int) -> str:
+    """The collapse of neighbours as SQL: pieces are taken one after another; the last one may meet the first."""
+    meet = "{a}.chr = {b}.chr and {a}.strand = {b}.strand and case when {a}.strand = '+' then abs({a}.\"end\" - {b}.start) else abs({a}.start - {b}.\"end\") end < " + str(gap)
+    join = "{{'chr': {a}.chr, 'start': case when {a}.strand = '+' then {a}.start else {b}.start end, 'end': case when {a}.strand = '+' then {b}.\"end\" else {a}.\"end\" end, 'strand': {a}.strand, 'frag': {a}.frag || '.' || {b}.frag}}"
+    here = "{'chr': x.chr, 'start': x.start, 'end': x.\"end\", 'strand': x.strand, 'frag': x.frag}"
+    on = dict(a="cur", b="x")
+    return f"""sized as (select *, count(*) over (partition by circ_id) as m from piece),
+ fold(circ_id, i, m, done, cur) as (select circ_id, i, m, {here}[1:0] , {here} from sized x where i = 0
+   union all select f.circ_id, x.i, f.m, case when {meet.format(**on)} then done else list_append(done, cur) end, case when {meet.format(**on)} then {join.format(**on)} else {here} end from fold f join sized x on x.circ_id = f.circ_id and x.i = f.i + 1),
+ closed as (select f.circ_id, f.m, case when f.m > 1 and {meet.format(a="cur", b="x")} then list_append(done[2:], {join.format(**on)}) else list_append(done, cur) end as conf from fold f join sized x on x.circ_id = f.circ_id and x.i = 0 where f.i = f.m - 1)""".replace("{'chr': x.chr, 'start': x.start, 'end': x.\"end\", 'strand': x.strand, 'frag': x.frag}[1:0]", "[{'chr': x.chr, 'start': x.start, 'end': x.\"end\", 'strand': x.strand, 'frag': x.frag}][2:]")
+
+
+FOLDED = _fold(10) + """, flat as (select circ_id, unnest(conf) as c, unnest(range(len(conf))) as i from closed), coll as (select circ_id, i, c.chr as chr, c.start as start, c."end" as "end", c.strand as strand, c.frag as frag from flat), """ + PAIRS.replace("from piece", "from coll")
+
+
+@query(duck("piece", more=FOLDED) + f"select circ_id, size_mb, chr_origin, case when size_mb > 0.01 then 'ecDNA' else '' end as label, topology_idx, ({NAMES})[topology_idx + 1] as topology_name from idx")
 def annotate_circles(spark, d):
-    c = _conf(spark, d).withColumn("score", F.lit(1.0))
-    x = annotate.annotated(c, Config(ecdna_min_mb=0.01, collapse_gap=0))  # a gap of 0: nothing is collapsed, for comparison with SQL
+    x = annotate.annotated(_conf(spark, d).withColumn("score", F.lit(1.0)), Config(ecdna_min_mb=0.01))
     return x.select("circ_id", "size_mb", "chr_origin", "label", "topology_idx", "topology_name")
 
 
-@query()
+@query(duck("piece", more=FOLDED) + f"select circ_id, chr_origin, size_mb as \"size(MB)\", case when size_mb > 0.01 then 'ecDNA' else '' end as label, topology_idx, ({NAMES})[topology_idx + 1] as topology_name, circ_id % 83 as estimated_proportions from idx")
+def summary_table(spark, d):
+    c = _conf(spark, d).withColumns({"score": F.col("circ_id") % 83 + F.lit(0.5), "ord": F.col("circ_id")})
+    return annotate.summary(annotate.annotated(c, Config(ecdna_min_mb=0.01)))
+
+
+@query(duck("piece", more=PAIRS) + "select cast(circ_id as varchar) as circ_id, size_mb as length_mb, topology_idx from idx")
+def bed_circles(spark, d):
+    rows = spark_view(spark, d, "piece").select("circ_id", F.col("i").alias("row"), "chr", "start", "end", "strand", F.col("frag").alias("fragment_id"), F.col("cov").alias("coverage"))
+    return validate.circles_of_bed(rows).select("circ_id", "length_mb", "topology_idx")
+
+
+@query(duck("piece", more=_fold(400)) + """select circ_id, m as n_before, len(conf) as n_after, array_to_string(list_transform(conf, lambda x: x.chr || ':' || x.start || ':' || x."end" || ':' || x.strand || ':' || x.frag), ';') as conf from closed""")
 def path_collapse(spark, d):
     c = _conf(spark, d).select("circ_id", F.size("conf").alias("n_before"), paths.collapse(F.col("conf"), 400).alias("conf"))
     return c.select("circ_id", "n_before", F.size("conf").alias("n_after"), F.array_join(F.transform("conf", lambda x: F.concat_ws(":", x["chr"], x["start"], x["end"], x["strand"], x["frag"])), ";").alias("conf"))
@@ -477,10 +582,10 @@ def circle_links(spark, d):
     return annotate.links(_bed(spark, d))
 
 
-@query(duck("path_step", "order_fragment") + """, step as (select circ_id, i, x, f.chr, f.start, f."end", f.coverage from path_step join order_fragment f on f.fid = 4 * (abs(x) - 1) + 1)
+@query(duck("path_step", "part_fragment") + """, step as (select circ_id, i, x, f.chr, f.start, f."end", f.coverage from path_step join part_fragment f on f.fid = 4 * (abs(x) - 1) + 1)
  select circ_id, count(*) as n, string_agg(concat(chr, ':', start, '-', "end", case when x < 0 then '-' else '+' end), ';' order by i) as conf from step group by 1""")
 def circle_positions(spark, d):
-    f = spark_view(spark, d, "order_fragment").select("fid", "chr", "start", "end", "coverage")
+    f = spark_view(spark, d, "part_fragment")
     c = _paths(spark, d).select("circ_id", F.transform("path", lambda x: F.signum(x).cast("bigint") * (4 * (F.abs(x) - 1) + 1)).alias("path"))
     x = annotate.located(c, f)
     return x.select("circ_id", F.size("conf").alias("n"), F.array_join(F.transform("conf", lambda p: F.concat(genomics.coordinates(p["chr"], p["start"], p["end"]), p["strand"])), ";").alias("conf"))
@@ -535,20 +640,95 @@ def point_stab(spark, d):
 
 
 @query(duck("coverage", "chrom", "cut", more=CUTS) + """, t as (select sum("end" - start) as tl, sum(coverage) as tc from covered where "end" < 100000000000 and coverage < cast('inf' as double))
- select fid, (1 - ("end" - start) / tl) * (coverage / tc) as weight, cast(floor(least(coverage, 49) / 10) as bigint) as bucket from covered, t where "end" < 100000000000 and coverage < cast('inf' as double)""")
+ select fid, (1 - ("end" - start) / tl) * (coverage / tc) as weight from covered, t where "end" < 100000000000 and coverage < cast('inf' as double)""")
 def fragment_weights(spark, d):
-    good = _covered(spark, d).where((F.col("coverage") < inf) & (F.col("end") < FAR_END))
-    total = good.agg(F.sum("len").alias("tl"), F.sum("coverage").alias("tc"))  # one row
-    return good.join(F.broadcast(total)).select("fid", ((1 - F.col("len") / F.col("tl")) * (F.col("coverage") / F.col("tc"))).alias("weight"), F.floor(F.least("coverage", F.lit(49)) / 10).cast("bigint").alias("bucket"))
+    return quantify.fragment_weights(_covered(spark, d).where((F.col("coverage") < inf) & (F.col("end") < FAR_END)))
+
+
+BOTH_HITS = """th as (select concat('t', l_partkey % 25) as q, concat('r', l_suppkey) as s, greatest(1, l_partkey % 900) as a, least(700, l_partkey % 900 + 20 + l_suppkey % 80) as e from lineitem),
+ rh as (select concat('r', l_suppkey) as q, concat('t', l_partkey % 25) as s, greatest(1, l_orderkey % 900) as a, least(500, l_orderkey % 900 + 30) as e from lineitem),
+ ti as (select *, max(e) over (partition by q, s order by a, e rows between unbounded preceding and 1 preceding) as reach from th),
+ ri as (select *, max(e) over (partition by q, s order by a, e rows between unbounded preceding and 1 preceding) as reach from rh),
+ tp as (select q, s, sum(greatest(0, e - greatest(a, coalesce(reach, a)))) / cast(699 as double) as p from ti group by 1, 2),
+ rp as (select q, s, sum(greatest(0, e - greatest(a, coalesce(reach, a)))) / cast(499 as double) as p from ri group by 1, 2)"""
 
 
-@query("""with c as (select o_orderkey % 12 as id, o_orderkey % 2 as kind, count(*) as n, sum(o_totalprice) as t from orders group by 1, 2)
- select concat('t', a.id) as true_id, concat('r', b.id) as reconstruct_id, cast(case when a.id = b.id - 1 then 0.5 else 0 end as double) as pident_true, cast(case when a.id = b.id - 1 then 0.25 else 0 end as double) as pident_reconstruct, cast(a.n / 1000000.0 as double) as true_len, cast(b.n / 1000000.0 as double) as reconstruct_len from c a, c b where a.kind = 0 and b.kind = 1""")
+@query("with " + BOTH_HITS + """ select concat('t', n_nationkey) as true_id, cast(n_nationkey / 100.0 as double) as true_len, n_nationkey % 7 as true_topology, concat('r', s_suppkey) as reconstruct_id, cast(s_suppkey / 50.0 as double) as reconstruct_len, s_suppkey % 7 as reconstruct_topology,
+  coalesce(tp.p, 0) as pident_true, coalesce(rp.p, 0) as pident_reconstruct from nation cross join supplier left join tp on tp.q = concat('t', n_nationkey) and tp.s = concat('r', s_suppkey) left join rp on rp.s = concat('t', n_nationkey) and rp.q = concat('r', s_suppkey)""")
 def validation_table(spark, d):
-    c = spark.sql("select o_orderkey % 12 as id, o_orderkey % 2 as kind, count(*) / 1000000.0 as n from {orders} group by 1, 2", orders=spark.read.parquet(f"{d}/orders.parquet"))
-    side = lambda kind, letter: c.where(F.col("kind") == kind).select(F.concat(F.lit(letter), F.col("id")).alias("circ_id"), F.col("n").cast("double").alias("length_mb"), F.lit(0).alias("topology_idx"))
-    one = c.where("kind = 0")
-    hits = one.select(F.concat(F.lit("t"), F.col("id")).alias("qseqid"), F.concat(F.lit("r"), F.col("id") + 1).alias("sseqid"), F.lit(0.5).alias("identity"))
-    back = hits.select(F.col("sseqid").alias("qseqid"), F.col("qseqid").alias("sseqid"), F.lit(0.25).alias("identity"))
-    v = validate.compare(side(0, "t"), side(1, "r"), hits, back)
-    return v.select("true_id", "reconstruct_id", "pident_true", "pident_reconstruct", "true_len", "reconstruct_len")
+    """Nations as true circles, suppliers as reconstructed ones, lines as hits of either on the other."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    circle = lambda df, key, letter, per: df.select(F.concat(F.lit(letter), F.col(key)).alias("circ_id"), (F.col(key) / per).cast("double").alias("length_mb"), (F.col(key) % 7).alias("topology_idx"))
+    hit = lambda q, s, at, width: read("lineitem").select(q.alias("qseqid"), s.alias("sseqid"), at.alias("query_start"), (at + width).alias("query_end"))
+    t, r = F.concat(F.lit("t"), F.col("l_partkey") % 25), F.concat(F.lit("r"), F.col("l_suppkey"))
+    size = lambda df, n: df.select(F.col("circ_id").alias("qseqid"), F.lit(n).alias("length"))
+    true, found = circle(read("nation"), "n_nationkey", "t", 100.0), circle(read("supplier"), "s_suppkey", "r", 50.0)
+    one = validate.identity(hit(t, r, F.col("l_partkey") % 900, 20 + F.col("l_suppkey") % 80), size(true, 700))
+    two = validate.identity(hit(r, t, F.col("l_orderkey") % 900, F.lit(30)), size(found, 500))
+    return validate.compare(true, found, one, two)
+
+
+# dialects of calls --------------------------------------------------------------------------------------------------
+
+MATES = """case k % 4 when 0 then concat('[', m, ':', p, '[N') when 1 then concat(']', m, ':', p, ']N') when 2 then concat('N[', m, ':', p, '[') else concat('N]', m, ':', p, ']') end"""
+KEYS = "(select c_custkey as k, concat('chr', 1 + c_custkey % 22) as c, concat('chr', 1 + c_custkey % 19) as m, 5000 + 3 * c_custkey as p, case when c_custkey % 2 = 0 then '+-' else '-+' end as st, c_custkey % 3 = 0 as broken from {customer}) q"
+BROKEN = "case k % 4 when 0 then '++' when 1 then '+-' when 2 then '-+' else '--' end"
+GT = "case when {x} <= 0.3 then '0/0' when {x} <= 0.7 then '0/1' else '1/1' end"
+
+
+def _lines_of(info: str, sample: str) -> str:
+    """A VCF line for each customer: one in three a break end, the others duplications."""
+    return f"select k as ord, concat(c, '\t', 100 + k, '\t', 'id', k, '\tN\t', case when broken then {MATES} else '<DUP>' end, '\t.\tPASS\t', 'SVTYPE=', case when broken then 'BND' else 'DUP' end, ';END=', 9000 + k, ';SVLEN=', k % 777, {info}, '\t', {sample}) as value from {KEYS}"
+
+
+def _calls_of(caller: str, info: str, sample: str, **want: str):
+    """Registers the query of a caller's dialect: its lines, and what becomes of them."""
+    lines = _lines_of(info, sample)
+    held = dict(chr2="case when broken then m else c end", pos2="case when broken then p else 9000 + k end", strand=f"case when broken then {BROKEN} else st end", gt="'0/1'") | want
+
+    def run(spark, d):
+        config = Config(sv_caller="sniffles1" if caller == "multivcf" else caller, multi=caller == "multivcf")
+        df = spark.sql(lines, customer=spark.read.parquet(f"{d}/customer.parquet"))
+        sv = vcf.normalise(vcf.parse(vcf.clean_lines(df, config.multi)), config)
+        return sv.select("ord", "chr1", "pos1", "chr2", "pos2", "svtype", "svlen", "strand", "dv", "dr", "gt", "error")
+
+    run.__name__ = f"vcf_{caller}"
+    query(f"select k as ord, c as chr1, 100 + k as pos1, {held['chr2']} as chr2, {held['pos2']} as pos2, case when broken then 'BND' else 'DUP' end as svtype, k % 777 as svlen, {held['strand']} as strand, {held['dv']} as dv, {held['dr']} as dr, {held['gt']} as gt, {held.get('error', 'cast(null as varchar)')} as error from {KEYS.replace('{customer}', 'customer')}")(run)
+
+
+_calls_of("sniffles2", "';SUPPORT=', k % 31, ';COVERAGE=', k % 17, ',9,8;STRAND=', st", "concat('GT:GQ:DR:DV\t', case when k % 5 = 0 then './.' else '0/1' end, ':60:', k % 13, ':', k % 29)",
+          dv="case when k % 5 = 0 then k % 31 else k % 29 end", dr="case when k % 5 = 0 then k % 17 else k % 13 end", gt="case when k % 5 = 0 then " + GT.format(x="(k % 31) / (k % 31 + k % 17 + 1)") + " else '0/1' end")
+_calls_of("cutesv", "case when broken then '' else concat(';STRAND=', st) end", "concat('GT:DR:DV:PL:GQ\t0/1:', k % 13, ':', k % 29, ':1,2,3:9')", dv="k % 29", dr="k % 13")
+_calls_of("nanomonsv", "''", "concat('TR:VR\t', k % 29 + k % 13, ':', k % 29)", dv="k % 29", dr="k % 13", strand=f"case when broken then {BROKEN} else '.' end", gt="cast(null as varchar)")
+_calls_of("lumpy", "';STRANDS=', st, ':12'", "concat('GT:QA:QR:DP\t', case when k % 5 = 0 then './.' else '0/1' end, ':', k % 29, ':', k % 13, ':', k % 41)", dv="k % 29", dr="k % 13", gt="case when k % 5 = 0 then " + GT.format(x="(k % 29) / (k % 41 + 1)") + " else '0/1' end")
+_calls_of("delly", "';CHR2=', m, ';STRAND=', st", "concat('GT:DR:DV\t0/1:', k % 13, ':', k % 29)", dv="k % 29", dr="k % 13", chr2="m", pos2="9000 + k", strand="st")
+_calls_of("multivcf", "';CHR2=', m, ';STRANDS=', st", "concat('GT:DR\t./.:', k % 13, ',', k % 29, '\t1/1:3,', k % 23)", dv="greatest(k % 29, k % 23)", dr="case when k % 29 >= k % 23 then k % 13 else 3 end", gt="case when k % 29 >= k % 23 then './.' else '1/1' end", chr2="m", pos2="9000 + k", strand="st")
+
+FAULTY = _lines_of("case when k % 5 = 0 then '' else ';STRANDS=+-' end, ';CHR2=', c", "concat('GT:DR:DV\t0/1:', k % 13, ':', case when k % 7 = 0 then '.' else cast(k % 97 as {string}) end)")
+
+
+def _faulty(spark, d):
+    return spark.sql(FAULTY.replace("{string}", "string"), customer=spark.read.parquet(f"{d}/customer.parquet"))
+
+
+@query(f"select k as ord, concat('id', k) as sv_id, case when k % 5 = 0 then 'sniffles1: a record has no STRANDS' else '{vcf.NO_GENOTYPE}' end as error from {KEYS.replace('{customer}', 'customer')} where k % 5 = 0 or k % 7 = 0")
+def vcf_bad_records(spark, d):
+    return vcf.bad_records(vcf.clean_lines(_faulty(spark, d)))
+
+
+@query("with line as (" + FAULTY.replace("{string}", "varchar").replace("{customer}", "customer") + """) select line.ord, value from line join (select c_custkey as ord, c_custkey % 97 as dv, c_custkey % 13 as dr, c_custkey % 777 as svlen, c_custkey % 3 = 0 as broken from customer where c_custkey % 5 <> 0 and c_custkey % 7 <> 0) x using (ord)
+  where dv + dr >= 8 and dv >= 6 and dv / (dv + dr + 1) >= 0.01 and (broken or svlen >= 500) and pow(3, -(dv + dr) * (dv / (dv + dr + 1)) / ln(dv + dr + 0.001)) < 0.1""")
+def vcf_filter(spark, d):
+    """Records that lack something are left out, the others pass by the quality rules."""
+    return vcf.filter_lines(vcf.clean_lines(_faulty(spark, d)), skip_bad=True)
+
+
+@query("select concat('n', n_nationkey) as chr, repeat('ACGTTGCA', 1 + n_nationkey) || 'N' as seq from nation")
+def fasta_records(spark, d):
+    text = "select concat('n', n_nationkey, ' ', n_name, '\n', repeat('ACGT\nTGCA\n', int(1 + n_nationkey)), 'N\n') as value from {nation}"
+    return tables.fasta_records(spark.sql(text, nation=spark.read.parquet(f"{d}/nation.parquet")))
+
+
+@query(duck("sv") + "select ord, abs(pos1 - pos2) <= 60000 as near from sv")
+def proximity(spark, d):
+    return spark_view(spark, d, "sv").select("ord", genomics.within(F.col("pos1"), F.col("pos2"), 60_000).alias("near"))

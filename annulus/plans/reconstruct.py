@@ -29,7 +29,8 @@ class Result:
 
 
 def encode(sv: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(fragments, calls on anchors) of the calls that passed."""
+    """(fragments, calls on anchors) of the calls that passed. The calls are read and filtered once."""
+    sv = durable(sv)
     points = breakpoints.breakpoints(sv)
     merged = durable(breakpoints.merge(points, config.distance))
     frags = fragments.fragment(breakpoints.kept_anchors(points, merged))
@@ -83,6 +84,6 @@ def candidates(g: Graph, wgs_mean: float, config: Config = Config()) -> tuple[Da
     uncombined = search.distinct_circles(raw.where("phase = 0"))  # numbered before all others, so ids are the same
     scored = durable(quantify.cluster_order(quantify.abundance(found, g.fragments, wgs_mean, config)))
     weights = quantify.multiplicity(found.join(scored.select("circ_id"), "circ_id", "left_semi")).join(g.fragments.select("fid", "len"), "fid")
-    kept = similarity.prune_by_score(scored, similarity.jaccard(weights, multiset=True), threshold=config.similar)
+    kept = similarity.prune_by_score(scored, similarity.jaccard(weights, multiset=True, above=config.similar), threshold=config.similar)
     at = annotate.located(kept.join(found, "circ_id"), g.fragments)
     return annotate.located(found, g.fragments), annotate.annotated(at, config), annotate.located(uncombined, g.fragments)

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (tables it reads, query). Plain SQL that both engines understand; div is written as (a - a % b) / b cast to bigint.
@@ -38,14 +40,21 @@ SQL = {
         concat('chr', 1 + l_orderkey % 5 + case when l_partkey % 11 = 0 then 1 else 0 end) as chr, (l_orderkey % 50) * 100000 + (l_partkey % 40) * 700 as start,
         (l_orderkey % 50) * 100000 + (l_partkey % 40) * 700 + 600 + (l_suppkey % 7) * 900 as "end", case when l_returnflag = 'R' then '-' else '+' end as strand,
         concat('f', l_partkey % 40) as frag, cast(l_quantity as double) as cov from lineitem""",
-    # a graph of which every order is a part: a fragment for each of its lines
-    "order_fragment": """select 4 * (r - 1) + 1 as fid, concat('chr', 1 + l_orderkey % 22) as chr, n * 5000 as start, n * 5000 + 300 + (l_partkey % 9) * 500 as "end",
-        4 * (r - 1) + 2 as tail, 4 * (r - 1) + 3 as head, 4 * (r - 1) + 4 as edge_id, cast(l_quantity as double) as coverage, cast(300 + (l_partkey % 9) * 500 as double) as len, l_orderkey as grp, n
-        from (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as r,
-              row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as n from lineitem) t""",
+    # a graph of which every order is a part: a fragment for each of its lines; ids follow from order and line, of which there are fewer than 64
+    "order_fragment": """select 4 * r + 1 as fid, concat('chr', 1 + l_orderkey % 22) as chr, n * 5000 as start, n * 5000 + 300 + (l_partkey % 9) * 500 as "end",
+        4 * r + 2 as tail, 4 * r + 3 as head, 4 * r + 4 as edge_id, cast(l_quantity as double) as coverage, cast(300 + (l_partkey % 9) * 500 as double) as len, l_orderkey as grp, n, m,
+        n > 1 and l_returnflag = 'R' as minus
+        from (select *, l_orderkey * 64 + n as r from (select *, count(*) over (partition by l_orderkey) as m,
+              row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as n from lineitem) q) t""",
+    # a fragment for each part
+    "part_fragment": """select 4 * (p_partkey - 1) + 1 as fid, concat('chr', 1 + p_partkey % 22) as chr, p_partkey * 5000 as start, p_partkey * 5000 + 300 + p_size * 50 as "end", cast(p_size as double) as coverage from part where p_partkey > 0""",
+    # reads as long as those of events, laid on the tracked part of the chromosomes
+    "near_read": """select concat('r', event_id) as name, concat('chr', 1 + user_id % 22) as chr, (event_id * 7919) % span as ref_start,
+        (event_id * 7919) % span + 500 + (user_id * 37) % 5000 as ref_end, 500 + (user_id * 37) % 5000 as query_length, event_id % 17 <> 0 as is_mapped, event_id % 5 = 0 as is_secondary
+        from events cross join (select max(cast((p_partkey - p_partkey % 22) / 22 as bigint)) * 50 + 20 as span from part) s""",
 }
 
-NEEDS = {"sv": ["lineitem"], "coverage": ["part"], "chrom": ["part"], "cut": ["supplier", "part"], "read": ["events"], "path_step": ["lineitem"], "circle_fragment": ["lineitem"], "piece": ["lineitem"], "order_fragment": ["lineitem"]}
+NEEDS = {"sv": ["lineitem"], "coverage": ["part"], "chrom": ["part"], "cut": ["supplier", "part"], "read": ["events"], "path_step": ["lineitem"], "circle_fragment": ["lineitem"], "piece": ["lineitem"], "order_fragment": ["lineitem"], "part_fragment": ["part"], "near_read": ["events", "part"]}
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +62,12 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in NEEDS[name]}
     text = SQL[name].replace("{string}", "string").replace('"end"', "`end`")
     for t in NEEDS[name]:
-        text = text.replace(f"from {t}", f"from {{{t}}}")
+        text = re.sub(rf"from {t}\b", f"from {{{t}}}", text)
     return spark.sql(text, **tables)
 
 
 def duck(*names: str, more: str = "") -> str:
-    """WITH clause of the relations."""
+    """WITH clause of the relations. Each is computed once, however often it is named."""
     parts = [f"{n} as ({SQL[n].replace('{string}', 'varchar')})" for n in names]
-    return "with recursive " + ",\n".join(parts) + (",\n" + more if more else "") + "\n"
+    text = ",\n".join(parts) + (",\n" + more if more else "")
+    return "with recursive " + re.sub(r"(\w) as \((select|with)", r"\1 as materialized (\2", text) + "\n"

@@ -51,10 +51,14 @@ def read_circles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """chr, seq: records of FASTA files, split at '>' by Spark's own text reader; a name ends at white space."""
-    records = spark.read.text(path, lineSep=">").where("value <> ''")
+    return fasta_records(spark.read.text(path, lineSep=">"))
+
+
+def fasta_records(records: DataFrame) -> DataFrame:
+    """chr, seq of (value): a record's text after its '>'."""
     name = F.regexp_extract("value", r"^\s*(\S+)", 1)
     body = F.regexp_replace(F.regexp_extract("value", r"^[^\n]*\n([\s\S]*)$", 1), r"\s", "")
-    return records.select(name.alias("chr"), body.alias("seq")).where("chr <> ''")
+    return records.where("value <> ''").select(name.alias("chr"), body.alias("seq")).where("chr <> ''")
 
 
 def _binary(spark: SparkSession, path: str, parse, columns: str) -> DataFrame:

@@ -122,10 +122,12 @@ def multi_sample_pick(samples: Column) -> Column:
     return F.array_max(F.transform(samples, lambda s, i: F.struct(F.coalesce(number(s, 1), F.lit(-1).cast("bigint")).alias("dv"), (-i).alias("i"), number(s, 0).alias("dr"), s["GT"].alias("gt"))))
 
 
-def sv_filter(sv: DataFrame, config: Config = Config()) -> DataFrame:
-    """Calls that pass all quality rules. A record with an error stops the query with its message."""
-    # asked once, as one condition of its own: an expression that several conditions share may be computed before all of them
-    counted = sv.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).isNull())).drop("error")
+def sv_filter(sv: DataFrame, config: Config = Config(), *, skip_bad: bool = False) -> DataFrame:
+    """Calls that pass all quality rules. A record with an error stops the query with its message, or is left out (skip_bad)."""
+    if skip_bad:
+        counted = sv.where(F.col("error").isNull()).drop("error")
+    else:  # asked once, as one condition of its own: an expression that several conditions share may be computed before all of them
+        counted = sv.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).isNull())).drop("error")
     if config.drop_all_mates:
         single = counted.where(F.col("mate").isNull())
     else:  # of two records that name each other, the first stays
@@ -155,13 +157,22 @@ def quality_rule(config: Config = Config()) -> Column:
     )
 
 
-def filter_vcf(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:
-    """(ord, value): the file's header and the lines of the calls that pass, ready to be written as text."""
-    lines = clean_lines(read_lines(spark, path), config.multi)
-    kept = sv_filter(normalise(parse(lines), config), config)
+def filter_lines(lines: DataFrame, config: Config = Config(), *, skip_bad: bool = False) -> DataFrame:
+    """(ord, value) of clean lines: the header, and the lines of the calls that pass."""
+    kept = sv_filter(normalise(parse(lines), config), config, skip_bad=skip_bad)
     return lines.where("value like '#%'").unionByName(lines.join(kept.select("ord"), "ord", "left_semi"))
 
 
+def bad_records(lines: DataFrame, config: Config = Config()) -> DataFrame:
+    """(ord, sv_id, error) of the records that lack what their caller's dialect must have."""
+    return normalise(parse(lines), config).where(F.col("error").isNotNull()).select("ord", "sv_id", "error")
+
+
+def filter_vcf(spark: SparkSession, path: str, config: Config = Config(), *, skip_bad: bool = False) -> DataFrame:
+    """(ord, value): the file's header and the lines of the calls that pass, ready to be written as text."""
+    return filter_lines(clean_lines(read_lines(spark, path), config.multi), config, skip_bad=skip_bad)
+
+
 def read_calls(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:
     """A VCF file's calls that pass, in one schema."""
     return sv_filter(normalise(read_vcf(spark, path, config.multi), config), config)

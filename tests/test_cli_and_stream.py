@@ -30,6 +30,7 @@ def test_reconstruct_and_filter(spark, sample):
     bed = spark.read.csv(f"{out}/reconstruct.ecDNA.bed", sep="\t", header=True)
     assert bed.columns == ["#chr", "start", "end", "circ_id", "fragment_id", "strand", "coverage", "estimated_proportions"]
     assert {r.circ_id for r in bed.collect()} == {"2", "3"}
+    assert spark.read.text(f"{out}/clean.vcf").count() == spark.read.text(f"{out}/clean_filtered.vcf").count() == 10
     assert cli.main(["filter", "-i", f"{sample}/calls.vcf", "-o", f"{sample}/f"]) == 0
     assert spark.read.text(f"{sample}/f").count() == 10
 

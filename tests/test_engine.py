@@ -208,7 +208,7 @@ def test_prunes_equal_models(spark):
     circles = {c: tuple(rng.sample(range(12), rng.randint(1, 5))) for c in range(40)}
     score = {c: float(rng.randint(1, 5)) for c in circles}
     w = spark.createDataFrame([(c, f, 1, length[f]) for c, p in circles.items() for f in p], "circ_id long, fid long, mult long, len double")
-    j = similarity.jaccard(w, multiset=False)
+    j = similarity.jaccard(w, multiset=False, above=0.4)
     alike = lambda a, b: likeness(circles[a], circles[b], length)
     kept = {c for c in circles if not any(d > c and alike(c, d) > 0.5 for d in circles)}
     df = spark.createDataFrame([(c, score[c], c) for c in circles], "circ_id long, score double, ord long").withColumn("first", F.lit(1))
