@@ -26,8 +26,8 @@ def merge(points: DataFrame, distance: int = 50, *, bin_size: int = BIN) -> Data
     depend on each other; only a run is folded as an array, never a chromosome. Gaps and the place
     where a position's run begins are found in bins.
     """
-    gaps = last_known(points.select("chr", "pos").distinct(), "chr", "pos", F.col("pos"), "__before", strictly=True, bin_size=bin_size)
-    starts = F.when(F.col("__before").isNull() | (F.col("pos") - F.col("__before") > distance), F.col("pos"))
+    gaps = last_known(points.select("chr", "pos").distinct(), "chr", "pos", F.lit(True), "__before", strictly=True, bin_size=bin_size)
+    starts = F.col("__before").isNull() | (F.col("pos") - F.col("__before") > distance)
     runs = last_known(gaps, "chr", "pos", starts, "__run", bin_size=bin_size)
     folded = runs.groupBy("chr", "__run").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
     pairs = folded.select("chr", "ps", anchors_of(F.col("ps"), distance).alias("as")).select("chr", F.explode("ps").alias("pos"), "as")

@@ -59,7 +59,7 @@ def adjacent(fragments: DataFrame, distance: int = 50) -> DataFrame:
     """fid1, fid2, chr, bp: fragments that follow each other by fid and meet within ``distance``; bp is where they meet."""
     ids = fragments.select("fid", "chr", "start", "end")
     # ids follow chromosomes, so neighbours by id on one chromosome are neighbours of all
-    x = last_known(ids, "chr", "fid", F.struct("fid", "start", "end"), "p", strictly=True).where("p is not null")
+    x = last_known(ids, "chr", "fid", F.lit(True), "p", take=["fid", "start", "end"], strictly=True).where("p is not null")
     bp = F.when(F.abs(F.col("start") - F.col("p.end")) < distance, F.col("start")).when(F.abs(F.col("p.start") - F.col("end")) < distance, F.col("p.start"))
     return x.select(F.col("p.fid").alias("fid1"), F.col("fid").alias("fid2"), "chr", bp.alias("bp")).where("bp is not null")
 

@@ -31,12 +31,12 @@ def stab_join(points: DataFrame, fragments: DataFrame, at: Column, name: str, ta
     that starts at or before it. Both sides are put in order of position together, in bins; a bin
     that begins inside a fragment is told so by a table of one row for each bin. points must have a column chr.
     """
-    inner = F.struct(F.col("end").alias("end"), *take)
-    cols = points.columns
-    p = points.select(F.col("chr").alias("__chr"), at.cast("bigint").alias("__at"), F.lit(1).alias("__point"), F.struct(*cols).alias("__row"), F.lit(None).alias("__frag"))
-    f = fragments.select(F.col("chr").alias("__chr"), F.col("start").alias("__at"), F.lit(0).alias("__point"), F.lit(None).alias("__row"), inner.alias("__frag"))
-    found = last_known(p.unionByName(f), "__chr", "__at", F.col("__frag"), "__last", then=("__point",), bin_size=bin_size).where("__point = 1")
-    held = F.when(F.col("__at") < F.col("__last.end"), F.struct(*[F.col(f"__last.{c}").alias(c) for c in take]))
+    inner = {"__end": F.col("end"), **{f"__take_{c}": F.col(c) for c in take}}
+    none = fragments.select(*[c.alias(n) for n, c in inner.items()]).schema
+    p = points.select(F.col("chr").alias("__chr"), at.cast("bigint").alias("__at"), F.lit(1).alias("__point"), F.struct(*points.columns).alias("__row"), *[F.lit(None).cast(none[n].dataType).alias(n) for n in inner])
+    f = fragments.select(F.col("chr").alias("__chr"), F.col("start").alias("__at"), F.lit(0).alias("__point"), F.lit(None).alias("__row"), *[c.alias(n) for n, c in inner.items()])
+    found = last_known(p.unionByName(f), "__chr", "__at", F.col("__point") == 0, "__last", take=list(inner), then="__point", bin_size=bin_size).where("__point = 1")
+    held = F.when(F.col("__at") < F.col("__last.__end"), F.struct(*[F.col(f"__last.__take_{c}").alias(c) for c in take]))
     return found.select("__row.*", held.alias(name))
 
 

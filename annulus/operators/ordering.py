@@ -14,17 +14,22 @@ from annulus.operators.lineage import durable
 BIN = 1_000_000  # bases; a chromosome spreads over hundreds of tasks
 
 
-def last_known(rows: DataFrame, key: str, at: str, value: Column, name: str, *, then: tuple[str, ...] = (), strictly: bool = False, bin_size: int = BIN) -> DataFrame:
-    """``rows`` with ``name``: of the rows of the same key, in order of ``at`` and ``then``, the last ``value`` that isn't null
-    up to this row (strictly: before it); null if there is none."""
-    x = rows.withColumns({"__bin": F.floor(F.col(at) / bin_size).cast("long"), "__value": value})
-    order = [at, *then]
-    within = Window.partitionBy(key, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strictly else 0)
-    tops = x.groupBy(key, "__bin").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order))).alias("__top"))
+def last_known(rows: DataFrame, key: str, at: str, known: Column, name: str, *, take: list[str] | None = None, then: str | None = None, strictly: bool = False, bin_size: int = BIN) -> DataFrame:
+    """``rows`` with ``name``: of the rows of the same key, in order of ``at`` and ``then``, the last one that is ``known``, up to
+    this row (strictly: before it); null if there is none. It is given by its ``at``, or a struct of ``take``.
+
+    Known rows of one key must differ in ``at`` if ``take`` is given.
+    """
+    x = rows.withColumns({"__bin": F.floor(F.col(at) / bin_size).cast("long"), "__known": known})
+    value = F.struct(*take) if take else F.col(at)
+    within = Window.partitionBy(key, "__bin").orderBy(at, *([then] if then else [])).rowsBetween(Window.unboundedPreceding, -1 if strictly else 0)
+    tops = x.groupBy(key, "__bin").agg(F.max(F.when(F.col("__known"), F.col(at))).alias("__top"))
     before = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    far = tops.select(key, "__bin", F.last("__top", ignorenulls=True).over(before).alias("__far"))
-    near = x.withColumn("__near", F.last("__value", ignorenulls=True).over(within))
-    return near.join(far, [key, "__bin"]).select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("__near", "__far").alias(name))
+    far = tops.select(key, "__bin", F.last("__top", ignorenulls=True).over(before).alias("__far")).where("__far is not null")
+    if take:
+        far = far.join(x.where("__known").select(key, F.col(at).alias("__far"), value.alias("__value")), [key, "__far"]).select(key, "__bin", F.col("__value").alias("__far"))
+    near = x.withColumn("__near", F.last(F.when(F.col("__known"), value), ignorenulls=True).over(within))
+    return near.join(far, [key, "__bin"], "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("__near", "__far").alias(name))
 
 
 def numbered(rows: DataFrame, order: list[str | Column], name: str, first: int = 0) -> DataFrame:

@@ -20,13 +20,16 @@ from tests.test_engine import CALLS, HEAD, line
 @pytest.mark.parametrize("bin_size", [7, 10**6])
 def test_last_known(spark, bin_size):
     rng = random.Random(bin_size)
-    rows = [(rng.choice("ab"), at, i, rng.choice([None, i])) for i, at in enumerate(rng.choices(range(200), k=150))]
-    df = spark.createDataFrame(rows, "k string, at long, i long, v long")
+    rows = [(k, at, i, bool(rng.randint(0, 1))) for i, (k, at) in enumerate(rng.sample([(k, at) for k in "ab" for at in range(200)], 150))]
+    rows += [(k, at, 1000 + i, False) for k, at, i, v in rows if v][:40]  # others at the place of a known one
+    df = spark.createDataFrame(rows, "k string, at long, i long, v boolean")
     for strictly in (False, True):
-        got = {r.i: r.x for r in last_known(df, "k", "at", F.col("v"), "x", then=("i",), strictly=strictly, bin_size=bin_size).collect()}
-        for k, at, i, v in rows:
-            before = [(a, j, w) for q, a, j, w in rows if q == k and w is not None and ((a, j) < (at, i) if strictly else (a, j) <= (at, i))]
-            assert got[i] == (max(before)[2] if before else None)
+        for take in (None, ["i"]):
+            got = {r.i: r.x for r in last_known(df, "k", "at", F.col("v"), "x", take=take, then="i", strictly=strictly, bin_size=bin_size).collect()}
+            for k, at, i, v in rows:
+                before = [(a, j) for q, a, j, w in rows if q == k and w and ((a, j) < (at, i) if strictly else (a, j) <= (at, i))]
+                want = max(before)[0 if take is None else 1] if before else None
+                assert (got[i].i if take and got[i] else got[i]) == want
 
 
 def test_numbered(spark):
