@@ -24,15 +24,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 
     The rows are those whose hash of the id falls into the share that ``limit`` is of all, so the sample
     is the same on every run and spread over the whole table, and nothing is sorted to find it. A
-    limit a quarter higher bounds what a model is fitted on in any case. Ids that occur twice among the
-    labels take the larger label; null ids or labels are left out.
+    limit a quarter higher bounds what a model is fitted on in any case: an id that occurs on several rows gives one
+    row, with the least of its texts. Ids that occur twice among the labels take the larger label; null ids
+    or labels are left out.
     """
     fit = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out("k"))
     share = int(min(1.0, limit / max(fit.count(), 1)) * (1 << 20))
     chosen = fit.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share).limit(limit + limit // 4 + 64).groupBy("k").agg(F.max("y").alias("y"))
     # the limit, of a long and an int each, makes the broadcast safe
-    return (
-        docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("k"))
-        .select("doc_id", "text", "y")
-    )
+    found = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("k"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -8,8 +8,10 @@ same number of smallest hashes, enough for the partition's largest item: if a do
 that many smallest hashes the document must hold one. Candidate search therefore loses nothing.
 Candidates are verified by exact containment over the item's shingles.
 
-The items are a stated query set. They are taken in blocks of bounded size, and each block is searched
-in all documents in a pass of its own, so a benchmark of any size needs no more memory.
+The items are a stated query set. Up to a bounded size they are one index that travels to the documents, which stay
+where they are. A larger benchmark becomes tables: of its sketches and of all its shingles, both by hash. Documents are still
+read once; of their shingles only those leave a task that a filter of bounded size says may be an item's. These meet the sketches,
+which gives candidates, and then all shingles of the candidate items, which are counted. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +42,7 @@ def shingles(text: str) -> list[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class Index:
-    """Items of one block, by number. probe: shingle of a sketch -> items; held: shingle -> items; item: (id, shingles, least shared)."""
+    """Items by number. probe: shingle of a sketch -> items; held: shingle -> items; item: (id, shingles, least shared)."""
 
     probe: dict
     held: dict
@@ -92,18 +95,9 @@ def find(text: str, ix: Index) -> list[tuple[object, int, int]]:
     return sorted(out)
 
 
-def blocks(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The items, a block of about ``chars`` characters at a time; a repeated item counts once."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).distinct()
-    block, size = [], 0
-    for r in items.toLocalIterator():  # one partition at a time
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"]) + 64
-        if size >= chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item_id, text of each different item; a repeated one counts once, null ids are left out."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).distinct()
 
 
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("size", T.LongType())]))
@@ -118,14 +112,78 @@ def hits_column(text: Column, ix: Index) -> Column:
     return found.asNondeterministic()(text)  # else the plan would run it once more, to filter before the explosion
 
 
-def passes(benchmark: DataFrame, threshold: float, chars: int) -> Iterator[tuple[Index, bool]]:
-    """The index of each block, and whether another one follows. One index exists at a time."""
-    held = None
-    for block in blocks(benchmark, chars):
-        if held is not None:
-            yield index(held, threshold), True
-        held = block
-    yield index(held or [], threshold), False
+def small_index(items: DataFrame, threshold: float, chars: int) -> Index | None:
+    """The index of all items, or None if they have over ``chars`` characters together."""
+    if items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0] > chars:
+        return None
+    return index([(r["item_id"], r["text"]) for r in items.collect()], threshold)
+
+
+def hashed(shingle: tuple[str, ...]) -> int:
+    """A shingle's hash, as a signed number."""
+    import xxhash
+
+    x = xxhash.xxh64_intdigest("\x1f".join(shingle))
+    return x - (1 << 64) if x >> 63 else x
+
+
+def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
+    """item (hash of id and text), item_id, size, width, h, probe: each distinct shingle of each item, and whether the item's sketch has it."""
+
+    def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for item, i, t in zip(pdf["item"], pdf["item_id"], pdf["text"]):
+                s = {hashed(x): len(x) for x in shingles(t)}
+                keep = sketch_size((1 << len(s).bit_length()) - 1, threshold) if s else 0
+                rows += [(item, i, len(s), s[h], h, k < keep) for k, h in enumerate(sorted(s, key=lambda h: h % (1 << 64)))]
+            yield pd.DataFrame(rows, columns=["item", "item_id", "size", "width", "h", "probe"]).astype({"item": "int64", "item_id": "int64", "size": "int64", "width": "int32", "h": "int64", "probe": bool})
+
+    return items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInPandas(made, "item long, item_id long, size long, width int, h long, probe boolean")
+
+
+class Sieve:
+    """A filter of hashes in at most 2^``most`` bits: it lets through all that were put in, and few others."""
+
+    def __init__(self, hashes: DataFrame, most: int = 28):
+        n = hashes.count()
+        self.bits = min(most, max(10, (16 * max(n, 1)).bit_length()))
+        at = [F.col("h").bitwiseAND(F.lit((1 << self.bits) - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit((1 << self.bits) - 1))]
+        bit = hashes.select(F.explode(F.array(*at)).alias("b")).select(F.shiftright("b", 5).alias("word"), F.expr("shiftleft(1L, cast(b & 31 as int))").alias("bit"))
+        got = bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        self.words = np.zeros(1 << (self.bits - 5), np.uint32)
+        self.words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+
+    def passed(self, h: np.ndarray) -> np.ndarray:
+        u, mask = h.view(np.uint64), np.uint64((1 << self.bits) - 1)
+        ok = np.ones(len(h), bool)
+        for b in (u & mask, (u >> np.uint64(32)) & mask):
+            ok &= (self.words[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+        return h[ok]
+
+
+def spread(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """th (hash of a text), item_id, n_shared, n_item: which texts hold which items, by tables of hashes."""
+    held = durable(item_shingles(items, threshold))
+    widths = tuple(sorted(r["width"] for r in held.select("width").distinct().collect()))  # at most five numbers
+    sieve = Sieve(held.select("h").distinct())
+
+    @F.pandas_udf("array<long>")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            out = []
+            for t in texts:
+                w = WORD.findall((t or "").lower())
+                seen = {hashed(x) for n in widths for x in set(zip(*(w[k:] for k in range(n))))}
+                out.append(sieve.passed(np.fromiter(seen, np.int64, len(seen))))
+            yield pd.Series(out, dtype=object)
+
+    text = F.coalesce("text", F.lit(""))
+    hits = durable(docs.select(F.xxhash64(text).alias("th"), F.explode(found.asNondeterministic()(text)).alias("h")).distinct())
+    pairs = hits.join(held.where("probe").select("h", "item"), "h").select("th", "item").distinct()
+    asked = pairs.join(held.select("item", "item_id", "size", "h"), "item")
+    counted = asked.join(hits, ["th", "h"]).groupBy("th", "item", "item_id", "size").agg(F.count("*").alias("shared"))
+    return counted.where(F.col("shared") >= threshold * F.col("size") - 1e-9).select("th", "item_id", F.col("shared").alias("n_shared"), F.col("size").alias("n_item"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:
@@ -133,24 +191,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.
 
     Only pairs with containment >= threshold. Null or empty texts and items without words hold and
     match nothing; items with null ids are left out; repeated rows are reported each; an id with
-    several texts is one set for each text. Extra columns are ignored, whatever their names.
-    Items are taken ``chars`` characters at a time; each block is a pass over the documents, and only
-    its index is in memory while it runs.
+    several texts is one set for each text. Extra columns are ignored, whatever their names. Items of over ``chars``
+    characters together are searched by tables; documents are read once either way.
     """
-    out = None
-    for ix, more in passes(benchmark, threshold, chars):
+    items = items_of(benchmark)
+    ix = small_index(items, threshold, chars)
+    share = (F.col("n_shared") / F.col("n_item")).alias("containment")
+    if ix is not None:
         x = docs.select("doc_id", F.explode(hits_column(F.coalesce(F.col("text"), F.lit("")), ix)).alias("h"))
-        x = x.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.shared").alias("n_shared"), F.col("h.size").alias("n_item"), (F.col("h.shared") / F.col("h.size")).alias("containment"))
-        if more or out is not None:
-            x = durable(x)
-        out = x if out is None else out.unionByName(x)
-    return out
+        return x.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.shared").alias("n_shared"), F.col("h.size").alias("n_item")).select("*", share)
+    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return own.join(spread(docs, items, threshold), "th").select("doc_id", "item_id", "n_shared", "n_item", share)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns as they were; a pass for each block of items."""
-    for ix, more in passes(benchmark, threshold, chars):
-        docs = docs.where(F.size(hits_column(F.coalesce(F.col("text"), F.lit("")), ix)) == 0)
-        if more:
-            docs = durable(docs)
-    return docs
+    """The rows of ``docs`` that hold no benchmark item, with their columns as they were, whatever their names."""
+    items = items_of(benchmark)
+    ix = small_index(items, threshold, chars)
+    if ix is not None:
+        return docs.where(F.size(hits_column(F.coalesce(F.col("text"), F.lit("")), ix)) == 0)
+    bad = spread(docs, items, threshold).select("th").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return keyed.join(bad, "th", "left_anti").select("row.*")

@@ -74,12 +74,14 @@ def sketch_by(docs: DataFrame, key: str, k: int = K) -> DataFrame:
     return s.select(F.col("key").alias(key), written(F.col("s")).alias("fingerprint"), distinct_shingles(F.col("s"), k).alias("n_shingles"))
 
 
-def with_next(docs: DataFrame, *, rows: int = 500, most: int = 65_536) -> DataFrame:
-    """doc_id, text, next: each row and the text of the row after it by (doc_id, hash of the text); after the last, the first.
-
-    Ids are cut into ranges of about ``rows`` rows (at most ``most`` ranges) along approximate
-    quantiles, and each range is shuffled to one task by itself; no task sees the whole order. A
-    range's last row needs the next range's first row, so that row is sent to both. Null ids come first.
+def with_next(docs: DataFrame, made: Column | None = None, *, rows: int = 500, most: int = 262_144) -> DataFrame:
+    """doc_id, text, made, next: each row, and as next the struct (text, made) of the row after it by (doc_id, hash of the text); after the last, the first.
+
+    made: what is made of each text before rows are put in order, so that a row's neighbour needn't make it again.
+    Ids are integers. They are cut into ranges of about ``rows`` rows along approximate quantiles, and each range is
+    shuffled to one task by itself; no task sees the whole order. ``most`` bounds the table of ranges that is broadcast,
+    not the rows: beyond it ranges hold more rows and are sorted with spills. A range's last row needs the next range's
+    first row, so that row is sent to both. Null ids come first.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n, low, high, marks = d.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 2000)).first()
@@ -97,9 +99,9 @@ def with_next(docs: DataFrame, *, rows: int = 500, most: int = 65_536) -> DataFr
     sent = [(f["id"] if f["some"] else None, b, firsts[i - 1][0]) for i, (b, f) in enumerate(firsts)]
     table = d.sparkSession.createDataFrame(sent, "id long, of long, to long")
     ghosts = d.join(F.broadcast(table), d["doc_id"].eqNullSafe(table["id"]) & (d["bucket"] == table["of"])).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
-    every = d.select("doc_id", "text", "bucket", F.lit(False).alias("ghost")).unionByName(ghosts)
+    every = d.select("doc_id", "text", "bucket", F.lit(False).alias("ghost")).unionByName(ghosts).withColumn("made", F.lit(None).cast("long") if made is None else made)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return every.withColumn("next", F.lead("text").over(order)).where("not ghost").select("doc_id", "text", "next")
+    return every.withColumn("next", F.lead(F.struct("text", "made")).over(order)).where("not ghost").select("doc_id", "text", "made", "next")
 
 
 def edited_halves(docs: DataFrame, k: int = K) -> DataFrame:
@@ -112,6 +114,6 @@ def edited_halves(docs: DataFrame, k: int = K) -> DataFrame:
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    w = with_next(docs).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next").substr(F.lit(1), half)))
-    s = w.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text"), k).alias("s"), sketch(F.col("edited"), k).alias("e"), sketch(F.col("next"), k).alias("x"))
+    w = with_next(docs, sketch(F.col("text"), k)).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next.text").substr(F.lit(1), half)))
+    s = w.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("made").alias("s"), sketch(F.col("edited"), k).alias("e"), F.col("next.made").alias("x"))
     return s.select("doc_id", "n_chars", "edited_sha256", written(F.col("s")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"), resemblance(F.col("s"), F.col("e"), k).alias("near_edited"), resemblance(F.col("s"), F.col("x"), k).alias("near_next"))

@@ -1,23 +1,25 @@
-"""Near copies: all pairs of texts that share four in five of their five-word shingles, then connected classes.
+"""Near copies: connected classes of texts that share four in five of their five-word shingles.
 
 A text is the set of its distinct shingles, as 64-bit hashes; texts with equal sets are one node. Resemblance is
-shared / (all of both), and a pair is linked if it is at least 0.8. Search is exact but for collisions of the hashes:
-
-* All sets are sorted in one order, shingles that are common in a sample last. Two linked sets share a shingle among
-  the first fifth of each (prefix filter), so candidates are the pairs of a shingle's list, less those whose
-  sizes or places in the order leave too few shingles to share. Any order loses nothing; that of the sample keeps the
-  lists of common passages short.
-* Lists of many near copies would have a square of pairs. One member is compared with the others first, and what is
-  linked becomes one class; pairs within a class need no comparison. All pairs between classes of a list are compared.
-* Candidates are verified in two steps: bitmaps of the parity of each hash bucket differ in no more bits than the sets
-  do in shingles, so too many differing bits rule a pair out; the rest is counted over the shingles themselves, made
-  anew from the few texts still in question, so nothing as large as the texts is kept.
+shared / (all of both), and a pair is linked if it is at least 0.8. No pair is linked without an exact count of its shingles.
+
+1. SimHash brings most copies together: the fingerprints' links by vantage-point trees (simhash.links) are counted, and
+   what is alike enough becomes classes.
+2. Fingerprints alone would lose pairs: a passage that is appended or cut moves them by ten bits and more. So each node
+   also has MinHash bands, and nodes that share a band's key and aren't of one class yet are compared. A pair at 0.8 has no
+   band in common with a probability of (1 - 0.8^3)^24 < 1e-7; all keys are followed, however many nodes share one.
+3. Comparison is again in Hamming space: a node's sketch has a bit for each bucket of hashes, set if it holds an odd
+   number of them. Two sketches differ in no more bits than the sets do in shingles, so a pair whose sketches differ
+   in over (n + m) / 9 bits isn't linked. Under this metric a vantage point rules out most others by the triangle
+   inequality. Pairs inside a class are never compared, and a cell of a key's nodes, which one task holds, is of bounded size.
+4. Of the pairs that pass, those whose sketches leave no doubt give a spanning forest of each cell, the doubtful ones are all
+   given; both are counted exactly. Should a pair without doubt fail, the keys of its nodes are gone through again
+   with every pair taken as doubtful.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,13 @@ from annulus.llm.common import components, durable
 
 SEED = 42
 WIDTH = 5
-MADE = "node long, n int, prefix array<long>, map binary"
+BANDS, ROWS = 24, 3
+CELL = 2048  # nodes of one side of a cell
+MADE = "node long, n int, bands array<long>, sketch binary"
+
+_rng = np.random.default_rng(7)
+FLIP = _rng.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+ODD = _rng.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -53,21 +61,33 @@ def enough(shared: int, n: int, m: int) -> bool:
     return 9 * shared >= 4 * (n + m)
 
 
-def parity(s: np.ndarray) -> bytes:
-    """A bit for each bucket of the hashes, set if it holds an odd number; the buckets are a power of two, two for each shingle or more."""
-    size = max(64, 1 << int(2 * len(s)).bit_length())
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """A key for each band: its minima over the set, mixed with the band's number."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 4096):
+        x = (s[i : i + 4096, None] ^ FLIP[None, :]) * ODD[None, :]
+        x ^= x >> np.uint64(31)
+        low = np.minimum(low, x.min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ low[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each bucket of the hashes, set if it holds an odd number; there are four to eight buckets for each shingle, a power of two."""
+    size = max(64, 1 << int(4 * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def odd_bits(a: bytes, b: bytes) -> int:
-    """Bits in which two bitmaps differ, at the size of the smaller one: the number of shingles of one set alone, or fewer."""
-    x, y = (np.frombuffer(m, np.uint64) for m in (a, b))
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they would be with fewer buckets."""
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
 
 def node_of(s: np.ndarray) -> int:
@@ -88,12 +108,8 @@ def whole_column(text: Column) -> Column:
     return made.asNondeterministic()(text)  # else a plan may run it twice
 
 
-def prefix_column(text: Column, common: np.ndarray, rank: np.ndarray) -> Column:
-    """struct(node, n, prefix, map): the set's hash and size, its first shingles in the common order, its bitmap.
-
-    ``common`` (sorted) are shingles to be put last, by ``rank``. A linked set holds four in five of the n shingles or
-    more, so one of them is among the first n - ceil(4n / 5) + 1. A set that a task meets again has no prefix and no map.
-    """
+def made_column(text: Column) -> Column:
+    """struct(node, n, bands, sketch). A set that a task meets again has no bands and no sketch, nor has one without shingles."""
 
     @F.pandas_udf(MADE)
     def made(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -102,110 +118,213 @@ def prefix_column(text: Column, common: np.ndarray, rank: np.ndarray) -> Column:
             out = []
             for t in texts:
                 s = shingles(t or "")
-                node, n = node_of(s), len(s)
-                if node in seen:
-                    out.append((node, n, None, None))
-                    continue
+                node = node_of(s)
+                again = node in seen or not len(s)
                 seen.add(node)
-                ordered = s
-                if len(common) and n:
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    ordered = s[np.argsort(np.where(common[at] == s, rank[at], 0), kind="stable")]
-                out.append((node, n, ordered[: n - (4 * n + 4) // 5 + 1].view(np.int64), parity(s)))
-            yield pd.DataFrame(out, columns=["node", "n", "prefix", "map"])
+                out.append((node, len(s), None if again else band_keys(s).view(np.int64), None if again else sketch(s)))
+            yield pd.DataFrame(out, columns=["node", "n", "bands", "sketch"])
 
     return made.asNondeterministic()(text)
 
 
-def common_shingles(docs: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, ranks) of up to ``most`` shingles that several texts of a sample of about ``sample`` rows hold."""
-    share = int(min(1.0, sample / max(docs.count(), 1)) * (1 << 20))
-    text = F.coalesce("text", F.lit(""))
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share).limit(2 * sample).select(F.xxhash64(text).alias("th"), text.alias("text")).dropDuplicates(["th"]).select(whole_column(F.col("text")).alias("p"))
-    held = some.select(F.explode("p.shingles").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    got = held.orderBy(F.desc("c"), "token").limit(most).toPandas()
-    tokens = got["token"].to_numpy(np.int64).view(np.uint64)
-    at = np.argsort(tokens)
-    return tokens[at], got["c"].to_numpy(np.int64)[at]
-
-
-def linked(pairs: DataFrame, maps: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The (a, b) of ``pairs`` that are alike enough. maps: node, n, map; sets: (node, shingles) of the nodes it is given."""
+def close(V: np.ndarray, nv: np.ndarray, R: np.ndarray, nr: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of V, row of R, differing bits) of the sketches of one width that may be linked, by a vantage point and triangle bounds."""
+    most = (int(nv.max()) + int(nr.max())) // 9
+    point = R[0]
+    dv, dr = (np.bitwise_count(x ^ point).sum(axis=1, dtype=np.int64) for x in (V, R))
+    iv, ir = np.argsort(dv, kind="stable"), np.argsort(dr, kind="stable")
+    dv, dr = dv[iv], dr[ir]
+    at = 0
+    while at < len(iv):
+        lo = int(np.searchsorted(dr, dv[at] - most, "left"))
+        step = max(1, (1 << 21) // (max(1, len(ir) - lo) * R.shape[1]))
+        stop = min(len(iv), at + step)
+        hi = int(np.searchsorted(dr, dv[stop - 1] + most, "right"))
+        i, j = iv[at:stop], ir[lo:hi]
+        at = stop
+        if not len(j):
+            continue
+        differ = np.zeros((len(i), len(j)), np.int64)
+        for w in range(R.shape[1]):
+            differ += np.bitwise_count(V[i, w, None] ^ R[None, j, w])
+        both = nv[i][:, None] + nr[j][None, :]
+        a, b = np.nonzero((9 * differ <= both) & (9 * np.abs(nv[i][:, None] - nr[j][None, :]) <= both))
+        yield i[a], j[b], differ[a, b]
+
+
+def spanning(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the pairs that tie the labels into a forest; ``label`` becomes that of the tied classes."""
+    kept = []
+    up = np.arange(int(label.max()) + 1 if len(label) else 0)
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    def likely(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    while True:
+        a, b = label[i], label[j]
+        left = np.flatnonzero(a != b)
+        if not len(left):
+            return np.array(kept, np.int64)
+        first = np.unique(np.concatenate([left[np.unique(x[left], return_index=True)[1]] for x in (a, b)]))
+        for k in first.tolist():
+            p, q = root(int(label[i[k]])), root(int(label[j[k]]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                kept.append(k)
+        label[:] = np.array([root(x) for x in range(len(up))])[label]
+
+
+def doubtless(differ: np.ndarray, both: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Pairs that are almost surely linked: at the limit of t differing shingles about t^2 / bits of them meet in a bucket and
+    don't show, each hiding two; five deviations more are allowed for."""
+    t = both / 9
+    return differ + t * t / bits + 5 * 2 * np.sqrt(t * t / (2 * bits)) + 2 <= t
+
+
+def cell_pairs(side: np.ndarray, n: np.ndarray, label: np.ndarray, bands: np.ndarray, sketches: list[bytes], band: int, trust: bool) -> list[tuple[int, int, bool]]:
+    """(row, row, without doubt) to be counted of a cell. side 0 meets side 1, or itself if there is no side 1; only rows of
+    different labels, and only pairs that share no earlier band."""
+    words = np.array([len(s) // 8 for s in sketches])
+    matrix = {int(w): (at := np.flatnonzero(words == w), np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), -1)) for w in np.unique(words)}
+    same = not (side == 1).any()
+    found = []
+    for w, (at, x) in matrix.items():
+        for u, (to, y) in matrix.items():
+            if not (w == u or w == 2 * u or u == 2 * w):
+                continue  # sizes too far apart
+            v, r = side[at] == 0, np.ones(len(to), bool) if same else side[to] == 1
+            if not v.any() or not r.any():
+                continue
+            V, R = folded(x[v], min(w, u)), folded(y[r], min(w, u))
+            for i, j, differ in close(V, n[at[v]], R, n[to[r]]):
+                a, b = at[v][i], to[r][j]
+                keep = (label[a] != label[b]) & ((a < b) if same else True)
+                if band:
+                    keep &= ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+                a, b, differ = a[keep], b[keep], differ[keep]
+                if len(a):
+                    sure = doubtless(differ, n[a] + n[b], np.full(len(a), 64 * min(w, u))) if trust else np.zeros(len(a), bool)
+                    found.append((a, b, differ, sure))
+    if not found:
+        return []
+    a, b, differ, sure = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(differ[sure], kind="stable")
+    sa, sb = a[sure][order], b[sure][order]
+    tied = np.unique(label, return_inverse=True)[1]
+    forest = spanning(sa, sb, tied)
+    out = [(int(sa[k]), int(sb[k]), True) for k in forest]
+    doubt = ~sure & (tied[a] != tied[b])
+    return out + [(int(p), int(q), False) for p, q in zip(a[doubt], b[doubt])]
+
+
+def counted(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``pairs`` (a, b and more) with alike: whether their shingles are enough. sets: (node, shingles) of the nodes it is given."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            keep = [9 * odd_bits(x, y) <= n + m for x, y, n, m in zip(p["ma"], p["mb"], p["na"], p["nb"])]
-            yield p.loc[np.array(keep, bool), ["a", "b"]]
+            good = [enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(p["sa"], p["sb"])]
+            yield p.drop(columns=["sa", "sb"]).assign(alike=np.array(good, bool))
 
-    def sure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            keep = [enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(p["sa"], p["sb"])]
-            yield p.loc[np.array(keep, bool), ["a", "b"]]
+    held = durable(pairs)
+    own = durable(sets(held.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    x = held.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    more = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
+    return durable(x.select(*held.columns, "sa", "sb").mapInPandas(count, f"{more}, alike boolean"))
 
-    x = pairs.join(maps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma")), "a")
-    x = x.join(maps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb")), "b")
-    left = durable(x.select("a", "b", "na", "nb", "ma", "mb").mapInPandas(likely, "a long, b long"))
-    own = durable(sets(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    y = left.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return durable(y.select("a", "b", "sa", "sb").mapInPandas(sure, "a long, b long"))
 
+def shared_keys(made: DataFrame, tied: DataFrame) -> DataFrame:
+    """key, band, node, root: the rows of the keys that nodes of several classes share. made: node, bands; tied: node, root."""
+    nodes = made.where("bands is not null").select("node", "bands").join(tied.select("node", "root"), "node", "left")
+    rows = nodes.select("node", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("band", "key"))
+    # one exchange: what is dealt by key is also free of repeats by key, and in its window
+    dealt = rows.repartition("key").dropDuplicates(["key", "node"])
+    every = Window.partitionBy("key")
+    return dealt.withColumns({"lo": F.min("root").over(every), "hi": F.max("root").over(every)}).where("lo <> hi").select("key", "band", "node", "root")
 
-def links(made: DataFrame, sets: Callable[[DataFrame], DataFrame], *, dense: int = 8) -> DataFrame:
-    """Edges (a, b) whose connected classes are those of all pairs with a resemblance of 0.8 or more.
 
-    made: node, n, prefix, map; rows without a prefix are ignored. sets: as in linked. While lists have over ``dense`` pairs
-    for each of their rows, one member of each is compared with the others, again while that halves the pairs
-    that are left; then all of these.
+def cells(rows: DataFrame) -> DataFrame:
+    """``rows`` with cell and side, cut so that no cell holds over about two times CELL rows.
+
+    Nodes of a key's largest class are its residents, all others its visitors. Visitors meet residents, slice by
+    slice, and each other; residents, of one class, needn't meet. So a large class with a few others at its side is
+    sent a few times, not as often as it has slices.
+    """
+    every = Window.partitionBy("key")
+    x = rows.withColumn("c", F.count("*").over(Window.partitionBy("key", "root")))
+    x = x.withColumn("main", F.max(F.struct("c", "root")).over(every)).withColumn("total", F.count("*").over(every))
+    x = x.withColumns({"resident": F.col("root") == F.col("main.root"), "sr": F.ceil(F.col("main.c") / CELL).cast("int"), "sv": F.ceil((F.col("total") - F.col("main.c")) / CELL).cast("int")})
+    slice_ = F.pmod(F.xxhash64("node"), F.when(F.col("resident"), F.col("sr")).otherwise(F.col("sv"))).cast("int")
+    x = x.withColumn("slice", slice_)
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    mine = F.col("slice")
+    to_residents = F.transform(span(F.col("sr")), lambda j: cell(0, mine, j, F.lit(0)))
+    to_others = F.transform(span(F.col("sv")), lambda j: cell(1, F.least(mine, j), F.greatest(mine, j), F.when(mine <= j, 0).otherwise(1)))
+    to_visitors = F.transform(span(F.col("sv")), lambda i: cell(0, i, mine, F.lit(1)))
+    meets = F.when(F.col("resident"), to_visitors).otherwise(F.concat(to_residents, to_others))
+    return x.select("key", "band", "node", "root", F.explode(meets).alias("m")).select("key", "band", "node", "root", F.struct("m.kind", "m.i", "m.j").alias("cell"), "m.side")
+
+
+def candidates(rows: DataFrame, made: DataFrame, *, trust: bool = True) -> DataFrame:
+    """a, b, sure: pairs of different classes to be counted. rows: as of shared_keys; made: node, n, bands, sketch."""
+    wanted = rows.select("node").distinct()
+    info = made.where("sketch is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    full = cells(rows).join(info, "node").select("key", "cell", "side", "band", "node", "root", "n", "bands", "sketch")
+
+    def compare(held: pd.DataFrame) -> list[tuple]:
+        label = np.unique(held["root"].to_numpy(), return_inverse=True)[1]
+        if len(held) < 2 or label.max() == 0:
+            return []
+        node = held["node"].to_numpy()
+        found = cell_pairs(held["side"].to_numpy(), held["n"].to_numpy(np.int64), label, np.stack(held["bands"].to_list()), held["sketch"].to_list(), int(held["band"].iat[0]), trust)
+        return [(int(min(node[i], node[j])), int(max(node[i], node[j])), sure) for i, j, sure in found]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # cells come one after another; a task holds one of them, and a batch
+        held: list[pd.DataFrame] = []
+        last = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            mark = list(zip(pdf["key"], pdf["kind"], pdf["i"], pdf["j"]))
+            edges = [0, *(k for k in range(1, len(mark)) if mark[k] != mark[k - 1]), len(mark)]
+            out: list[tuple] = []
+            for lo, hi in zip(edges, edges[1:]):
+                if held and mark[lo] != last:
+                    out += compare(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0])
+                    held = []
+                held.append(pdf.iloc[lo:hi])
+                last = mark[lo]
+            yield pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+        if held:
+            yield pd.DataFrame(compare(pd.concat(held, ignore_index=True)), columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+
+    order = ["key", "kind", "i", "j"]
+    flat = full.select("key", "cell.kind", "cell.i", "cell.j", "side", "band", "node", "root", "n", "bands", "sketch")
+    pairs = flat.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long, sure boolean")
+    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def links(made: DataFrame, tied: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that tie the classes of ``tied`` (node, root) to those of all pairs with a resemblance of 0.8 or more.
+
+    made: node, n, bands, sketch; rows without a sketch are ignored. sets: as in counted.
     """
-    full = made.where("prefix is not null and n > 0")
-    post = full.select("node", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token").distinct()
-    every = Window.partitionBy("token")
-    lists = durable(post.withColumn("total", F.count("*").over(every)).where("total > 1"))
-    maps = durable(full.groupBy("node").agg(F.first("n").alias("n"), F.first("map").alias("map")))
-    rows = lists.count()
-    found = lists.sparkSession.createDataFrame([], "a long, b long")
-
-    def fits(a: str, b: str) -> Column:
-        # sizes, then what both have from this place on
-        n, m, p, q = (F.col(c).cast("bigint") for c in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - p, m - q) >= 4 * (n + m))
-
-    def distinct(pairs: DataFrame) -> DataFrame:
-        return durable(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-
-    before = None
-    for i in count():
-        tied = components(found).select("node", "root") if i else None
-        x = lists.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")) if i else lists.withColumn("root", F.col("node"))
-        x = x.withColumn("c", F.count("*").over(Window.partitionBy("token", "root")))
-        x = x.withColumn("main", F.max(F.struct("c", F.xxhash64("token", "root", F.lit(i)).alias("h"), "root")).over(every))
-        x = durable(x.where("main.c < total"))  # lists of one class are done
-        out = x.where("root <> main.root")
-        many = out.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("s")).first()["s"]
-        if not many:
-            break
-        last = many <= dense * max(rows, 1000) or (before is not None and 2 * many > before)
-        before = many
-        one = F.struct("node", "n", "pos", "root")
-        if last:
-            pairs = out.select("token", one.alias("x")).join(x.select("token", one.alias("y")), "token").where((F.col("x.root") != F.col("y.root")) & fits("x", "y"))
-        else:
-            lead = F.min(F.when(F.col("root") == F.col("main.root"), F.struct(F.xxhash64("token", "node", F.lit(i)).alias("h"), one.alias("y")))).over(every)
-            pairs = x.withColumn("lead", lead).where("root <> main.root").select(one.alias("x"), F.col("lead.y").alias("y")).where(fits("x", "y"))
-        found = found.unionByName(linked(distinct(pairs), maps, sets))
-        if last:
-            break
-    return found
-
-
-def made_of(docs: DataFrame, *, sample: int = 10_000, most: int = 100_000) -> DataFrame:
-    """(doc_id, th, node, n, prefix, map) of each row of docs; ``sample`` and ``most`` as in common_shingles."""
-    text = F.coalesce("text", F.lit(""))
-    x = docs.select("doc_id", F.xxhash64(text).alias("th"), prefix_column(text, *common_shingles(docs, sample, most)).alias("p"))
-    return durable(x.select("doc_id", "th", "p.*"))
-
-
-def sets_of(docs: DataFrame, by_node: DataFrame, *, broadcast: int = 500_000) -> Callable[[DataFrame], DataFrame]:
+    rows = durable(shared_keys(made, tied))
+    first = counted(candidates(rows, made), sets)
+    good = first.where("alike").select("a", "b")
+    wrong = first.where("sure and not alike").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if wrong.limit(1).count():
+        keys = rows.join(wrong, "node", "left_semi").select("key").distinct()
+        again = counted(candidates(durable(rows.join(keys, "key", "left_semi")), made, trust=False), sets)
+        good = good.unionByName(again.where("alike").select("a", "b"))
+    return good
+
+
+def sets_of(docs: DataFrame, by_node: DataFrame, *, broadcast: int = 250_000) -> Callable[[DataFrame], DataFrame]:
     """A function from nodes to their (node, shingles). by_node: node, first, whose th is the hash of one of its texts."""
 
     def sets(wanted: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annulus.llm.common import durable
 
@@ -186,17 +187,19 @@ def pieces(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
                     rows.append((k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)]), part, seen[n]))
                     seen[n] += 1
             out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32", "part", "rank"])
-            out.insert(0, "doc_id", pd.Series(doc, dtype="Int64"))
+            out.insert(0, "doc_id", pd.Series(doc, dtype="Int64" if whole else object))
             yield out
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long")
+    kind = docs.schema["doc_id"].dataType
+    whole = isinstance(kind, T.IntegralType)
+    texts = docs.select(F.col("doc_id").cast("long" if whole else kind).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInPandas(cut, f"doc_id {'long' if whole else kind.simpleString()}, piece int, start long, length long, ids_crc32 long, part long, rank long")
 
 
 def pack(docs: DataFrame, path: str, *, size: int = 1024, end: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each row of ``docs``.
 
-    A document is its ids and then ``end``; null or empty text is ``end`` alone. Ids may be null or
+    A document is its ids and then ``end``; null or empty text is ``end`` alone. Ids may be numbers or texts, null or
     repeated: each row is packed. An empty table gives no piece. Extra columns are ignored. The pieces
     are written once before they are counted, so ranks stay what they were if an executor is lost.
     """

@@ -97,6 +97,43 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return x, length, lines
 
 
+def chunks(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut at ends of lines; the line ends between parts are left out. A longer line is a part."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.find("\n", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
+def all_features(texts: list[str], size: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of the texts, a chunk of characters at a time, so that what is kept is a few numbers for each line."""
+    x, length, lines = [], [], np.zeros(len(texts), np.int64)
+    some: list[tuple[int, str]] = []
+
+    def flush() -> None:
+        if some:
+            a, b, n = line_features([t for _, t in some])
+            x.append(a)
+            length.append(b)
+            np.add.at(lines, [i for i, _ in some], n)
+            some.clear()
+
+    held = 0
+    for i, t in enumerate(texts):
+        for part in chunks(t, size):
+            some.append((i, part))
+            held += len(part)
+            if held >= size:
+                flush()
+                held = 0
+    flush()
+    return (np.concatenate(x), np.concatenate(length), lines) if x else (np.zeros((0, OWN)), np.zeros(0), lines)
+
+
 def with_neighbours(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
     """Adds the features of the line before and after in the same text (zeros at its ends) and a constant."""
     n = len(x)
@@ -108,57 +145,130 @@ def with_neighbours(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return np.column_stack([x, before, after, np.ones(n)])
 
 
-def forward_backward(score: np.ndarray, lines: np.ndarray, moves: np.ndarray, label: np.ndarray | None = None):
+def potentials(x: np.ndarray, lines: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """with_neighbours(x, lines) @ w without the wide matrix: each line's share of its own score, and of its neighbours'."""
+    ends = np.cumsum(lines)
+    own, to_next, to_previous = x @ w[:OWN], x @ w[OWN : 2 * OWN], x @ w[2 * OWN : 3 * OWN]
+    score = own + w[-1]
+    to_next[ends - 1], to_previous[ends - lines] = 0, 0  # not into another text
+    score[1:] += to_next[:-1]
+    score[:-1] += to_previous[1:]
+    return score
+
+
+def blocks_of(lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, lines, place in its text) of the blocks of up to ``most`` lines that the texts are cut into."""
+    count = -(-lines // most)
+    text = np.repeat(np.arange(len(lines)), count)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    first = (np.cumsum(lines) - lines)[text] + place * most
+    return first, np.minimum(most, lines[text] - place * most), place
+
+
+def forward_backward(score: np.ndarray, lines: np.ndarray, moves: np.ndarray, label: np.ndarray | None = None, most: int = 512):
     """Marginal P(good) of each line. score: log potential of good against bad.
 
     With label (a line's, as 0 or 1) also the expected and the observed moves, summed (2 x 2 each).
-    Texts are taken together, step by step, those with most lines first, so each step is an array.
+
+    Texts are cut into blocks of up to ``most`` lines. All blocks are passed at once, line by line, for each label that a
+    block's message may start from; the blocks of a text then hand their messages on, all texts at once. So the number of
+    steps is that of a block's lines and of a text's blocks, not that of a text's lines.
     """
-    order = np.argsort(-lines, kind="stable")
-    begin = (np.cumsum(lines) - lines)[order]
-    size = lines[order]
-    steps = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(steps), side="left")  # texts with more than t lines
-    p = np.zeros(len(score))
-    fwd = np.zeros((len(score), 2))
+    first, size, place = blocks_of(lines, most)
+    n, nb = len(score), len(first)
+    order = np.argsort(-size, kind="stable")
+    first, size, place = first[order], size[order], place[order]
+    steps = int(size[0]) if nb else 0
+    active = np.searchsorted(-size, -np.arange(steps), side="left")  # blocks with more than t lines
+    begins = place == 0
+    last = first + size - 1
+    goes_on = np.zeros(nb, bool)
+    ends = np.zeros(n + 1, bool)
+    ends[np.cumsum(lines) - 1] = True
+    goes_on = ~ends[last]
+
+    def step(message: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Over a line with potential s: log-sum over the label before; message: ... x 2."""
+        out = np.logaddexp(message[..., 0, None] + moves[0], message[..., 1, None] + moves[1])
+        out[..., 1] += s[..., None] if out.ndim == 3 else s
+        return out
+
+    def back(message: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The message into the line before one with potential s, whose own message from behind is given."""
+        m = message.copy()
+        m[..., 1] += s[..., None] if m.ndim == 3 else s
+        return np.stack([np.logaddexp(moves[i, 0] + m[..., 0], moves[i, 1] + m[..., 1]) for i in (0, 1)], axis=-1)
+
+    # fwd[line, label before the block or its own start, label]; a text's first line has no line before
+    unit = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
+    fwd = np.zeros((n, 2, 2))
     for t in range(steps):
-        at = begin[: active[t]] + t
-        s = score[at]
+        at = first[: active[t]] + t
         if t == 0:
-            now = np.column_stack([np.zeros_like(s), s])
+            with np.errstate(invalid="ignore"):
+                now = step(np.broadcast_to(unit, (len(at), 2, 2)), score[at])
+            fresh = np.stack([np.zeros(len(at)), score[at]], axis=-1)
+            now[begins[: active[t]]] = fresh[begins[: active[t]], None, :]
         else:
-            prev = fwd[at - 1]
-            now = np.logaddexp(prev[:, 0, None] + moves[0], prev[:, 1, None] + moves[1])
-            now[:, 1] += s
-        fwd[at] = now - now.max(axis=1, keepdims=True)
-    expected = np.zeros((2, 2))
-    observed = np.zeros((2, 2))
-    back = np.zeros((len(score), 2))
+            now = step(fwd[at - 1], score[at])
+        fwd[at] = now
+    # what each block begins with: the message of the line before it
+    by_place = np.argsort(place, kind="stable")
+    many = int(place.max()) + 1 if nb else 0
+    bounds = np.searchsorted(place[by_place], np.arange(many + 1))
+    f = np.zeros((n, 2))
+    for k in range(many):
+        b = by_place[bounds[k] : bounds[k + 1]]
+        start = np.zeros((len(b), 2)) if k == 0 else f[first[b] - 1]
+        if k == 0:
+            start[:, 1] = -np.inf  # any one label: a first block's messages don't depend on it
+        spread = np.repeat(np.arange(len(b)), size[b])
+        at = np.repeat(first[b], size[b]) + np.arange(len(spread)) - np.repeat(np.cumsum(size[b]) - size[b], size[b])
+        m = np.logaddexp(start[spread, 0, None] + fwd[at, 0], start[spread, 1, None] + fwd[at, 1])
+        f[at] = m - m.max(axis=1, keepdims=True)
+    del fwd
+    bwd = np.zeros((n, 2, 2))  # bwd[line, label, label after the block]
     for t in range(steps - 1, -1, -1):
-        at = begin[: active[t]] + t
-        more = active[t + 1] if t + 1 < steps else 0
-        if more:
-            nxt = at[:more] + 1
-            out = back[nxt].copy()
-            out[:, 1] += score[nxt]
-            joint = fwd[at[:more]][:, :, None] + moves[None] + out[:, None, :]
-            b = np.column_stack([np.logaddexp(moves[i, 0] + out[:, 0], moves[i, 1] + out[:, 1]) for i in (0, 1)])
-            back[at[:more]] = b - b.max(axis=1, keepdims=True)
-            if label is not None:
-                e = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-                expected += (e / e.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                np.add.at(observed, (label[at[:more]], label[nxt]), 1)
-        m = fwd[at] + back[at]
-        p[at] = 1 / (1 + np.exp(np.clip(m[:, 0] - m[:, 1], -50, 50)))
-    return (p, expected, observed) if label is not None else p
+        at = first[: active[t]] + t
+        inner = size[: active[t]] > t + 1
+        edge = at[~inner]
+        bwd[edge] = unit
+        if inner.any():
+            nxt = at[inner] + 1
+            bwd[at[inner]] = np.swapaxes(back(np.swapaxes(bwd[nxt], 1, 2), score[nxt]), 1, 2)
+    g = np.zeros((n, 2))  # message from behind into each line
+    for k in range(many - 1, -1, -1):
+        b = by_place[bounds[k] : bounds[k + 1]]
+        more = goes_on[b]
+        after = np.zeros((len(b), 2))
+        if more.any():
+            nxt = last[b[more]] + 1
+            after[more] = back(g[nxt], score[nxt])
+        spread = np.repeat(np.arange(len(b)), size[b])
+        at = np.repeat(first[b], size[b]) + np.arange(len(spread)) - np.repeat(np.cumsum(size[b]) - size[b], size[b])
+        m = np.logaddexp(bwd[at, :, 0] + after[spread, 0, None], bwd[at, :, 1] + after[spread, 1, None])
+        g[at] = m - m.max(axis=1, keepdims=True)
+    del bwd
+    m = f + g
+    p = 1 / (1 + np.exp(np.clip(m[:, 0] - m[:, 1], -50, 50)))
+    if label is None:
+        return p
+    at = np.flatnonzero(~ends[:n])  # lines that another line of their text follows
+    out = g[at + 1].copy()
+    out[:, 1] += score[at + 1]
+    joint = f[at][:, :, None] + moves[None] + out[:, None, :]
+    e = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+    expected = (e / e.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(at) else np.zeros((2, 2))
+    observed = np.zeros((2, 2))
+    np.add.at(observed, (label[at], label[at + 1]), 1)
+    return p, expected, observed
 
 
 def train(texts: list[str], y: list[int], *, steps: int = 150, ridge: float = 1e-3, rate: float = 0.1) -> QualityModel:
     """Weights by Adam on the mean negative conditional log-likelihood."""
-    parts = [line_features(texts[i : i + 200]) for i in range(0, len(texts), 200)]
-    if not parts:
+    if not texts:
         return QualityModel(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(OWN), np.ones(OWN))
-    x, lines = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    x, _, lines = all_features(texts)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     X = with_neighbours((x - mean) / scale, lines)
     label = np.repeat(np.asarray(y, int), lines)
@@ -178,9 +288,8 @@ def qualities(texts: list[str], model: QualityModel) -> np.ndarray:
     """Length-weighted mean of the lines' marginals, for each text."""
     if not texts:
         return np.zeros(0)
-    x, length, lines = line_features(texts)
-    X = with_neighbours((x - model.mean) / model.scale, lines)
-    p = forward_backward(X @ model.weights, lines, model.moves)
+    x, length, lines = all_features(texts)
+    p = forward_backward(potentials((x - model.mean) / model.scale, lines, model.weights), lines, model.moves)
     text = np.repeat(np.arange(len(lines)), lines)
     weight = length + 1
     return np.bincount(text, p * weight, len(lines)) / np.bincount(text, weight, len(lines))
@@ -234,7 +343,11 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **fit
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, fit_on: DataFrame | None = None, **fitting) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns as they were. fit_on: rows to fit on, docs if none."""
+    """The rows of ``docs`` that the classifier doesn't reject, with their columns as they were, whatever their names.
+
+    fit_on: rows to fit on, docs if none. Null text counts as empty; repeated rows stay or go together; an empty table stays empty.
+    """
     model = fit(docs if fit_on is None else fit_on, labels, **fitting)
-    name = "__quality_score"
-    return docs.withColumn(name, score_column(F.coalesce("text", F.lit("")), model)).where(F.col(name) >= threshold).drop(name)
+    # the whole row as one column: its names can't meet that of the score
+    scored = docs.select(F.struct("*").alias("row"), score_column(F.coalesce("text", F.lit("")), model).alias("score"))
+    return scored.where(F.col("score") >= threshold).select("row.*")

@@ -3,13 +3,18 @@
 DataFrame functions only. Candidates are found by pattern in whole texts; places are code points,
 computed from the lengths of what lies between the matches. Each candidate's value is hashed and the
 hashes are aggregated over the corpus by distinct owner and by distinct repository: a value that many
-owners hold is a copied example, one of a single owner looks live. The base kinds (assign, access,
-hex) are always reported; the method adds spans of kind ``owned``: bare high-entropy strings that no
-base pattern names and that few owners hold.
+owners hold in many repositories is a copied example, one of a single owner looks live. How many is many
+follows from the corpus: copies of files carry values to a second owner or repository, to a third and so on, at
+a rate that falls by about the same factor each time; a value is an example where that rate leaves less than
+one such value to be expected. The base kinds (assign, access, hex) are always reported; the method adds spans of
+kind ``owned``: high-entropy strings, bare or as the value of an assignment, that are no access or hex span and that ownership
+doesn't show to be examples.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +81,34 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("h", "vlen").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
 
 
-def judged(docs: DataFrame, *, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), live_owners: int = 1, example_owners: int = 4) -> DataFrame:
-    """Candidates with verdicts: live (at most live_owners owners), example (example_owners or more), else shared.
+def many(held: DataFrame, count: str, least: int = 3) -> int:
+    """How many owners (or repositories) chance copies don't reach, at least ``least``.
+
+    The rate r at which values are carried on is that of the values with two owners to those with one, at most a half;
+    values that are widely copied don't enter it. Of v values, v r^(k - 1) are expected to have k owners or more; the
+    result is the first k at which that is below one.
+    """
+    is_ = lambda n: F.coalesce(F.sum(F.when(F.col(count) == n, 1).otherwise(0)), F.lit(0))
+    v, one, two = held.agg(F.count("*"), is_(1), is_(2)).first()
+    rate = min(two / one, 0.5) if one else 0.0
+    return max(least, 2 + math.floor(math.log(v) / -math.log(rate) + 1e-9)) if rate and v else least
+
+
+def judged(docs: DataFrame, *, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), live_owners: int = 1, example_owners: int | None = None, example_repos: int | None = None) -> DataFrame:
+    """Candidates with owners, repos and verdict: example (many owners and many repositories, by ``many`` unless given), live (at most
+    live_owners owners and no example), else shared. Rows of kind ``owned`` are kept unless the value is an example.
 
-    Rows of kind ``owned`` are kept only where the value is live.
+    Rows of kind -1 have no value and no verdict; they take no part in the join.
     """
     found = durable(candidates(docs, owner, repo))
-    verdict = F.when(F.col("owners") <= live_owners, "live").when(F.col("owners") >= example_owners, "example").otherwise("shared")
-    held = ownership(found).select("h", "vlen", "owners", "repos", verdict.alias("verdict"))
-    return found.join(held, ["h", "vlen"], "left").where((F.col("kind") < 3) | (F.col("verdict") == "live"))
+    held = durable(ownership(found))
+    owners = many(held, "owners") if example_owners is None else example_owners
+    repos = many(held, "repos") if example_repos is None else example_repos
+    example = (F.col("owners") >= owners) & (F.col("repos") >= repos)
+    verdict = F.when(example, "example").when(F.col("owners") <= live_owners, "live").otherwise("shared")
+    values = found.where("kind >= 0").join(held.select("h", "vlen", "owners", "repos", verdict.alias("verdict")), ["h", "vlen"])
+    marks = found.where("kind < 0").withColumns({"owners": F.lit(None).cast("bigint"), "repos": F.lit(None).cast("bigint"), "verdict": F.lit(None).cast("string")})
+    return values.where((F.col("kind") < 3) | (F.col("verdict") != "example")).unionByName(marks)
 
 
 def _name(kind: Column) -> Column:
@@ -96,13 +120,16 @@ def _joined(spans: Column) -> Column:
 
 
 def secrets(docs: DataFrame, **judging) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example: one row for each row of ``docs``.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example, ownership: one row for each row of ``docs``.
 
+    ownership lists the spans in their order as 'verdict:owners:repositories', comma-joined.
     Null text counts as empty: no span, and base_sha256 is that of the empty string. Null owner or
     repository columns count as one unnamed owner. Repeated rows are reported each; their values
     still count one owner. Extra columns are ignored, whatever their names.
     """
     span = F.struct("start", "kind", "stop")
+    owned = F.struct("start", "kind", "stop", "verdict", "owners", "repos")
+    said = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["verdict"], x["owners"], x["repos"])), ",")
     n = lambda when, name: F.sum(F.when(when, 1).otherwise(0)).cast("long").alias(name)
     kind = F.col("kind")
     some = (
@@ -111,13 +138,13 @@ def secrets(docs: DataFrame, **judging) -> DataFrame:
         .agg(
             F.first("doc_id").alias("doc_id"), n(kind == 0, "n_assign"), n(kind == 1, "n_access"), n(kind == 2, "n_hex"),
             F.collect_list(F.when((kind >= 0) & (kind < 3), span)).alias("base"), F.collect_list(F.when(kind >= 0, span)).alias("every"),
-            n(F.col("verdict") == "live", "n_live"), n(F.col("verdict") == "example", "n_example"),
+            n(F.col("verdict") == "live", "n_live"), n(F.col("verdict") == "shared", "n_shared"), n(F.col("verdict") == "example", "n_example"), F.collect_list(F.when(kind >= 0, owned)).alias("said"),
         )
-        .select("rid", "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), "n_live", "n_example")
+        .select("rid", "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), "n_live", "n_shared", "n_example", said(F.col("said")).alias("ownership"))
     )
     zero = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__t")).where(~F.col("__t").rlike(ANY))
-    rest = plain.select("doc_id", *zero("n_assign", "n_access", "n_hex"), F.sha2(F.lit("").cast("binary"), 256).alias("base_sha256"), F.lit("").alias("spans"), *zero("n_live", "n_example"))
+    rest = plain.select("doc_id", *zero("n_assign", "n_access", "n_hex"), F.sha2(F.lit("").cast("binary"), 256).alias("base_sha256"), F.lit("").alias("spans"), *zero("n_live", "n_shared", "n_example"), F.lit("").alias("ownership"))
     return rest.unionByName(some.drop("rid"))
 
 
@@ -125,20 +152,21 @@ def redacted(docs: DataFrame, **judging) -> DataFrame:
     """``docs`` with every secret but the copied examples masked in text, all else as it was.
 
     A column n_chars, if there is one, is set to the masked text's length. Overlapping spans become one mask. Texts without secrets keep null or their value untouched.
-    Rows are matched by id and text, so repeated rows are masked alike.
+    Rows are matched by id and text, so repeated rows are masked alike. An empty table stays empty.
     """
     w = "over (partition by doc_id, th order by start, stop rows between unbounded preceding and 1 preceding)"
     spans = judged(docs, **judging).where("kind >= 0 and verdict <> 'example'").select("doc_id", "th", "start", "stop").distinct()
     gaps = spans.withColumn("done", F.expr(f"coalesce(max(stop) {w}, 0)")).groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_list(F.when((F.col("start") >= F.col("done")) | (F.col("done") == 0), F.struct(F.col("done").alias("a"), F.col("start").alias("b"))))).alias("gaps"), F.max("stop").alias("last")
     )
-    text = F.col("text")
-    held = gaps.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gaps").alias("__gaps"), F.col("last").alias("__last"))
-    both = docs.join(held, docs["doc_id"].eqNullSafe(held["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == held["__th"]), "left")
-    piece = lambda x: text.substr((x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))
-    tail = text.substr((F.col("__last") + 1).cast("int"), F.length(text))
-    masked = F.when(F.col("__gaps").isNull(), text).otherwise(F.concat(F.array_join(F.transform("__gaps", piece), MASK), F.lit(MASK), tail))
-    out = both.withColumn("text", masked)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gaps").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = gaps.select(F.col("doc_id").alias("id"), F.col("th").alias("held_th"), "gaps", "last")
+    # the whole row as one column: its names can't meet those of the helpers
+    x = docs.select(F.struct("*").alias("row")).withColumns({"own": F.col("row.doc_id"), "own_th": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    both = x.join(held, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("held_th")), "left")
+    text, found = F.col("row.text"), F.col("gaps").isNotNull()
+    piece = lambda g: text.substr((g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int"))
+    tail = text.substr((F.col("last") + 1).cast("int"), F.length(text))
+    masked = F.when(found, F.concat(F.array_join(F.transform("gaps", piece), MASK), F.lit(MASK), tail)).otherwise(text)
+    out = both.select("row", found.alias("found"), masked.alias("masked"))
+    value = {"text": F.col("masked"), "n_chars": F.when(F.col("found"), F.length("masked")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[value[f.name].cast(f.dataType).alias(f.name) if value.get(f.name) is not None else F.col("row").getField(f.name).alias(f.name) for f in docs.schema])

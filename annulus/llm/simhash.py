@@ -57,30 +57,15 @@ def fingerprint(text: str) -> int:
     return majority([b"%b %b %b %b" % s for s in zip(words, words[1:], words[2:], words[3:])])
 
 
-def word_prints(text: str) -> tuple[int, int]:
-    """Majorities over the distinct words and over the distinct pairs of neighbouring words.
+def print_column(text: Column) -> Column:
+    """The fingerprint as a long (two's complement)."""
 
-    An edit changes far fewer words than shingles, so texts of which four in five five-word shingles agree stay
-    within a few bits of each other in the first; the second tells apart texts that merely share common words.
-    """
-    words = words_of(text)
-    return majority(list(dict.fromkeys(words))), majority(list(dict.fromkeys(b"%b %b" % s for s in zip(words, words[1:]))))
-
-
-PRINTS = "fp long, confirm long"
-
-
-def prints_column(text: Column, kind: str) -> Column:
-    """struct(fp, confirm) as longs (two's complement). kind 'shingles': the fingerprint, no second one; 'words': word_prints."""
-    make = word_prints if kind == "words" else lambda t: (fingerprint(t), 0)
-
-    @F.pandas_udf(PRINTS)
-    def made(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            x = np.array([make(t or "") for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"fp": x[:, 0], "confirm": x[:, 1]})
+            yield pd.Series(np.array([fingerprint(t or "") for t in texts], np.uint64).view(np.int64))
 
-    return made(text)
+    return made.asNondeterministic()(text)  # else a plan may run it twice
 
 
 def masks(blocks: int) -> np.ndarray:
@@ -142,13 +127,13 @@ def close_pairs(visitors: np.ndarray, residents: np.ndarray, mask: np.uint64, ne
         if not len(vi) or not len(ri):
             continue
         v, r = visitors[vi], residents[ri]
-        if len(r) > leaf and level < 24:
+        if len(r) > leaf:
             p = r[(level * 7919) % len(r)]
             d = np.bitwise_count((r ^ p) & mask).astype(np.int64)
             m = int(np.median(d))
             if (d <= m).all():
                 m -= 1
-            if (d <= m).any():
+            if (d <= m).any():  # both sides have residents; if all are as far from the point, they stay together
                 e = np.bitwise_count((v ^ p) & mask).astype(np.int64)
                 stack.append((vi[e - near <= m], ri[d <= m], level + 1))
                 stack.append((vi[e + near > m], ri[d > m], level + 1))
@@ -197,15 +182,17 @@ class Forest:
         return self.values[at], self.values[self.label[at]]
 
 
-def links(nodes: DataFrame, *, radius: int = 4, confirm_radius: int = 64, blocks: int = 3, shard: int = 8192, sample: int = 50_000) -> DataFrame:
-    """Edges (a, b) over ``nodes`` (node, fp, confirm) whose connected classes are those of all pairs within ``radius``
-    bits of fp and ``confirm_radius`` bits of confirm.
+def links(nodes: DataFrame, *, radius: int = 4, blocks: int = 3, shard: int = 8192, sample: int = 50_000, most: int = 4_000_000) -> DataFrame:
+    """Edges (a, b) over ``nodes`` (node, fp) whose connected classes are those of all pairs within ``radius`` bits of fp.
 
-    Trees are fitted on about ``sample`` fingerprints (never over twice as many), which bounds what the driver
-    holds; their depth follows the number of fingerprints so that a shard has about ``shard`` residents.
+    The trees' depth follows the number of fingerprints so that a shard has about ``shard`` residents. They are fitted on
+    about ``sample`` fingerprints, more where the depth asks for it, so that a leaf has eight of them; ``most`` (never over
+    twice as many) bounds what the driver holds. It is reached at some 4 10^9 fingerprints; then shards grow, and so does the number
+    of slices that both their residents and their visitors are cut into.
     """
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard))))
+    sample = max(sample, min(most, 8 << depth))
     depth = min(depth, int(np.log2(sample / 8)))
     # by hash, so each task sends only its share of the sample; the limit is a bound that the share hardly meets
     share = int(min(1.0, sample / max(n, 1)) * (1 << 20))
@@ -218,39 +205,43 @@ def links(nodes: DataFrame, *, radius: int = 4, confirm_radius: int = 64, blocks
             x = pdf["fp"].to_numpy(np.int64).view(np.uint64)
             for t, tree in enumerate(trees):
                 row, leaf, home = tree.route(x, near)
-                yield pd.DataFrame({"shard": t * (1 << depth) + leaf, "node": pdf["node"].to_numpy()[row], "fp": x[row].view(np.int64), "confirm": pdf["confirm"].to_numpy()[row], "home": home})
+                yield pd.DataFrame({"shard": t * (1 << depth) + leaf, "node": pdf["node"].to_numpy()[row], "fp": x[row].view(np.int64), "home": home})
 
-    sent = durable(nodes.select("node", "fp", "confirm").mapInPandas(routed, "shard long, node long, fp long, confirm long, home boolean"))
-    # visitors and residents of a shard meet in slices; a shard of usual size, with up to 16 visits for each resident, is one
-    sizes = sent.groupBy("shard").agg(F.count("*").alias("visits")).withColumn("slices", F.ceil(F.col("visits") / (16 * shard)).cast("int")).select("shard", "slices")
+    sent = durable(nodes.select("node", "fp").mapInPandas(routed, "shard long, node long, fp long, home boolean"))
+    # visitors and residents of a shard meet in slices of both; a shard of usual size, with up to 16 visits for each resident, is one
+    of = lambda rows: F.ceil(rows / (16 * shard)).cast("int")
+    sizes = sent.groupBy("shard").agg(of(F.count("*")).alias("vs"), F.greatest(F.lit(1), of(4 * F.count(F.when(F.col("home"), 1)))).alias("rs"))
     each = sent.join(sizes, "shard")
-    visitors = each.select("shard", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"), "node", "fp", "confirm", F.lit(False).alias("resident"))
-    residents = each.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "node", "fp", "confirm", F.lit(True).alias("resident"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    visitors = each.select("shard", own("vs").alias("v"), every("rs").alias("r"), "node", "fp", F.lit(False).alias("resident"))
+    residents = each.where("home").select("shard", every("vs").alias("v"), own("rs").alias("r"), "node", "fp", F.lit(True).alias("resident"))
     tree_masks = masks(blocks)
 
     def paired(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         res = pdf["resident"].to_numpy(bool)
-        node, fp, sure = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("node", "fp", "confirm"))
-        (vn, vf, vs), (rn, rf, rs) = ([x[m] for x in (node, fp, sure)] for m in (~res, res))
+        node, fp = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("node", "fp"))
+        (vn, vf), (rn, rf) = ([x[m] for x in (node, fp)] for m in (~res, res))
         found = Forest(node)
         for i, j in close_pairs(vf, rf, tree_masks[int(key[0]) >> depth], near, radius):
-            good = (vn[i] < rn[j]) & (np.bitwise_count(vs[i] ^ rs[j]) <= confirm_radius)  # each pair once
+            good = vn[i] < rn[j]  # each pair once
             found.link(vn[i[good]], rn[j[good]])
         a, b = found.edges()
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return visitors.unionByName(residents).groupBy("shard", "slice").applyInPandas(paired, "a long, b long")
+    return visitors.unionByName(residents).groupBy("shard", "v", "r").applyInPandas(paired, "a long, b long")
+
+
+def order_of(doc_id: Column, th: Column) -> Column:
+    """What the first row of a class is the least of: null ids come last; rows of one id follow the hash of their text."""
+    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), th.alias("th"))
 
 
-def classes(docs: DataFrame, kind: str = "shingles", **linking) -> DataFrame:
+def classes(docs: DataFrame, **linking) -> DataFrame:
     """(doc_id, th, fp, first): for each row of docs its fingerprint and its class's first (id, text hash)."""
     text = F.coalesce("text", F.lit(""))
-    x = docs.select("doc_id", F.xxhash64(text).alias("th"), prints_column(text, kind).alias("p"))
-    # a node is a fingerprint; where there are two, their hash stands for the pair
-    node = F.col("p.fp") if kind == "shingles" else F.xxhash64("p.fp", "p.confirm")
-    made = durable(x.select("doc_id", "th", "p.fp", "p.confirm", node.alias("node")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
-    by_node = durable(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("confirm").alias("confirm"), F.min(order).alias("first")))  # copies become one node before any pairing
+    made = durable(docs.select("doc_id", F.xxhash64(text).alias("th"), print_column(text).alias("fp")).withColumn("node", F.col("fp")))
+    by_node = durable(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min(order_of(F.col("doc_id"), F.col("th"))).alias("first")))  # copies become one node before any pairing
     return with_first(made, by_node, components(links(by_node, **linking))).select("doc_id", "th", "fp", "first")
 
 
@@ -264,12 +255,25 @@ def with_first(made: DataFrame, by_node: DataFrame, tied: DataFrame) -> DataFram
     return made.join(held, "node")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, first) as of classes, where texts are linked that share four in five of their five-word shingles, exactly."""
-    made = nearcopies.made_of(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
-    by_node = durable(made.groupBy("node").agg(F.min(order).alias("first")))
-    tied = components(nearcopies.links(made.select("node", "n", "prefix", "map"), nearcopies.sets_of(docs, by_node)))
+def near_copies(docs: DataFrame, **linking) -> DataFrame:
+    """(doc_id, th, first) as of classes, where texts are linked that share four in five of their five-word shingles.
+
+    Links of fingerprints, by the trees, are candidates: the nodes (sets of shingles) of one fingerprint are compared with
+    the first of them, and the first ones of linked fingerprints with each other. What they leave is found by nearcopies.links.
+    """
+    text = F.coalesce("text", F.lit(""))
+    x = docs.select("doc_id", F.xxhash64(text).alias("th"), print_column(text).alias("fp"), nearcopies.made_column(text).alias("p"))
+    made = durable(x.select("doc_id", "th", "fp", "p.*"))
+    by_node = durable(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min(order_of(F.col("doc_id"), F.col("th"))).alias("first")))
+    sets = nearcopies.sets_of(docs, by_node)
+    by_print = durable(by_node.groupBy("fp").agg(F.min("node").alias("lead")))
+    same = by_node.select("node", "fp").join(by_print, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    near = links(by_print.select(F.col("fp").alias("node"), "fp"), **linking)
+    lead = lambda side: by_print.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}"))
+    across = near.join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    by_trees = nearcopies.counted(same.unionByName(across), sets).where("alike").select("a", "b")
+    rest = nearcopies.links(made.select("node", "n", "bands", "sketch"), components(by_trees), sets)
+    tied = components(by_trees.unionByName(rest))
     return with_first(made.select("doc_id", "th", "node"), by_node, tied).select("doc_id", "th", "first")
 
 
@@ -283,26 +287,25 @@ def near_duplicates(docs: DataFrame, **linking) -> DataFrame:
     return classes(docs, **linking).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, kind: str = "shared", radius: int = 8, confirm_radius: int = 12, shard: int = 131_072, few: int = 250_000, **linking) -> DataFrame:
-    """One row of each class, that with the smallest id, with its columns as they were.
+def keep_one(docs: DataFrame, *, few: int = 250_000, **linking) -> DataFrame:
+    """One row of each class of near copies (near_copies), that with the smallest id, with its columns as they were.
 
-    By default texts are linked that share four in five of their distinct five-word shingles, all of them and no others
-    (nearcopies); texts without words are one class. Other kinds link by fingerprints alone, within ``radius`` bits
-    (and ``confirm_radius`` of the second one), which loses pairs and joins others: 'shingles', that of near_duplicates, and
-    'words', word_prints. All arguments but kind and few are for these. Up to ``few`` rows' keys are broadcast.
+    Texts are linked that share four in five of their distinct five-word shingles; texts without words are one class. Up
+    to ``few`` rows' keys are broadcast. linking: for the trees.
 
     Ties of an id (or of null ids, which come last) fall to the smallest hash of the text; of rows that
-    repeat id and text one stays.
+    repeat id and text one stays. An empty table stays empty. Columns may have any name.
     """
-    c = near_copies(docs) if kind == "shared" else classes(docs, kind, radius=radius, confirm_radius=confirm_radius, shard=shard, **linking)
+    c = near_copies(docs, **linking)
     # an id as text and whether it is null: plain keys, so the join and the removal of repeated rows share one exchange
-    keys = lambda th: [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), th.alias("__th")]
-    kept = durable(c.where(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).groupBy(*keys(F.col("th"))).agg(F.count("*").alias("__rows")))
-    names = ["__none", "__id", "__th"]
-    keyed = docs.select("*", *keys(F.xxhash64(F.coalesce("text", F.lit("")))))
+    keys = lambda doc_id, th: [doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), th.alias("th")]
+    names = ["none", "id", "th"]
+    kept = durable(c.where(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).groupBy(*keys(F.col("doc_id"), F.col("th"))).agg(F.count("*").alias("rows")))
+    # the whole row as one column: its names can't meet those of the keys
+    keyed = docs.select(F.struct("*").alias("row")).select("row", *keys(F.col("row.doc_id"), F.xxhash64(F.coalesce("row.text", F.lit("")))))
     if kept.count() > few:
         both = keyed.join(kept, names).dropDuplicates(names)
     else:  # few keys are sent to the texts; only repeated rows move
         both = keyed.join(F.broadcast(kept), names)
-        both = both.where("__rows = 1").unionByName(both.where("__rows > 1").dropDuplicates(names))
-    return both.select(*[F.col(f"`{x}`") for x in docs.columns])
+        both = both.where("rows = 1").unionByName(both.where("rows > 1").dropDuplicates(names))
+    return both.select("row.*")

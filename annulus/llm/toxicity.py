@@ -5,18 +5,24 @@
    to six letters, so inflected and compounded forms share evidence. A text counts once for each of
    its units and equal texts count once, so repetition proves nothing. Units with a z-score over
    ``min_z`` score positively; any other token costs ``drift``.
-2. A linear scan finds all maximal scoring segments of a text (Ruzzo and Tompa's method): the
-   toxic passages, however many. Only positive tokens are pushed; the drift between them is exact.
-3. A segment's score S is turned into bits by Karlin and Altschul: lambda solves
-   sum p(s) exp(lambda s) = 1 over clean tokens; the expected number of chance segments in n tokens is
-   E = K n exp(-lambda S); K is the share of clean tokens that score positively, as each segment begins
-   at one. Segments with E under ``max_e`` are significant.
-4. A document's score is a logistic function of its best segment's bits and the sum of the
-   significant segments' bits, fitted on the labelled sample.
+2. One linear scan finds all maximal scoring segments of a text (Ruzzo and Tompa's method): the
+   toxic passages, however many. Only positive tokens are pushed; the drift between them is exact. Each
+   segment keeps a link to the nearest one before it that begins lower, so no segment is passed twice.
+3. A segment's score S is turned into an expected number of chance segments, E = K n exp(-lambda S) in a text of n
+   tokens (Karlin and Altschul). lambda and K are fitted to the best segments of clean texts, beyond their
+   ``tail`` quantile; texts below it count as censored. Segments with E under ``max_e`` are significant.
+4. A document's score is a logistic function of its best segment's evidence and the sum of the
+   significant segments' evidence. Its weights aren't negative, so more evidence never lowers a score, and a
+   text without a segment has no evidence, however long it is.
+
+What judges a text is never fitted on the same text: the sample is cut into three folds, and the texts of a fold are
+measured with units from the other two. All of it gives lambda, K and the weights; the units used later come from all folds
+and are those that pass without any one of two folds, too.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -32,16 +38,17 @@ from pyspark.sql import types as T
 from annulus.llm.common import durable, held_out, training_rows
 
 WORD = re.compile(r"\w+")
+FOLDS = 3
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    units: dict  # unit -> positive score; at most max_units
+    units: dict  # unit -> positive score
     drift: float
     lam: float
     k: float
     max_e: float
-    weights: tuple  # of 1, best bits, significant bits, significant bits by length
+    weights: tuple  # of 1, best evidence, significant evidence, significant evidence by length
 
 
 def units_of(word: str) -> list[str]:
@@ -50,29 +57,28 @@ def units_of(word: str) -> list[str]:
 
 
 def segments(words: list[str], known: dict, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments as (first word, end, score). known: score of words that score positively."""
-    stack: list[list] = []  # first, end, cumulative score before, and after
+    """All maximal scoring segments as (first word, end, score), in linear time. known: score of words that score positively."""
+    held: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, nearest segment that begins lower
     total, done = 0.0, 0
     for i, w in enumerate(words):
         s = known.get(w)
         if s is None:
             continue
         total -= drift * (i - done)
-        done = i + 1
-        start, left = i, total
+        first, left = i, total
         total += s
-        right = total
-        # look back for a segment that begins lower; join unless one ends as high
+        done = i + 1
+        j = len(held) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                stack.append([start, i + 1, left, right])
+            while j >= 0 and held[j][2] >= left:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= total:
                 break
-            start, left = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(a, b, r - l) for a, b, l, r in stack]
+            first, _, left, _, lower = held[j]  # it begins lower and ends lower: the two are one
+            del held[j:]
+            j = lower
+        held.append((first, done, left, total, j))
+    return [(a, b, after - before) for a, b, before, after, _ in held]
 
 
 def word_score(word: str, units: dict) -> float | None:
@@ -106,22 +112,28 @@ class Scorer:
             return len(words), []
         return len(words), segments(words, self.positive, self.m.drift)
 
+    def best(self, text: str) -> tuple[float, int]:
+        """(score of the best segment, 0 if there is none; words)."""
+        n, found = self.passages(text)
+        return max((s for *_, s in found), default=0.0), n
+
     def significant(self, text: str) -> tuple[tuple[float, float, int], list[tuple[int, int]]]:
-        """(best bits, bits of the significant segments together, words), and these segments."""
+        """(best evidence, evidence of the significant segments together, words), and these segments. Evidence is -log E."""
         n, found = self.passages(text)
-        e0 = math.log(self.m.k * max(n, 1))
-        bits = [(self.m.lam * s - e0, a, b) for a, b, s in found]
-        good = [x for x in bits if x[0] > -math.log(self.m.max_e)]
-        return (max((x[0] for x in bits), default=-e0), sum(x[0] for x in good), n), [(a, b) for _, a, b in good]
+        chance = math.log(self.m.k * max(n, 1))
+        proof = [(self.m.lam * s - chance, a, b) for a, b, s in found]
+        good = [x for x in proof if x[0] > -math.log(self.m.max_e)]
+        return (max((x[0] for x in proof), default=-math.inf), sum(x[0] for x in good), n), [(a, b) for _, a, b in good]
 
 
-def squash(best, much, n):
-    """The inputs of the logistic function; a text counts as 20 words at least where length divides."""
-    return np.sign(best) * np.log1p(np.abs(best)), np.log1p(much), np.log1p(100 * much / np.maximum(n, 20))
+def inputs(best, much, n) -> np.ndarray:
+    """The inputs of the logistic function, from 0 on: none of them falls as evidence grows. A text counts as 20 words at least where length divides."""
+    best = np.asarray(best, float)
+    return np.column_stack([np.log1p(np.where(best > 30, best, np.log1p(np.exp(np.minimum(best, 30))))), np.log1p(much), np.log1p(100 * np.asarray(much, float) / np.maximum(n, 20))])
 
 
 def logistic(w: tuple, best: float, much: float, n: int) -> float:
-    z = w[0] + sum(a * b for a, b in zip(w[1:], squash(best, much, n)))
+    z = w[0] + float(inputs([best], [much], [n])[0] @ np.asarray(w[1:]))
     return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
@@ -137,91 +149,130 @@ def karlin_altschul(probs: dict[float, float]) -> float:
     return high
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_units: int = 50_000, min_count: int = 4, min_z: float = 3.0, prior: float = 10.0, drift: float = 0.25, max_e: float = 0.01) -> ToxicityModel:
+def extreme_value(best: np.ndarray, n: np.ndarray, tail: float = 0.9) -> tuple[float, float]:
+    """(lambda, K) by maximum likelihood, where the best segment M of n tokens has P(M <= x) = exp(-K n exp(-lambda x)).
+
+    Only what exceeds the ``tail`` quantile is taken as measured, the rest as being below it: significance is asked of the
+    tail. Too few texts with a segment say nothing; then lambda is 1 and K lets one segment be expected in all of them.
+    """
+    n = np.maximum(n.astype(float), 1)
+    least = best[best > 0].min() if (best > 0).any() else 1.0
+    u = max(float(np.quantile(best, tail)) if len(best) else 0.0, least)
+    over = best >= u
+    d = int(over.sum())
+    if d < 5 or np.ptp(best[over]) == 0:
+        return 1.0, math.exp(u) * max(d, 1) / max(n.sum(), 1.0)
+    x = np.where(over, best, u)
+    shift = lambda lam: float((n * np.exp(-lam * (x - u))).sum())
+    value = lambda lam: d * math.log(lam) - d * math.log(shift(lam)) - lam * float((best[over] - u).sum())
+    grid = np.exp(np.linspace(math.log(1e-3), math.log(50), 200))
+    i = int(np.argmax([value(v) for v in grid]))
+    low, high = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
+    for _ in range(60):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (a, high) if value(a) < value(b) else (low, b)
+    lam = float((low + high) / 2)
+    return lam, d / shift(lam) * math.exp(lam * u)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_count: int = 4, min_z: float = 3.5, prior: float = 10.0, drift: float = 0.25, max_e: float = 0.01, tail: float = 0.9) -> ToxicityModel:
     """The model from about ``max_rows`` labelled rows that aren't held out (see common.training_rows).
 
-    The driver receives at most ``max_units`` units and three numbers for each sampled row.
+    That bounds what the driver receives: the units that pass in a fold, and three numbers for each sampled text.
     Without toxic or without clean rows no token scores and each document gets the same score.
     """
-    sample = durable(training_rows(docs, labels, "toxic", max_rows))
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    texts = durable(training_rows(docs, labels, "toxic", max_rows).groupBy("text").agg(F.max("y").alias("y")).select("text", "y", fold.alias("fold")))
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            got: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(pdf["text"], pdf["y"]):
-                got[int(y)].update({u for w in set(WORD.findall(text.lower())) for u in units_of(w)} | {""})
-            for y, c in got.items():
-                if c:
-                    yield pd.DataFrame({"unit": list(c), "y": y, "n": list(c.values())})
-
-    texts = sample.groupBy("text").agg(F.max("y").alias("y"))
-    counts = texts.mapInPandas(count, "unit string, y int, n long").groupBy("unit").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
-    counts = durable(counts)
-    nt, nc = counts.where("unit = ''").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()  # texts of each kind
-    units: dict[str, float] = {}
-    if nt and nc:
-        # the prior of a unit: half a text, and its share of all texts, worth `prior` texts
-        a = F.lit(0.5) + F.col("share") * prior
-        odds = lambda n, total: F.log((n + a) / (F.lit(total + 1.0 + prior) - n - F.col("share") * prior))
-        found = (
-            counts.where((F.col("t") + F.col("c") >= min_count) & (F.col("unit") != ""))
-            .withColumn("share", (F.col("t") + F.col("c")) / F.lit(nt + nc))
-            .withColumn("odds", odds(F.col("t"), nt) - odds(F.col("c"), nc))
-            .withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a)))
-            .where((F.col("z") >= min_z) & (F.col("odds") > 1))
-            .orderBy(F.desc("z"), "unit")
-            .limit(max_units)
-            .collect()
-        )
-        units = {r["unit"]: float(r["odds"]) for r in found}
-
-    def clean_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(ToxicityModel(units, drift, 1.0, 1.0, max_e, (0.0, 0.0, 0.0, 0.0)))
-        for pdf in parts:
-            known: Counter = Counter()
-            n = 0
-            for text in pdf["text"]:
-                words = scorer.words(text)
-                n += len(words)
-                known.update(round(scorer.positive[w], 1) for w in words if w in scorer.positive)
-            yield pd.DataFrame([(0.0, n), *known.items()], columns=["s", "n"]).astype({"s": float, "n": int})
-
-    seen = texts.where("y = 0").mapInPandas(clean_words, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()  # scores rounded to a tenth: a few hundred
-    total = sum(r["n"] for r in seen if r["s"] == 0.0) + 1
-    high = {r["s"]: r["n"] / total for r in seen if r["s"] > 0}
-    p = min(max(sum(high.values()), 1 / total), 0.01)
-    high = high or {1.0: p}
-    gain = sum(s * n for s, n in high.items())
-    if gain >= 0.5 * drift:  # the mean score of clean tokens must be negative
-        high = {s: n * 0.5 * drift / gain for s, n in high.items()}
-    lam = karlin_altschul(high | {-drift: 1 - sum(high.values())})
-    model = ToxicityModel(units, drift, lam, p, max_e, (0.0, 0.0, 0.0, 0.0))
-
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
-        for pdf in parts:
-            rows = [scorer.significant(t)[0] for t in pdf["text"]]
-            yield pd.DataFrame(rows, columns=["best", "much", "n"]).assign(y=pdf["y"].to_numpy())
-
-    x = texts.mapInPandas(measure, "best double, much double, n long, y int").toPandas()
-    return ToxicityModel(units, drift, lam, p, max_e, fit_logistic(x))
+            got: dict[tuple[int, int], Counter] = {}
+            for text, y, k in zip(pdf["text"], pdf["y"], pdf["fold"]):
+                got.setdefault((int(y), int(k)), Counter()).update({u for w in set(WORD.findall(text.lower())) for u in units_of(w)} | {""})
+            for (y, k), c in got.items():
+                yield pd.DataFrame({"unit": list(c), "y": y, "fold": k, "n": list(c.values())})
+
+    kinds = [(y, k) for y in (0, 1) for k in range(FOLDS)]
+    each = [F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}{k}") for y, k in kinds]
+    counts = durable(texts.mapInPandas(count, "unit string, y int, fold int, n long").groupBy("unit").agg(*each))
+    whole = counts.where("unit = ''").first()
+    of_fold = {(y, k): int(whole[f"n{y}{k}"]) if whole else 0 for y, k in kinds}
+    ways = [None, *range(FOLDS)]  # the fold that is left out
+    total = {(y, left): sum(of_fold[y, k] for k in range(FOLDS) if k != left) for y in (0, 1) for left in ways}
+
+    def odds(left: int | None) -> tuple[Column, Column, Column]:
+        """(texts with the unit, log-odds, z): the prior of a unit is half a text, and its share of all texts, worth ``prior`` texts."""
+        t, c = (sum(F.col(f"n{y}{k}") for k in range(FOLDS) if k != left) for y in (1, 0))
+        a = 0.5 + prior * (t + c) / F.lit(float(total[0, left] + total[1, left]))
+        log = lambda n, of: F.log((n + a) / (F.lit(of + 0.5 + prior + 0.5) - n - (a - 0.5)))
+        o = log(t, total[1, left]) - log(c, total[0, left])
+        return t + c, o, o / F.sqrt(1 / (t + a) + 1 / (c + a))
+
+    sets: dict = {left: {} for left in ways}
+    for left in ways:
+        if total[1, left] and total[0, left]:
+            n, o, z = odds(left)
+            for r in counts.where(F.col("unit") != "").select("unit", n.alias("n"), o.alias("o"), z.alias("z")).where((F.col("n") >= min_count) & (F.col("z") >= min_z) & (F.col("o") > 1)).collect():
+                sets[left][r["unit"]] = float(r["o"])
+
+    # units that one fold alone carries are chance; with few labels they'd be most
+    sets[None] = {u: o for u, o in sets[None].items() if sum(u in sets[left] for left in range(FOLDS)) >= FOLDS - 1}
+
+    def blank(units: dict, lam: float = 1.0, k: float = 1.0) -> ToxicityModel:
+        return ToxicityModel(units, drift, lam, k, max_e, (0.0, 0.0, 0.0, 0.0))
+
+    def measured(lam: float | None, k: float) -> pd.DataFrame:
+        """Of each text, by the units of the other folds: its best score, or with a lambda its evidence."""
+        models = {left: blank(sets[left], lam or 1.0, k) for left in range(FOLDS)}
+
+        def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorers = {left: Scorer(m) for left, m in models.items()}
+            for pdf in parts:
+                if lam is None:
+                    rows = [(s, 0.0, n) for s, n in (scorers[f].best(t) for t, f in zip(pdf["text"], pdf["fold"]))]
+                else:
+                    rows = [scorers[f].significant(t)[0] for t, f in zip(pdf["text"], pdf["fold"])]
+                yield pd.DataFrame(rows, columns=["best", "much", "n"]).assign(y=pdf["y"].to_numpy())
+
+        return texts.mapInPandas(measure, "best double, much double, n long, y int").toPandas()
+
+    scores = measured(None, 1.0)
+    clean = scores[scores["y"] == 0]
+    lam, k = extreme_value(clean["best"].to_numpy(), clean["n"].to_numpy(), tail)
+    model = blank(sets[None], lam, k)
+    return ToxicityModel(model.units, drift, lam, k, max_e, fit_logistic(measured(lam, k)))
 
 
 def fit_logistic(x: pd.DataFrame, ridge: float = 1e-3, steps: int = 50) -> tuple:
-    """Weights of 1 and the three inputs by Newton's method with a small ridge."""
+    """Weights of 1 and the three inputs; those of the inputs aren't negative.
+
+    For each choice of inputs Newton's method with a small ridge gives the best weights; of the choices whose weights
+    are all positive the one with the least loss is taken.
+    """
     if x.empty:
         return (0.0, 0.0, 0.0, 0.0)
-    X = np.column_stack([np.ones(len(x)), *squash(x["best"].to_numpy(), x["much"].to_numpy(), x["n"].to_numpy())])
-    y, w = x["y"].to_numpy(float), np.zeros(4)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        g = X.T @ (p - y) / len(y) + ridge * w
-        h = (X * (p * (1 - p))[:, None]).T @ X / len(y) + ridge * np.eye(4)
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return tuple(float(v) for v in w)
+    X = np.column_stack([np.ones(len(x)), inputs(x["best"].to_numpy(), x["much"].to_numpy(), x["n"].to_numpy())])
+    y = x["y"].to_numpy(float)
+    best = (math.inf, np.zeros(4))
+    for size in range(4):
+        for some in itertools.combinations((1, 2, 3), size):
+            at = [0, *some]
+            w = np.zeros(len(at))
+            for _ in range(steps):
+                p = 1 / (1 + np.exp(-np.clip(X[:, at] @ w, -30, 30)))
+                g = X[:, at].T @ (p - y) / len(y) + ridge * w
+                h = (X[:, at] * (p * (1 - p))[:, None]).T @ X[:, at] / len(y) + ridge * np.eye(len(at))
+                step = np.linalg.solve(h, g)
+                w -= np.clip(step, -5, 5)
+                if np.abs(step).max() < 1e-8:
+                    break
+            z = np.clip(X[:, at] @ w, -30, 30)
+            loss = float(np.mean(np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w)
+            if (w[1:] >= 0).all() and loss < best[0]:
+                full = np.zeros(4)
+                full[at] = w
+                best = (loss, full)
+    return tuple(float(v) for v in best[1])
 
 
 def score_column(text: Column, model: ToxicityModel) -> Column:
@@ -243,9 +294,9 @@ def score_column(text: Column, model: ToxicityModel) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **fitting) -> DataFrame:
     """doc_id, held_out, score, predicted, n_segments, spans: one row for each row of ``docs``.
 
-    Null or empty text: no token, scored as the model scores a text without passages. Repeated rows
-    are scored alike. A null doc_id counts as held out. Without labels each score is 0.5 or less
-    certain evidence; predicted is then 0. Extra columns are ignored, whatever their names.
+    Null or empty text: no token, scored like any text without a passage, which is the least score there is. Repeated rows
+    are scored alike. A null doc_id counts as held out. Without labels each score is 0.5 and predicted 0.
+    Extra columns are ignored, whatever their names.
     """
     model = fit(docs, labels, **fitting)
     scored = docs.select("doc_id", "text").select("doc_id", held_out().alias("held_out"), score_column(F.coalesce("text", F.lit("")), model).alias("x"))

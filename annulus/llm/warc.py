@@ -12,6 +12,7 @@ Payloads aren't moved: the as-of join carries the base's id, digest and headers.
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,9 +40,18 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def lower_names(headers: Column) -> Column:
+    """The headers with names in lower case and in order. Lines of one name, in any case, are one: their values in order of the names as written,
+    joined by commas, as HTTP reads them. Null values count as absent; no headers make an empty map."""
+    held = F.array_sort(F.filter(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull()))
+    names = F.array_sort(F.array_distinct(F.transform(held, lambda e: F.lower(e["key"]))))
+    value = lambda n: F.array_join(F.transform(F.filter(held, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", ")
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
 def header(headers: Column, name: str) -> Column:
     """The value of a header, whose name may be in any case."""
-    return F.element_at(F.map_filter(F.transform_keys(headers, lambda k, _: F.lower(k)), lambda k, _: k == name), name)
+    return F.element_at(lower_names(headers), name.lower())
 
 
 def resolve(records: DataFrame, *, range_seconds: int = 3600) -> DataFrame:
@@ -56,13 +66,12 @@ def resolve(records: DataFrame, *, range_seconds: int = 3600) -> DataFrame:
     Only not-modified revisits are resolved; others are left out. Earlier means an earlier time, or the
     same time and a smaller id; a null time or URL resolves to nothing, as does a revisit without an earlier
     full response: base_id is null and resolved false. A validator that both records have and that differs
-    makes a mismatch, which is reported but not resolved. Repeated rows are resolved each. Extra columns
-    are ignored.
+    makes a mismatch, which is reported but not resolved. Headers whose names differ only in case are one (lower_names).
+    Repeated rows are resolved each; an empty table gives no row. Extra columns are ignored, whatever their names.
     """
-    low = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
     r = records.select(
         "record_id", canonical(F.col("url")).alias("canonical_url"), F.col("url").isNotNull().alias("known"), "ts", "kind", "profile", "status", "digest",
-        F.map_from_entries(F.array_sort(F.map_entries(low(F.col("headers"))))).alias("headers"),
+        lower_names(F.col("headers")).alias("headers"),
     ).withColumn("span", F.floor(F.unix_timestamp("ts") / range_seconds))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     base = F.when(full, F.struct("ts", "record_id", "digest", F.map_entries("headers").alias("entries")))
@@ -122,47 +131,112 @@ def encode(kind: str, url: str, ts: str, record_id: str, content: bytes, extra:
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + content + b"\r\n\r\n", mtime=0)
 
 
-def decode(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, content) of each record of a WARC file, compressed or not. A torn last record is left out."""
-    raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+def inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a file, gzip members one after another or plain, in pieces. It ends where a member is torn or isn't one."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[i : i + size]) for i in range(0, len(view), size))
+        return
     at = 0
-    while (start := raw.find(b"WARC/", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", start)
-        if end < 0:
+    while at < len(view):
+        unzip = zlib.decompressobj(31)
+        try:
+            while not unzip.eof and at < len(view):
+                fed = view[at : at + size]
+                at += len(fed)
+                piece = unzip.decompress(fed, size)
+                yield piece
+                while unzip.unconsumed_tail and not unzip.eof:
+                    yield unzip.decompress(unzip.unconsumed_tail, size)
+            if not unzip.eof:
+                yield unzip.flush()
+        except zlib.error:
             return
-        named = dict(line.split(":", 1) for line in raw[start:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+        at -= len(unzip.unused_data)
+
+
+def decode(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, content) of each record of a WARC file, compressed or not.
+
+    One record is in memory at a time. A torn last record is left out, whether the file ends inside it, inside its headers
+    or inside its gzip member; so is a record whose length isn't a number, and what follows it up to the next one.
+    """
+    pieces = inflated(data)
+    held = bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]  # a mark may lie across two pieces
+            if not more():
+                return
+        del held[:start]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        named = dict(line.split(":", 1) for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
         named = {k.strip().lower(): v.strip() for k, v in named.items()}
-        size = int(named.get("content-length", 0))
-        if end + 4 + size > len(raw):
-            return
-        yield named, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = named.get("content-length", "0")
+        if not size.isdigit():
+            del held[:5]
+            continue
+        stop = end + 4 + int(size)
+        while len(held) < stop:
+            if not more():
+                return
+        yield named, bytes(held[end + 4 : stop])
+        del held[:stop]
 
 
 def parse_http(content: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """Status, headers and body of an HTTP response; (None, {}, content) if it isn't one."""
+    """Status, headers and body of an HTTP response; (None, {}, content) if it isn't one. Repeated headers are joined by commas."""
     head, sep, body = content.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
     first = lines[0].split(" ", 2)
     if not first[0].startswith("HTTP/") or len(first) < 2 or not first[1].isdigit():
         return None, {}, content
-    return int(first[1]), {k.strip(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}, body
+    named: dict[str, str] = {}
+    for line in lines[1:]:
+        k, colon, v = line.partition(":")
+        if colon:
+            k, v = k.strip(), v.strip()
+            named[k] = f"{named[k]}, {v}" if k in named else v
+    return int(first[1]), named, body
 
 
 RECORDS = "record string, url string, ts timestamp, kind string, profile string, status int, headers map<string,string>, digest string, payload binary"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files of a path, read by Spark. A file is one task's work, as WARC files are of bounded size."""
+def moment(text: str | None) -> pd.Timestamp | None:
+    try:
+        return pd.Timestamp(text).tz_convert("UTC").tz_localize(None) if text else None
+    except (ValueError, TypeError):
+        return None
+
+
+def read_warc(spark: SparkSession, path: str, *, batch: int = 8 << 20) -> DataFrame:
+    """The records of all WARC files of a path, read by Spark; a file is one task's work, as WARC files are of bounded size.
+
+    A task holds a file as it is stored, one record, and a batch of records of about ``batch`` bytes. A date that can't be read is null.
+    """
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["record", "url", "ts", "kind", "profile", "status", "headers", "digest", "payload"]
+        rows, size = [], 0
         for pdf in parts:
             for data in pdf["content"]:
-                rows = []
                 for named, content in decode(data):
                     status, http, body = parse_http(content)
-                    rows.append((named.get("warc-record-id", "").strip("<>"), named.get("warc-target-uri"), pd.Timestamp(named["warc-date"]).tz_convert("UTC").tz_localize(None) if "warc-date" in named else None, named.get("warc-type"), named.get("warc-profile"), status, http, named.get("warc-payload-digest"), body))
-                yield pd.DataFrame(rows, columns=["record", "url", "ts", "kind", "profile", "status", "headers", "digest", "payload"])
+                    rows.append((named.get("warc-record-id", "").strip("<>"), named.get("warc-target-uri"), moment(named.get("warc-date")), named.get("warc-type"), named.get("warc-profile"), status, http, named.get("warc-payload-digest"), body))
+                    size += len(content)
+                    if size >= batch:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORDS)
 
