@@ -32,7 +32,7 @@ SEED = 42
 WIDTH = 5
 BANDS, ROWS = 24, 3
 CELL = 2048  # nodes of one side of a cell
-MADE = "node long, n int, bands array<long>, sketch binary"
+MADE = "fp long, node long, n int, bands array<long>, sketch binary"
 
 _rng = np.random.default_rng(7)
 FLIP = _rng.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
@@ -56,7 +56,7 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(s)
 
 
-def enough(shared: int, n: int, m: int) -> bool:
+def enough(shared: Column, n: Column, m: Column) -> Column:
     """Resemblance of at least 0.8, in whole numbers: shared / (n + m - shared) >= 4 / 5."""
     return 9 * shared >= 4 * (n + m)
 
@@ -108,8 +108,11 @@ def whole_column(text: Column) -> Column:
     return made.asNondeterministic()(text)  # else a plan may run it twice
 
 
-def made_column(text: Column) -> Column:
-    """struct(node, n, bands, sketch). A set that a task meets again has no bands and no sketch, nor has one without shingles."""
+def made_column(text: Column, fingerprint: Callable[[str], int]) -> Column:
+    """struct(fp, node, n, bands, sketch): the text's fingerprint as a long, and what is made of its set, in one pass over the text.
+
+    A set that a task meets again has no bands and no sketch, nor has one without shingles.
+    """
 
     @F.pandas_udf(MADE)
     def made(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -121,8 +124,9 @@ def made_column(text: Column) -> Column:
                 node = node_of(s)
                 again = node in seen or not len(s)
                 seen.add(node)
-                out.append((node, len(s), None if again else band_keys(s).view(np.int64), None if again else sketch(s)))
-            yield pd.DataFrame(out, columns=["node", "n", "bands", "sketch"])
+                fp = fingerprint(t or "")
+                out.append((fp - (1 << 64) if fp >> 63 else fp, node, len(s), None if again else band_keys(s).view(np.int64), None if again else sketch(s)))
+            yield pd.DataFrame(out, columns=["fp", "node", "n", "bands", "sketch"])
 
     return made.asNondeterministic()(text)
 
@@ -222,17 +226,10 @@ def cell_pairs(side: np.ndarray, n: np.ndarray, label: np.ndarray, bands: np.nda
 
 def counted(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``pairs`` (a, b and more) with alike: whether their shingles are enough. sets: (node, shingles) of the nodes it is given."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            good = [enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(p["sa"], p["sb"])]
-            yield p.drop(columns=["sa", "sb"]).assign(alike=np.array(good, bool))
-
     held = durable(pairs)
     own = durable(sets(held.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     x = held.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    more = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
-    return durable(x.select(*held.columns, "sa", "sb").mapInPandas(count, f"{more}, alike boolean"))
+    return durable(x.select(*held.columns, enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")).alias("alike")))
 
 
 def shared_keys(made: DataFrame, tied: DataFrame) -> DataFrame:

@@ -262,8 +262,8 @@ def near_copies(docs: DataFrame, **linking) -> DataFrame:
     the first of them, and the first ones of linked fingerprints with each other. What they leave is found by nearcopies.links.
     """
     text = F.coalesce("text", F.lit(""))
-    x = docs.select("doc_id", F.xxhash64(text).alias("th"), print_column(text).alias("fp"), nearcopies.made_column(text).alias("p"))
-    made = durable(x.select("doc_id", "th", "fp", "p.*"))
+    x = docs.select("doc_id", F.xxhash64(text).alias("th"), nearcopies.made_column(text, fingerprint).alias("p"))
+    made = durable(x.select("doc_id", "th", "p.*"))
     by_node = durable(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min(order_of(F.col("doc_id"), F.col("th"))).alias("first")))
     sets = nearcopies.sets_of(docs, by_node)
     by_print = durable(by_node.groupBy("fp").agg(F.min("node").alias("lead")))

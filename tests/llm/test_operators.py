@@ -491,7 +491,7 @@ def test_contiguous_edits(spark, monkeypatch, cell):
     sets = {i: five_words(t) for i, t in rows}
     close = {(i, j) for i in sets for j in sets if i < j and resemblance(sets[i], sets[j]) >= 0.8}
     assert len(close) > 80
-    made = docs.select("doc_id", F.xxhash64("text").alias("th"), nearcopies.made_column(F.col("text")).alias("p")).select("doc_id", "th", "p.*").cache()
+    made = docs.select("doc_id", F.xxhash64("text").alias("th"), nearcopies.made_column(F.col("text"), simhash.fingerprint).alias("p")).select("doc_id", "th", "p.*").cache()
     by_node = made.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     alone = spark.createDataFrame([], "node long, root long")
     tied = nearcopies.links(made, alone, nearcopies.sets_of(docs, by_node))  # by bands and sketches alone
@@ -553,7 +553,7 @@ def test_pair_without_doubt_that_fails(spark, monkeypatch):
         texts.append(" ".join(x))
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    made = docs.select("doc_id", F.xxhash64("text").alias("th"), nearcopies.made_column(F.col("text")).alias("p")).select("doc_id", "th", "p.*")
+    made = docs.select("doc_id", F.xxhash64("text").alias("th"), nearcopies.made_column(F.col("text"), simhash.fingerprint).alias("p")).select("doc_id", "th", "p.*")
     by_node = made.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     monkeypatch.setattr(nearcopies, "doubtless", lambda differ, both, bits: np.ones(len(differ), bool))
     tied = nearcopies.links(made, spark.createDataFrame([], "node long, root long"), nearcopies.sets_of(docs, by_node))
