@@ -7,6 +7,8 @@ built where the parts are.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,26 +81,34 @@ def with_next(docs: DataFrame, made: Column | None = None, *, rows: int = 500, m
 
     made: what is made of each text before rows are put in order, so that a row's neighbour needn't make it again.
     Ids are integers. They are cut into ranges of about ``rows`` rows along approximate quantiles, and each range is
-    shuffled to one task by itself; no task sees the whole order. ``most`` bounds the table of ranges that is broadcast,
+    shuffled to one task by itself; no task sees the whole order. An id (or null) that holds many rows is cut by the hash
+    of the text, so only rows equal in both stay together. ``most`` bounds the table of ranges that is broadcast,
     not the rows: beyond it ranges hold more rows and are sorted with spills. A range's last row needs the next range's
     first row, so that row is sent to both. Null ids come first.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, low, high, marks = d.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 2000)).first()
+    n, none, low, high, marks = d.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 2000)).first()
     ranges = max(1, min(most, n // rows))
-    edges = sorted({low, *(marks or []), high}) if low is not None else []
+    marks = Counter(marks or [])
+    hot = {i: ranges * c // 64 for i, c in marks.items() if c > 1 and ranges * c // 64 > 1}  # how many parts an id is cut into
+    hot_null = max(1, ranges * none // n) if none else 0
+    starts = sorted({low, *marks, *(i + 1 for i in hot if i < high)}) if low is not None else []
     # between two quantiles ids are cut evenly: this follows clustered ids as well as dense ones
-    each = max(1, ranges // max(1, len(edges) - 1))
-    bucket = F.lit(0).cast("long")
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        step = -(-(b - a + 1) // each)
-        bucket = F.when(F.col("doc_id") >= a, F.lit(i * each) + F.floor((F.col("doc_id") - F.lit(a)) / F.lit(step)).cast("long")).otherwise(bucket) if b - a >= each else F.when(F.col("doc_id") >= a, F.lit(i * each).cast("long")).otherwise(bucket)
-    d = d.withColumn("bucket", bucket)
-    # at most `most` + 64 rows, one for each range: the bound of the driver's list and of the broadcast
-    firsts = [(r["bucket"], r["first"]) for r in d.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id"))).alias("first")).orderBy("bucket").collect()]
-    sent = [(f["id"] if f["some"] else None, b, firsts[i - 1][0]) for i, (b, f) in enumerate(firsts)]
-    table = d.sparkSession.createDataFrame(sent, "id long, of long, to long")
-    ghosts = d.join(F.broadcast(table), d["doc_id"].eqNullSafe(table["id"]) & (d["bucket"] == table["of"])).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
+    each = max(1, ranges // max(1, len(starts)))
+    by_hash = lambda parts: F.shiftright((F.shiftright(F.xxhash64("text"), 40) + F.lit(1 << 23)) * F.lit(parts).cast("long"), 24)
+    bucket, base = by_hash(hot_null) if hot_null > 1 else F.lit(0).cast("long"), hot_null
+    for a, b in zip(starts, [*starts[1:], (high or 0) + 1]):
+        parts = hot.get(a, each)
+        within = by_hash(parts) if a in hot else F.floor((F.col("doc_id") - F.lit(a)) / F.lit(-(-(b - a) // each))).cast("long")
+        bucket, base = F.when(F.col("doc_id") >= a, F.lit(base).cast("long") + within).otherwise(bucket), base + parts
+    cut = F.when(F.col("doc_id").isNull(), F.lit(hot_null > 1)).otherwise(F.col("doc_id").isin(*hot) if hot else F.lit(False))
+    # texts are read for this only where an id is cut
+    d = d.withColumns({"bucket": bucket, "h": F.when(cut, F.xxhash64("text")) if hot or hot_null > 1 else F.lit(None).cast("long")})
+    # at most `most` and some hundred rows, one for each range: the bound of the driver's list and of the broadcast
+    firsts = [(r["bucket"], r["first"]) for r in d.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id"), "h")).alias("first")).orderBy("bucket").collect()]
+    sent = [(f["id"] if f["some"] else None, f["h"], b, firsts[i - 1][0]) for i, (b, f) in enumerate(firsts)]
+    table = d.sparkSession.createDataFrame(sent, "id long, its long, of long, to long")
+    ghosts = d.join(F.broadcast(table), d["doc_id"].eqNullSafe(table["id"]) & d["h"].eqNullSafe(table["its"]) & (d["bucket"] == table["of"])).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
     every = d.select("doc_id", "text", "bucket", F.lit(False).alias("ghost")).unionByName(ghosts).withColumn("made", F.lit(None).cast("long") if made is None else made)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return every.withColumn("next", F.lead(F.struct("text", "made")).over(order)).where("not ghost").select("doc_id", "text", "made", "next")

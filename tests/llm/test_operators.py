@@ -783,6 +783,19 @@ def test_fingerprints(spark, awkward, empty):
     assert fingerprints.edited_halves(one).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("hot", [(7, 50), (0, 49), (99, 60), (None, 70)])
+def test_next_of_many_equal_ids(spark, hot):
+    """An id, or null, on a third of all rows, with repeated rows among them: the order is that of ids and then of hashes."""
+    rng = random.Random(5)
+    at, n = hot
+    rows = [(i, text(rng, 6)) for i in range(100)] + [(at, text(rng, 6)) for _ in range(n)] + [(at, "same text")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by_hash = [(r.doc_id, r.text) for r in docs.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    want = Counter((i, t, nxt) for (i, t), (_, nxt) in zip(by_hash, by_hash[1:] + by_hash[:1]))
+    for size in (1, 3, 500):
+        assert Counter((r.doc_id, r.text, r.next.text) for r in fingerprints.with_next(docs, rows=size).collect()) == want
+
+
 def test_sketch_estimates_and_merges(spark):
     rng = random.Random(2)
     rows = []
