@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annulus.llm import codebooks as codebooks_op
+from annulus.llm import conversations as conversations_op
 from annulus.llm import decontam as decontam_op
 from annulus.llm import fingerprints as fingerprints_op
 from annulus.llm import licenses as licenses_op
 from annulus.llm import packing as packing_op
+from annulus.llm import pieces as pieces_op
 from annulus.llm import quality as quality_op
 from annulus.llm import secrets as secrets_op
 from annulus.llm import simhash as simhash_op
@@ -69,6 +72,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_op.edited_halves(read_table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pieces_op.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    n = (F.octet_length("ids") / 4).cast("bigint")
+    return r.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "agrees")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks_op.compress(read_table(spark, sf_dir, "embeddings"))
+    r = codebooks_op.by_label(coded)
+    return r.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(codebooks_op.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = conversations_op.prefix_trie(read_table(spark, sf_dir, "conversations"))
+    return r.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 OP6 = r"""
 with pages1 as (
   select page_id as p, 1704067200 + page_id as t0, url, sha256(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as size,
@@ -126,7 +146,7 @@ select doc_id, item_id, k as n_shared, n as n_item, k / n as containment from hi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op4_simhash, op5_packing, op6_warc_revisits, op7_decontamination, op8_quality, op9_licenses, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_secrets, op4_simhash, op5_packing, op6_warc_revisits, op7_decontamination, op8_quality, op9_licenses, op10_fingerprints, op11_sentencepiece, op12_vector_codes, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
