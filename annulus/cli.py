@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from annulus.config import SV_CALLERS, Config
 from annulus.operators import annotate, validate
+from annulus.operators.lineage import durable
+from annulus.operators.sequences import circle_blocks
 from annulus.plans import reconstruct
 from annulus.sources import sinks, tables, vcf
 
@@ -42,8 +44,9 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("validate", help="reconstructed circles against true ones")
     v.add_argument("-a", "--true", required=True)
     v.add_argument("-b", "--reconstructed", required=True)
-    v.add_argument("--true-hits", required=True, help="hits of true circles on reconstructed ones, as an aligner's table")
-    v.add_argument("--reconstructed-hits", required=True)
+    v.add_argument("-r", "--reference-genome", help="FASTA: circles are aligned by their sequences")
+    v.add_argument("--true-hits", help="without a genome: hits of true circles on reconstructed ones, as an aligner's table")
+    v.add_argument("--reconstructed-hits", help="without a genome: the other way round")
     v.add_argument("-o", "--output", required=True)
     return p
 
@@ -74,20 +77,24 @@ def run_reconstruct(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_json(res.circles, f"{out}/reconstruct.json")
     sinks.write_tsv(annotate.summary(res.circles), f"{out}/summary.txt")
     every = res.uncombined.withColumns({"score": F.lit(0.0), "ord": F.col("circ_id"), "label": F.lit("")})
+    genome = durable(tables.read_fasta_blocks(spark, a.reference_genome)) if a.reference_genome and not a.skip else None
     versions = {"": {}, ".ecDNA": {"only_ecdna": True}, ".ecDNA.filtered": {"only_ecdna": True, "least_score": config.filter_score}}
     for name, keep in versions.items():
         rows = annotate.bed(res.circles, **keep)
         sinks.write_tsv(sinks.bed_table(rows), f"{out}/reconstruct{name}.bed")
         sinks.write_tsv(sinks.links_table(annotate.links(rows)), f"{out}/reconstruct.links{name}.txt")
-        if a.reference_genome and not a.skip:
-            sinks.write_fasta(annotate.sequences(rows, tables.read_fasta(spark, a.reference_genome)), f"{out}/reconstruct{name}.fasta")
+        if genome is not None:
+            sinks.write_fasta_blocks(circle_blocks(rows, genome), f"{out}/reconstruct{name}.fasta")
     rows = annotate.bed(every)
     sinks.write_tsv(sinks.bed_table(rows), f"{out}/reconstruct.bed_debug")
     sinks.write_tsv(sinks.links_table(annotate.links(rows)), f"{out}/reconstruct.links.txt_debug")
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    p = parser()
+    a = p.parse_args(argv)
+    if a.command == "validate" and not a.reference_genome and not (a.true_hits and a.reconstructed_hits):
+        p.error("validate needs a genome, or hits in both directions")
     spark = SparkSession.builder.appName("annulus").getOrCreate()
     began = time.time()
     if a.command == "reconstruct":
@@ -100,8 +107,12 @@ def main(argv: list[str] | None = None) -> int:
     else:
         size = lambda rows, key: rows.groupBy(F.col(key).cast("string").alias("qseqid")).agg(F.sum(F.abs(F.col("end") - F.col("start"))).alias("length"))
         true, found = tables.read_truth(spark, a.true), tables.read_circles(spark, a.reconstructed)
-        one = validate.identity(validate.good_hits(tables.read_hits(spark, a.true_hits)), size(true, "circ_id"))
-        two = validate.identity(validate.good_hits(tables.read_hits(spark, a.reconstructed_hits)), size(found, "circ_id"))
+        if a.reference_genome:
+            true_hits, found_hits = validate.hits_from_genome(true, found, tables.read_fasta_blocks(spark, a.reference_genome))
+        else:
+            true_hits, found_hits = tables.read_hits(spark, a.true_hits), tables.read_hits(spark, a.reconstructed_hits)
+        one = validate.identity(validate.good_hits(true_hits), size(true, "circ_id"))
+        two = validate.identity(validate.good_hits(found_hits), size(found, "circ_id"))
         sinks.write_tsv(validate.compare(validate.circles_of_bed(true), validate.circles_of_bed(found), one, two), a.output)
     print(f"User time (seconds): {time.time() - began:.1f}")
     return 0

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annulus.operators.ordering import BIN, last_known
+MERGE_BIN = 250_000  # bases: what one task holds of a chromosome's positions
 
 
 def breakpoints(sv: DataFrame) -> DataFrame:
@@ -14,24 +18,82 @@ def breakpoints(sv: DataFrame) -> DataFrame:
     return one.unionByName(sv.select(F.col("chr2").alias("chr"), F.col("pos2").alias("pos"), "ord", F.lit(1).alias("side")))
 
 
-def anchors_of(positions: Column, distance: int) -> Column:
-    """Greedy anchors of an ascending array: each takes all positions up to ``distance`` behind it; the next one begins anew."""
-    return F.aggregate(positions, F.array().cast("array<bigint>"), lambda acc, p: F.when((F.size(acc) == 0) | (p - F.element_at(acc, -1) > distance), F.concat(acc, F.array(p))).otherwise(acc))
+def anchors_from(positions: np.ndarray, first: int, distance: int) -> np.ndarray:
+    """Greedy anchors of ascending positions from the ``first``-th on: each takes all up to ``distance`` behind it; the next one begins anew."""
+    after = np.searchsorted(positions, positions + distance, side="right").tolist()
+    at, out = first, []
+    while at < len(after):
+        out.append(at)
+        at = after[at]
+    return positions[out]
+
+
+def last_anchors(positions: Column, distance: int) -> Column:
+    """For a bin's ascending positions: its last anchor if no anchor reaches into it, and then if one does from 1, 2, ... ``distance`` before
+    its first position; an anchor that takes all of the bin stays the last one."""
+
+    @F.pandas_udf("array<bigint>")
+    def each(bins: pd.Series) -> pd.Series:
+        out = []
+        for ps in bins:
+            after = np.searchsorted(ps, ps + distance, side="right").tolist()
+            last = list(range(len(ps)))  # the last anchor of the walk that begins at a position
+            for i in range(len(ps) - 1, -1, -1):
+                if after[i] < len(ps):
+                    last[i] = last[after[i]]
+            reached = np.searchsorted(ps, ps[0] - np.arange(1, distance + 1) + distance, side="right")
+            out.append([int(ps[last[0]]), *(int(ps[last[i]]) if i < len(ps) else int(ps[0]) - 1 - k for k, i in enumerate(reached.tolist()))])
+        return pd.Series(out)
+
+    return each(positions)
+
 
+def anchors_of(positions: Column, entry: Column, distance: int) -> Column:
+    """For a bin's ascending positions, the anchor of each; entry: the last anchor before the bin, or null."""
 
-def merge(points: DataFrame, distance: int = 50, *, bin_size: int = BIN) -> DataFrame:
+    @F.pandas_udf("array<bigint>")
+    def each(bins: pd.Series, entries: pd.Series) -> pd.Series:
+        out = []
+        for ps, e in zip(bins, entries):
+            taken = 0 if pd.isna(e) else int(np.searchsorted(ps, int(e) + distance, side="right"))
+            anchors = anchors_from(ps, taken, distance)
+            rest = ps[taken:]
+            out.append(np.concatenate([np.full(taken, 0 if pd.isna(e) else int(e), np.int64), anchors[np.searchsorted(anchors, rest, side="right") - 1] if len(rest) else rest]))
+        return pd.Series(out)
+
+    return each(positions, entry.cast("bigint"))
+
+
+def merge(points: DataFrame, distance: int = 50, *, bin_size: int = MERGE_BIN) -> DataFrame:
     """chr, pos, anchor: for each distinct position the anchor it is merged into.
 
-    A gap of more than ``distance`` always begins a new anchor, so positions fall into runs that don't
-    depend on each other; only a run is folded as an array, never a chromosome. Gaps and the place
-    where a position's run begins are found in bins.
+    Chromosomes are cut into bins of ``bin_size`` bases. All that a bin needs from those before it is their last anchor, if it is within
+    ``distance`` of its first position; so each bin first tells its own last anchor for each of these cases, a table of
+    ``distance`` + 1 numbers a bin. Following it along a chromosome gives each bin's entry, and then bins are merged by themselves. The work
+    grows with the number of positions, however near they are to each other. Positions without a chromosome or place are left out.
     """
-    gaps = last_known(points.select("chr", "pos").distinct(), "chr", "pos", F.lit(True), "__before", strictly=True, bin_size=bin_size)
-    starts = F.col("__before").isNull() | (F.col("pos") - F.col("__before") > distance)
-    runs = last_known(gaps, "chr", "pos", starts, "__run", bin_size=bin_size)
-    folded = runs.groupBy("chr", "__run").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
-    pairs = folded.select("chr", "ps", anchors_of(F.col("ps"), distance).alias("as")).select("chr", F.explode("ps").alias("pos"), "as")
-    return pairs.select("chr", "pos", F.array_max(F.filter("as", lambda a: a <= F.col("pos"))).alias("anchor"))
+    known = points.where("chr is not null and pos is not null").select("chr", F.col("pos").cast("bigint").alias("pos"))
+    bins = known.groupBy("chr", F.floor(F.col("pos") / F.lit(bin_size)).cast("bigint").alias("bin")).agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+    cases = bins.select("chr", "bin", F.get("ps", F.lit(0)).alias("first"), last_anchors(F.col("ps"), distance).alias("last"))
+    # distance + 1 numbers for each bin of a chromosome, in which at most distance + 1 of a bin's positions count
+    entries = cases.repartition("chr").sortWithinPartitions("chr", "bin").mapInPandas(lambda batches: _entries(batches, distance), "chr string, bin bigint, entry bigint")
+    done = bins.join(entries, ["chr", "bin"]).select("chr", "ps", anchors_of(F.col("ps"), F.col("entry"), distance).alias("anchors"))
+    return done.select("chr", F.explode(F.arrays_zip("ps", "anchors")).alias("x")).select("chr", F.col("x.ps").alias("pos"), F.col("x.anchors").alias("anchor"))
+
+
+def _entries(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
+    """The last anchor before each bin, null where it is too far to matter; bins come by chromosome and place."""
+    chrom, anchor = None, None
+    for pdf in batches:
+        rows = []
+        for c, b, first, last in zip(pdf["chr"], pdf["bin"], pdf["first"], pdf["last"]):
+            if c != chrom:
+                chrom, anchor = c, None
+            near = anchor is not None and first - anchor <= distance
+            rows.append((c, b, anchor if near else None))
+            anchor = int(last[first - anchor if near else 0])
+        out = pd.DataFrame(rows, columns=["chr", "bin", "entry"])
+        yield out.astype({"entry": "Int64"})
 
 
 def rewrite(sv: DataFrame, merged: DataFrame) -> DataFrame:

@@ -7,13 +7,26 @@ from pyspark.sql import functions as F
 
 from annulus.functions.genomics import topology_index
 from annulus.functions.paths import size_mb, topology_flags
+from annulus.operators import alignment
 from annulus.operators.intervals import covered
+from annulus.operators.lineage import durable
+from annulus.operators.sequences import BLOCK, circle_blocks
 
 
 def good_hits(hits: DataFrame, *, pident: float = 90, bitscore: float = 1000) -> DataFrame:
     return hits.where((F.col("pident") >= pident) & (F.col("bitscore") >= bitscore) & (F.col("subject_start") < F.col("subject_end")))
 
 
+def hits_from_genome(true: DataFrame, found: DataFrame, genome: DataFrame, *, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Hits of true circles on reconstructed ones, and the other way round, from rows (circ_id, row, chr, start, end, strand) and a genome in blocks.
+
+    Only strand '+' is looked at, as good_hits keeps no other. Without gaps an alignment is the same from both sides, so it is made once.
+    """
+    a, b = (durable(circle_blocks(rows, genome, size)) for rows in (true, found))
+    hits = durable(alignment.hits(a, b, size=size, both=False))
+    return hits, alignment.turned_round(hits)
+
+
 def identity(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     """qseqid, sseqid, identity: share of a query's bases 1 to length that its hits on a subject cover. lengths: qseqid, length."""
     x = hits.join(lengths, "qseqid").select("qseqid", "sseqid", "length", F.greatest(F.lit(1), F.least("query_start", "query_end")).alias("start"), F.least("length", F.greatest("query_start", "query_end")).alias("end"))

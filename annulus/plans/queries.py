@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annulus.config import BND, DEL, DUP, FAR_END, INV, REWIRE, SPATIAL, Config
 from annulus.functions import genomics, paths
-from annulus.operators import annotate, breakpoints, fragments, graph, quantify, search, similarity, validate
+from annulus.operators import alignment, annotate, breakpoints, fragments, graph, quantify, search, sequences, similarity, validate
 from annulus.operators.intervals import overlap_join, stab_join
 from annulus.operators.lineage import durable
 from annulus.plans.views import duck, spark_view
@@ -598,7 +598,46 @@ def circle_sequence(spark, d):
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     g = spark.sql("select concat('chr', n_nationkey) as chr, repeat(concat(upper(translate(n_name, 'bdefhijklmopqrsuvwxyzBDEFHIJKLMOPQRSUVWXYZ ', 'acgtacgtacgtacgtacgtacgtacgtacgtacgtacgta')), 'ACGTTGCA'), 20) as seq from {nation}", nation=read("nation"))
     p = spark.sql("select l_orderkey as circ_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as row, concat('chr', l_partkey % 25) as chr, l_suppkey % 60 as start, l_suppkey % 60 + 4 + l_partkey % 11 as `end`, case when l_returnflag = 'R' then '-' else '+' end as strand from {lineitem}", lineitem=read("lineitem"))
-    return annotate.sequences(p, g)
+    return sequences.whole(sequences.circle_blocks(p, sequences.of_whole(g, "chr", 64), 64), "circ_id")
+
+
+# a genome of which every part gives 32 bases, and a circle of three of its stretches for each supplier
+GENOME = """genome as (select concat('chr', (p_partkey - 1) % 25) as chr, string_agg(translate(md5(cast(p_partkey as varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' order by p_partkey) as seq from part group by 1),
+ stretch as (select s_suppkey, i, concat('chr', (s_suppkey * 7 + i * s_nationkey) % 25) as chr, (s_suppkey * 13 + i * 101) % 1500 as start, (s_suppkey * 13 + i * 101) % 1500 + 40 + (s_suppkey + i * 17) % 120 as "end", (s_suppkey + i) % 3 = 0 as minus
+  from supplier cross join (values (0), (1), (2)) v(i))"""
+
+
+def _genome(spark, d, size):
+    text = "select concat('chr', (p_partkey - 1) % 25) as chr, ((p_partkey - 1) div 25) * 32 as at, translate(md5(cast(p_partkey as string)), '0123456789abcdef', 'ACGTACGTACGTACGT') as s from {part}"
+    return sequences.to_blocks(spark.sql(text, part=spark.read.parquet(f"{d}/part.parquet")), "chr", size)
+
+
+def _stretches(spark, d):
+    text = """select s_suppkey as circ_id, i as row, concat('chr', (s_suppkey * 7 + i * s_nationkey) % 25) as chr, (s_suppkey * 13 + i * 101) % 1500 as start, (s_suppkey * 13 + i * 101) % 1500 + 40 + (s_suppkey + i * 17) % 120 as `end`,
+      case when (s_suppkey + i) % 3 = 0 then '-' else '+' end as strand from {supplier} lateral view explode(array(0, 1, 2)) v as i"""
+    return spark.sql(text, supplier=spark.read.parquet(f"{d}/supplier.parquet"))
+
+
+CIRCLES = GENOME + """, cut as (select s_suppkey, i, minus, substring(seq, start + 1, "end" - start) as s from stretch join genome using (chr)),
+ circle as (select s_suppkey as circ_id, string_agg(case when minus then reverse(translate(s, 'ACGT', 'TGCA')) else s end, '' order by i) as seq from cut group by 1)"""
+
+
+@query("with " + CIRCLES + " select circ_id, j as block, substring(seq, 64 * j + 1, 64) as seq from (select circ_id, seq, unnest(range(0, cast(ceil(length(seq) / 64.0) as bigint))) as j from circle) t where length(seq) > 0")
+def circle_blocks(spark, d):
+    """Each circle's sequence in blocks of 64 bases, from a genome in such blocks."""
+    return sequences.circle_blocks(_stretches(spark, d), _genome(spark, d, 64), 64)
+
+
+@query("with " + CIRCLES + """, turned as (select circ_id, '+' as strand, seq, 0 as shift from circle union all select circ_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')), length(seq) from circle),
+ qw as (select circ_id, strand, shift, j, substring(seq, j + 1, 16) as w from (select *, unnest(range(0, length(seq) - 15)) as j from turned) t),
+ sw as (select chr, j, substring(seq, j + 1, 16) as w from (select *, unnest(range(0, length(seq) - 15)) as j from genome) t),
+ met as (select circ_id, chr, strand, s.j - q.j + shift as diagonal, q.j - shift as q from qw q join sw s using (w)),
+ island as (select *, q - row_number() over (partition by circ_id, chr, strand, diagonal order by q) as g from met)
+ select cast(circ_id as varchar) as qseqid, chr as sseqid, strand, diagonal, min(q) as q_start, max(q) + 16 as q_end from island group by circ_id, chr, strand, diagonal, g""")
+def sequence_matches(spark, d):
+    """The longest exact matches of all circles with the whole genome, on both strands."""
+    genome = durable(_genome(spark, d, 256))
+    return alignment.matches(sequences.circle_blocks(_stretches(spark, d), genome, 256), genome, k=16, size=256, subject_key="chr")
 
 
 # validation ----------------------------------------------------------------------------------------------------
@@ -729,6 +768,16 @@ def fasta_records(spark, d):
     return tables.fasta_records(spark.sql(text, nation=spark.read.parquet(f"{d}/nation.parquet")))
 
 
+@query("""with line as (select c_nationkey % 3 as file, c_custkey % 100 as n, case when c_custkey % 13 = 1 then concat('>c', c_custkey, ' x') else translate(md5(cast(c_custkey as varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT') end as value, c_custkey // 100 as split from customer),
+ named as (select *, last_value(case when value like '>%' then regexp_extract(value, '^>(\\S+)', 1) end ignore nulls) over (partition by file order by split, n rows between unbounded preceding and current row) as chr from line),
+ record as (select chr, string_agg(value, '' order by split, n) as seq from named where value not like '>%' and chr is not null group by chr)
+ select chr, j as block, substring(seq, 100 * j + 1, 100) as seq from (select chr, seq, unnest(range(0, cast(ceil(length(seq) / 100.0) as bigint))) as j from record) t""")
+def fasta_blocks(spark, d):
+    """Customers as lines of three FASTA files, a hundred of each in a split; records in blocks of 100 bases."""
+    text = "select c_nationkey % 3 as file, c_custkey % 100 as n, case when c_custkey % 13 = 1 then concat('>c', c_custkey, ' x') else translate(md5(cast(c_custkey as string)), '0123456789abcdef', 'ACGTACGTACGTACGT') end as value, c_custkey div 100 as split from {customer}"
+    return sequences.fasta_blocks(spark.sql(text, customer=spark.read.parquet(f"{d}/customer.parquet")), 100)
+
+
 @query(duck("sv") + "select ord, abs(pos1 - pos2) <= 60000 as near from sv")
 def proximity(spark, d):
     return spark_view(spark, d, "sv").select("ord", genomics.within(F.col("pos1"), F.col("pos2"), 60_000).alias("near"))

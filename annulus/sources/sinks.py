@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annulus.operators.sequences import fasta_lines
+
 
 def write_tsv(df: DataFrame, path: str, *, header: bool = True, one_file: bool = True) -> None:
     """Results are a few rows for each circle, so one file is the default; order is kept."""
@@ -23,6 +25,11 @@ def write_fasta(seqs: DataFrame, path: str, *, width: int = 60) -> None:
     seqs.select(F.concat(F.lit(">"), F.col("circ_id").cast("string"), F.lit("\n"), body).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_fasta_blocks(blocks: DataFrame, path: str, *, width: int = 60) -> None:
+    """circ_id, block, seq as FASTA: records in order, over as many files as there are ranges of blocks."""
+    fasta_lines(blocks, width=width).write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from annulus import schema
+from annulus.operators import sequences
+from annulus.sources import binary
 
 
 def _tsv(spark: SparkSession, path: str, columns: str) -> DataFrame:
@@ -54,6 +54,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return fasta_records(spark.read.text(path, lineSep=">"))
 
 
+def read_fasta_blocks(spark: SparkSession, path: str, size: int = sequences.BLOCK) -> DataFrame:
+    """(chr, block, seq) of FASTA files: no row is longer than ``size`` bases, or than a line of the file while it is read."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    return sequences.fasta_blocks(lines, size)
+
+
 def fasta_records(records: DataFrame) -> DataFrame:
     """chr, seq of (value): a record's text after its '>'."""
     name = F.regexp_extract("value", r"^\s*(\S+)", 1)
@@ -61,32 +67,32 @@ def fasta_records(records: DataFrame) -> DataFrame:
     return records.where("value <> ''").select(name.alias("chr"), body.alias("seq")).where("chr <> ''")
 
 
-def _binary(spark: SparkSession, path: str, parse, columns: str) -> DataFrame:
-    """One task for each file: the formats below are indexes and compressed blocks that have to be read as wholes."""
+def _ranged(spark: SparkSession, source: type[DataSource], path: str, regions: str, split: int | None) -> DataFrame:
+    spark.dataSource.register(source)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")  # a reader that takes filters is an error without it
+    r = spark.read.format(source.name()).option("push", push.lower())
+    if regions:
+        r = r.option("regions", regions)
+    return (r.option("split", str(split)) if split else r).load(path)
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for data in pdf["content"]:
-                yield from parse(bytes(data))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, columns)
+def read_bigwig(spark: SparkSession, path: str, regions: str = "", *, split: int | None = None) -> DataFrame:
+    """Runs of bigWig files (a file or a folder): chr, start, end, value. regions: 'chr1:100-200,chr2', or all of the file.
 
-
-def read_bigwig(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of a bigWig file: chr, start, end, value."""
-    from annulus.sources.binary import bigwig_runs
-
-    return _binary(spark, path, bigwig_runs, schema.COVERAGE)
+    The file's own tree of places leads to the blocks that are read, ``split`` compressed bytes of them in a task; a region reads
+    no others. Filters on chr, start and end do the same where spark.sql.python.filterPushdown.enabled is on.
+    """
+    return _ranged(spark, binary.BigWigSource, path, regions, split)
 
 
 def read_bigwig_sizes(spark: SparkSession, path: str) -> DataFrame:
-    from annulus.sources.binary import bigwig_sizes
-
-    return _binary(spark, path, bigwig_sizes, schema.CHROM)
+    return _ranged(spark, binary.SizesSource, path, "", None)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a BAM file as rows of schema.READ; columns as a read region needs, without sequences."""
-    from annulus.sources.binary import bam_reads
+def read_bam(spark: SparkSession, path: str, regions: str = "", *, split: int | None = None) -> DataFrame:
+    """Alignments of BAM files as rows of schema.READ; columns as a read region needs, without sequences.
 
-    return _binary(spark, path, bam_reads, schema.READ)
+    With a .bai index beside it a file is read by many tasks, and a region reads only what the index names for it; without one, where
+    records begin isn't known, and a file is one task. regions and split as in read_bigwig.
+    """
+    return _ranged(spark, binary.BamSource, path, regions, split)

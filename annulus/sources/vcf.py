@@ -35,7 +35,10 @@ def dropped_lines(lines: DataFrame, multi: bool = False) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Records as in schema.RAW: INFO as a map (flags have an empty value), each sample as a map by FORMAT."""
+    """Records as in schema.RAW: INFO as a map (flags have an empty value), each sample as a map by FORMAT.
+
+    A filter on pos may be tried before headers are left out, so these have none.
+    """
     f = F.split("value", "\t")
     info = F.map_from_entries(
         F.transform(
@@ -52,7 +55,7 @@ def parse(lines: DataFrame) -> DataFrame:
 
     samples = F.when(F.size(f) > 9, F.transform(F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))), sample))
     at = lambda i: F.get(f, F.lit(i))
-    return lines.where("value not like '#%' and trim(value) <> ''").select("ord", at(0).alias("chrom"), at(1).cast("bigint").alias("pos"), at(2).alias("id"), at(3).alias("ref"), F.split(at(4), ",").alias("alt"), at(5).alias("qual"), at(6).alias("filter"), info.alias("info"), samples.alias("samples"))
+    return lines.where("value not like '#%' and trim(value) <> ''").select("ord", at(0).alias("chrom"), F.when(~F.col("value").startswith("#"), at(1)).cast("bigint").alias("pos"), at(2).alias("id"), at(3).alias("ref"), F.split(at(4), ",").alias("alt"), at(5).alias("qual"), at(6).alias("filter"), info.alias("info"), samples.alias("samples"))
 
 
 def read_vcf(spark: SparkSession, path: str, multi: bool = False) -> DataFrame:

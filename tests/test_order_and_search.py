@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +40,45 @@ def test_numbered(spark):
     assert numbered(spark.createDataFrame([], "i long"), ["i"], "n").count() == 0
 
 
+def greedy(positions, distance):
+    """Anchors one by one."""
+    out, anchor = [], None
+    for p in positions:
+        if anchor is None or p - anchor > distance:
+            anchor = p
+        out.append((p, anchor))
+    return out
+
+
+@pytest.mark.parametrize("distance", [0, 1, 50])
+def test_merge_over_bins(spark, distance):
+    """Runs that cross many bins, gaps of just the distance, empty bins, bins narrower than the distance, repeated and null positions."""
+    rng = random.Random(distance)
+    sets = {f"chr{i}": sorted({rng.randrange(1, span) for _ in range(n)}) for i, (n, span) in enumerate([(900, 1000), (300, 20_000), (1, 5), (200, 10**7), (50, 60)])}
+    sets["even"] = list(range(7, 3000, max(distance, 1)))
+    rows = [(c, p) for c, ps in sets.items() for p in ps] * 2 + [(None, 4), ("chr1", None)]
+    points = spark.createDataFrame(rows, "chr string, pos long")
+    want = {(c, p, a) for c, ps in sets.items() for p, a in greedy(ps, distance)}
+    for bin_size in (13, 100, 250_000):
+        got = [tuple(r) for r in breakpoints.merge(points, distance, bin_size=bin_size).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert breakpoints.merge(points.where("false")).count() == 0
+
+
+def test_merge_of_a_long_run(spark):
+    """A million positions without a gap: linear work, one chromosome over many bins."""
+    points = spark.range(1_000_000).selectExpr("'chr1' as chr", "id * 10 + 3 as pos")
+    # positions 10 apart: an anchor takes five more, and the next one begins 60 behind it
+    bad = breakpoints.merge(points, 50).where("anchor <> pos - (pos - 3) % 60").count()
+    assert bad == 0
+    took = []
+    for n in (500_000, 1_000_000):
+        began = time.time()
+        assert breakpoints.merge(points.limit(n), 50).count() == n
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 2
+
+
 @pytest.mark.parametrize("bin_size", [60, 1000, 10**6])
 def test_genome_in_bins(spark, bin_size):
     """Anchors, fragments and the fragment of a position don't depend on how the genome is cut into bins."""
