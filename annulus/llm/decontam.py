@@ -8,25 +8,23 @@ same number of smallest hashes, enough for the partition's largest item: if a do
 that many smallest hashes the document must hold one. Candidate search therefore loses nothing.
 Candidates are verified by exact containment over the item's shingles.
 
-The items are a stated query set. Up to a bounded size they are one index that travels to the documents, which stay
-where they are. A larger benchmark becomes tables: of its sketches and of all its shingles, both by hash. Documents are still
-read once; of their shingles only those leave a task that a filter of bounded size says may be an item's. These meet the sketches,
-which gives candidates, and then all shingles of the candidate items, which are counted. Both ways give the same rows.
+Items become tables of hashes: of their sketches, and of all their shingles. Documents are read once; of their shingles only those
+leave a task that a filter of bounded size says may be an item's. These meet the sketches, which gives candidates, and then
+all shingles of the candidate items, which are counted. The plan is the same for a benchmark of any size.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from annulus.llm.common import durable
+from annulus.llm.sieve import Sieve
 
 WIDTH = 5
 WORD = re.compile(r"\w+")
@@ -40,130 +38,57 @@ def shingles(text: str) -> list[tuple[str, ...]]:
     return list(zip(w, w[1:], w[2:], w[3:], w[4:]))
 
 
-@dataclass(frozen=True)
-class Index:
-    """Items by number. probe: shingle of a sketch -> items; held: shingle -> items; item: (id, shingles, least shared)."""
-
-    probe: dict
-    held: dict
-    item: list
-    short: tuple  # widths below five that occur among the items
-
-
 def sketch_size(largest: int, threshold: float) -> int:
     """Smallest hashes that an item of a partition needs: one more than the shingles that may be missing."""
     return int((1 - threshold) * largest + 1e-9) + 1
 
 
-def index(items: list[tuple[object, str]], threshold: float) -> Index:
+def hashes(text: str, widths: tuple[int, ...] = ()) -> np.ndarray:
+    """Hashes (longs) of a text's shingles as they come, repeats included; widths: runs of fewer words that count, too.
+
+    A run's hash is mixed from those of its words and from its width.
+    """
     import xxhash
 
-    sets = [(i, set(shingles(t or ""))) for i, t in items]
-    sets = [x for x in sets if x[1]]
-    probe: dict[tuple, list] = {}
-    held: dict[tuple, list] = {}
-    for i, (_, s) in enumerate(sets):
-        largest = (1 << len(s).bit_length()) - 1  # partitions: 1, 2-3, 4-7, 8-15, ...
-        keep = min(len(s), sketch_size(largest, threshold))
-        for x in sorted(s, key=lambda x: (xxhash.xxh64_intdigest(" ".join(x)), x))[:keep]:
-            probe.setdefault(x, []).append(i)
-        for x in s:
-            held.setdefault(x, []).append(i)
-    return Index(probe, held, [(i, len(s), threshold * len(s) - 1e-9) for i, s in sets], tuple(sorted({len(x) for x in held} - {WIDTH})))
-
-
-def find(text: str, ix: Index) -> list[tuple[object, int, int]]:
-    """(item, shared shingles, its shingles) of each item of the block that the text holds."""
-    w = WORD.findall(text.lower())
-    seen: set = set(zip(w, w[1:], w[2:], w[3:], w[4:]))
-    for n in ix.short:  # an item of fewer than five words occurs as these words in a row
-        seen |= set(zip(*(w[k:] for k in range(n))))
-    hit = ix.probe.keys() & seen if len(ix.probe) < len(seen) else {x for x in seen if x in ix.probe}
-    if not hit:
-        return []
+    words = WORD.findall(text.lower())
+    h = xxhash.xxh64_intdigest
+    x = np.fromiter((h(w) for w in words), np.uint64, len(words))
     out = []
-    wanted = {i for x in hit for i in ix.probe[x]}
-    shared: dict = dict.fromkeys(wanted, 0)
-    for x in seen & ix.held.keys():
-        for i in ix.held[x]:
-            if i in shared:
-                shared[i] += 1
-    for i, n in shared.items():
-        name, size, least = ix.item[i]
-        if n >= least:
-            out.append((name, n, size))
-    return sorted(out)
+    for n in {WIDTH, *widths}:
+        if len(x) >= n > 0:
+            s = np.full(len(x) - n + 1, n, np.uint64)
+            for k in range(n):
+                s = (s ^ x[k : k + len(s)]) * np.uint64(0x9E3779B97F4A7C15)
+                s ^= s >> np.uint64(29)
+            out.append(s)
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, text of each different item; a repeated one counts once, null ids are left out."""
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).distinct()
-
-
-HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("size", T.LongType())]))
-
-
-def hits_column(text: Column, ix: Index) -> Column:
-    @F.pandas_udf(HIT)
-    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([[{"item_id": i, "shared": n, "size": m} for i, n, m in find(t or "", ix)] for t in texts], dtype=object)
-
-    return found.asNondeterministic()(text)  # else the plan would run it once more, to filter before the explosion
-
-
-def small_index(items: DataFrame, threshold: float, chars: int) -> Index | None:
-    """The index of all items, or None if they have over ``chars`` characters together."""
-    if items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0] > chars:
-        return None
-    return index([(r["item_id"], r["text"]) for r in items.collect()], threshold)
-
-
-def hashed(shingle: tuple[str, ...]) -> int:
-    """A shingle's hash, as a signed number."""
-    import xxhash
-
-    x = xxhash.xxh64_intdigest("\x1f".join(shingle))
-    return x - (1 << 64) if x >> 63 else x
+    """item (hash of id and text), item_id, text of each different item; a repeated one counts once, null ids are left out."""
+    t = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).distinct()
+    return t.select(F.xxhash64(F.col("item_id").cast("string"), "text").alias("item"), "item_id", "text")
 
 
 def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
-    """item (hash of id and text), item_id, size, width, h, probe: each distinct shingle of each item, and whether the item's sketch has it."""
+    """item, size, width, h, probe: each distinct shingle of each item, and whether the item's sketch has it."""
 
     def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
-            for item, i, t in zip(pdf["item"], pdf["item_id"], pdf["text"]):
-                s = {hashed(x): len(x) for x in shingles(t)}
-                keep = sketch_size((1 << len(s).bit_length()) - 1, threshold) if s else 0
-                rows += [(item, i, len(s), s[h], h, k < keep) for k, h in enumerate(sorted(s, key=lambda h: h % (1 << 64)))]
-            yield pd.DataFrame(rows, columns=["item", "item_id", "size", "width", "h", "probe"]).astype({"item": "int64", "item_id": "int64", "size": "int64", "width": "int32", "h": "int64", "probe": bool})
-
-    return items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInPandas(made, "item long, item_id long, size long, width int, h long, probe boolean")
-
+            for item, t in zip(pdf["item"], pdf["text"]):
+                n = min(WIDTH, len(WORD.findall(t.lower())))  # a shorter item is one shingle of its own width
+                s = np.unique(hashes(t, (n,) if n else ()).view(np.uint64))
+                keep = sketch_size((1 << len(s).bit_length()) - 1, threshold) if len(s) else 0
+                rows += [(item, len(s), n, h, k < keep) for k, h in enumerate(s.view(np.int64).tolist())]
+            yield pd.DataFrame(rows, columns=["item", "size", "width", "h", "probe"]).astype({"item": "int64", "size": "int64", "width": "int32", "h": "int64", "probe": bool})
 
-class Sieve:
-    """A filter of hashes in at most 2^``most`` bits: it lets through all that were put in, and few others."""
+    return items.select("item", "text").mapInPandas(made, "item long, size long, width int, h long, probe boolean")
 
-    def __init__(self, hashes: DataFrame, most: int = 28):
-        n = hashes.count()
-        self.bits = min(most, max(10, (16 * max(n, 1)).bit_length()))
-        at = [F.col("h").bitwiseAND(F.lit((1 << self.bits) - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit((1 << self.bits) - 1))]
-        bit = hashes.select(F.explode(F.array(*at)).alias("b")).select(F.shiftright("b", 5).alias("word"), F.expr("shiftleft(1L, cast(b & 31 as int))").alias("bit"))
-        got = bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-        self.words = np.zeros(1 << (self.bits - 5), np.uint32)
-        self.words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
 
-    def passed(self, h: np.ndarray) -> np.ndarray:
-        u, mask = h.view(np.uint64), np.uint64((1 << self.bits) - 1)
-        ok = np.ones(len(h), bool)
-        for b in (u & mask, (u >> np.uint64(32)) & mask):
-            ok &= (self.words[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
-        return h[ok]
-
-
-def spread(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """th (hash of a text), item_id, n_shared, n_item: which texts hold which items, by tables of hashes."""
+def search(docs: DataFrame, benchmark: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, th) of each row that may hold an item, (th, item_id, n_shared, n_item) of those that do). th: the hash of a text."""
+    items = durable(items_of(benchmark))
     held = durable(item_shingles(items, threshold))
     widths = tuple(sorted(r["width"] for r in held.select("width").distinct().collect()))  # at most five numbers
     sieve = Sieve(held.select("h").distinct())
@@ -173,43 +98,38 @@ def spread(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
         for texts in parts:
             out = []
             for t in texts:
-                w = WORD.findall((t or "").lower())
-                seen = {hashed(x) for n in widths for x in set(zip(*(w[k:] for k in range(n))))}
-                out.append(sieve.passed(np.fromiter(seen, np.int64, len(seen))))
+                x = hashes(t, widths)
+                out.append(np.unique(x[sieve.lets(x)]))
             yield pd.Series(out, dtype=object)
 
     text = F.coalesce("text", F.lit(""))
-    hits = durable(docs.select(F.xxhash64(text).alias("th"), F.explode(found.asNondeterministic()(text)).alias("h")).distinct())
+    rows = durable(docs.select("doc_id", F.xxhash64(text).alias("th"), found.asNondeterministic()(text).alias("hs")).where(F.size("hs") > 0))
+    hits = durable(rows.select("th", F.explode("hs").alias("h")).distinct())
     pairs = hits.join(held.where("probe").select("h", "item"), "h").select("th", "item").distinct()
-    asked = pairs.join(held.select("item", "item_id", "size", "h"), "item")
-    counted = asked.join(hits, ["th", "h"]).groupBy("th", "item", "item_id", "size").agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") >= threshold * F.col("size") - 1e-9).select("th", "item_id", F.col("shared").alias("n_shared"), F.col("size").alias("n_item"))
+    asked = pairs.join(held.select("item", "size", "h"), "item")
+    counted = asked.join(hits, ["th", "h"]).groupBy("th", "item", "size").agg(F.count("*").alias("shared"))
+    good = counted.where(F.col("shared") >= threshold * F.col("size") - 1e-9).join(items.select("item", "item_id"), "item")
+    return rows.select("doc_id", "th"), good.select("th", "item_id", F.col("shared").alias("n_shared"), F.col("size").alias("n_item"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: one row for each row of ``docs`` and item it holds.
 
     Only pairs with containment >= threshold. Null or empty texts and items without words hold and
     match nothing; items with null ids are left out; repeated rows are reported each; an id with
-    several texts is one set for each text. Extra columns are ignored, whatever their names. Items of over ``chars``
-    characters together are searched by tables; documents are read once either way.
+    several texts is one set for each text. Ids of both sides may be of any type. Extra columns are ignored, whatever their names.
+    """
+    rows, good = search(docs, benchmark, threshold)
+    return rows.join(good, "th").select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with their columns as they were, whatever their names.
+
+    Rows that a filter of the bad texts' hashes lets through are looked up; all others stay where they are.
     """
-    items = items_of(benchmark)
-    ix = small_index(items, threshold, chars)
-    share = (F.col("n_shared") / F.col("n_item")).alias("containment")
-    if ix is not None:
-        x = docs.select("doc_id", F.explode(hits_column(F.coalesce(F.col("text"), F.lit("")), ix)).alias("h"))
-        return x.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.shared").alias("n_shared"), F.col("h.size").alias("n_item")).select("*", share)
-    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return own.join(spread(docs, items, threshold), "th").select("doc_id", "item_id", "n_shared", "n_item", share)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, chars: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns as they were, whatever their names."""
-    items = items_of(benchmark)
-    ix = small_index(items, threshold, chars)
-    if ix is not None:
-        return docs.where(F.size(hits_column(F.coalesce(F.col("text"), F.lit("")), ix)) == 0)
-    bad = spread(docs, items, threshold).select("th").distinct()
+    _, good = search(docs, benchmark, threshold)
+    bad = durable(good.select("th").distinct())
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return keyed.join(bad, "th", "left_anti").select("row.*")
+    keyed = keyed.withColumn("may", Sieve(bad.select(F.col("th").alias("h"))).column(F.col("th")))
+    return keyed.where("not may").select("row.*").unionByName(keyed.where("may").join(bad, "th", "left_anti").select("row.*"))

@@ -7,10 +7,12 @@ built where the parts are.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 64
 WIDTH = 5
@@ -76,21 +78,38 @@ def sketch_by(docs: DataFrame, key: str, k: int = K) -> DataFrame:
     return s.select(F.col("key").alias(key), written(F.col("s")).alias("fingerprint"), distinct_shingles(F.col("s"), k).alias("n_shingles"))
 
 
+def place_of(docs: DataFrame) -> Column:
+    """A long that never falls as doc_id rises, null for null: a whole number itself, a number's whole part, and of a text seven bytes behind what all
+    of them begin with. Ids of other types have one place."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col("doc_id").cast("long")
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col("doc_id").cast("double")).cast("long")
+    if not isinstance(kind, T.StringType):
+        return F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    same = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+    return F.conv(F.rpad(F.hex(F.substring(F.col("doc_id").cast("binary"), same + 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, made: Column | None = None, *, rows: int = 500, most: int = 262_144) -> DataFrame:
     """doc_id, text, made, next: each row, and as next the struct (text, made) of the row after it by (doc_id, hash of the text); after the last, the first.
 
     made: what is made of each text before rows are put in order, so that a row's neighbour needn't make it again.
-    Ids are integers. They are cut into ranges of about ``rows`` rows along approximate quantiles, and each range is
-    shuffled to one task by itself; no task sees the whole order. An id (or null) that holds many rows is cut by the hash
-    of the text, so only rows equal in both stay together. ``most`` bounds the table of ranges that is broadcast,
+    Ids are cut into ranges of about ``rows`` rows along approximate quantiles of their places (place_of), and each range is
+    shuffled to one task by itself; no task sees the whole order. A whole number (or null) that holds many rows is cut by the hash
+    of the text, so only rows equal in both stay together; ids of other types that share a place stay together, sorted with spills. ``most`` bounds the table of ranges that is broadcast,
     not the rows: beyond it ranges hold more rows and are sorted with spills. A range's last row needs the next range's
     first row, so that row is sent to both. Null ids come first.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, none, low, high, marks = d.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 2000)).first()
+    kind = docs.schema["doc_id"].dataType
+    exact = isinstance(kind, T.IntegralType)
+    d = docs.select((F.col("doc_id").cast("long") if exact else F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), place_of(docs).alias("place"))
+    n, none, low, high, marks = d.agg(F.count("*"), F.count(F.when(F.col("place").isNull(), 1)), F.min("place"), F.max("place"), F.percentile_approx("place", [i / 64 for i in range(1, 64)], 2000)).first()
     ranges = max(1, min(most, n // rows))
     marks = Counter(marks or [])
-    hot = {i: ranges * c // 64 for i, c in marks.items() if c > 1 and ranges * c // 64 > 1}  # how many parts an id is cut into
+    hot = {i: ranges * c // 64 for i, c in marks.items() if exact and c > 1 and ranges * c // 64 > 1}  # how many parts an id is cut into
     hot_null = max(1, ranges * none // n) if none else 0
     starts = sorted({low, *marks, *(i + 1 for i in hot if i < high)}) if low is not None else []
     # between two quantiles ids are cut evenly: this follows clustered ids as well as dense ones
@@ -99,15 +118,16 @@ def with_next(docs: DataFrame, made: Column | None = None, *, rows: int = 500, m
     bucket, base = by_hash(hot_null) if hot_null > 1 else F.lit(0).cast("long"), hot_null
     for a, b in zip(starts, [*starts[1:], (high or 0) + 1]):
         parts = hot.get(a, each)
-        within = by_hash(parts) if a in hot else F.floor((F.col("doc_id") - F.lit(a)) / F.lit(-(-(b - a) // each))).cast("long")
-        bucket, base = F.when(F.col("doc_id") >= a, F.lit(base).cast("long") + within).otherwise(bucket), base + parts
-    cut = F.when(F.col("doc_id").isNull(), F.lit(hot_null > 1)).otherwise(F.col("doc_id").isin(*hot) if hot else F.lit(False))
+        # halves, so that no difference of two longs runs over
+        within = by_hash(parts) if a in hot else F.floor((F.shiftright("place", 1) - F.lit(a >> 1)) / F.lit(-(-((b >> 1) - (a >> 1) + 1) // each))).cast("long")
+        bucket, base = F.when(F.col("place") >= a, F.lit(base).cast("long") + within).otherwise(bucket), base + parts
+    cut = F.when(F.col("place").isNull(), F.lit(hot_null > 1)).otherwise(F.col("place").isin(*hot) if hot else F.lit(False))
     # texts are read for this only where an id is cut
     d = d.withColumns({"bucket": bucket, "h": F.when(cut, F.xxhash64("text")) if hot or hot_null > 1 else F.lit(None).cast("long")})
     # at most `most` and some hundred rows, one for each range: the bound of the driver's list and of the broadcast
     firsts = [(r["bucket"], r["first"]) for r in d.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("id"), "h")).alias("first")).orderBy("bucket").collect()]
     sent = [(f["id"] if f["some"] else None, f["h"], b, firsts[i - 1][0]) for i, (b, f) in enumerate(firsts)]
-    table = d.sparkSession.createDataFrame(sent, "id long, its long, of long, to long")
+    table = d.sparkSession.createDataFrame(sent, f"id {'long' if exact else kind.simpleString()}, its long, of long, to long")
     ghosts = d.join(F.broadcast(table), d["doc_id"].eqNullSafe(table["id"]) & d["h"].eqNullSafe(table["its"]) & (d["bucket"] == table["of"])).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
     every = d.select("doc_id", "text", "bucket", F.lit(False).alias("ghost")).unionByName(ghosts).withColumn("made", F.lit(None).cast("long") if made is None else made)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

@@ -23,10 +23,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annulus.llm.common import components, durable
+from annulus.llm.sieve import Sieve
 
 SEED = 42
 WIDTH = 5
@@ -236,10 +237,11 @@ def shared_keys(made: DataFrame, tied: DataFrame) -> DataFrame:
     """key, band, node, root: the rows of the keys that nodes of several classes share. made: node, bands; tied: node, root."""
     nodes = made.where("bands is not null").select("node", "bands").join(tied.select("node", "root"), "node", "left")
     rows = nodes.select("node", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("band", "key"))
-    # one exchange: what is dealt by key is also free of repeats by key, and in its window
-    dealt = rows.repartition("key").dropDuplicates(["key", "node"])
-    every = Window.partitionBy("key")
-    return dealt.withColumns({"lo": F.min("root").over(every), "hi": F.max("root").over(every)}).where("lo <> hi").select("key", "band", "node", "root")
+    # classes are counted before the shuffle, so a key that very many nodes share is no single task; nodes of other keys don't move
+    of = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    several = durable(of)
+    may = Sieve(several.select(F.col("key").alias("h"))).column(F.col("key"))
+    return rows.where(may).join(several, "key", "left_semi").dropDuplicates(["key", "node"]).select("key", "band", "node", "root")
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -249,10 +251,9 @@ def cells(rows: DataFrame) -> DataFrame:
     slice, and each other; residents, of one class, needn't meet. So a large class with a few others at its side is
     sent a few times, not as often as it has slices.
     """
-    every = Window.partitionBy("key")
-    x = rows.withColumn("c", F.count("*").over(Window.partitionBy("key", "root")))
-    x = x.withColumn("main", F.max(F.struct("c", "root")).over(every)).withColumn("total", F.count("*").over(every))
-    x = x.withColumns({"resident": F.col("root") == F.col("main.root"), "sr": F.ceil(F.col("main.c") / CELL).cast("int"), "sv": F.ceil((F.col("total") - F.col("main.c")) / CELL).cast("int")})
+    of_class = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    sizes = of_class.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("total"))
+    x = rows.join(sizes, "key").withColumns({"resident": F.col("root") == F.col("main.root"), "sr": F.ceil(F.col("main.c") / CELL).cast("int"), "sv": F.ceil((F.col("total") - F.col("main.c")) / CELL).cast("int")})
     slice_ = F.pmod(F.xxhash64("node"), F.when(F.col("resident"), F.col("sr")).otherwise(F.col("sv"))).cast("int")
     x = x.withColumn("slice", slice_)
     span = lambda n: F.sequence(F.lit(0), n - 1)
@@ -321,15 +322,14 @@ def links(made: DataFrame, tied: DataFrame, sets: Callable[[DataFrame], DataFram
     return good
 
 
-def sets_of(docs: DataFrame, by_node: DataFrame, *, broadcast: int = 250_000) -> Callable[[DataFrame], DataFrame]:
+def sets_of(docs: DataFrame, by_node: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A function from nodes to their (node, shingles). by_node: node, first, whose th is the hash of one of its texts."""
 
     def sets(wanted: DataFrame) -> DataFrame:
-        asked = durable(by_node.join(wanted, "node").select(F.col("first.th").alias("th")))
-        # a few hashes are sent to the texts, so that the other texts stay where they are
-        asked = F.broadcast(asked) if asked.count() <= broadcast else asked
+        asked = by_node.join(wanted, "node").select(F.col("first.th").alias("h"))
+        # a filter goes to the texts: they stay where they are, and a text too much is a node that nobody asks for
         text = F.coalesce("text", F.lit(""))
-        few = docs.select(text.alias("text"), F.xxhash64(text).alias("th")).join(asked, "th", "left_semi")
+        few = docs.select(text.alias("text")).where(Sieve(durable(asked)).column(F.xxhash64(text)))
         return few.select(whole_column(F.col("text")).alias("p")).select("p.node", "p.shingles").dropDuplicates(["node"])
 
     return sets

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from annulus.llm import nearcopies
 from annulus.llm.common import components, durable
+from annulus.llm.sieve import Sieve
 
 SEED = 42
 WIDTH = 4
@@ -287,11 +288,11 @@ def near_duplicates(docs: DataFrame, **linking) -> DataFrame:
     return classes(docs, **linking).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, few: int = 250_000, **linking) -> DataFrame:
+def keep_one(docs: DataFrame, **linking) -> DataFrame:
     """One row of each class of near copies (near_copies), that with the smallest id, with its columns as they were.
 
-    Texts are linked that share four in five of their distinct five-word shingles; texts without words are one class. Up
-    to ``few`` rows' keys are broadcast. linking: for the trees.
+    Texts are linked that share four in five of their distinct five-word shingles; texts without words are one class. Rows that
+    can't be among those to go stay where they are; the others are looked up by their keys. linking: for the trees.
 
     Ties of an id (or of null ids, which come last) fall to the smallest hash of the text; of rows that
     repeat id and text one stays. An empty table stays empty. Columns may have any name.
@@ -300,12 +301,13 @@ def keep_one(docs: DataFrame, *, few: int = 250_000, **linking) -> DataFrame:
     # an id as text and whether it is null: plain keys, so the join and the removal of repeated rows share one exchange
     keys = lambda doc_id, th: [doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), th.alias("th")]
     names = ["none", "id", "th"]
-    kept = durable(c.where(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).groupBy(*keys(F.col("doc_id"), F.col("th"))).agg(F.count("*").alias("rows")))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    verdicts = durable(c.groupBy(*keys(F.col("doc_id"), F.col("th"))).agg(F.count("*").alias("rows"), F.max(stays).alias("stays")))
+    mark = F.xxhash64(*names)
+    # to be looked up: rows to go, and those of which another is equal
+    sieve = Sieve(verdicts.where("not stays or rows > 1").select(mark.alias("h")))
     # the whole row as one column: its names can't meet those of the keys
     keyed = docs.select(F.struct("*").alias("row")).select("row", *keys(F.col("row.doc_id"), F.xxhash64(F.coalesce("row.text", F.lit("")))))
-    if kept.count() > few:
-        both = keyed.join(kept, names).dropDuplicates(names)
-    else:  # few keys are sent to the texts; only repeated rows move
-        both = keyed.join(F.broadcast(kept), names)
-        both = both.where("rows = 1").unionByName(both.where("rows > 1").dropDuplicates(names))
-    return both.select("row.*")
+    keyed = keyed.withColumn("may", sieve.column(mark))
+    looked_up = keyed.where("may").join(verdicts.where("stays"), names).dropDuplicates(names)
+    return keyed.where("not may").select("row.*").unionByName(looked_up.select("row.*"))

@@ -504,7 +504,6 @@ def test_contiguous_edits(spark, monkeypatch, cell):
     assert close <= every  # without trust, every pair at 0.8 is counted: the recall of the search
     made.unpersist()
     assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == kept_model(rows)
-    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs, few=0).collect()) == kept_model(rows)
 
 
 def test_texts_below_the_limit_stay(spark):
@@ -648,11 +647,8 @@ def test_decontamination(spark, awkward, empty):
                 want.add((r.doc_id, i, len(s & have), len(s)))
     got = decontam.contaminated(docs, bench)
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got.collect()} == want and len(want) > 30
-    assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contaminated(docs, bench, chars=0).collect()} == want  # by tables
-    assert decontam.contaminated(docs, bench, chars=0).count() == got.count()
     clash = docs.withColumns({"row": F.lit(1), "th": F.lit("t"), "h": F.lit(2)})
-    assert decontam.clean(clash, bench, chars=0).columns == clash.columns and decontam.clean(clash, bench, chars=0).count() == decontam.clean(docs, bench).count()
-    assert decontam.contaminated(empty, bench, chars=0).count() == 0
+    assert decontam.clean(clash, bench).columns == clash.columns and decontam.clean(clash, bench).count() == decontam.clean(docs, bench).count()
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - docs.where(F.col("doc_id").isin(*{x[0] for x in want})).count()
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
