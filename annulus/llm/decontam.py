@@ -91,7 +91,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float) -> tuple[Dat
     items = durable(items_of(benchmark))
     held = durable(item_shingles(items, threshold))
     widths = tuple(sorted(r["width"] for r in held.select("width").distinct().collect()))  # at most five numbers
-    sieve = Sieve(held.select("h").distinct())
+    sieve = Sieve(held.select("h").distinct()).inside()
 
     @F.pandas_udf("array<long>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -131,5 +131,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8) -> D
     _, good = search(docs, benchmark, threshold)
     bad = durable(good.select("th").distinct())
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    keyed = keyed.withColumn("may", Sieve(bad.select(F.col("th").alias("h"))).column(F.col("th")))
+    keyed = Sieve(bad.select(F.col("th").alias("h"))).marked(keyed, F.col("th"))
     return keyed.where("not may").select("row.*").unionByName(keyed.where("may").join(bad, "th", "left_anti").select("row.*"))

@@ -240,8 +240,8 @@ def shared_keys(made: DataFrame, tied: DataFrame) -> DataFrame:
     # classes are counted before the shuffle, so a key that very many nodes share is no single task; nodes of other keys don't move
     of = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     several = durable(of)
-    may = Sieve(several.select(F.col("key").alias("h"))).column(F.col("key"))
-    return rows.where(may).join(several, "key", "left_semi").dropDuplicates(["key", "node"]).select("key", "band", "node", "root")
+    some = Sieve(several.select(F.col("key").alias("h"))).marked(rows, F.col("key")).where("may")
+    return some.join(several, "key", "left_semi").dropDuplicates(["key", "node"]).select("key", "band", "node", "root")
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def sets_of(docs: DataFrame, by_node: DataFrame) -> Callable[[DataFrame], DataFr
         asked = by_node.join(wanted, "node").select(F.col("first.th").alias("h"))
         # a filter goes to the texts: they stay where they are, and a text too much is a node that nobody asks for
         text = F.coalesce("text", F.lit(""))
-        few = docs.select(text.alias("text")).where(Sieve(durable(asked)).column(F.xxhash64(text)))
+        few = Sieve(durable(asked)).marked(docs.select(text.alias("text"), F.xxhash64(text).alias("th")), F.col("th")).where("may")
         return few.select(whole_column(F.col("text")).alias("p")).select("p.node", "p.shingles").dropDuplicates(["node"])
 
     return sets

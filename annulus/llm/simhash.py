@@ -308,6 +308,6 @@ def keep_one(docs: DataFrame, **linking) -> DataFrame:
     sieve = Sieve(verdicts.where("not stays or rows > 1").select(mark.alias("h")))
     # the whole row as one column: its names can't meet those of the keys
     keyed = docs.select(F.struct("*").alias("row")).select("row", *keys(F.col("row.doc_id"), F.xxhash64(F.coalesce("row.text", F.lit("")))))
-    keyed = keyed.withColumn("may", sieve.column(mark))
+    keyed = sieve.marked(keyed, mark)
     looked_up = keyed.where("may").join(verdicts.where("stays"), names).dropDuplicates(names)
     return keyed.where("not may").select("row.*").unionByName(looked_up.select("row.*"))

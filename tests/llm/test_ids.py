@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,12 +64,17 @@ def test_sieve(spark):
     """All that was put in passes, few others do, and an empty or a full one works."""
     put = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     s = sieve.Sieve(put)
-    assert put.where(~s.column(F.col("h"))).count() == 0
-    assert spark.range(10**6, 10**6 + 40_000).where(s.column(F.xxhash64("id"))).count() < 100
-    none = sieve.Sieve(put.limit(0))
-    assert put.where(none.column(F.col("h"))).count() == 0
-    full = sieve.Sieve(put, most=12)
-    assert put.where(full.column(F.col("h"))).count() == 20_000
+    let = lambda s, rows: s.marked(rows, F.col("h")).where("may").select("h")
+    assert let(s, put).count() == 20_000
+    other = spark.range(10**6, 10**6 + 40_000).select(F.xxhash64("id").alias("h"))
+    passed = {r.h for r in let(s, other).collect()}
+    assert len(passed) < 100
+    inside, all_of = s.inside(), np.array([r.h for r in other.collect()], np.int64)
+    assert set(all_of[inside.lets(all_of)].tolist()) == passed
+    assert inside.lets(np.array([r.h for r in put.collect()], np.int64)).all()
+    assert let(sieve.Sieve(put.limit(0)), put).count() == 0
+    assert let(sieve.Sieve(put, most=7), put).count() == 20_000
+    assert s.marked(put, F.col("h")).columns == ["h", "may"]
 
 
 def test_many_items_and_a_common_shingle(spark):
