@@ -35,10 +35,10 @@ def simplify_consecutive(path: Column) -> Column:
 
 
 def meta_hash(path: Column) -> Column:
-    """Equal for all rotations of both strands: the exclusive or of their hashes."""
+    """Equal for all rotations of both strands: the exclusive or of the hashes of the different ones among them."""
     n = F.size(path)
     turns = lambda p: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.concat(F.slice(p, i + 1, n - i), F.slice(p, F.lit(1), i))))
-    both = F.concat(turns(path), turns(opposite(path)))
+    both = F.array_distinct(F.concat(turns(path), turns(opposite(path))))
     return F.aggregate(both, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
 
 

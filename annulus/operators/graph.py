@@ -30,14 +30,18 @@ def sv_edges(sv: DataFrame, fragments: DataFrame, *, distance: int = 50) -> Data
     """u, v, svtype, weight, and the order of making (key_ord, moved, ord, i): an edge for each tie of each call.
 
     A tail is that of the fragment holding the position 2 distance further on; a head that of the
-    fragment holding the one as much before. An end that no fragment holds makes no edge.
+    fragment holding the one as much before. An end that no fragment holds makes no edge. Both ends of all
+    calls are looked up in one pass and paired again by ord, which names a call, and i.
     """
     tied = sv.select("ord", "key_ord", "moved", "chr1", "pos1", "chr2", "pos2", "dv", F.posexplode(joins_of(F.col("svtype"), F.col("strand"))).alias("i", "t"))
     probe = lambda pos, part: F.when(F.col(part) == TAIL, F.col(pos) + 2 * distance).otherwise(F.col(pos) - 2 * distance)
-    end = lambda side, part: F.when(F.col(part) == TAIL, F.col(f"{side}.tail")).otherwise(F.col(f"{side}.head"))
-    first = stab_join(tied.withColumn("chr", F.col("chr1")), fragments, probe("pos1", "t.part1"), "one", ["tail", "head"])
-    both = stab_join(first.withColumn("chr", F.col("chr2")), fragments, probe("pos2", "t.part2"), "two", ["tail", "head"])
-    return both.select(end("one", "t.part1").alias("u"), end("two", "t.part2").alias("v"), F.col("t.code").alias("svtype"), F.col("dv").cast("double").alias("weight"), "key_ord", "moved", "ord", "i").where("u is not null and v is not null")
+    side = lambda k: F.struct(F.lit(k).alias("k"), F.col(f"chr{k}").alias("chr"), probe(f"pos{k}", f"t.part{k}").cast("bigint").alias("at"), F.col(f"t.part{k}").alias("part"))
+    names = ["key_ord", "moved", "ord", "i"]
+    ends = tied.select(*names, F.col("t.code").alias("svtype"), F.col("dv").cast("double").alias("weight"), F.explode(F.array(side(1), side(2))).alias("e")).select("*", "e.*").drop("e")
+    found = stab_join(ends, fragments, F.col("at"), "f", ["tail", "head"]).withColumn("node", F.when(F.col("part") == TAIL, F.col("f.tail")).otherwise(F.col("f.head")))
+    node = lambda k: F.max(F.when(F.col("k") == k, F.col("node")))
+    both = found.groupBy(*names, "svtype", "weight").agg(node(1).alias("u"), node(2).alias("v"))
+    return both.select("u", "v", "svtype", "weight", *names).where("u is not null and v is not null")
 
 
 def spatial_edges(adjacent: DataFrame, spanning: DataFrame, *, wgs_mean: float, least: int = 4) -> DataFrame:

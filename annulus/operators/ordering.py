@@ -23,11 +23,10 @@ def last_known(rows: DataFrame, key: str, at: str, known: Column, name: str, *,
     x = rows.withColumns({"__bin": F.floor(F.col(at) / bin_size).cast("long"), "__known": known})
     value = F.struct(*take) if take else F.col(at)
     within = Window.partitionBy(key, "__bin").orderBy(at, *([then] if then else [])).rowsBetween(Window.unboundedPreceding, -1 if strictly else 0)
-    tops = x.groupBy(key, "__bin").agg(F.max(F.when(F.col("__known"), F.col(at))).alias("__top"))
+    # the last of a bin by its place, and what is taken of it
+    tops = x.groupBy(key, "__bin").agg(F.max(F.when(F.col("__known"), F.struct(F.col(at).alias("__at"), value.alias("__value")))).alias("__top"))
     before = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    far = tops.select(key, "__bin", F.last("__top", ignorenulls=True).over(before).alias("__far")).where("__far is not null")
-    if take:
-        far = far.join(x.where("__known").select(key, F.col(at).alias("__far"), value.alias("__value")), [key, "__far"]).select(key, "__bin", F.col("__value").alias("__far"))
+    far = tops.select(key, "__bin", F.last("__top", ignorenulls=True).over(before).getField("__value").alias("__far")).where("__far is not null")
     near = x.withColumn("__near", F.last(F.when(F.col("__known"), value), ignorenulls=True).over(within))
     return near.join(far, [key, "__bin"], "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("__near", "__far").alias(name))
 

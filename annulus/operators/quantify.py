@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,40 +31,56 @@ def clusters(mult: DataFrame) -> DataFrame:
     return tied.where("node < 0").join(named, "root").select((-F.col("node") - 1).alias("circ_id"), "cluster")
 
 
-def positive_lasso(x: np.ndarray, y: np.ndarray, *, alpha: float = 0.1, steps: int = 1000, tolerance: float = 1e-4) -> np.ndarray:
-    """Weights >= 0 with least |y - x w - b|^2 / 2n + alpha sum w, by cyclic coordinate descent until the duality gap is small."""
-    n = len(y)
-    x, y = x - x.mean(axis=0), y - y.mean()
-    norm, w, rest = (x**2).sum(axis=0), np.zeros(x.shape[1]), y.copy()
+Columns = list[tuple[np.ndarray, np.ndarray]]  # for each column the rows where it isn't zero, and its values there
+
+
+def columns_of(x: np.ndarray) -> Columns:
+    return [(at := np.flatnonzero(c), c[at]) for c in x.T]
+
+
+def positive_lasso(x: np.ndarray | Columns, y: np.ndarray, *, alpha: float = 0.1, steps: int = 1000, tolerance: float = 1e-4) -> np.ndarray:
+    """Weights >= 0 with least |y - x w - b|^2 / 2n + alpha sum w, by cyclic coordinate descent until the duality gap is small.
+
+    Columns stay sparse: centring them only shifts what is left of y by one number, which is kept apart. A column that
+    the gap proves to have no weight at the optimum is left out from then on. Constant columns have none either.
+    """
+    columns = columns_of(x) if isinstance(x, np.ndarray) else x
+    n, y = len(y), y - y.mean()
+    total, square = np.array([v.sum() for _, v in columns]), np.array([v @ v for _, v in columns])
+    norm = square - total**2 / n
+    w, rest, shift = np.zeros(len(columns)), y.copy(), 0.0
     enough = tolerance * (y @ y)
+    live = np.flatnonzero(norm > 1e-12 * square)
     for step in range(steps):
         biggest = moved = 0.0
-        for j in range(len(w)):
-            if norm[j] == 0:
-                continue
+        for j in live.tolist():
+            rows, values = columns[j]
             old = w[j]
-            w[j] = max(0.0, x[:, j] @ rest + norm[j] * old - alpha * n) / norm[j]
-            if w[j] != old:
-                rest -= (w[j] - old) * x[:, j]
-            moved, biggest = max(moved, abs(w[j] - old)), max(biggest, w[j])
-        if biggest == 0 or moved / biggest < tolerance or step == steps - 1:
-            high = max(0.0, (x.T @ rest).max(initial=0.0))
+            new = max(0.0, values @ rest[rows] + shift * total[j] + norm[j] * old - alpha * n) / norm[j]
+            if new != old:
+                rest[rows] -= (new - old) * values
+                shift += (new - old) * total[j] / n
+                w[j] = new
+            moved, biggest = max(moved, abs(new - old)), max(biggest, new)
+        if biggest == 0 or moved / biggest < tolerance or step % 10 == 9 or step == steps - 1:
+            left = rest + shift
+            fit = np.array([columns[j][1] @ left[columns[j][0]] for j in live.tolist()])
+            high = max(0.0, fit.max(initial=0.0))
             scale = alpha * n / high if high > alpha * n else 1.0
-            gap = 0.5 * (rest @ rest) * (1 + scale**2) + alpha * n * w.sum() - scale * (rest @ y)
+            gap = 0.5 * (left @ left) * (1 + scale**2) + alpha * n * w.sum() - scale * (left @ y)
             if gap < enough:
                 break
+            live = live[(w[live] > 0) | (scale * fit + np.sqrt(norm[live] * 2 * max(gap, 0.0)) >= alpha * n)]
     return w
 
 
-def solve_cluster(mult: np.ndarray, coverage: np.ndarray, wgs_mean: float, config: Config = Config()) -> np.ndarray:
+def solve_cluster(mult: Columns, coverage: np.ndarray, wgs_mean: float, config: Config = Config()) -> np.ndarray:
     """Scores of a cluster's circles (columns) over its fragments (rows); NaN where a circle is dropped.
 
-    The genome's mean coverage is one more circle, which passes every fragment once. Weights below the
-    cutoff are dropped, unless all are.
+    The genome's mean coverage is one more row, which no circle passes. The circle that passes every row once, and a number added
+    to all of the matrix, are constant and go into the intercept. Weights below the cutoff are dropped, unless all are.
     """
-    x = np.vstack([mult, np.zeros(mult.shape[1])])
-    x = np.column_stack([x, np.ones(len(x))]) + config.pseudocount
-    w = positive_lasso(x, np.append(coverage, wgs_mean), alpha=config.alpha, steps=config.lasso_steps, tolerance=config.lasso_tolerance)[:-1]
+    w = positive_lasso(mult, np.append(coverage, wgs_mean), alpha=config.alpha, steps=config.lasso_steps, tolerance=config.lasso_tolerance)
     cutoff = max(coverage.min() / 5, 10)
     return np.where(w >= cutoff, w, np.nan) if (w >= cutoff).any() else w
 
@@ -96,28 +115,98 @@ def distribution(rows: DataFrame, column: str, *, bins: int = 50, pseudocount: f
     return y.groupBy("bucket").agg(F.first(F.pow(F.lit(10.0), F.col("lo") + F.col("bucket") * F.col("step"))).alias("low"), F.count("*").alias("n"))
 
 
+def density(rows: DataFrame, column: str, *, points: int = 200, pseudocount: float = 0.01) -> DataFrame:
+    """point (from 0), at, density: a Gaussian kernel density of whole values on a logarithmic scale, at ``points`` from the least value to the largest.
+
+    The bandwidth is the values' deviation by n^(1/5) (Scott's rule). Values are counted by their three leading digits, so there are under a
+    thousand cells for each power of ten, however many rows; a cell's values lie at their mean. Infinite, negative and null ones aren't
+    counted; fewer than two different values have no curve.
+    """
+    v = rows.select(F.floor(F.col(column).cast("double")).alias("v")).where("v >= 0 and v < 1e18").select(F.col("v").cast("bigint").alias("v"))
+    tail = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.length(F.col("v").cast("string")) - 3)).cast("bigint")
+    x = v.select((F.col("v") - F.col("v") % tail).alias("cell"), F.log10(F.col("v") + pseudocount).alias("x"))
+    cells = x.groupBy("cell").agg(F.count("*").alias("c"), F.avg("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    mean = F.sum(F.col("c") * F.col("x")) / F.sum("c")
+    whole = cells.agg(F.sum("c").alias("n"), mean.alias("mean"), F.sum("xx").alias("xx"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("hi > lo")  # one row
+    whole = whole.withColumn("h", F.sqrt((F.col("xx") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)) * F.pow("n", F.lit(-0.2)))
+    grid = whole.select("n", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / (points - 1))).alias("point", "g"))
+    z = (F.col("g") - F.col("x")) / F.col("h")
+    near = cells.select("c", "x").crossJoin(F.broadcast(grid))  # as many rows as there are points
+    return near.groupBy("point").agg(F.first(F.pow(F.lit(10.0), F.col("g"))).alias("at"), (F.sum(F.col("c") * F.exp(-z * z / 2)) / F.first(F.col("n") * F.col("h") * (2 * math.pi) ** 0.5)).alias("density"))
+
+
+def linear_models(rows: DataFrame, key: str, features: list[str], target: str, *, ridge: float = 1.0, alpha: float = 0.1) -> DataFrame:
+    """key, model, coefficients: for each key least squares ('linear'), 'ridge' and 'lasso' fits of ``target`` on ``features``, with an intercept.
+
+    One aggregation makes each key's sums of products, of the features' number squared; the fits use nothing else. Rows with a
+    null feature or target are left out. Least squares of features that depend on each other is that of least length.
+    """
+    c = len(features)
+    names = [*features, target]
+    value = lambda name: F.col(name).cast("double")
+    good = rows.dropna(subset=names)
+    sums = F.array(*[F.sum(value(a)) for a in names])
+    products = F.array(*[F.sum(value(a) * value(b)) for i, a in enumerate(names) for b in names[i:]])
+    gram = good.groupBy(key).agg(F.count("*").alias("n"), sums.alias("sums"), products.alias("products"))
+
+    @F.pandas_udf("array<struct<model:string,coefficients:array<double>>>")
+    def fits(n: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
+        out = []
+        for rows_, one, two in zip(n, s, p):
+            m = np.zeros((c + 1, c + 1))
+            m[np.triu_indices(c + 1)] = two
+            m = m + np.triu(m, 1).T - np.outer(one, one) / rows_  # centred
+            g, b = m[:c, :c], m[:c, c]
+            w = {"linear": np.linalg.lstsq(g, b, rcond=1e-12)[0], "ridge": np.linalg.solve(g + ridge * np.eye(c), b), "lasso": _gram_lasso(g, b, alpha * rows_)}
+            out.append([{"model": k, "coefficients": x.tolist()} for k, x in w.items()])
+        return pd.Series(out)
+
+    return gram.select(key, F.explode(fits("n", "sums", "products")).alias("f")).select(key, "f.model", "f.coefficients")
+
+
+def _gram_lasso(g: np.ndarray, b: np.ndarray, penalty: float, steps: int = 10_000) -> np.ndarray:
+    """Least w g w / 2 - b w + penalty sum |w|, by coordinate descent."""
+    w = np.zeros(len(b))
+    for _ in range(steps):
+        before = w.copy()
+        for j in range(len(b)):
+            if g[j, j] > 0:
+                r = b[j] - g[j] @ w + g[j, j] * w[j]
+                w[j] = np.sign(r) * max(abs(r) - penalty, 0.0) / g[j, j]
+        if np.abs(w - before).max(initial=0.0) <= 1e-14 * np.abs(w).max(initial=1.0):
+            break
+    return w
+
+
+def total_errors(fits: DataFrame, key: str, truth: DataFrame) -> DataFrame:
+    """key, model, error: the sum of absolute differences between a fit's coefficients and the true proportions. truth: key, proportions (array)."""
+    off = F.aggregate(F.zip_with("coefficients", "proportions", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
+    return fits.join(truth, key).select(key, "model", off.alias("error"))
+
+
 def abundance(circles: DataFrame, fragments: DataFrame, wgs_mean: float, config: Config = Config()) -> DataFrame:
     """circ_id, score, cluster: likely circles. A lone circle scores the mean coverage of its fragments.
 
-    A cluster is solved as one matrix of its circles and fragments. If several circles share a single
+    A cluster is solved over its circles' passes, so a task's memory follows these. If several circles share a single
     fragment, regression has nothing to tell them apart and each scores 100.
     """
     mult = multiplicity(circles)
     both = mult.join(clusters(mult), "circ_id").join(fragments.select("fid", "coverage"), "fid")
 
     def solve(key: int, rows: list) -> list[tuple]:
-        ids, fids = sorted({int(r.circ_id) for r in rows}), sorted({int(r.fid) for r in rows})
-        column, line = {c: j for j, c in enumerate(ids)}, {f: i for i, f in enumerate(fids)}
-        m, cover = np.zeros((len(fids), len(ids))), np.zeros(len(fids))
+        cover = {int(r.fid): float(r.coverage) for r in rows}
+        line = {f: i for i, f in enumerate(sorted(cover))}
+        passes: dict[int, list[tuple[int, int]]] = {}
         for r in rows:
-            m[line[int(r.fid)], column[int(r.circ_id)]] = r.mult
-            cover[line[int(r.fid)]] = r.coverage
+            passes.setdefault(int(r.circ_id), []).append((line[int(r.fid)], r.mult))
+        ids, y = sorted(passes), np.array([cover[f] for f in line])
         if len(ids) == 1:
-            score = np.array([cover.mean()])
-        elif len(fids) == 1:
+            score = np.array([y.mean()])
+        elif len(y) == 1:
             score = np.full(len(ids), 100.0)
         else:
-            score = solve_cluster(m, cover, wgs_mean, config)
+            columns = [tuple(np.array(sorted(passes[c])).T) for c in ids]
+            score = solve_cluster([(at, v.astype(float)) for at, v in columns], y, wgs_mean, config)
         return [(c, float(s), key) for c, s in zip(ids, score) if not np.isnan(s)]
 
     return by_key(both, "cluster", solve, "circ_id long, score double, cluster long")

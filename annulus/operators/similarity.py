@@ -7,6 +7,8 @@ fragment that very many circles pass seldom pairs them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,59 @@ def prune_by_score(circles: DataFrame, pairs: DataFrame, *, threshold: float = 0
     return circles.join(losers, "circ_id", "left_anti")
 
 
+def overlap_score(a: Column, b: Column) -> Column:
+    """How well two fragments (fid, chr, start, end) match: 1 for the same, less by their overlap, -2 without any."""
+    size = F.abs(a["start"] - a["end"]).cast("double")
+    begins = (b["start"] <= a["start"]) & (a["start"] <= b["end"])
+    holds = (a["start"] <= b["start"]) & (b["start"] <= a["end"])
+    from_a = F.greatest(size, F.abs(a["start"] - b["end"]).cast("double")) / size
+    from_b = F.greatest(F.abs(b["start"] - b["end"]), F.abs(b["start"] - a["end"])).cast("double") / size
+    return F.when(a["fid"] == b["fid"], 1.0).when((a["chr"] == b["chr"]) & begins, from_a).when((a["chr"] == b["chr"]) & holds, from_b).otherwise(-2.0)
+
+
+def aligned(x: Column, y: Column, match: Callable[[Column, Column], Column] = overlap_score) -> Column:
+    """How alike two circles are as sequences of fragments (arrays of (fid, chr, start, end)): the share of length in which a global alignment matches them.
+
+    The table of the alignment grows row by row as a fold over x, each row as a fold over y; a gap costs 1. Then its best way
+    is walked back from the end: a step in both circles counts the smaller share of the two fragments if the table isn't negative
+    there. Of a circle of one fragment and a longer one, or of two different single fragments, nothing is alike. Circles are short:
+    a row holds its table.
+    """
+    nx, ny = F.size(x), F.size(y)
+    first = F.transform(F.sequence(F.lit(0), ny), lambda j: (-1 - j).cast("double"))
+
+    def row(above: Column, f: Column) -> Column:
+        def cell(held: Column, j: Column) -> Column:
+            return F.concat(held, F.array(F.greatest(F.get(above, j) - 1, F.get(held, j - 1) - 1, F.get(above, j - 1) + match(f, F.get(y, j - 1)))))
+
+        return F.aggregate(F.sequence(F.lit(1), ny), F.array(F.get(above, F.lit(0)) - 1), cell)
+
+    table = F.aggregate(x, F.array(first), lambda rows, f: F.concat(rows, F.array(row(F.element_at(rows, -1), f))))
+    shares = lambda p: F.transform(p, lambda f: F.abs(f["start"] - f["end"]) / F.aggregate(p, F.lit(0.0), lambda s, g: s + F.abs(g["start"] - g["end"])))
+    held = F.struct(table.alias("m"), shares(x).alias("px"), shares(y).alias("py"))
+    state = lambda i, j, s: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), s.cast("double").alias("s"))
+
+    def way(t: Column) -> Column:
+        at = lambda i, j: F.get(F.get(t["m"], i), j)
+
+        def back(p: Column, _: Column) -> Column:
+            i, j, s = p["i"], p["j"], p["s"]
+            both, up, left = at(i - 1, j - 1), at(i - 1, j), at(i, j - 1)
+            more = F.when(at(i, j) >= 0, F.least(F.get(t["px"], i - 1), F.get(t["py"], j - 1))).otherwise(0.0)
+            return (
+                F.when((i == 0) & (j == 0), p).when(i == 0, state(i, j - 1, s)).when(j == 0, state(i - 1, j, s))
+                .when((both >= up) & (both >= left), state(i - 1, j - 1, s + more)).when((up > both) & (up > left), state(i - 1, j, s)).otherwise(state(i, j - 1, s))
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), nx + ny), state(nx, ny, F.lit(0)), back)["s"]
+
+    # the table is made once and looked at many times: it is bound to a name as the only element of an array
+    score = F.get(F.transform(F.array(held), way), F.lit(0))
+    alone = (nx == 1) | (ny == 1)
+    same = (nx == 1) & (ny == 1) & (F.get(x, F.lit(0))["fid"] == F.get(y, F.lit(0))["fid"])
+    return F.when((nx == 0) | (ny == 0) | (alone & ~same), 0.0).otherwise(score)
+
+
 def vector_likeness(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """cosine, relative_l2, mse, absolute of paired values: how close estimates are to what was measured."""
     a, b = F.col(x), F.col(y)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annulus.config import BND, DEL, DUP, FAR_END, INV, REWIRE, SPATIAL, Config
+from annulus.config import BND, DEL, DUP, FAR_END, FRAGMENT, INV, REWIRE, SPATIAL, Config
 from annulus.functions import genomics, paths
-from annulus.operators import alignment, annotate, breakpoints, fragments, graph, quantify, search, sequences, similarity, validate
+from annulus.operators import alignment, annotate, breakpoints, circuits, fragments, graph, quantify, search, sequences, similarity, validate
 from annulus.operators.intervals import overlap_join, stab_join
 from annulus.operators.lineage import durable
 from annulus.plans.views import duck, spark_view
@@ -781,3 +781,127 @@ def fasta_blocks(spark, d):
 @query(duck("sv") + "select ord, abs(pos1 - pos2) <= 60000 as near from sv")
 def proximity(spark, d):
     return spark_view(spark, d, "sv").select("ord", genomics.within(F.col("pos1"), F.col("pos2"), 60_000).alias("near"))
+
+
+# regressions, densities, circuits, alignments of circles ------------------------------------------------------
+
+PAIRED = """owned as (select *, (m - 1 + (m - 1) % 2) / 2 as p from order_fragment),
+ total as (select grp, m, m + 1.0 as n, sum(coverage) + 4 as y, min(coverage) as least_y, max(p) + 1.0 as a, m - max(p) + 0.0 as b, sum(case when n <= p or n = m then coverage else 0 end) as sa, sum(case when n > p then coverage else 0 end) as sb from owned group by grp, m),
+ system as (select *, a - a * a / n as ga, b - b * b / n as gb, 1 - a * b / n as g, sa - a * y / n - 0.1 * n as ba, sb - b * y / n - 0.1 * n as bb from total),
+ free as (select *, case when m > 1 then (ba * gb - bb * g) / (ga * gb - g * g) else 100 end as fa, case when m > 1 then (bb * ga - ba * g) / (ga * gb - g * g) else 100 end as fb from system),
+ one as (select *, fa >= 0 and fb >= 0 as inner_point, greatest(0, ba / ga) as only_a, greatest(0, bb / gb) as only_b from free where m > 1),
+ weight as (select grp, least_y, case when inner_point then fa when bb - g * only_a <= 1e-9 then only_a else 0 end as wa, case when inner_point then fb when bb - g * only_a <= 1e-9 then 0 else only_b end as wb from one),
+ kept as (select grp, wa, wb, greatest(least_y / 5, 10) as cutoff from weight)"""
+
+
+@query(duck("order_fragment", more=PAIRED.replace("(m - 1 + (m - 1) % 2) / 2 as p", "(m - 1 + (m - 1) % 2) // 2 as p")) + """select 2 * grp as circ_id, round(wa, 3) as score from kept where wa >= cutoff or wb < cutoff
+ union all select 2 * grp + 1, round(wb, 3) from kept where wb >= cutoff or wa < cutoff
+ union all select 2 * grp + i, 100 from total cross join (values (0), (1)) v(i) where m = 1""")
+def shared_abundance(spark, d):
+    """Every order is two circles: one passes the first half of its fragments, one the others, and both the last one. With two columns the
+    regression has a closed solution; the descent is run until nothing moves."""
+    f = spark_view(spark, d, "order_fragment")
+    p = F.floor((F.col("m") - 1 + (F.col("m") - 1) % 2) / 2)
+    side = lambda k, own: f.where(own | (F.col("n") == F.col("m"))).groupBy((2 * F.col("grp") + k).alias("circ_id")).agg(F.array_sort(F.collect_list("fid")).alias("path"))
+    circles = side(0, F.col("n") <= p).unionByName(side(1, F.col("n") > p))
+    return quantify.abundance(circles, f, 4.0, Config(lasso_steps=80, lasso_tolerance=0.0)).select("circ_id", F.round("score", 3).alias("score"))
+
+
+MODELS = """x as (select l_suppkey as k, cast(l_quantity as double) as a, cast(l_linenumber as double) as b, cast(l_partkey % 40 as double) as c, 3 * cast(l_quantity as double) + l_linenumber * (l_suppkey % 5) + l_orderkey % 11 as y from lineitem),
+ g as (select k, sum(a * a) - sum(a) * sum(a) / count(*) as aa, sum(a * b) - sum(a) * sum(b) / count(*) as ab, sum(a * c) - sum(a) * sum(c) / count(*) as ac, sum(b * b) - sum(b) * sum(b) / count(*) as bb, sum(b * c) - sum(b) * sum(c) / count(*) as bc,
+   sum(c * c) - sum(c) * sum(c) / count(*) as cc, sum(a * y) - sum(a) * sum(y) / count(*) as ay, sum(b * y) - sum(b) * sum(y) / count(*) as bby, sum(c * y) - sum(c) * sum(y) / count(*) as cy from x group by 1),
+ m as (select k, model, aa + r as aa, ab, ac, bb + r as bb, bc, cc + r as cc, ay, bby as yb, cy from g cross join (values ('linear', 0.0), ('ridge', 1.0)) v(model, r)),
+ det as (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as d from m)"""
+
+
+@query("with " + MODELS + """ select k, model, round((ay * (bb * cc - bc * bc) - ab * (yb * cc - bc * cy) + ac * (yb * bc - bb * cy)) / d, 5) as w1,
+  round((aa * (yb * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - yb * ac)) / d, 5) as w2, round((aa * (bb * cy - yb * bc) - ab * (ab * cy - yb * ac) + ay * (ab * bc - bb * ac)) / d, 5) as w3 from det""")
+def linear_models(spark, d):
+    """Least squares and ridge fits of three features for each supplier's lines."""
+    x = spark.sql("select l_suppkey as k, l_quantity as a, l_linenumber as b, l_partkey % 40 as c, 3 * cast(l_quantity as double) + l_linenumber * (l_suppkey % 5) + l_orderkey % 11 as y from {lineitem}", lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    f = quantify.linear_models(x, "k", ["a", "b", "c"], "y").where("model <> 'lasso'")
+    return f.select("k", "model", *[F.round(F.get("coefficients", F.lit(i)), 5).alias(f"w{i + 1}") for i in range(3)])
+
+
+@query("""with v as (select l_partkey * cast(floor(l_quantity) as bigint) as v from lineitem),
+ x as (select v - v % cast(pow(10, greatest(0, len(cast(v as varchar)) - 3)) as bigint) as cell, log10(v + 0.01) as x from v where v >= 0),
+ c as (select count(*) as c, avg(x) as x, sum(x * x) as xx, min(x) as lo, max(x) as hi from x group by cell),
+ w as (select sum(c) as n, sum(c * x) / sum(c) as mean, sum(xx) as xx, min(lo) as lo, max(hi) as hi from c),
+ h as (select *, sqrt((xx - n * mean * mean) / (n - 1)) * pow(n, -0.2) as h from w),
+ grid as (select k as point, n, h, lo + (hi - lo) * k / 199 as g from h, (select unnest(range(0, 200)) as k) r)
+ select point, round(first(pow(10, g)), 4) as at, round(sum(c * exp(-pow((g - x) / h, 2) / 2)) / first(n * h * sqrt(2 * pi())), 6) as density from c, grid group by point""")
+def value_density(spark, d):
+    v = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") * F.floor("l_quantity")).cast("double").alias("v"))
+    return quantify.density(v, "v").select("point", F.round("at", 4).alias("at"), F.round("density", 6).alias("density"))
+
+
+OUT = "case when {0} % 4 = 3 then {0} - 2 else 1 - {0} end"
+WALK = f""", mv as (select {OUT.format("u")} as a, -({OUT.format("v")}) as b from oedge union select {OUT.format("v")}, -({OUT.format("u")}) from oedge),
+ walk(root, tip, path, done) as (select distinct a, a, [a], false from mv where a > 0 union all
+   select root, b, case when b = root then path else list_append(path, b) end, b = root from walk join mv on tip = a where not done and (b = root or (abs(b) > root and not list_contains(path, b) and not list_contains(path, -b))))"""
+
+
+@query(duck("order_fragment", more=OEDGE) + WALK + " select distinct array_to_string(path, ',') as path from walk where done")
+def elementary_circuits(spark, d):
+    """All ways round the graph of the orders that pass no fragment twice."""
+    return circuits.circuits(*_order_graph(spark, d)).select(_text(F.col("path")).alias("path"))
+
+
+@query(duck("order_fragment", more="""near as (select a.fid, avg(b.coverage) as around from order_fragment a join order_fragment b on a.grp = b.grp and abs(a.n - b.n) in (1, 2) group by 1)""") + """select f.fid, case when f.fid % 5 = 1 then 'tandem duplication' end as loop,
+  case when f.fid % 5 = 1 then greatest(2, cast(round(coverage / coalesce(around, 24.0)) as int)) else 1 end as copies from order_fragment f left join near using (fid)""")
+def loop_copies(spark, d):
+    """Fragments that follow themselves, with the number of copies that their coverage tells; neighbours by edges are one or two lines away."""
+    f, e = _order_graph(spark, d)
+    return circuits.loops(f, e, 24.0)[0].select("fid", "loop", "copies")
+
+
+ALIGN = """st as (select circ_id, list(abs(x) % 50 order by i) as p from path_step group by 1),
+ fr as (select f, f % 3 as chr, (f % 7) * 1000 as s, (f % 7) * 1000 + 600 + (f % 5) * 400 as e, 600 + (f % 5) * 400 as w from (select unnest(range(0, 50)) as f) r),
+ sm as (select x.f as f1, y.f as f2, case when x.f = y.f then 1.0 when x.chr <> y.chr then -2.0 when y.s <= x.s and x.s <= y.e then greatest(x.w, abs(x.s - y.e)) / cast(x.w as double)
+   when x.s <= y.s and y.s <= x.e then greatest(y.w, abs(y.s - x.e)) / cast(x.w as double) else -2.0 end as sim from fr x cross join fr y),
+ pr as (select a.circ_id as a, b.circ_id as b, a.p as x, b.p as y, len(a.p) as nx, len(b.p) as ny, list_transform(a.p, lambda f: 600.0 + (f % 5) * 400) as wx, list_transform(b.p, lambda f: 600.0 + (f % 5) * 400) as wy from st a join st b on b.circ_id = a.circ_id + 1),
+ cell(a, x, y, nx, ny, k, t) as (select a, x, y, nx, ny, 0, [cast(-1 as double)] from pr union all
+   select a, x, y, nx, ny, k + 1, list_append(t, cast(case when (k + 1) // (ny + 1) = 0 then t[k + 1] - 1 when (k + 1) % (ny + 1) = 0 then t[((k + 1) // (ny + 1) - 1) * (ny + 1) + 1] - 1
+     else greatest(t[((k + 1) // (ny + 1) - 1) * (ny + 1) + (k + 1) % (ny + 1) + 1] - 1, t[k + 1] - 1, t[((k + 1) // (ny + 1) - 1) * (ny + 1) + (k + 1) % (ny + 1)] + sim) end as double))
+   from cell left join sm on f1 = x[(k + 1) // (ny + 1)] and f2 = y[(k + 1) % (ny + 1)] where k + 1 < (nx + 1) * (ny + 1)),
+ done as (select c.a, pr.nx, pr.ny, wx, wy, t from cell c join pr using (a) where k + 1 = (c.nx + 1) * (c.ny + 1)),
+ back(a, ny, wx, wy, t, i, j, s) as (select a, ny, wx, wy, t, nx, ny, cast(0 as double) from done union all
+   select a, ny, wx, wy, t, case when i = 0 then i when j = 0 then i - 1 when di >= up and di >= le then i - 1 when up > di and up > le then i - 1 else i end,
+     case when i = 0 then j - 1 when j = 0 then j when di >= up and di >= le then j - 1 when up > di and up > le then j else j - 1 end,
+     s + case when i > 0 and j > 0 and di >= up and di >= le and t[i * (ny + 1) + j + 1] >= 0 then least(wx[i] / list_sum(wx), wy[j] / list_sum(wy)) else 0 end
+   from (select *, t[(i - 1) * (ny + 1) + j] as di, t[(i - 1) * (ny + 1) + j + 1] as up, t[i * (ny + 1) + j] as le from back where i > 0 or j > 0) q)"""
+
+
+@query(duck("path_step", more=ALIGN) + """select a, b, round(case when (nx = 1 or ny = 1) and not (nx = 1 and ny = 1 and x[1] = y[1]) then 0 else s end, 6) as score from pr join (select a, s from back where i = 0 and j = 0) z using (a)""")
+def circle_alignment(spark, d):
+    """Each circle aligned with the next one, over fifty fragments of which many overlap."""
+    f = F.abs("x") % 50
+    start = f % 7 * 1000
+    step = spark_view(spark, d, "path_step").select("circ_id", "i", F.struct(f.alias("fid"), (f % 3).alias("chr"), start.alias("start"), (start + 600 + f % 5 * 400).alias("end")).alias("f"))
+    c = step.groupBy("circ_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda p: p["f"]).alias("p"))
+    pairs = c.select(F.col("circ_id").alias("a"), F.col("p").alias("x")).join(c.select(F.col("circ_id").alias("b"), F.col("p").alias("y")), F.col("b") == F.col("a") + 1)
+    return pairs.select("a", "b", F.round(similarity.aligned(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+ROUND = """turn as (select circ_id, unnest(list_concat(list_transform(range(1, len(p) + 1), lambda i: array_to_string(list_concat(p[i:], p[:i-1]), ',')), list_transform(range(1, len(p) + 1), lambda i: array_to_string(list_concat(q[i:], q[:i-1]), ',')))) as t
+  from (select circ_id, p, list_reverse(list_transform(p, lambda x: -x)) as q from path) z), least_turn as (select circ_id, min(t) as t from turn group by 1)"""
+
+
+@query(duck("path_step", more=f"{PATHS}, {ROUND}") + "select circ_id, min(circ_id) over (partition by t) as first, count(*) over (partition by t) as copies from least_turn")
+def same_circle(spark, d):
+    """Circles that are one another's rotations or opposite strands, told by a hash of all of these."""
+    p = _paths(spark, d).select("circ_id", paths.meta_hash(F.col("path")).alias("h"))
+    return p.join(p.groupBy("h").agg(F.min("circ_id").alias("first"), F.count("*").alias("copies")), "h").select("circ_id", "first", "copies")
+
+
+@query(duck("order_fragment", more=OEDGE) + f"select edge_id, tail as u, head as v, {FRAGMENT} as svtype, cast('inf' as double) as weight from order_fragment union all select edge_id, u, v, svtype, weight from oedge")
+def all_edges(spark, d):
+    """Edges of fragments and of calls as one table."""
+    f, e = _order_graph(spark, d)
+    return graph.fragment_edges(f).unionByName(e.select("edge_id", "u", "v", "svtype", "weight"))
+
+
+@query(duck("coverage", "chrom", "cut", more=CUTS) + """select fid, cast(floor(coverage * 2.5) as bigint) as coverage from covered where coverage < cast('inf' as double)""")
+def upsampled(spark, d):
+    """Coverage of fragments brought back to what it was before downsampling."""
+    return annotate.fragments_bed(_covered(spark, d).where(F.col("coverage") < inf), ratio=2.5).select("fid", "coverage")

@@ -15,8 +15,8 @@ def write_tsv(df: DataFrame, path: str, *, header: bool = True, one_file: bool =
 
 
 def write_lines(df: DataFrame, path: str, order: str = "ord") -> None:
-    """Column value as lines in order: a filtered VCF."""
-    df.orderBy(order).select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Column value as lines in order, over as many files as there are ranges: a filtered VCF. The files' names follow the order."""
+    df.orderBy(order).select("value").write.mode("overwrite").text(path)
 
 
 def write_fasta(seqs: DataFrame, path: str, *, width: int = 60) -> None:
