@@ -35,13 +35,18 @@ def rows_by_part(fragments: DataFrame, edges: DataFrame, *, whole: bool = False)
     return f.unionByName(e)
 
 
-def by_key(rows: DataFrame, key: str, solve: Callable[[int, list], list[tuple]], schema: str) -> DataFrame:
+MOST_ROWS = 2_000_000  # of a part, fragments and edges together; some 800 MB of a task
+
+
+def by_key(rows: DataFrame, key: str, solve: Callable[[int, list], list[tuple]], schema: str, *, most: int | None = None) -> DataFrame:
     """``solve(key, rows)`` for each key, its results one after another.
 
     Rows are dealt and sorted by key, and a task runs through its keys in one stream: most parts are
     tiny, and a call of a grouped function for each would cost far more than solving it. A task holds one
-    part at a time, and a batch.
+    part at a time, and a batch. A part of over ``most`` rows (MOST_ROWS) is an error that says so, before the task runs out of memory: what is
+    found in it depends on the order of all its edges, so it can't be split.
     """
+    most = MOST_ROWS if most is None else most
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,6 +58,8 @@ def by_key(rows: DataFrame, key: str, solve: Callable[[int, list], list[tuple]],
                     out += solve(int(getattr(held[0], key)), held)
                     held = []
                 held += new
+                if len(held) > most:
+                    raise RuntimeError(f"{key} {k} has over {most} rows: drop weak edges first, or raise most")
             if out:
                 yield typed(out)
         if held:

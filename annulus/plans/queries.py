@@ -786,7 +786,7 @@ def proximity(spark, d):
 # regressions, densities, circuits, alignments of circles ------------------------------------------------------
 
 PAIRED = """owned as (select *, (m - 1 + (m - 1) % 2) / 2 as p from order_fragment),
- total as (select grp, m, m + 1.0 as n, sum(coverage) + 4.03 as y, min(coverage) as least_y, max(p) + 1.0 as a, m - max(p) + 0.0 as b, sum(case when n <= p or n = m then coverage else 0 end) as sa, sum(case when n > p then coverage else 0 end) as sb from owned group by grp, m),
+ total as (select grp, m, m + 1.0 as n, sum(coverage) + 4.0312953 as y, min(coverage) as least_y, max(p) + 1.0 as a, m - max(p) + 0.0 as b, sum(case when n <= p or n = m then coverage else 0 end) as sa, sum(case when n > p then coverage else 0 end) as sb from owned group by grp, m),
  system as (select *, a - a * a / n as ga, b - b * b / n as gb, 1 - a * b / n as g, sa - a * y / n - 0.1 * n as ba, sb - b * y / n - 0.1 * n as bb from total),
  free as (select *, case when m > 1 then (ba * gb - bb * g) / (ga * gb - g * g) else 100 end as fa, case when m > 1 then (bb * ga - ba * g) / (ga * gb - g * g) else 100 end as fb from system),
  one as (select *, fa >= 0 and fb >= 0 as inner_point, greatest(0, ba / ga) as only_a, greatest(0, bb / gb) as only_b from free where m > 1),
@@ -805,7 +805,7 @@ def shared_abundance(spark, d):
     p = F.floor((F.col("m") - 1 + (F.col("m") - 1) % 2) / 2)
     side = lambda k, own: f.where(own | (F.col("n") == F.col("m"))).groupBy((2 * F.col("grp") + k).alias("circ_id")).agg(F.array_sort(F.collect_list("fid")).alias("path"))
     circles = side(0, F.col("n") <= p).unionByName(side(1, F.col("n") > p))
-    return quantify.abundance(circles, f, 4.03, Config(lasso_steps=80, lasso_tolerance=0.0)).select("circ_id", F.round("score", 3).alias("score"))
+    return quantify.abundance(circles, f, 4.0312953, Config(lasso_steps=80, lasso_tolerance=0.0)).select("circ_id", F.round("score", 3).alias("score"))
 
 
 MODELS = """x as (select l_suppkey as k, cast(l_quantity as double) as a, cast(l_linenumber as double) as b, cast(l_partkey % 40 as double) as c, 3 * cast(l_quantity as double) + l_linenumber * (l_suppkey % 5) + l_orderkey % 11 as y from lineitem),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annulus.config import BND, DEL, DUP, SPATIAL, Config
-from annulus.operators import circuits, quantify, similarity
+from annulus.operators import circuits, quantify, search, similarity
 
 FRAGMENTS = "fid long, chr string, start long, end long, tail long, head long, edge_id long, coverage double, len double"
 EDGES = "edge_id long, u long, v long, svtype int, weight double"
@@ -207,3 +207,11 @@ def test_shared_fragment(spark):
     got = {r.circ_id: r.score for r in quantify.abundance(paths, f, 4.0, Config()).collect()}
     assert got == {0: 100.0, 1: 100.0, 2: 42.5, 3: 20.0}
     assert Counter(len(r.path) for r in paths.collect())[2] == 2
+
+
+def test_a_part_too_large_is_an_error(spark):
+    rows = spark.range(50).selectExpr("id % 3 as key", "id")
+    count = lambda k, held: [(k, len(held))]
+    assert {tuple(r) for r in search.by_key(rows, "key", count, "key long, n long", most=17).collect()} == {(0, 17), (1, 17), (2, 16)}
+    with pytest.raises(Exception, match="over 16 rows"):
+        search.by_key(rows, "key", count, "key long, n long", most=16).collect()
