@@ -114,3 +114,28 @@ def test_pipeline_on_awkward_tables(spark, tmp_path):
     assert max(Counter((r.doc_id, r.text) for r in d.collect()).values()) == 1  # repeated rows left one
     packed = corpus_pipeline.STAGES[-1][1](spark, d, f"{tmp_path}/odd")
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in d.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_key_of_half_of_all_nodes(spark, monkeypatch, tied):
+    """A band's key that half of all nodes share is cut into cells: every two of its nodes of different classes meet in one, and none is large."""
+    from annulus.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "CELL", 16)
+    nodes = [(i, [1 if i < 150 else 1000 + i, 5000 + i // 2]) for i in range(300)]
+    made = spark.createDataFrame(nodes * 2, "node long, bands array<long>").repartition(4)
+    roots = {i: 0 for i in range(90)} | {i: 100 for i in range(100, 110)} if tied else {}
+    rows = nearcopies.shared_keys(made, spark.createDataFrame(list(roots.items()), "node long, root long"))
+    held = {(r.key, r.node) for r in rows.collect()}
+    pairs = {(5000 + i // 2, i) for i in range(300) if roots.get(i, i) != roots.get(i ^ 1, i ^ 1)}
+    assert rows.count() == len(held) and held == {(1, i) for i in range(150)} | pairs
+    cells = {}
+    for r in nearcopies.cells(rows).collect():
+        cells.setdefault((r.key, r.cell), []).append((r.node, r.side))
+    assert max(map(len, cells.values())) < 4 * 16
+    met = set()
+    for (key, _), c in cells.items():
+        sides = {s for _, s in c}
+        met |= {(key, min(a, b), max(a, b)) for a, s in c for b, t in c if a != b and (s != t or len(sides) == 1)}
+    of_one = {(1, a, b) for a in range(150) for b in range(a + 1, 150) if roots.get(a, a) != roots.get(b, b)}
+    assert of_one <= met
