@@ -12,6 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.operators.lineage import durable
+
+SHORT = 64  # fragments of a circle that a row may carry
+
 
 def jaccard(weights: DataFrame, *, multiset: bool, above: float) -> DataFrame:
     """a, b (a < b), s1, s2, shared, jaccard of circles more alike than ``above``. weights: circ_id, fid, mult, len.
@@ -20,21 +24,38 @@ def jaccard(weights: DataFrame, *, multiset: bool, above: float) -> DataFrame:
     length of the union, as reported by the set form.
 
     What two circles share lies, in the order of fragments, from the first shared one on; it is more than ``above`` of
-    each one's size, so at most the rest of each size comes before that fragment.
+    each one's size, so at most the rest of each size comes before that fragment. Both
+    rests must also reach ``above`` by 1 + ``above`` of the two sizes together. A circle of up to
+    SHORT fragments carries those from the shared one on, and what a pair shares is counted where it meets; pairs with a longer circle are joined
+    with all of both circles' fragments. A circle's fragments are different ones.
     """
     m = F.col("mult") if multiset else F.lit(1)
     w = weights.select("circ_id", "fid", (m * F.col("len")).cast("double").alias("w"))
     held = w.join(w.groupBy("fid").agg(F.count("*").alias("n")), "fid")
     own = Window.partitionBy("circ_id")
-    before = F.sum("w").over(own.orderBy("n", "fid")) - F.col("w")
-    x = held.select("circ_id", "fid", F.sum("w").over(own).alias("s"), before.alias("before"))
+    order = own.orderBy("n", "fid")
+    x = held.withColumns({"s": F.sum("w").over(own), "before": F.sum("w").over(order) - F.col("w"), "k": F.count("*").over(own), "at": F.row_number().over(order)})
+    item = F.when(F.col("at") <= SHORT, F.struct("fid", "w"))
+    x = x.withColumn("items", F.collect_list(item).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     slack = 1e-9 * F.col("s")  # sums are rounded; a pair too many is dropped below
-    first = x.where(F.col("before") <= (1 - above) * F.col("s") + slack)
-    side = lambda name, size: first.select("fid", F.col("circ_id").alias(name), F.col("s").alias(size))
+    rest = F.when(F.col("k") <= SHORT, F.slice("items", F.col("at"), F.col("k").cast("int")))
+    first = x.where(F.col("before") <= (1 - above) * F.col("s") + slack).select("fid", "circ_id", "s", (F.col("s") - F.col("before")).alias("left"), rest.alias("items"))
+    side = lambda k: first.select("fid", *[F.col(c).alias(n) for c, n in (("circ_id", k), ("s", f"s{k}"), ("left", f"left_{k}"), ("items", f"items_{k}"))])
     sizes = F.least("sa", "sb") >= (above - 1e-9) * F.greatest("sa", "sb")
-    pairs = side("a", "sa").join(side("b", "sb"), "fid").where((F.col("a") < F.col("b")) & sizes).select("a", "b", "sa", "sb").distinct()
-    both = pairs.join(w.select(F.col("circ_id").alias("a"), "fid", F.col("w").alias("wa")), "a").join(w.select(F.col("circ_id").alias("b"), "fid", F.col("w").alias("wb")), ["b", "fid"])
-    shared = both.groupBy("a", "b", "sa", "sb").agg(F.sum(F.least("wa", "wb")).alias("shared"))
+    enough = F.least("left_a", "left_b") >= (above / (1 + above) - 1e-9) * (F.col("sa") + F.col("sb"))
+    met = side("a").join(side("b"), "fid").where((F.col("a") < F.col("b")) & sizes & enough)
+    same = lambda p: F.coalesce(F.get(F.filter("items_b", lambda q: q["fid"] == p["fid"]), F.lit(0))["w"], F.lit(0.0))
+    # whole where it is counted from the first shared fragment; null where a circle is long
+    counted = F.aggregate("items_a", F.when(F.col("items_b").isNotNull(), F.lit(0.0)), lambda t, p: t + F.least(p["w"], same(p)))
+    share = lambda c: c / (F.col("sa") + F.col("sb") - c)
+    # the only element of an array, so that it is counted once and not for each place where it is named
+    each = met.select("a", "b", "sa", "sb", F.explode(F.filter(F.array(counted), lambda c: c.isNull() | (share(c) > above))).alias("shared"))
+    # few rows: the pairs found, and those with a long circle
+    pairs = durable(each.groupBy("a", "b", "sa", "sb").agg(F.max("shared").alias("shared")))
+    shared, open_ = pairs.where("shared is not null"), pairs.where("shared is null").drop("shared")
+    if open_.limit(1).count():
+        both = open_.join(w.select(F.col("circ_id").alias("a"), "fid", F.col("w").alias("wa")), "a").join(w.select(F.col("circ_id").alias("b"), "fid", F.col("w").alias("wb")), ["b", "fid"])
+        shared = shared.unionByName(both.groupBy("a", "b", "sa", "sb").agg(F.sum(F.least("wa", "wb")).alias("shared")))
     union = F.col("sa") + F.col("sb") - F.col("shared")
     sides = (F.col("sa"), F.col("sb")) if multiset else (union, union)
     return shared.select("a", "b", sides[0].alias("s1"), sides[1].alias("s2"), "shared", (F.col("shared") / union).alias("jaccard")).where(F.col("jaccard") > above)
