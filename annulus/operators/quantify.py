@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.config import Config
-from annulus.operators.lineage import components
+from annulus.operators.lineage import components, durable
 from annulus.operators.ordering import numbered
-from annulus.operators.search import by_key
+from annulus.operators.search import MOST_ROWS, block_of, by_key, in_blocks
 
 
 def multiplicity(circles: DataFrame) -> DataFrame:
@@ -187,29 +187,77 @@ def total_errors(fits: DataFrame, key: str, truth: DataFrame) -> DataFrame:
 def abundance(circles: DataFrame, fragments: DataFrame, wgs_mean: float, config: Config = Config()) -> DataFrame:
     """circ_id, score, cluster: likely circles. A lone circle scores the mean coverage of its fragments.
 
-    A cluster is solved over its circles' passes, so a task's memory follows these. If several circles share a single
+    circles: circ_id, path, each circle once. A cluster is solved over its circles' passes, so a task's memory follows these; clusters that lie
+    inside one block of ids take one shuffle, all others are put together by ``clusters``. If several circles share a single
     fragment, regression has nothing to tell them apart and each scores 100.
     """
-    mult = multiplicity(circles)
-    both = mult.join(clusters(mult), "circ_id").join(fragments.select("fid", "coverage"), "fid")
-
-    def solve(key: int, rows: list) -> list[tuple]:
-        cover = {int(r.fid): float(r.coverage) for r in rows}
+    def scores(key: int, cover: dict[int, float], passes: dict[int, dict[int, int]]) -> list[tuple]:
+        """cover: fid to coverage; passes: circ_id to fid to mult."""
         line = {f: i for i, f in enumerate(sorted(cover))}
-        passes: dict[int, list[tuple[int, int]]] = {}
-        for r in rows:
-            passes.setdefault(int(r.circ_id), []).append((line[int(r.fid)], r.mult))
         ids, y = sorted(passes), np.array([cover[f] for f in line])
         if len(ids) == 1:
             score = np.array([y.mean()])
         elif len(y) == 1:
             score = np.full(len(ids), 100.0)
         else:
-            columns = [tuple(np.array(sorted(passes[c])).T) for c in ids]
+            columns = [tuple(np.array(sorted((line[f], m) for f, m in passes[c].items())).T) for c in ids]
             score = solve_cluster([(at, v.astype(float)) for at, v in columns], y, wgs_mean, config)
         return [(c, float(s), key) for c, s in zip(ids, score) if not np.isnan(s)]
 
-    return by_key(both, "cluster", solve, "circ_id long, score double, cluster long")
+    def solve(key: int, rows: list) -> list[tuple]:
+        passes: dict[int, dict[int, int]] = {}
+        for r in rows:
+            passes.setdefault(int(r.circ_id), {})[int(r.fid)] = r.mult
+        return scores(key, {int(r.fid): float(r.coverage) for r in rows}, passes)
+
+    def local(rows: list) -> tuple[list, list]:
+        cover: dict[int, float] = {}
+        passes: dict[int, dict[int, int]] = {}
+        away = set()  # circles that pass fragments of other blocks
+        for kind, circ, fid, value in rows:
+            if kind == 0:
+                cover[fid] = value
+            else:
+                held = passes.setdefault(circ, {})
+                held[fid] = held.get(fid, 0) + 1
+                if kind == 2:
+                    away.add(circ)
+        tied: dict[int, list[int]] = {}
+        for c, held in passes.items():
+            for f in held:
+                tied.setdefault(f, []).append(c)
+        found, left, seen = [], [], set()
+        for first in passes:
+            if first in seen:
+                continue
+            seen.add(first)
+            own = [first]  # the circles of a cluster
+            for c in own:
+                for f in passes[c]:
+                    for other in tied.pop(f, ()):
+                        if other not in seen:
+                            seen.add(other)
+                            own.append(other)
+            if away.intersection(own):
+                left += [(1, c, f, float(m)) for c in own for f, m in passes[c].items()]
+                continue
+            known = {c: k for c in own if (k := {f: m for f, m in passes[c].items() if f in cover})}
+            if known:
+                found += scores(min(f for c in own for f in passes[c]), {f: cover[f] for k in known.values() for f in k}, known)
+        return found, left
+
+    known = fragments.select("fid", "coverage")
+    ids = F.transform("path", lambda x: F.abs(x).cast("bigint"))
+    steps = circles.select(F.col("circ_id").cast("bigint").alias("circ_id"), F.explode(ids).alias("fid"), F.when(block_of(F.array_min(ids)) == block_of(F.array_max(ids)), 1).otherwise(2).alias("kind"))
+    steps = steps.select(block_of(F.col("fid")).alias("block"), "kind", "circ_id", "fid", F.lit(1.0).alias("value"))
+    cover = known.select(block_of(F.col("fid")).alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("circ_id"), F.col("fid").cast("bigint").alias("fid"), F.col("coverage").cast("double").alias("value"))
+    schema = "circ_id long, score double, cluster long"
+    found, left = in_blocks(steps.unionByName(cover), local, "kind int, circ_id long, fid long, value double", schema, MOST_ROWS)
+    if left is None:
+        return found
+    mult = durable(left.where("kind > 0").groupBy("circ_id", "fid").agg(F.sum("value").cast("bigint").alias("mult")))
+    both = mult.join(clusters(mult), "circ_id").join(known, "fid")
+    return found.unionByName(by_key(both, "cluster", solve, schema))
 
 
 def cluster_order(scored: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.operators import similarity
+from annulus.operators import alignment, breakpoints, ordering, quantify, search, similarity
+from annulus.plans import queries
 from tests.shuffled import shuffled
 
 
@@ -52,3 +53,39 @@ def test_likeness_moves_no_pairs(spark, no_broadcast):
     df = spark.createDataFrame([(c, f, 1, 100.0) for c in range(2000) for f in {c % 10, 40 + c % 11, 100 + c % 13, 200 + c % 9}], "circ_id long, fid long, mult long, len double")
     rows, _ = shuffled(spark, lambda: similarity.jaccard(df, multiset=True, above=0.5).agg(F.count("*")).collect())
     assert rows < 12 * df.count()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_parts_take_one_shuffle(spark, no_broadcast):
+    """Parts whose ids are near each other are found where they lie, not by rounds of joins."""
+    f, e = queries._rings(spark, SF)
+    f, e = f.localCheckpoint(), e.localCheckpoint()
+    rows, _ = shuffled(spark, lambda: search.circles(f, e).count())
+    assert rows < 3 * f.count()
+
+
+def test_parts_across_blocks(spark, monkeypatch):
+    """Parts over several blocks of ids, ends that no fragment has, and single fragments come out as by joins."""
+    monkeypatch.setattr(search, "BLOCK_BITS", 5)
+    f, e = queries._order_graph(spark, SF)
+    f = f.where("fid % 40 <> 5").localCheckpoint()  # so some edges end in nothing
+    found, rest = search.by_block(f, e, lambda key, part: [(x, key) for x in part.frags], "fid long, part long")
+    assert rest is not None and 0 < found.count() < f.count()
+    assert _rows(search.parts(f, e)) == _rows(search._parts(f, e))
+
+
+def test_circles_and_abundance_across_blocks(spark, monkeypatch):
+    f, e = queries._rings(spark, SF)
+    f, e = f.localCheckpoint(), e.localCheckpoint()
+    circles = search.circles(f, e).localCheckpoint()
+    numbered = search.distinct_circles(circles).localCheckpoint()
+    scores = _rows(quantify.abundance(numbered, f, 4.0))
+    monkeypatch.setattr(search, "BLOCK_BITS", 4)
+    assert _rows(search.circles(f, e)) == _rows(circles)
+    assert _rows(quantify.abundance(numbered, f, 4.0)) == scores
