@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MERGE_BIN = 250_000  # bases: what one task holds of a chromosome's positions
+MERGE_BIN = 25_000  # bases: what one task holds of a chromosome's positions
 
 
 def breakpoints(sv: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def merge(points: DataFrame, distance: int = 50, *, bin_size: int = MERGE_BIN) -
     ``distance`` + 1 numbers a bin. Following it along a chromosome gives each bin's entry, and then bins are merged by themselves. The work
     grows with the number of positions, however near they are to each other. Positions without a chromosome or place are left out.
     """
-    known = points.where("chr is not null and pos is not null").select("chr", F.col("pos").cast("bigint").alias("pos"))
-    bins = known.groupBy("chr", F.floor(F.col("pos") / F.lit(bin_size)).cast("bigint").alias("bin")).agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+    known = points.where("chr is not null and pos is not null").select("chr", F.col("pos").cast("bigint").alias("pos")).distinct()  # before they are gathered: a task's lists then hold each once
+    bins = known.groupBy("chr", F.floor(F.col("pos") / F.lit(bin_size)).cast("bigint").alias("bin")).agg(F.sort_array(F.collect_list("pos")).alias("ps"))
     cases = bins.select("chr", "bin", F.get("ps", F.lit(0)).alias("first"), last_anchors(F.col("ps"), distance).alias("last"))
     # distance + 1 numbers for each bin of a chromosome, in which at most distance + 1 of a bin's positions count
     entries = cases.repartition("chr").sortWithinPartitions("chr", "bin").mapInPandas(lambda batches: _entries(batches, distance), "chr string, bin bigint, entry bigint")

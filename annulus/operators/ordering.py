@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from annulus.operators.lineage import durable
 
-BIN = 1_000_000  # bases; a chromosome spreads over hundreds of tasks
+BIN = 20_000  # bases; a window over a bin holds the rows of so many bases
 
 
 def last_known(rows: DataFrame, key: str, at: str, known: Column, name: str, *, take: list[str] | None = None, then: str | None = None, strictly: bool = False, bin_size: int = BIN) -> DataFrame:

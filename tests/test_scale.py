@@ -89,3 +89,8 @@ def test_circles_and_abundance_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_BITS", 4)
     assert _rows(search.circles(f, e)) == _rows(circles)
     assert _rows(quantify.abundance(numbered, f, 4.0)) == scores
+
+
+def test_bins_are_small():
+    """What one window or one list holds of a chromosome doesn't grow to a share of it."""
+    assert ordering.BIN <= 50_000 and breakpoints.MERGE_BIN <= 50_000
