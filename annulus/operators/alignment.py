@@ -41,6 +41,8 @@ def places(blocks: DataFrame, key: str, k: int, edge: str) -> DataFrame:
     around = b.select("id", "block", F.lit(1).alias("kind"), "seq").unionByName(b.select("id", (F.col("block") - 1).alias("block"), F.lit(2).alias("kind"), F.left("seq", F.lit(k)).alias("seq")))
     around = around.unionByName(b.select("id", (F.col("block") + 1).alias("block"), F.lit(0).alias("kind"), F.right("seq", F.lit(1)).alias("seq")))
     one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
+    # blocks are few bytes and many words, so they are dealt to a number of tasks that isn't made smaller by their size
+    around = around.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "block")
     x = around.groupBy("id", "block").agg(one(1).alias("seq"), F.coalesce(one(0), F.lit("")).alias("before"), F.coalesce(one(2), F.lit("")).alias("after")).where("length(seq) > 0")
     # binary slices take constant time, wherever they are
     x = x.select("id", "block", F.length("seq").alias("n"), F.length("before").alias("p"), F.concat("before", "seq", "after").cast("binary").alias("b"))
@@ -66,7 +68,8 @@ def matches(queries: DataFrame, subjects: DataFrame, *, k: int = WORD, size: int
 
     def met(side: str, ahead: int, kind: int) -> DataFrame:
         other = s.withColumn("other", F.explode(F.array_except(letters, F.array(side))))
-        j = a.join(other, (F.col("q_code") == F.col("code")) & (F.col(f"q_{side}") == F.col("other")))
+        # places come out of few blocks, so their size is judged far too small: they must not be broadcast
+        j = a.join(other.hint("merge"), (F.col("q_code") == F.col("code")) & (F.col(f"q_{side}") == F.col("other")))
         return j.select("qseqid", "sseqid", "strand", (F.col("s") - F.col("q")).alias("diagonal"), (F.col("q") + ahead).alias("at"), F.lit(kind).alias("kind"))
 
     order = Window.partitionBy(*DIAGONAL).orderBy("at")

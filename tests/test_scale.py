@@ -94,3 +94,10 @@ def test_circles_and_abundance_across_blocks(spark, monkeypatch):
 def test_bins_are_small():
     """What one window or one list holds of a chromosome doesn't grow to a share of it."""
     assert ordering.BIN <= 50_000 and breakpoints.MERGE_BIN <= 50_000
+
+
+def test_places_are_not_broadcast(spark):
+    """Words are many more rows than the blocks that their size is judged by."""
+    b = spark.createDataFrame([("c", 0, "ACGTTGCATTAGACCATAGG" * 3)], "circ_id string, block long, seq string")
+    plan = alignment.matches(b, b, k=16, size=64)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
