@@ -96,6 +96,11 @@ def test_bins_are_small():
     assert ordering.BIN <= 50_000 and breakpoints.MERGE_BIN <= 50_000
 
 
+def test_lines_are_dealt_to_all_cores(spark):
+    assert queries.QUERIES["vcf_sniffles2"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert queries.QUERIES["vcf_filter"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_places_are_not_broadcast(spark):
     """Words are many more rows than the blocks that their size is judged by."""
     b = spark.createDataFrame([("c", 0, "ACGTTGCATTAGACCATAGG" * 3)], "circ_id string, block long, seq string")
