@@ -84,29 +84,38 @@ def _closed(folded: Column, conf: Column, gap: int) -> Column:
     return F.when((F.size(conf) > 1) & follows(last, first, gap), seam).otherwise(folded)
 
 
-def topology_flags(conf: Column) -> Column:
-    """struct(n, small_del, dup, inv, interchr, multi, foldback) from neighbouring pieces, without the pair at the seam."""
+FLAGS = ("small_del", "dup", "inv", "interchr", "multi", "foldback")
+
+
+def _pair_flags(p: Column, c: Column) -> Column:
+    """What a piece is to the one before it, a bit for each of FLAGS; a flag that isn't known isn't set."""
     lo = lambda x: F.least(x["start"], x["end"])
     hi = lambda x: F.greatest(x["start"], x["end"])
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(conf) - 2), lambda i: i >= 0), lambda i: F.struct(F.get(conf, i).alias("p"), F.get(conf, i + 1).alias("c")))
-    pairs = F.when(F.size(conf) > 1, pairs)
-
-    def flags(x: Column) -> Column:
-        p, c = x["p"], x["c"]
-        ps, pe, cs, ce = lo(p), hi(p), lo(c), hi(c)
-        most = F.least(F.lit(5000), F.floor(0.1 * (pe - ps) + 0.1 * (ce - cs)))
-        same = p["chr"] == c["chr"]
-        dup = (F.abs(cs - ps) <= 50) & (F.abs(ce - pe) <= 50)
-        small = ((cs - pe > 10) & (cs - pe < most)) | ((ps - ce > 10) & (ps - ce < most))
-        far = (cs - pe >= most) | (ps - ce >= most)
-        inside = lambda y: (ps < y) & (y < pe)
-        fold = inside(c["start"]) | (inside(c["end"]) & ~(F.abs(cs - ps) <= 50))
-        return F.struct((same & dup).alias("dup"), (same & ~dup & small).alias("small_del"), (same & ~dup & ~small & far).alias("multi"), (same & (p["strand"] != c["strand"])).alias("inv"), (same & fold).alias("foldback"), (~same).alias("interchr"))
-
-    found = F.transform(pairs, flags)
-    any_of = lambda name: F.coalesce(F.exists(found, lambda f: f[name]), F.lit(False))
-    repeated = F.size(F.array_distinct(F.transform(conf, lambda x: x["frag"]))) < F.size(conf)
-    return F.struct(F.size(conf).alias("n"), any_of("small_del").alias("small_del"), (any_of("dup") | repeated).alias("dup"), any_of("inv").alias("inv"), any_of("interchr").alias("interchr"), any_of("multi").alias("multi"), any_of("foldback").alias("foldback"))
+    ps, pe, cs, ce = lo(p), hi(p), lo(c), hi(c)
+    most = F.least(F.lit(5000), F.floor(0.1 * (pe - ps) + 0.1 * (ce - cs)))
+    dup = (F.abs(cs - ps) <= 50) & (F.abs(ce - pe) <= 50)
+    small = ((cs - pe > 10) & (cs - pe < most)) | ((ps - ce > 10) & (ps - ce < most))
+    far = (cs - pe >= most) | (ps - ce >= most)
+    inside = lambda y: (ps < y) & (y < pe)
+    fold = inside(c["start"]) | (inside(c["end"]) & ~(F.abs(cs - ps) <= 50))
+    bit = lambda name, holds: F.when(holds, 1 << FLAGS.index(name)).otherwise(0)
+    near = F.when(dup, 1 << FLAGS.index("dup")).otherwise(bit("small_del", ~dup & small) + bit("multi", ~dup & ~small & far))
+    same = near + bit("inv", p["strand"] != c["strand"]) + bit("foldback", fold)
+    return F.when(p["chr"] == c["chr"], same).when(p["chr"] != c["chr"], 1 << FLAGS.index("interchr")).otherwise(0)
+
+
+def topology_flags(conf: Column) -> Column:
+    """struct(n, small_del, dup, inv, interchr, multi, foldback) from neighbouring pieces, without the pair at the seam.
+
+    Each pair is looked at once and leaves one number, which is bound before the flags are taken of it: an array
+    function named in several fields would run for each of them.
+    """
+    pairs = F.greatest(F.size(conf) - 1, F.lit(0))
+    found = F.zip_with(F.slice(conf, F.lit(1), pairs), F.slice(conf, F.lit(2), pairs), _pair_flags)
+    repeated = F.when(F.size(F.array_distinct(F.transform(conf, lambda x: x["frag"]))) < F.size(conf), 1 << FLAGS.index("dup")).otherwise(0)
+    held = F.struct(F.size(conf).alias("n"), F.coalesce(F.aggregate(found, repeated, lambda a, x: a.bitwiseOR(x)), F.lit(0)).alias("bits"))
+    flag = lambda h, name: (h["bits"].bitwiseAND(F.lit(1 << FLAGS.index(name))) != 0).alias(name)
+    return F.transform(F.array(held), lambda h: F.struct(h["n"].alias("n"), *[flag(h, name) for name in FLAGS]))[0]
 
 
 def size_mb(conf: Column) -> Column:

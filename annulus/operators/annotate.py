@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annulus.config import FAR_END, Config
 from annulus.functions.genomics import label, reverse_complement, topology_index, topology_name
 from annulus.functions.paths import chromosomes, collapse, size_mb, topology_flags
+from annulus.operators.lineage import durable
 from annulus.operators.ordering import numbered
 
 
@@ -16,7 +17,7 @@ def located(circles: DataFrame, fragments: DataFrame) -> DataFrame:
     steps = circles.select("circ_id", F.posexplode("path").alias("i", "x")).withColumn("fid", F.abs("x"))
     at = steps.join(fragments.select("fid", "chr", "start", "end", "coverage"), "fid")
     piece = F.struct("i", "chr", "start", "end", F.when(F.col("x") < 0, "-").otherwise("+").alias("strand"), F.col("fid").cast("string").alias("frag"), F.col("coverage").alias("cov"))
-    conf = at.groupBy("circ_id").agg(F.transform(F.array_sort(F.collect_list(piece)), lambda p: F.struct(*[p[c].alias(c) for c in ("chr", "start", "end", "strand", "frag", "cov")])).alias("conf"))
+    conf = at.groupBy("circ_id").agg(F.transform(F.sort_array(F.collect_list(piece)), lambda p: F.struct(*[p[c].alias(c) for c in ("chr", "start", "end", "strand", "frag", "cov")])).alias("conf"))
     return circles.join(conf, "circ_id")
 
 
@@ -30,7 +31,9 @@ def annotated(circles: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def summary(circles: DataFrame) -> DataFrame:
-    return circles.orderBy("ord").select("circ_id", "chr_origin", F.col("size_mb").alias("size(MB)"), "label", "topology_idx", "topology_name", F.col("score").cast("bigint").alias("estimated_proportions"))
+    """Rows of the circles' summary in order. They are kept before they are sorted, as a sort reads its rows twice, to choose its ranges and to deal them."""
+    rows = circles.select("ord", "circ_id", "chr_origin", F.col("size_mb").alias("size(MB)"), "label", "topology_idx", "topology_name", F.col("score").cast("bigint").alias("estimated_proportions"))
+    return durable(rows).orderBy("ord").drop("ord")
 
 
 def bed(circles: DataFrame, *, only_ecdna: bool = False, least_score: int = 0) -> DataFrame:

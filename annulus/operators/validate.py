@@ -37,7 +37,7 @@ def identity(hits: DataFrame, lengths: DataFrame) -> DataFrame:
 def circles_of_bed(rows: DataFrame, key: str = "circ_id") -> DataFrame:
     """circ_id, conf, length_mb, topology_idx from rows (row, chr, start, end, strand, fragment_id, coverage) of a BED table."""
     piece = F.struct("row", "chr", "start", "end", "strand", F.col("fragment_id").alias("frag"), F.col("coverage").cast("double").alias("cov"))
-    c = rows.groupBy(F.col(key).cast("string").alias("circ_id")).agg(F.transform(F.array_sort(F.collect_list(piece)), lambda p: F.struct(*[p[x].alias(x) for x in ("chr", "start", "end", "strand", "frag", "cov")])).alias("conf"))
+    c = rows.groupBy(F.col(key).cast("string").alias("circ_id")).agg(F.transform(F.sort_array(F.collect_list(piece)), lambda p: F.struct(*[p[x].alias(x) for x in ("chr", "start", "end", "strand", "frag", "cov")])).alias("conf"))
     t = c.withColumn("t", topology_flags(F.col("conf")))
     return t.select("circ_id", "conf", size_mb(F.col("conf")).alias("length_mb"), topology_index(*[F.col(f"t.{x}") for x in ("n", "small_del", "dup", "inv", "interchr", "multi", "foldback")]).alias("topology_idx"))
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.operators import alignment, breakpoints, ordering, quantify, search, similarity
+from annulus.operators import alignment, annotate, breakpoints, ordering, quantify, search, similarity
 from annulus.plans import queries
 from tests.shuffled import shuffled
 
@@ -106,3 +106,18 @@ def test_places_are_not_broadcast(spark):
     b = spark.createDataFrame([("c", 0, "ACGTTGCATTAGACCATAGG" * 3)], "circ_id string, block long, seq string")
     plan = alignment.matches(b, b, k=16, size=64)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["topology", "annotate_circles", "bed_circles", "summary_table"])
+def test_flags_are_made_once(spark, name):
+    """Array functions that several columns are made of would run once for each of them."""
+    made = []
+    durable = annotate.durable
+    annotate.durable = lambda df: (made.append(df), durable(df))[1]
+    try:
+        df = queries.QUERIES[name](spark, SF)
+    finally:
+        annotate.durable = durable
+    plans = "".join(x._jdf.queryExecution().optimizedPlan().toString() for x in [*made, df])
+    assert plans.count("array_distinct(transform(") <= (2 if name in ("annotate_circles", "summary_table") else 1)  # fragments; chromosomes too
+    assert len(made) == (name == "summary_table")
