@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.operators import alignment, annotate, breakpoints, ordering, quantify, search, similarity
+from annulus.operators import alignment, annotate, breakpoints, circuits, ordering, quantify, search, similarity
+from annulus.operators.lineage import durable
 from annulus.plans import queries
 from tests.shuffled import shuffled
 
@@ -109,15 +110,41 @@ def test_places_are_not_broadcast(spark):
 
 
 @pytest.mark.parametrize("name", ["topology", "annotate_circles", "bed_circles", "summary_table"])
-def test_flags_are_made_once(spark, name):
+def test_flags_are_made_once(spark, monkeypatch, name):
     """Array functions that several columns are made of would run once for each of them."""
     made = []
-    durable = annotate.durable
-    annotate.durable = lambda df: (made.append(df), durable(df))[1]
-    try:
-        df = queries.QUERIES[name](spark, SF)
-    finally:
-        annotate.durable = durable
+    monkeypatch.setattr(annotate, "durable", lambda df: (made.append(df), durable(df))[1], raising=False)
+    df = queries.QUERIES[name](spark, SF)
     plans = "".join(x._jdf.queryExecution().optimizedPlan().toString() for x in [*made, df])
-    assert plans.count("array_distinct(transform(") <= (2 if name in ("annotate_circles", "summary_table") else 1)  # fragments; chromosomes too
+    assert 0 < plans.count("lambdafunction(") <= 15
     assert len(made) == (name == "summary_table")
+
+
+def _paths(df):
+    return sorted(tuple(r.path) for r in df.collect())
+
+
+def test_circuits_take_one_shuffle(spark, no_broadcast):
+    """Parts inside a block of ids are grown where they lie, not by a join a round."""
+    f, e = queries._order_graph(spark, SF)
+    f, e = f.localCheckpoint(), e.localCheckpoint()
+    rows, _ = shuffled(spark, lambda: circuits.circuits(f, e).count())
+    assert rows <= 1.1 * (f.count() + e.count())
+
+
+@pytest.mark.parametrize("bits, rows, paths", [(8, 2_000_000, 200_000), (5, 2_000_000, 200_000), (10, 100, 200_000), (10, 2_000_000, 30)])
+def test_circuits_across_blocks(spark, monkeypatch, bits, rows, paths):
+    """Parts over several blocks, blocks of too many rows, parts of too many paths, and ends that no fragment has come out as by joins."""
+    _, e = queries._order_graph(spark, SF)
+    f, e = queries.spark_view(spark, SF, "order_fragment").where("fid % 40 <> 5 and grp < 200").localCheckpoint(), e.where("edge_id < 520000").localCheckpoint()
+    want = _paths(circuits._by_joins(f, e, 40, 50_000_000))
+    for name, value in (("BLOCK_BITS", bits), ("MOST_ROWS", rows)):
+        monkeypatch.setattr(search, name, value)
+    monkeypatch.setattr(circuits, "AT_ONCE", paths)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        _, rest = circuits._in_blocks(f, e, 40, paths)
+        assert rest.count() > 0 and _paths(circuits.circuits(f, e)) == want and want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
