@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from annulus.config import DUP, FRAGMENT
 from annulus.operators import search
-from annulus.operators.graph import both_ways
+from annulus.operators.graph import ends_of, pairs
 from annulus.operators.lineage import durable
 from annulus.operators.search import block_of
 
@@ -220,15 +220,19 @@ def loops(fragments: DataFrame, edges: DataFrame, wgs_mean: float) -> tuple[Data
     coverage; rounded, and at least two. loop: 'tandem duplication' if one of the loops is a duplication, else 'loop'; null
     without any, and then copies is 1.
     """
-    ends = fragments.select("fid", F.explode(F.array("tail", "head")).alias("node"))
-    own = fragments.select("fid", F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi"))
-    is_loop = (F.least("u", "v") == F.col("lo")) & (F.greatest("u", "v") == F.col("hi")) & (F.col("svtype") != FRAGMENT)
-    held = edges.join(own, is_loop)
-    kinds = held.groupBy("fid").agg(F.when(F.max(F.col("svtype") == DUP), "tandem duplication").otherwise("loop").alias("loop"))
-    rest = edges.join(held.select("edge_id").distinct(), "edge_id", "left_anti")
-    near = both_ways(rest.where(F.col("svtype") != FRAGMENT)).join(ends, "node").join(ends.select(F.col("node").alias("other"), F.col("fid").alias("next")), "other").where("fid <> next").select("fid", "next").distinct()
-    around = near.join(fragments.select(F.col("fid").alias("next"), F.col("coverage").alias("c")), "next").where("c < double('inf')").groupBy("fid").agg(F.avg("c").alias("around"))
+    ends = ends_of(fragments, "fid", "coverage")
+    tied = pairs(edges.where(F.col("svtype") != FRAGMENT)).join(ends.select(F.col("node").alias("lo"), "mate", F.col("fid").alias("a"), F.col("coverage").alias("ca")), "lo")
+    is_loop = F.col("hi") == F.col("mate")
+    rest = edges.join(tied.where(is_loop).select("edge_id").distinct(), "edge_id", "left_anti")
+    # a row for each loop, and for each fragment that an edge ties to another one; all meet at their fragment
+    row = lambda fid, near, c, dup: F.struct(F.col(fid).alias("fid"), near.alias("near"), c.cast("double").alias("c"), dup.cast("boolean").alias("dup"))
+    none = F.lit(None)
+    at = tied.select("a", "ca", "hi", is_loop.alias("loop"), (F.col("svtype") == DUP).alias("dup")).join(ends.select(F.col("node").alias("hi"), F.col("fid").alias("b"), F.col("coverage").alias("cb")), "hi")
+    told = F.when(F.col("loop"), F.array(row("a", none.cast(fragments.schema["fid"].dataType), none, F.col("dup")))).when(F.col("a") != F.col("b"), F.array(row("a", F.col("b"), F.col("cb"), none), row("b", F.col("a"), F.col("ca"), none)))
+    by = at.select(F.explode(told).alias("e")).select("e.*").repartition("fid").groupBy("fid", "near").agg(F.max("c").alias("c"), F.max("dup").alias("dup"))
+    held = by.groupBy("fid").agg(F.max("dup").alias("dup"), F.avg(F.when(F.col("c") < float("inf"), F.col("c"))).alias("around"))
+    held = held.select("fid", F.when(F.col("dup"), "tandem duplication").when(~F.col("dup"), "loop").alias("loop"), "around")
     single = F.when(F.col("around") > 0, F.col("around")).otherwise(F.lit(float(wgs_mean)))
     copies = F.when(F.col("loop").isNull(), 1).otherwise(F.greatest(F.lit(2), F.round(F.col("coverage") / single).cast("int")))
-    out = fragments.join(kinds, "fid", "left").join(around, "fid", "left").withColumn("copies", copies).drop("around")
+    out = fragments.join(held, "fid", "left").withColumn("copies", copies).drop("around")
     return out, rest

@@ -92,26 +92,42 @@ def surviving(edges: DataFrame, fragments: DataFrame) -> DataFrame:
     return edges.join(nodes, F.col("u") == F.col("__node"), "left_semi").join(nodes, F.col("v") == F.col("__node"), "left_semi")
 
 
+def pairs(edges: DataFrame) -> DataFrame:
+    """Edges with lo and hi, the smaller and the larger of their ends; an end that is null stays one of the two."""
+    up = F.col("u") <= F.col("v")
+    return edges.withColumns({"lo": F.when(up, F.col("u")).otherwise(F.col("v")), "hi": F.when(up, F.col("v")).otherwise(F.col("u"))})
+
+
+def ends_of(fragments: DataFrame, *more: str) -> DataFrame:
+    """node, mate (the other end of its fragment) and more, for each end of a fragment."""
+    end = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("mate"))
+    return fragments.select(F.explode(F.array(end("tail", "head"), end("head", "tail"))).alias("e"), *more).select("e.node", "e.mate", *more)
+
+
 def strongest(edges: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Of parallel edges between ends of different fragments the heaviest, the first of equals; all other edges stay."""
-    of = fragments.select(F.explode(F.array("tail", "head")).alias("__node"), "fid")
-    x = edges.join(of.select(F.col("__node").alias("u"), F.col("fid").alias("fu")), "u").join(of.select(F.col("__node").alias("v"), F.col("fid").alias("fv")), "v")
-    pair = Window.partitionBy(F.least("u", "v"), F.greatest("u", "v")).orderBy(F.desc("weight"), "edge_id")
-    ranked = x.withColumn("__n", F.row_number().over(pair))
-    return ranked.where((F.col("fu") == F.col("fv")) | (F.col("svtype") == FRAGMENT) | (F.col("__n") == 1)).select("edge_id", "u", "v", "svtype", "weight")
+    """Of parallel edges between ends of different fragments the heaviest, the first of equals; all other edges stay.
+
+    An edge's smaller end tells by its mate whether both are of one fragment, and parallel edges lie where it does; so edges move once to
+    be ranked, and only what is left once more, as the larger end must be a fragment's too.
+    """
+    ends = ends_of(fragments)
+    x = pairs(edges).join(ends.withColumnRenamed("node", "lo"), "lo")
+    ranked = x.withColumn("__n", F.row_number().over(Window.partitionBy("lo", "hi").orderBy(F.desc("weight"), "edge_id")))
+    kept = ranked.where((F.col("hi") == F.col("lo")) | (F.col("hi") == F.col("mate")) | (F.col("svtype") == FRAGMENT) | (F.col("__n") == 1)).drop("lo", "mate", "__n")
+    return kept.join(ends.select(F.col("node").alias("hi")), "hi", "left_semi").select("edge_id", "u", "v", "svtype", "weight")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """node, other, linked: 1 for each pair of neighbours, however many edges tie them."""
-    return both_ways(edges).select("node", "other", F.lit(1).alias("linked")).distinct()
+    """node, other, linked: 1 for each pair of neighbours, however many edges tie them. Pairs are made distinct before they are taken both ways."""
+    both = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.array(F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")))).otherwise(F.array(F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("node"), F.col("lo").alias("other"))))
+    return pairs(edges).select("lo", "hi").distinct().select(F.explode(both).alias("e")).select("e.node", "e.other", F.lit(1).alias("linked"))
 
 
 def from_spec(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fragments, edges) of a graph given as rows of schema.GRAPH_SPEC: the first row of a fragment with itself makes
     the fragment, every other row an edge."""
-    own = F.col("frag1") == F.col("frag2")
-    rank = F.row_number().over(Window.partitionBy("frag1", own).orderBy("edgeid"))
-    marked = rows.withColumn("__first", own & (rank == 1))
-    frags = marked.where("__first").select(F.col("edgeid").alias("edge_id"), F.col("frag1").alias("name"), F.when(F.col("part1") == TAIL, F.col("node1")).otherwise(F.col("node2")).alias("tail"), F.when(F.col("part1") == TAIL, F.col("node2")).otherwise(F.col("node1")).alias("head"), F.col("cov").alias("coverage"))
-    ties = marked.where("not __first").select(F.col("edgeid").alias("edge_id"), F.col("node1").alias("u"), F.col("node2").alias("v"), "svtype", F.col("cov").alias("weight"))
-    return frags, ties
+    first = F.row_number().over(Window.partitionBy("frag1").orderBy("edgeid")) == 1
+    own = rows.where(F.col("frag1") == F.col("frag2")).withColumn("__first", first)  # only these have to meet
+    frags = own.where("__first").select(F.col("edgeid").alias("edge_id"), F.col("frag1").alias("name"), F.when(F.col("part1") == TAIL, F.col("node1")).otherwise(F.col("node2")).alias("tail"), F.when(F.col("part1") == TAIL, F.col("node2")).otherwise(F.col("node1")).alias("head"), F.col("cov").alias("coverage"))
+    other = rows.where(F.col("frag1") != F.col("frag2")).unionByName(own.where("not __first").drop("__first"))
+    return frags, other.select(F.col("edgeid").alias("edge_id"), F.col("node1").alias("u"), F.col("node2").alias("v"), "svtype", F.col("cov").alias("weight"))

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.operators import alignment, annotate, breakpoints, circuits, ordering, quantify, search, similarity
+from annulus.operators import alignment, annotate, breakpoints, circuits, graph, ordering, quantify, search, similarity
 from annulus.operators.lineage import durable
 from annulus.plans import queries
 from tests.shuffled import shuffled
@@ -148,3 +148,22 @@ def test_circuits_across_blocks(spark, monkeypatch, bits, rows, paths):
         assert rest.count() > 0 and _paths(circuits.circuits(f, e)) == want and want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _moved(spark, run, f, e):
+    """Rows shuffled for each row of a graph."""
+    f, e = f.localCheckpoint(), e.localCheckpoint()
+    return shuffled(spark, lambda: run(f, e).write.format("noop").mode("overwrite").save())[0] / (f.count() + e.count())
+
+
+def test_graph_moves_edges_no_more_than_needed(spark, no_broadcast):
+    f, e = queries._order_graph(spark, SF)
+    assert _moved(spark, lambda f, e: graph.strongest(e, f), f, e) < 2.7
+    assert _moved(spark, lambda f, e: graph.adjacency(e), f, e) < 1
+    assert _moved(spark, lambda f, e: circuits.loops(f, e, 24.0)[0], f, e) < 5
+    spec = queries.spark_view(spark, SF, "part_fragment").selectExpr("fid as node1", "fid + 1 as node2", "fid as frag1", "fid + fid % 8 div 5 as frag2", "0 as part1", "1 as part2", "fid as edgeid", "1 as svtype", "coverage as cov")
+    assert _moved(spark, lambda f, e: graph.from_spec(f)[1], spec, e.limit(0)) < 0.8
+
+
+def test_order_graph_asks_no_function(spark):
+    assert "lambdafunction(" not in queries._order_graph(spark, SF)[1]._jdf.queryExecution().optimizedPlan().toString()
