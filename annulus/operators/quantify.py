@@ -85,6 +85,126 @@ def solve_cluster(mult: Columns, coverage: np.ndarray, wgs_mean: float, config:
     return np.where(w >= cutoff, w, np.nan) if (w >= cutoff).any() else w
 
 
+def positive_lassos(x: np.ndarray, y: np.ndarray, n: np.ndarray, *, alpha: float = 0.1, steps: int = 1000, tolerance: float = 1e-4) -> np.ndarray:
+    """``positive_lasso`` of many small systems at once, by the same steps, a coordinate of all systems at a time.
+
+    x: systems, lines, columns; y: systems, lines; n: how many lines each system has, beyond which both are zero, as are columns that it hasn't.
+    Descent and gap need no more than the columns' products. A system that is settled stays as it is.
+    """
+    lines = np.arange(y.shape[1]) < n[:, None]
+    y = np.where(lines, y - (y.sum(1) / n)[:, None], 0.0)
+    total, square = x.sum(1), (x * x).sum(1)
+    turned = x.transpose(0, 2, 1)
+    by_column = lambda a: np.ascontiguousarray(np.moveaxis(a, 0, -1))
+    gram = by_column(turned @ x - total[:, :, None] * total[:, None, :] / n[:, None, None])
+    fit = by_column((turned @ y[:, :, None])[:, :, 0])
+    norm, square = by_column(square - total**2 / n[:, None]), by_column(square)
+    live, penalty, size = norm > 1e-12 * square, alpha * n, (y * y).sum(1)
+    under, left, w = np.where(live, norm, 1.0), fit.copy(), np.zeros_like(fit)  # left: each column times what is left of y
+    out, at, open_ = np.zeros(fit.T.shape), np.arange(len(n)), np.ones(len(n), bool)
+    for step in range(steps):
+        biggest, moved = np.zeros(len(at)), np.zeros(len(at))
+        for j in range(len(w)):
+            new = np.where(live[j], np.fmax(0.0, left[j] + norm[j] * w[j] - penalty) / under[j], w[j])
+            change = new - w[j]
+            if change.any():
+                left -= gram[j] * change
+                w[j] = new
+                np.fmax(moved, np.abs(change), out=moved)
+            np.fmax(biggest, new, out=biggest)
+        due = open_ & ((biggest == 0) | (moved < tolerance * biggest) | (step % 10 == 9) | (step == steps - 1))
+        if not due.any():
+            continue
+        c = np.flatnonzero(due)
+        v, r, known, p = w[:, c], left[:, c], live[:, c], penalty[c]
+        explained = (v * fit[:, c]).sum(0)
+        high = np.fmax.reduce(np.where(known, r, 0.0), axis=0, initial=0.0)
+        scale = np.where(high > p, p / np.where(high > p, high, 1.0), 1.0)
+        gap = 0.5 * (size[c] - explained - (v * r).sum(0)) * (1 + scale**2) + p * v.sum(0) - scale * (size[c] - explained)
+        live[:, c] = known & ((v > 0) | (scale * r + np.sqrt(np.fmax(norm[:, c], 0.0) * 2 * np.fmax(gap, 0.0)) >= p))
+        done = (gap < tolerance * size[c]) | ~live[:, c].any(0) | (step == steps - 1)
+        out[at[c[done]]] = v[:, done].T
+        open_[c[done]] = False
+        if not open_.any():
+            break
+        if 4 * open_.sum() < 3 * len(open_):  # else settled ones go on unread
+            gram, fit, norm, under, left, w, live = (a[..., open_] for a in (gram, fit, norm, under, left, w, live))
+            penalty, size, at = penalty[open_], size[open_], at[open_]
+            open_ = open_[open_]
+    return out
+
+
+def tied(circle: np.ndarray, fragment: np.ndarray) -> np.ndarray:
+    """For each circle the smallest fragment of its cluster. Both are numbered from 0 without gaps; pairs come by circle."""
+    by_fragment = np.argsort(fragment, kind="stable")
+    first = lambda a: np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    circles, fragments = first(circle), first(fragment[by_fragment])
+    least = np.arange(len(fragments))
+    while True:
+        own = np.minimum.reduceat(least[fragment], circles)
+        new = np.minimum.reduceat(own[circle[by_fragment]], fragments)
+        new = new[new]
+        if (new == least).all():
+            return own
+        least = new
+
+
+WIDTHS = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])  # systems are filled up to so many columns, to be solved together; wider ones are solved by themselves
+CELLS = 1 << 21  # of the matrices that are held together
+AT_ONCE = 1 << 20  # rows of clusters that are solved together
+
+
+def solve_clusters(cluster: np.ndarray, circle: np.ndarray, fragment: np.ndarray, mult: np.ndarray, cover: np.ndarray, wgs_mean: float, config: Config = Config()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(circle, score, cluster) of many clusters. cluster, circle, fragment, mult: the passes, by cluster, circle and fragment; cover: coverage by fragment."""
+    first = lambda *a: np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in a]))
+    head = first(cluster)
+    s = np.cumsum(head) - 1  # clusters, circles and lines from 0 on, each in order
+    name = cluster[head]
+    own = first(cluster, circle)
+    c = np.cumsum(own) - 1
+    ids, of = circle[own], s[own]
+    width = np.bincount(of)
+    lines, line = np.unique(s * np.int64(len(cover)) + fragment, return_inverse=True)
+    y, height = cover[lines % len(cover)], np.bincount(lines // len(cover))
+    from_c, from_l = np.append(0, np.cumsum(width)), np.append(0, np.cumsum(height))
+    from_p = np.append(np.flatnonzero(head), len(s))
+    score = np.where(width == 1, np.add.reduceat(y, from_l[:-1]) / height, 100.0)[of]
+    cutoff = np.fmax(np.minimum.reduceat(y, from_l[:-1]) / 5, 10)
+    todo = np.flatnonzero((width > 1) & (height > 1))
+    kind = np.searchsorted(WIDTHS, width)
+    wide = (kind == len(WIDTHS)) | ((height + 1) * width * 2 > CELLS)
+    for k in np.unique(kind[todo]).tolist():
+        some = todo[(kind[todo] == k) & ~wide[todo]]
+        some = some[np.argsort(height[some], kind="stable")]
+        while len(some):
+            columns = int(WIDTHS[k])
+            fits = np.arange(1, len(some) + 1) * columns * np.maximum(columns, height[some] + 1) <= CELLS
+            now, some = some[: max(1, fits.sum())], some[max(1, fits.sum()) :]
+            place = np.full(len(width), -1)
+            place[now] = np.arange(len(now))
+            n = height[now] + 1
+            pairs, rows = place[s] >= 0, place[lines // len(cover)] >= 0
+            x, values = np.zeros((len(now), n.max(), columns)), np.zeros((len(now), n.max()))
+            x[place[s[pairs]], line[pairs] - from_l[s[pairs]], c[pairs] - from_c[s[pairs]]] = mult[pairs]
+            at = np.flatnonzero(rows)
+            values[place[lines[at] // len(cover)], at - from_l[lines[at] // len(cover)]] = y[at]
+            values[np.arange(len(now)), n - 1] = wgs_mean
+            w = positive_lassos(x, values, n, alpha=config.alpha, steps=config.lasso_steps, tolerance=config.lasso_tolerance)
+            here = np.flatnonzero(place[of] >= 0)
+            score[here] = w[place[of[here]], here - from_c[of[here]]]
+    for i in todo[wide[todo]].tolist():
+        lo, hi = from_p[i], from_p[i + 1]
+        cuts = lo + np.searchsorted(c[lo:hi], np.arange(from_c[i], from_c[i + 1] + 1))
+        columns = [(line[a:b] - from_l[i], mult[a:b].astype(float)) for a, b in zip(cuts, cuts[1:])]
+        score[from_c[i] : from_c[i + 1]] = positive_lasso(columns, np.append(y[from_l[i] : from_l[i + 1]], wgs_mean), alpha=config.alpha, steps=config.lasso_steps, tolerance=config.lasso_tolerance)
+    solved = np.zeros(len(width), bool)
+    solved[todo] = True
+    enough = score >= cutoff[of]
+    any_ = np.logical_or.reduceat(enough, from_c[:-1])
+    kept = ~np.isnan(score) & (~solved[of] | enough | ~any_[of])
+    return ids[kept], score[kept], name[of[kept]]
+
+
 def mean_coverage(passes: DataFrame) -> DataFrame:
     """circ_id, weighted, plain, n: the mean coverage of each circle's fragments by length, and as such. passes: circ_id, fid, coverage, len."""
     by_length = F.sum(F.col("coverage") * F.col("len")) / F.sum("len")
@@ -210,49 +330,43 @@ def abundance(circles: DataFrame, fragments: DataFrame, wgs_mean: float, config:
             passes.setdefault(int(r.circ_id), {})[int(r.fid)] = r.mult
         return scores(key, {int(r.fid): float(r.coverage) for r in rows}, passes)
 
-    def local(rows: list) -> tuple[list, list]:
-        cover: dict[int, float] = {}
-        passes: dict[int, dict[int, int]] = {}
-        away = set()  # circles that pass fragments of other blocks
-        for kind, circ, fid, value in rows:
-            if kind == 0:
-                cover[fid] = value
-            else:
-                held = passes.setdefault(circ, {})
-                held[fid] = held.get(fid, 0) + 1
-                if kind == 2:
-                    away.add(circ)
-        tied: dict[int, list[int]] = {}
-        for c, held in passes.items():
-            for f in held:
-                tied.setdefault(f, []).append(c)
-        found, left, seen = [], [], set()
-        for first in passes:
-            if first in seen:
-                continue
-            seen.add(first)
-            own = [first]  # the circles of a cluster
-            for c in own:
-                for f in passes[c]:
-                    for other in tied.pop(f, ()):
-                        if other not in seen:
-                            seen.add(other)
-                            own.append(other)
-            if away.intersection(own):
-                left += [(1, c, f, float(m)) for c in own for f, m in passes[c].items()]
-                continue
-            known = {c: k for c in own if (k := {f: m for f, m in passes[c].items() if f in cover})}
-            if known:
-                found += scores(min(f for c in own for f in passes[c]), {f: cover[f] for k in known.values() for f in k}, known)
-        return found, left
+    def local(columns: list[np.ndarray]) -> tuple[list, list]:
+        kind, circ, fid, value = columns
+        cover, away = kind == 0, kind == 2  # away: circles that pass fragments of other blocks
+        order = np.argsort(fid[cover], kind="stable")
+        known, coverage = fid[cover][order], value[cover][order]
+        empty = np.zeros(0, np.int64)
+        ids, c = np.unique(circ[~cover], return_inverse=True)
+        fids, f = np.unique(fid[~cover], return_inverse=True)
+        if not len(ids):
+            return [empty, empty.astype(float), empty], [empty, empty, empty, empty.astype(float)]
+        gone = np.zeros(len(fids), bool)
+        far = np.unique(c[away[~cover]])
+        passes, mult = np.unique(c * np.int64(len(fids)) + f, return_counts=True)
+        c, f = np.divmod(passes, len(fids))
+        cluster = tied(c, f)
+        gone[cluster[far]] = True
+        leave = gone[cluster[c]]
+        left = [np.ones(leave.sum(), np.int32), ids[c[leave]], fids[f[leave]], mult[leave].astype(float)]
+        at = np.searchsorted(known, fids, side="right") - 1
+        found = at >= 0
+        found[found] = known[at[found]] == fids[found]
+        keep = np.flatnonzero(~leave & found[f])
+        if not len(keep):
+            return [empty, empty.astype(float), empty], left
+        keep = keep[np.argsort(cluster[c[keep]], kind="stable")]
+        on = np.zeros(len(fids))
+        on[found] = coverage[at[found]]
+        circles_, score, name = solve_clusters(cluster[c[keep]], c[keep], f[keep], mult[keep], on, wgs_mean, config)
+        return [ids[circles_], score, fids[name]], left
 
     known = fragments.select("fid", "coverage")
     ids = F.transform("path", lambda x: F.abs(x).cast("bigint"))
-    steps = circles.select(F.col("circ_id").cast("bigint").alias("circ_id"), F.explode(ids).alias("fid"), F.when(block_of(F.array_min(ids)) == block_of(F.array_max(ids)), 1).otherwise(2).alias("kind"))
+    steps = circles.select(F.col("circ_id").cast("bigint").alias("circ_id"), F.explode(ids).alias("fid"), F.when(block_of(F.array_min(ids)) == block_of(F.array_max(ids)), 1).otherwise(2).alias("kind")).where("fid is not null")
     steps = steps.select(block_of(F.col("fid")).alias("block"), "kind", "circ_id", "fid", F.lit(1.0).alias("value"))
     cover = known.select(block_of(F.col("fid")).alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("circ_id"), F.col("fid").cast("bigint").alias("fid"), F.col("coverage").cast("double").alias("value"))
     schema = "circ_id long, score double, cluster long"
-    found, left = in_blocks(steps.unionByName(cover), local, "kind int, circ_id long, fid long, value double", schema, MOST_ROWS)
+    found, left = in_blocks(steps.unionByName(cover), local, "kind int, circ_id long, fid long, value double", schema, MOST_ROWS, at_once=AT_ONCE)
     if left is None:
         return found
     mult = durable(left.where("kind > 0").groupBy("circ_id", "fid").agg(F.sum("value").cast("bigint").alias("mult")))

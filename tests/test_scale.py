@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,40 @@ def test_graph_moves_edges_no_more_than_needed(spark, no_broadcast):
 
 def test_order_graph_asks_no_function(spark):
     assert "lambdafunction(" not in queries._order_graph(spark, SF)[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_are_solved_together(spark, monkeypatch):
+    """The regression runs for many clusters at once, not once for each, with the results of each by itself."""
+    rng = np.random.default_rng(7)
+    cover = {256 * g + i: float(rng.integers(1, 60)) for g in range(300) for i in range(1 + g % 7)}
+    paths = [[int(x) for x in rng.choice([f for f in cover if f // 256 == g], rng.integers(1, 6))] for g in range(300) for _ in range(1 + g % 5)]
+    want = {}
+    for g in range(300):
+        own = [(c, p) for c, p in enumerate(paths) if p[0] // 256 == g]
+        left = {f for _, p in own for f in p}
+        while left:  # a cluster
+            some = {left.pop()}
+            while more := {f for _, p in own if some & set(p) for f in p} - some:
+                some |= more
+            left -= some
+            ids, line = [c for c, p in own if some & set(p)], {f: i for i, f in enumerate(sorted(some))}
+            y = np.array([cover[f] for f in line])
+            columns = [tuple(np.array(sorted((line[f], paths[c].count(f)) for f in set(paths[c]))).T) for c in ids]
+            score = [y.mean()] if len(ids) == 1 else [100.0] * len(ids) if len(y) == 1 else quantify.solve_cluster(columns, y, 4.0)
+            want |= {c: (round(float(s), 6), min(some)) for c, s in zip(ids, score) if not np.isnan(s)}
+    circles = spark.createDataFrame(list(enumerate(paths)), "circ_id long, path array<long>").localCheckpoint()
+    frags = spark.createDataFrame(list(cover.items()), "fid long, coverage double").localCheckpoint()
+    scored = lambda: {r.circ_id: (round(r.score, 6), r.cluster) for r in quantify.abundance(circles, frags, 4.0).collect()}
+    assert scored() == want
+    monkeypatch.setattr(quantify, "AT_ONCE", 50)
+    monkeypatch.setattr(quantify, "CELLS", 200)
+    monkeypatch.setattr(quantify, "MOST_ROWS", 150)  # larger blocks are left whole
+    assert scored() == want
+
+    def alone(*a, **b):
+        raise AssertionError("a cluster by itself")
+
+    monkeypatch.undo()
+    monkeypatch.setattr(quantify, "solve_cluster", alone)
+    monkeypatch.setattr(quantify, "positive_lasso", alone)
+    assert scored() == want
