@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.operators import alignment, annotate, breakpoints, circuits, graph, ordering, quantify, search, similarity
+from annulus.operators import alignment, annotate, breakpoints, circuits, graph, ordering, quantify, search, similarity, solver
 from annulus.operators.lineage import durable
 from annulus.plans import queries
 from tests.shuffled import shuffled
@@ -205,3 +205,13 @@ def test_clusters_are_solved_together(spark, monkeypatch):
     monkeypatch.setattr(quantify, "solve_cluster", alone)
     monkeypatch.setattr(quantify, "positive_lasso", alone)
     assert scored() == want
+
+
+def test_ties_are_ranked_once(monkeypatch):
+    """A node's ties have one order for all roots of its part."""
+    asked = []
+    ranked = solver.ranked_ties
+    monkeypatch.setattr(solver, "ranked_ties", lambda part, node: (asked.append(node), ranked(part, node))[1])
+    frags = {4 * i + 1: solver.Frag(4 * i + 1, "", 0.0, 1.0, 4 * i + 2, 4 * i + 3, 4 * i + 4, 1.0, 1.0) for i in range(5)}
+    ties = {100 + 10 * i + j: (4 * i + 3, 4 * ((i + j) % 5) + 2, 4, 1.0 + j) for i in range(5) for j in (1, 2)}
+    assert len(solver.simple_circles(solver.Part(frags, ties))) > 5 and len(asked) == len(set(asked)) == 10
