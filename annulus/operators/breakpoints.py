@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annulus.operators.lineage import durable
+
 MERGE_BIN = 25_000  # bases: what one task holds of a chromosome's positions
 
 
 def breakpoints(sv: DataFrame) -> DataFrame:
-    """chr, pos of both ends of each call; ord, side: where it first appears (first ends before second ones)."""
-    one = sv.select(F.col("chr1").alias("chr"), F.col("pos1").alias("pos"), "ord", F.lit(0).alias("side"))
-    return one.unionByName(sv.select(F.col("chr2").alias("chr"), F.col("pos2").alias("pos"), "ord", F.lit(1).alias("side")))
+    """chr, pos of both ends of each call; ord, side: where it first appears (first ends before second ones). Calls are read once for both."""
+    end = lambda k: F.struct(F.col(f"chr{k}").alias("chr"), F.col(f"pos{k}").alias("pos"), F.lit(k - 1).alias("side"))
+    return sv.select("ord", F.explode(F.array(end(1), end(2))).alias("e")).select("e.chr", "e.pos", "ord", "e.side")
 
 
 def anchors_from(positions: np.ndarray, first: int, distance: int) -> np.ndarray:
@@ -74,6 +76,7 @@ def merge(points: DataFrame, distance: int = 50, *, bin_size: int = MERGE_BIN) -
     """
     known = points.where("chr is not null and pos is not null").select("chr", F.col("pos").cast("bigint").alias("pos")).distinct()  # before they are gathered: a task's lists then hold each once
     bins = known.groupBy("chr", F.floor(F.col("pos") / F.lit(bin_size)).cast("bigint").alias("bin")).agg(F.sort_array(F.collect_list("pos")).alias("ps"))
+    bins = durable(bins)  # read twice below; else positions would be gathered twice
     cases = bins.select("chr", "bin", F.get("ps", F.lit(0)).alias("first"), last_anchors(F.col("ps"), distance).alias("last"))
     # distance + 1 numbers for each bin of a chromosome, in which at most distance + 1 of a bin's positions count
     entries = cases.repartition("chr").sortWithinPartitions("chr", "bin").mapInPandas(lambda batches: _entries(batches, distance), "chr string, bin bigint, entry bigint")
@@ -96,24 +99,30 @@ def _entries(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.Data
         yield out.astype({"entry": "Int64"})
 
 
-def rewrite(sv: DataFrame, merged: DataFrame) -> DataFrame:
-    """``sv`` with both ends on anchors, and ``key_ord``, ``moved``: the order in which edges are made.
+def making(sv: DataFrame, anchor: str) -> DataFrame:
+    """``sv`` with ``key_ord``, ``moved``: the order in which edges are made; ``anchor`` is that of the first end.
 
     Calls of one anchor follow each other: those that began there, then those moved there, by position
     and order of input. Anchors follow the order of input of their own first call.
     """
+    key = Window.partitionBy("chr1", anchor)
+    own = F.when(F.col("pos1") == F.col(anchor), F.col("ord"))
+    first = F.min(own).over(key)
+    last = F.struct(first.isNull().alias("late"), F.coalesce(first, F.min("ord").over(key)).alias("at"))
+    return sv.withColumn("key_ord", last).withColumn("moved", F.when(F.col("pos1") == F.col(anchor), F.lit(-1).cast("bigint")).otherwise(F.col("pos1")))
+
+
+def rewrite(sv: DataFrame, merged: DataFrame) -> DataFrame:
+    """``sv`` with both ends on anchors, and the order in which edges are made."""
     a = merged.select(F.col("chr").alias("chr1"), F.col("pos").alias("pos1"), F.col("anchor").alias("a1"))
     b = merged.select(F.col("chr").alias("chr2"), F.col("pos").alias("pos2"), F.col("anchor").alias("a2"))
     both = sv.join(a, ["chr1", "pos1"]).join(b, ["chr2", "pos2"])
-    key = Window.partitionBy("chr1", "a1")
-    own = F.when(F.col("pos1") == F.col("a1"), F.col("ord"))
-    first = F.min(own).over(key)
-    last = F.struct(first.isNull().alias("late"), F.coalesce(first, F.min("ord").over(key)).alias("at"))
-    return both.withColumn("key_ord", last).withColumn("moved", F.when(F.col("pos1") == F.col("a1"), F.lit(-1).cast("bigint")).otherwise(F.col("pos1"))).withColumns({"pos1": F.col("a1"), "pos2": F.col("a2")}).drop("a1", "a2")
+    return making(both, "a1").withColumns({"pos1": F.col("a1"), "pos2": F.col("a2")}).drop("a1", "a2")
 
 
 def kept_anchors(points: DataFrame, merged: DataFrame) -> DataFrame:
     """chr, pos, chr_ord: the distinct anchors; chr_ord is a chromosome's rank by first appearance."""
-    first = points.groupBy("chr").agg(F.min(F.struct("ord", "side")).alias("first"))
-    ranked = first.select("chr", (F.row_number().over(Window.orderBy("first")) - 1).alias("chr_ord"))
+    sides = points.groupBy("chr", "side").agg(F.min("ord").alias("ord"))  # a least struct would be found by sorting
+    first = sides.groupBy("chr").agg(F.min(F.struct("ord", "side")).alias("first"))
+    ranked = durable(first).select("chr", (F.row_number().over(Window.orderBy("first")) - 1).alias("chr_ord"))
     return merged.select("chr", F.col("anchor").alias("pos")).distinct().join(ranked, "chr")  # a row for each chromosome

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.config import BND, DEL, DUP, FRAGMENT, HEAD, INS, INV, SPATIAL, TAIL
+from annulus.operators.breakpoints import making
 from annulus.operators.intervals import stab_join
+from annulus.operators.lineage import durable
 from annulus.operators.ordering import numbered
 
 
@@ -26,22 +28,30 @@ def joins_of(svtype: Column, strand: Column) -> Column:
     )
 
 
-def sv_edges(sv: DataFrame, fragments: DataFrame, *, distance: int = 50) -> DataFrame:
-    """u, v, svtype, weight, and the order of making (key_ord, moved, ord, i): an edge for each tie of each call.
+def nodes_at(merged: DataFrame, fragments: DataFrame, *, distance: int = 50) -> DataFrame:
+    """``merged`` (chr, pos, anchor) with tail and head: the ends of fragments that a call at this position ties, null where no fragment holds them.
 
-    A tail is that of the fragment holding the position 2 distance further on; a head that of the
-    fragment holding the one as much before. An end that no fragment holds makes no edge. Both ends of all
-    calls are looked up in one pass and paired again by ord, which names a call, and i.
+    A tail is that of the fragment holding the position 2 distance behind the anchor; a head that of the fragment holding the one as much before.
     """
-    tied = sv.select("ord", "key_ord", "moved", "chr1", "pos1", "chr2", "pos2", "dv", F.posexplode(joins_of(F.col("svtype"), F.col("strand"))).alias("i", "t"))
-    probe = lambda pos, part: F.when(F.col(part) == TAIL, F.col(pos) + 2 * distance).otherwise(F.col(pos) - 2 * distance)
-    side = lambda k: F.struct(F.lit(k).alias("k"), F.col(f"chr{k}").alias("chr"), probe(f"pos{k}", f"t.part{k}").cast("bigint").alias("at"), F.col(f"t.part{k}").alias("part"))
-    names = ["key_ord", "moved", "ord", "i"]
-    ends = tied.select(*names, F.col("t.code").alias("svtype"), F.col("dv").cast("double").alias("weight"), F.explode(F.array(side(1), side(2))).alias("e")).select("*", "e.*").drop("e")
-    found = stab_join(ends, fragments, F.col("at"), "f", ["tail", "head"]).withColumn("node", F.when(F.col("part") == TAIL, F.col("f.tail")).otherwise(F.col("f.head")))
-    node = lambda k: F.max(F.when(F.col("k") == k, F.col("node")))
-    both = found.groupBy(*names, "svtype", "weight").agg(node(1).alias("u"), node(2).alias("v"))
-    return both.select("u", "v", "svtype", "weight", *names).where("u is not null and v is not null")
+    side = lambda part, at: F.struct(F.lit(part).alias("part"), (F.col("anchor") + at).cast("bigint").alias("at"))
+    asked = merged.select("chr", "anchor").distinct().select("chr", "anchor", F.explode(F.array(side(TAIL, 2 * distance), side(HEAD, -2 * distance))).alias("e")).select("chr", "anchor", "e.*")
+    found = stab_join(asked, fragments, F.col("at"), "f", ["tail", "head"])
+    node = lambda part, c: F.max(F.when(F.col("part") == part, F.col(f"f.{c}"))).alias(c)
+    return merged.select("chr", "pos", "anchor").join(found.groupBy("chr", "anchor").agg(node(TAIL, "tail"), node(HEAD, "head")), ["chr", "anchor"])
+
+
+def sv_edges(sv: DataFrame, merged: DataFrame, fragments: DataFrame, *, distance: int = 50) -> DataFrame:
+    """u, v, svtype, weight, chr (of u), and the order of making (key_ord, moved, ord, i): an edge for each tie of each call.
+
+    Fragments are looked up for positions, of which there are no more than ends of calls; a call moves to those of its first end and then to those of its
+    second. An end that no fragment holds makes no edge. What an edge's order is told by takes a further move, which isn't made where nobody asks for it.
+    """
+    nodes = durable(nodes_at(merged, fragments, distance=distance))  # read for both ends
+    at = lambda k: nodes.select(*[F.col(c).alias(f"{c}{k}") for c in ("chr", "pos", "anchor", "tail", "head")])
+    both = sv.select("ord", "chr1", "pos1", "chr2", "pos2", "svtype", "strand", "dv").join(at(1), ["chr1", "pos1"]).join(at(2), ["chr2", "pos2"])
+    node = lambda k: F.when(F.col(f"t.part{k}") == TAIL, F.col(f"tail{k}")).otherwise(F.col(f"head{k}"))
+    tied = making(both, "anchor1").select("*", F.posexplode(joins_of(F.col("svtype"), F.col("strand"))).alias("i", "t"))
+    return tied.select(node(1).alias("u"), node(2).alias("v"), F.col("t.code").alias("svtype"), F.col("dv").cast("double").alias("weight"), F.col("chr1").alias("chr"), "key_ord", "moved", "ord", "i").where("u is not null and v is not null")
 
 
 def spatial_edges(adjacent: DataFrame, spanning: DataFrame, *, wgs_mean: float, least: int = 4) -> DataFrame:

@@ -30,18 +30,23 @@ class Result:
 
 def encode(sv: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(fragments, calls on anchors) of the calls that passed. The calls are read and filtered once."""
+    sv, merged, frags = cut(sv, config)
+    return frags, breakpoints.rewrite(sv, merged)
+
+
+def cut(sv: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, anchors of their positions, fragments)."""
     sv = durable(sv)
     points = breakpoints.breakpoints(sv)
     merged = durable(breakpoints.merge(points, config.distance))
-    frags = fragments.fragment(breakpoints.kept_anchors(points, merged))
-    return frags, breakpoints.rewrite(sv, merged)
+    return sv, merged, fragments.fragment(breakpoints.kept_anchors(points, merged))
 
 
 def build(sv: DataFrame, coverage: DataFrame, chromosomes: DataFrame, reads: DataFrame | None, wgs_mean: float, config: Config = Config()) -> Graph:
     """Fragments with coverage, edges of calls, and edges between neighbours that reads cross."""
-    frags, calls = encode(sv, config)
+    calls, merged, frags = cut(sv, config)
     frags = durable(fragments.median_coverage(frags, coverage, chromosomes, ratio=config.downsampling_ratio))
-    ties = graph.number(graph.sv_edges(calls, frags, distance=config.distance), ["key_ord", "moved", "ord", "i"], 1)
+    ties = graph.number(graph.sv_edges(calls, merged, frags, distance=config.distance), ["key_ord", "moved", "ord", "i"], 1)
     near = fragments.adjacent(frags, config.distance)
     if reads is None or config.fast:
         spanning = near.select("chr", "bp", F.lit(2 * wgs_mean).alias("n")).distinct()

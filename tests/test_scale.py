@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annulus.operators import alignment, annotate, breakpoints, circuits, graph, ordering, quantify, search, similarity, solver
+from annulus.operators import alignment, annotate, breakpoints, circuits, fragments, graph, ordering, quantify, search, similarity, solver
 from annulus.operators.lineage import durable
 from annulus.plans import queries
 from tests.shuffled import shuffled
@@ -215,3 +215,14 @@ def test_ties_are_ranked_once(monkeypatch):
     frags = {4 * i + 1: solver.Frag(4 * i + 1, "", 0.0, 1.0, 4 * i + 2, 4 * i + 3, 4 * i + 4, 1.0, 1.0) for i in range(5)}
     ties = {100 + 10 * i + j: (4 * i + 3, 4 * ((i + j) % 5) + 2, 4, 1.0 + j) for i in range(5) for j in (1, 2)}
     assert len(solver.simple_circles(solver.Part(frags, ties))) > 5 and len(asked) == len(set(asked)) == 10
+
+
+def test_calls_move_once_for_each_end(spark, no_broadcast):
+    """Fragments are looked up for positions, not for calls."""
+    n = 20_000
+    sv = spark.range(n).selectExpr("id as ord", "'chr1' as chr1", "1000 + id % 150 * 1000 as pos1", "'chr1' as chr2", "300000 + id % 70 * 1000 as pos2", "array('DEL', 'DUP', 'INV', 'BND')[id % 4] as svtype", "'+-' as strand", "id % 9 as dv").localCheckpoint()
+    points = breakpoints.breakpoints(sv)
+    merged = breakpoints.merge(points).localCheckpoint()
+    frags = fragments.fragment(breakpoints.kept_anchors(points, merged)).localCheckpoint()
+    rows, _ = shuffled(spark, lambda: graph.sv_edges(sv, merged, frags).select("ord", "u", "v").write.format("noop").mode("overwrite").save())
+    assert rows < 2.3 * n
