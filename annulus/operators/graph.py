@@ -83,7 +83,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def standalone(fragments: DataFrame, edges: DataFrame) -> DataFrame:
     """Fragments neither of whose ends has an edge."""
-    tied = edges.where(F.col("svtype") != FRAGMENT).select(F.explode(F.array("u", "v")).alias("node"))
+    tied = edges.where(F.col("svtype") != FRAGMENT).select(F.explode(F.array("u", "v")).alias("node")).distinct()  # many edges share a node
     ends = fragments.select("fid", F.explode(F.array("tail", "head")).alias("node"))
     return without(fragments, ends.join(tied, "node", "left_semi"))
 
